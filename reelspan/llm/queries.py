@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from reelspan.llm import exact_dedup, near_dedup
+from reelspan.llm import bpe, exact_dedup, language_id, near_dedup, substring_dedup
 
 QUERIES = {
+    "op4_substring_dedup": substring_dedup.op4,
     "op5_exact_dedup": exact_dedup.op5,
+    "op6_byte_bpe": bpe.op6,
+    "op7_language_id": language_id.op7,
     "op8_minhash_near_dedup": near_dedup.op8,
 }
 
