@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reelspan.llm import bpe, exact_dedup, language_id, near_dedup, substring_dedup
+from reelspan.llm import bpe, exact_dedup, language_id, near_dedup, substring_dedup, toxicity
 
 QUERIES = {
     "op4_substring_dedup": substring_dedup.op4,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_byte_bpe": bpe.op6,
     "op7_language_id": language_id.op7,
     "op8_minhash_near_dedup": near_dedup.op8,
+    "op10_toxicity": toxicity.op10,
 }
 
 ORACLES = {
