@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from reelspan.llm import bpe, exact_dedup, language_id, near_dedup, substring_dedup, toxicity
+from reelspan.llm import bpe, exact_dedup, fingerprints, language_id, near_dedup, substring_dedup, toxicity
 
 QUERIES = {
+    "op2_fingerprints": fingerprints.op2,
     "op4_substring_dedup": substring_dedup.op4,
     "op5_exact_dedup": exact_dedup.op5,
     "op6_byte_bpe": bpe.op6,
