@@ -187,14 +187,16 @@ def train(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     return Model(labels, idf, weights, bias, fit_temperature(scores, y[rest]))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (0 to 1) from its column ``text`` alone.
+def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and its score (0 to 1), from the text alone.
 
-    A text that is null or has no letter is ``und`` with score 0.
+    A text that is null or has no letter is ``und`` with score 0.  Columns of these
+    names in ``docs`` are replaced.
     """
+    docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    shape = T_of(docs) + ", `lang_pred` string, `score` double"
-    at = docs.columns.index("text")
+    shape = shape_of(docs) + f", `{names[0]}` string, `{names[1]}` double"
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -202,27 +204,34 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             texts = batch.column(at)
             # A cased or uncased letter of any script.
             letter = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            names, scores = [], []
+            found, scores = [], []
             for _, _, joined, offsets in chunks(texts):
                 if not model.labels:
-                    names += [UNKNOWN] * (len(offsets) - 1)
+                    found += [UNKNOWN] * (len(offsets) - 1)
                     scores += [0.0] * (len(offsets) - 1)
                     continue
                 p = model.probabilities(tf_idf(counts(joined, offsets), model.idf)).astype(np.float64)
                 best = p.argmax(axis=1)
-                names += [model.labels[k] for k in best]
+                found += [model.labels[k] for k in best]
                 scores += np.minimum(p[np.arange(len(best)), best], 1.0).tolist()
-            names = [a if b else UNKNOWN for a, b in zip(names, letter, strict=True)]
+            found = [a if b else UNKNOWN for a, b in zip(found, letter, strict=True)]
             scores = [a if b else 0.0 for a, b in zip(scores, letter, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(run, shape)
 
 
-def T_of(df: DataFrame) -> str:
+def shape_of(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
+def keep_known(docs: DataFrame, least: float = 0.5, text: str = "text", lang: str = "lang", id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of ``docs`` whose text has a language: not ``und``, and one label is likelier than ``least``."""
+    learnable = docs.where(F.col(lang).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    found = predict(docs, train(learnable, fit_rows), text, ("_lang_pred", "_lang_score"))
+    return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> DataFrame:
     """One row per document: ``doc_id, held_out, lang_pred, score``.
 
