@@ -16,15 +16,15 @@ from __future__ import annotations
 import base64
 import itertools
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Distinct pre-tokens in a generation of what a Python worker remembers (two generations are kept, about 130 MB).
-REMEMBERED = 300_000
+#: Distinct pre-tokens in a generation of what a Python worker remembers (two generations are kept, about 250 MB).
+REMEMBERED = 600_000
 #: Bytes of text whose ids are returned at once.
 EMIT_BYTES = 1 << 22
 
@@ -36,51 +36,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Lowest rank first, then leftmost position; pushes and pops are O(1) but for equal ranks' order."""
+    """Buckets of positions by rank under three levels of 64-bit words; empty between pre-tokens."""
 
     def __init__(self, ranks: int):
         words = (ranks >> 6) + 1
         self.low = [0] * words
         self.mid = [0] * ((words >> 6) + 1)
-        self.top = 0
         self.buckets: dict[int, list[int]] = {}
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        a, b = rank >> 6, rank >> 12
-        self.low[a] |= 1 << (rank & 63)
-        self.mid[b] |= 1 << (a & 63)
-        self.top |= 1 << b
-
-    def fill(self, items: dict[int, list[int]]) -> None:
-        for rank, positions in items.items():
-            heapify(positions)
-            self.push(rank, positions[0])
-            self.buckets[rank] = positions
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        b = (self.top & -self.top).bit_length() - 1
-        x = self.mid[b]
-        a = (b << 6) | ((x & -x).bit_length() - 1)
-        x = self.low[a]
-        rank = (a << 6) | ((x & -x).bit_length() - 1)
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[a] &= self.low[a] - 1
-            if not self.low[a]:
-                self.mid[b] &= self.mid[b] - 1
-                if not self.mid[b]:
-                    self.top &= self.top - 1
-        return rank, position
-
 
 class Encoder:
     """Ids of pre-tokens, packed as little-endian unsigned 32-bit integers."""
@@ -93,51 +56,76 @@ class Encoder:
         self.vocabulary = {rank: token for token, rank in ranks.items()}
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
+        """Ids of one pre-token.  Pushes and pops are written out: calls would cost more than they do."""
+        rank_of = self.ranks.get
+        whole = rank_of(piece)
         if whole is not None:
             return [whole]
+        low, mid, buckets, top = self.queue.low, self.queue.mid, self.queue.buckets, 0
         n = len(piece)
         end = list(range(1, n + 1))  # of the part that starts here
-        before = list(range(-1, n - 1))
+        before = list(range(-1, n - 1))  # start of the part to the left
         pair = [-1] * n  # rank of the part that starts here with the next
-        starts: dict[int, list[int]] = {}
         for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
-            if rank is not None:
-                pair[i] = rank
-                starts.setdefault(rank, []).append(i)
-        queue = self.queue
-        queue.fill(starts)
-        while (item := queue.pop()) is not None:
-            rank, i = item
+            new = rank_of(piece[i : i + 2])
+            if new is not None:
+                pair[i] = new
+                if new in buckets:
+                    buckets[new].append(i)  # ascending, so a heap
+                else:
+                    buckets[new] = [i]
+                    a, b = new >> 6, new >> 12
+                    low[a] |= 1 << (new & 63)
+                    mid[b] |= 1 << (a & 63)
+                    top |= 1 << b
+        while top:
+            # Find first set, level by level.
+            b = (top & -top).bit_length() - 1
+            x = mid[b]
+            a = (b << 6) | ((x & -x).bit_length() - 1)
+            x = low[a]
+            rank = (a << 6) | ((x & -x).bit_length() - 1)
+            bucket = buckets[rank]
+            i = heappop(bucket)
+            if not bucket:
+                del buckets[rank]
+                low[a] = x = x & (x - 1)
+                if not x:
+                    x = mid[b]
+                    mid[b] = x = x & (x - 1)
+                    if not x:
+                        top &= top - 1
             if pair[i] != rank:
                 continue  # stale: this pair is gone
             j = end[i]
-            stop = end[j]
-            end[i] = stop
+            end[i] = stop = end[j]
             pair[j] = -1
             if stop < n:
                 before[stop] = i
-                new = ranks.get(piece[i : end[stop]])
-                pair[i] = -1 if new is None else new
-                if new is not None:
-                    queue.push(new, i)
+                right = rank_of(piece[i : end[stop]])
             else:
-                pair[i] = -1
+                right = None
+            pair[i] = -1  # set again below if the new pair has a rank
             k = before[i]
-            if k >= 0:
-                new = ranks.get(piece[k:stop])
-                if new is None:
-                    pair[k] = -1
-                elif pair[k] != new:
-                    pair[k] = new
-                    queue.push(new, k)
-        out, i = [], 0
+            left = rank_of(piece[k:stop]) if k >= 0 else None
+            if k >= 0 and left is None:
+                pair[k] = -1
+            for at, new in ((i, right), (k, left)):
+                if new is not None and pair[at] != new:
+                    pair[at] = new
+                    if new in buckets:
+                        heappush(buckets[new], at)
+                    else:
+                        buckets[new] = [at]
+                        a, b = new >> 6, new >> 12
+                        low[a] |= 1 << (new & 63)
+                        mid[b] |= 1 << (a & 63)
+                        top |= 1 << b
+        out, i, ranks = [], 0, self.ranks
         while i < n:
-            out.append(ranks[piece[i : end[i]]])
-            i = end[i]
+            j = end[i]
+            out.append(ranks[piece[i:j]])
+            i = j
         return out
 
     def encode(self, text: str) -> bytes:
