@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SENTENCE_MARKS = ".!?।"
 DROPPED_MARKS = ".,!?।"
@@ -52,7 +53,7 @@ def pass_through(word: Column) -> Column:
     return F.nullif(F.trim(F.translate(F.lower(word), DROPPED_MARKS, "")), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_diacritics(words: pd.Series) -> pd.Series:
     """Canonical decomposition without the marks U+0300 to U+036F."""
     return words.map(lambda w: None if w is None else "".join(c for c in unicodedata.normalize("NFD", w) if not "̀" <= c <= "ͯ"))
