@@ -229,7 +229,7 @@ def keep_known(docs: DataFrame, least: float = 0.5, text: str = "text", lang: st
     """The rows of ``docs`` whose text has a language: not ``und``, and one label is likelier than ``least``."""
     learnable = docs.where(F.col(lang).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     found = predict(docs, train(learnable, fit_rows), text, ("_lang_pred", "_lang_score"))
-    return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> DataFrame:

@@ -22,6 +22,10 @@ NEAR = 4 * 1.04 / (1 << (LOG_K // 2))
 EDGE = " \t\r"
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``h1, h2, first`` of lines on at least ``min_sites`` distinct sites, from rows ``h1, h2, site, id, pos``.
 
@@ -54,7 +58,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text",
     table gives no rows.  Columns of these names in ``docs`` are replaced.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    rows = docs.select(*columns)
+    rows = docs.select(*[F.col(quoted(c)) for c in columns])
     split = F.split(F.col(text), "\n")
     line = F.btrim(F.col("_line"), F.lit(EDGE))
     lines = written(
@@ -72,7 +76,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text",
     kept = F.array_join(F.filter(F.split(F.col(f"d.{text}"), "\n"), lambda _, i: ~F.array_contains("g._gone", i)), "\n")
     cleaned = F.when(F.col("g._gone").isNull(), F.col(f"d.{text}")).otherwise(kept)
     return found.select(
-        *[cleaned.alias(c) if c == text else F.col(f"d.`{c}`") for c in columns],
+        *[cleaned.alias(c) if c == text else F.col(f"d.{quoted(c)}").alias(c) for c in columns],
         F.when(F.col(f"d.{text}").isNull(), F.lit(0)).otherwise(F.size(F.split(F.col(f"d.{text}"), "\n"))).cast("bigint").alias("n_lines"),
         F.when(F.col("g._gone").isNull(), F.lit(0)).otherwise(F.size("g._gone")).cast("bigint").alias("n_removed"),
     )
