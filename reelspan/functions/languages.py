@@ -48,18 +48,29 @@ def short_code(code: Column, strict_reference: bool = False) -> Column:
     return F.coalesce(F.try_element_at(_map(known), F.lower(code)), F.lower(F.split_part(code, F.lit("-"), F.lit(1))))
 
 
-def script_locale(text: Column) -> Column:
-    """Locale of the first script, in order of preference, that the text has a character of; else null."""
+def script_rank(text: Column) -> Column:
+    """Place in SCRIPTS of the first script, in order of preference, that the text has a character of; else null."""
     out = None
-    for locale, first in SCRIPTS:
+    for rank, (_, first) in enumerate(SCRIPTS):
         has = text.rlike(rf"[\x{{{first:04X}}}-\x{{{first + 0x7F:04X}}}]")
-        out = F.when(has, locale) if out is None else out.when(has, locale)
+        out = F.when(has, rank) if out is None else out.when(has, rank)
     return out
 
 
+def script_locale(text: Column) -> Column:
+    """Locale of that script."""
+    return F.get(F.array(*[F.lit(locale) for locale, _ in SCRIPTS]), script_rank(text))
+
+
+def resolve_script(code: Column, rank: Column) -> Column:
+    """A code with a hyphen as it is, a short code by its locale, else the locale of the script at this rank."""
+    by_script = F.get(F.array(*[F.lit(locale) for locale, _ in SCRIPTS]), rank)
+    return F.coalesce(F.when(F.contains(code, F.lit("-")), code), F.try_element_at(_map(LOCALES), code), by_script)
+
+
 def resolve_language(code: Column, text: Column) -> Column:
-    """A code with a hyphen as it is, a short code by its locale, else the locale of the text's script."""
-    return F.coalesce(F.when(F.contains(code, F.lit("-")), code), F.try_element_at(_map(LOCALES), code), script_locale(text))
+    """The same for a whole text."""
+    return resolve_script(code, script_rank(text))
 
 
 def romanize_telugu(word: Column, keep: str = r"[a-zA-Z0-9\s.,!?'-]") -> Column:

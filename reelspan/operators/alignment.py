@@ -1,8 +1,9 @@
 """Aligning phrase words with timing anchors.
 
-All joins have equi keys (clip, chunk, phrase), so they hash or sort-merge with a
-residual condition.  The only sequential part, that matches never go backwards, is
-a fold over one phrase's candidates; everything costly stays a join.
+One equi-join on (clip, chunk) brings each phrase its overlapping anchors, as an
+array of bounded length; everything after it keeps that partitioning, so nothing
+is shuffled again.  The only sequential part, that matches never go backwards, is
+a fold over one phrase's words.
 """
 
 from __future__ import annotations
@@ -10,22 +11,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspan.functions.text import similar, tokens
+from reelspan.functions.text import normalize_word, tokens
 
-PHRASE = ["clip_id", "chunk_idx", "phrase_idx"]
+CHUNK = ["clip_id", "chunk_idx"]
+PHRASE = [*CHUNK, "phrase_idx"]
 
 
-def overlapping(phrases: DataFrame, anchors: DataFrame, how: str = "inner") -> DataFrame:
-    """Phrases with the anchors of their chunk that overlap them, strictly at both ends; an anchor may serve several.
+def phrase_anchors(phrases: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Phrases with ``words`` (array of tokens) and ``anchors`` (array, in list order, of those that overlap them).
 
-    ``j`` and ``n``: place of the anchor among the phrase's, and their number.
+    Overlap is strict at both ends; an anchor may serve several phrases.  A phrase
+    without anchors has an empty array.
     """
-    a = anchors.select("clip_id", "chunk_idx", "anchor_idx", F.col("word").alias("anchor"), F.col("start_s").alias("anchor_start"), F.col("end_s").alias("anchor_end"))
-    p = phrases.alias("p")
-    meets = (F.col("p.clip_id") == a["clip_id"]) & (F.col("p.chunk_idx") == a["chunk_idx"]) & (a["anchor_start"] < F.col("p.end_s")) & (a["anchor_end"] > F.col("p.start_s"))
-    own = Window.partitionBy(*PHRASE)
-    found = p.join(a, meets, how).select("p.*", "anchor_idx", "anchor", "anchor_start", "anchor_end")
-    return found.withColumn("j", (F.row_number().over(own.orderBy("anchor_idx")) - 1).cast("int")).withColumn("n", F.count("anchor_idx").over(own).cast("int"))
+    a = anchors.select(*CHUNK, F.struct("anchor_idx", "word", "start_s", "end_s").alias("a"))
+    meets = [phrases[c] == a[c] for c in CHUNK] + [(F.col("a.start_s") < phrases["end_s"]) & (F.col("a.end_s") > phrases["start_s"])]
+    found = phrases.join(a, meets, "left").select(*[phrases[c] for c in phrases.columns], "a")
+    listed = F.array_sort(F.collect_list("a")).alias("anchors")  # nulls are left out
+    own = found.groupBy(*PHRASE).agg(F.first("phrase").alias("phrase"), F.first("start_s").alias("start_s"), F.first("end_s").alias("end_s"), listed)
+    return own.withColumn("words", tokens(F.col("phrase")))
+
+
+def overlapping(phrases: DataFrame, anchors: DataFrame) -> DataFrame:
+    """A row for each phrase and anchor that overlap: ``j`` its place among the phrase's ``n``."""
+    rows = phrase_anchors(phrases, anchors).select(*PHRASE, F.size("anchors").alias("n"), F.posexplode("anchors").alias("j", "a"))
+    return rows.select(*PHRASE, "a.anchor_idx", F.col("a.word").alias("anchor"), F.col("a.start_s").alias("anchor_start"), F.col("a.end_s").alias("anchor_end"), "j", "n")
 
 
 def phrase_tokens(phrases: DataFrame) -> DataFrame:
@@ -36,53 +45,65 @@ def phrase_tokens(phrases: DataFrame) -> DataFrame:
 
 def even_split(phrase_words: DataFrame) -> DataFrame:
     """A phrase's time shared evenly among its words."""
-    step = (F.col("end_s") - F.col("start_s"))
+    length = F.col("end_s") - F.col("start_s")
     return phrase_words.select(
         *PHRASE, F.col("i").alias("word_idx"), "word",
-        (F.col("start_s") + F.col("i") / F.col("m") * step).alias("start_s"),
-        (F.col("start_s") + (F.col("i") + 1) / F.col("m") * step).alias("end_s"),
+        (F.col("start_s") + F.col("i") / F.col("m") * length).alias("start_s"),
+        (F.col("start_s") + (F.col("i") + 1) / F.col("m") * length).alias("end_s"),
     )
 
 
-def matches(phrase_words: DataFrame, overlaps: DataFrame) -> DataFrame:
-    """``clip_id, chunk_idx, phrase_idx, i, j``: the anchor that each matched word takes.
+# The similarity rule of functions.text on normal forms, inside the fold.
+_ALIKE = """(get(na, i) = get(nb, j) OR (greatest(length(get(na, i)), length(get(nb, j))) > 2
+    AND levenshtein(get(na, i), get(nb, j)) / greatest(length(get(na, i)), length(get(nb, j))) < 0.45))"""
+_FOLD = f"""
+aggregate(sequence(0, size(na) - 1), named_struct('least', 0, 'out', cast(array() AS array<int>)),
+  (s, i) -> transform(array(cast(round(i * (size(nb) - 1) / greatest(size(na) - 1, 1)) AS int)), ex ->
+    transform(array(if(greatest(s.least, ex - win) > least(size(nb) - 1, ex + win), cast(NULL AS int),
+        array_min(transform(filter(sequence(greatest(s.least, ex - win), least(size(nb) - 1, ex + win)), j -> {_ALIKE}),
+          j -> named_struct('d', abs(j - ex), 'j', j))).j)),
+      p -> named_struct('least', coalesce(p + 1, s.least), 'out', concat(s.out, array(p))))[0])[0],
+  s -> s.out)"""
+
+
+def with_matches(spoken: DataFrame) -> DataFrame:
+    """Phrases of ``phrase_anchors`` with ``taken``: for each word the place of the anchor that it takes, or null.
 
     Word i looks within max(3, n/4) places of its proportional place for a similar
     anchor after the last match, the nearest first and the lower one of two.
     """
-    words = phrase_words.select(*PHRASE, "i", "m", "word")
-    anchors = overlaps.select(*PHRASE, "j", "n", "anchor")
-    expected = F.round(F.col("i") * (F.col("n") - 1) / F.greatest(F.col("m") - 1, F.lit(1))).cast("int")
-    width = F.greatest(F.lit(3), F.round(F.col("n") / 4)).cast("int")
-    distance = F.abs(F.col("j") - expected)
-    near = words.join(anchors, PHRASE).where((distance <= width) & similar(F.col("word"), F.col("anchor")))
-    lists = near.groupBy(*PHRASE, "i").agg(F.array_sort(F.collect_list(F.struct(distance.alias("d"), "j"))).alias("js"))
-    folded = lists.groupBy(*PHRASE).agg(F.array_sort(F.collect_list(F.struct("i", "js"))).alias("cs"))
-    fold = F.expr("""
-        aggregate(cs, named_struct('least', 0, 'out', cast(array() AS array<struct<i: int, j: int>>)),
-          (s, c) -> transform(array(get(filter(c.js, x -> x.j >= s.least), 0).j),
-             p -> if(p IS NULL, s, named_struct('least', p + 1, 'out', concat(s.out, array(named_struct('i', c.i, 'j', p))))))[0],
-          s -> s.out)""")
-    return folded.select(*PHRASE, F.inline(fold))
+    own = spoken.withColumns({
+        "na": F.transform("words", normalize_word), "nb": F.transform("anchors", lambda a: normalize_word(a["word"])),
+        "win": F.greatest(F.lit(3), F.round(F.size("anchors") / 4)).cast("int"),
+    })
+    some = (F.size("words") > 0) & (F.size("anchors") > 0)
+    return own.withColumn("taken", F.when(some, F.expr(_FOLD)).otherwise(F.transform("words", lambda _: F.lit(None).cast("int")))).drop("na", "nb", "win")
+
+
+def matches(phrases: DataFrame, anchors: DataFrame) -> DataFrame:
+    """``clip_id, chunk_idx, phrase_idx, i, j``: the anchor that each matched word takes."""
+    rows = with_matches(phrase_anchors(phrases, anchors)).select(*PHRASE, F.posexplode("taken").alias("i", "j"))
+    return rows.where(F.col("j").isNotNull())
 
 
 def fill_gaps(aligned: DataFrame) -> DataFrame:
     """Times of unmatched words: the gap between the matched ones around them, shared evenly.
 
     Needs ``i, m, word, anchor_start, anchor_end`` (null if unmatched) and
-    ``first_start, last_end`` of the phrase's anchors.
+    ``first_start, last_end`` of the phrase's anchors; without these, the even share
+    of ``start_s, end_s``.
     """
     own = Window.partitionBy(*PHRASE).orderBy("i")
     before, after = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(1, Window.unboundedFollowing)
     matched = F.when(F.col("anchor_start").isNotNull(), F.col("i"))
-    out = (
-        aligned.withColumn("_lo", F.last(matched, ignorenulls=True).over(before)).withColumn("_hi", F.first(matched, ignorenulls=True).over(after))
-        .withColumn("_t0", F.coalesce(F.last("anchor_end", ignorenulls=True).over(before), "first_start"))
-        .withColumn("_t1", F.coalesce(F.first("anchor_start", ignorenulls=True).over(after), "last_end"))
-    )
-    gap_start = F.coalesce("_lo", F.lit(-1)) + 1
-    size = F.greatest(F.coalesce("_hi", "m") - gap_start, F.lit(1))
-    width, place = F.greatest(F.lit(0.0), F.col("_t1") - F.col("_t0")), F.col("i") - gap_start
+    out = aligned.withColumns({
+        "_lo": F.coalesce(F.last(matched, ignorenulls=True).over(before), F.lit(-1)), "_hi": F.coalesce(F.first(matched, ignorenulls=True).over(after), "m"),
+        "_t0": F.coalesce(F.last("anchor_end", ignorenulls=True).over(before), "first_start", "start_s"), "_t1": F.coalesce(F.first("anchor_start", ignorenulls=True).over(after), "last_end", "end_s"),
+    })
+    size = F.greatest(F.col("_hi") - F.col("_lo") - 1, F.lit(1))
+    # An even share may run backwards, a gap between anchors may not.
+    width = F.when(F.col("first_start").isNull(), F.col("_t1") - F.col("_t0")).otherwise(F.greatest(F.lit(0.0), F.col("_t1") - F.col("_t0")))
+    place = F.col("i") - F.col("_lo") - 1
     return out.select(
         *PHRASE, F.col("i").alias("word_idx"), "word",
         F.coalesce("anchor_start", F.col("_t0") + place / size * width).alias("start_s"),
@@ -96,14 +117,13 @@ def align(phrases: DataFrame, anchors: DataFrame) -> DataFrame:
 
     ``clip_id, chunk_idx, phrase_idx, word_idx, word, start_s, end_s, anchored``.
     """
-    words = phrase_tokens(phrases)
-    overlaps = overlapping(phrases, anchors)
-    ends = overlaps.groupBy(*PHRASE).agg(F.min_by("anchor_start", "j").alias("first_start"), F.max_by("anchor_end", "j").alias("last_end"))
-    taken = matches(words, overlaps).join(overlaps.select(*PHRASE, "j", "anchor_start", "anchor_end"), [*PHRASE, "j"]).drop("j")
-    known = words.join(ends, PHRASE, "left")
-    some = fill_gaps(known.where(F.col("first_start").isNotNull()).join(taken, [*PHRASE, "i"], "left"))
-    none = even_split(known.where(F.col("first_start").isNull())).withColumn("anchored", F.lit(False))
-    return some.unionByName(none)
+    spoken = with_matches(phrase_anchors(phrases, anchors))
+    word = F.struct(F.col("words"), F.transform("taken", lambda j: F.get("anchors", j)).alias("hits"))
+    rows = spoken.select(
+        *PHRASE, "start_s", "end_s", F.size("words").alias("m"), F.get("anchors", F.lit(0))["start_s"].alias("first_start"),
+        F.try_element_at("anchors", F.lit(-1))["end_s"].alias("last_end"), F.posexplode(F.arrays_zip(word["words"], word["hits"])).alias("i", "z"),
+    )
+    return fill_gaps(rows.select("*", F.col("z.words").alias("word"), F.col("z.hits.start_s").alias("anchor_start"), F.col("z.hits.end_s").alias("anchor_end")).drop("z"))
 
 
 def quality(aligned: DataFrame, *by: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspan.functions.languages import resolve_language, roman_word
+from reelspan.functions.languages import resolve_script, roman_word, script_rank
 from reelspan.functions.media import seconds_to_ms
 from reelspan.operators.alignment import align
 
@@ -108,16 +108,15 @@ def build(phrases: DataFrame, anchors: DataFrame, totals: DataFrame, languages:
     ``totals``: clip_id, total_s.  ``languages``: clip_id, chunk_idx, lang.
     """
     order = ["chunk_idx", "phrase_idx", "word_idx"]
-    words = to_video_time(align(phrases, anchors)).join(totals, "clip_id", "left")
-    words = clamp_ends(words, order)
-    spoken = transcript_language(languages)
-    text = full_text(words, order)
-    named = text.join(spoken, "clip_id", "left").select("clip_id", "language", resolve_language(F.col("language"), F.col("text")).alias("locale"))
-    place = F.row_number().over(Window.partitionBy("clip_id").orderBy(*order)) - 1
-    return words.join(named, "clip_id").select(
-        "clip_id", place.cast("bigint").alias("word_idx"), "word", roman_word(F.col("word"), F.col("locale")).alias("word_roman"),
+    words = to_video_time(align(phrases, anchors)).join(totals, "clip_id", "left").join(transcript_language(languages), "clip_id", "left")
+    own = Window.partitionBy("clip_id")
+    # The script of the whole text is the first in preference that any word has: no text is put together for it.
+    script = F.min(script_rank(F.col("word"))).over(own)
+    place = F.row_number().over(own.orderBy(*order)) - 1
+    return clamp_ends(words, order).select(
+        "clip_id", place.cast("bigint").alias("word_idx"), "word", resolve_script(F.col("language"), script).alias("_locale"),
         seconds_to_ms(F.col("start_s"), offset_ms).alias("start_ms"), seconds_to_ms(F.col("end_s"), offset_ms).alias("end_ms"), "language",
-    )
+    ).select("clip_id", "word_idx", "word", roman_word(F.col("word"), F.col("_locale")).alias("word_roman"), "start_ms", "end_ms", "language")
 
 
 def latest(transcripts: DataFrame, key: str = "video_id") -> DataFrame:

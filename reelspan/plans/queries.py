@@ -71,8 +71,7 @@ def overlap_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def align_anchor(spark: SparkSession, d: str) -> DataFrame:
-    phrases, anchors = view(spark, d, "asr_phrases"), view(spark, d, "asr_anchors")
-    found = alignment.matches(alignment.phrase_tokens(phrases), alignment.overlapping(phrases, anchors))
+    found = alignment.matches(view(spark, d, "asr_phrases"), view(spark, d, "asr_anchors"))
     return found.select("clip_id", "chunk_idx", "phrase_idx", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"))
 
 
