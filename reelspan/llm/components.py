@@ -17,17 +17,15 @@ from reelspan.llm.scratch import written
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """One step over links (u > v)."""
-    if large:
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        both = links
-    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "star-least")
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     moved = both.join(least, "u")
+    to_least = lambda node: F.struct(F.col(node).alias("u"), F.col("m").alias("v"))
     if large:
-        out = moved.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = moved.where("v > u").select(to_least("v").alias("l"))
     else:
-        out = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return written(out.where(F.col("u") != F.col("v")).distinct(), "star")
+        out = moved.select(F.explode(F.array(to_least("v"), to_least("u"))).alias("l"))
+    return written(out.select("l.*").where("u != v").distinct(), "star")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -1,19 +1,22 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
-A text's signature is ``SLOTS`` min-hash slots of 8 bits.  It is cut into 11
-chunks of 7 slots, and of each chunk one wrong slot is allowed: a key is a chunk
-with one slot left out, so a text has 77 keys.  By pigeonhole, two signatures
-that differ in at most 21 slots agree on some key.  At a Jaccard similarity of
-0.8 a chunk agrees but for one slot with probability 0.577, so a pair is missed
-with probability 0.423**11 = 8e-5, less above it.
-
-Texts with the same set are one node from the start.  Keys that several nodes
-share link them into superclusters, which only limit where links can be; inside
+A text's signature is ``SLOTS`` min-hash slots of 8 bits.  It is cut into 14
+chunks of 8 slots, and of each chunk one wrong slot is allowed: a key is a chunk
+with one slot left out, so a text has 112 keys.  By pigeonhole, two signatures
+that differ in at most 27 slots agree on some key.  At a Jaccard similarity of
+0.8 a chunk agrees but for one slot with probability 0.503, so a pair is missed
+with probability 0.497**14 = 6e-5, less above it.
+
+Texts with the same set are one node from the start.  Nodes that share a key and
+whose signatures differ in at most ``MOST_WRONG`` slots (six deviations beyond what
+0.8 gives) are linked into superclusters; of a key that very many share, every
+node is linked with the first.  Superclusters only limit where links can be; inside
 them every pair is decided on the full sets, by intersection counts over an
-inverted list.  A supercluster whose sets are large is cut into blocks by hash,
-and each pair of blocks is one task's group, so no group grows with the corpus
-and no link is lost.  Tasks return a spanning forest of the links they confirm,
-never all pairs.
+inverted list.  A supercluster whose sets are large is cut into blocks of bounded
+size by hash.  Each block is decided by itself, with a few hubs that all blocks
+share; what the largest part so far does not have is then held against every block.
+So a large group of copies costs work in proportion to its size, no group grows
+with the corpus, and no link is lost.  Tasks return spanning forests, never all pairs.
 """
 
 from __future__ import annotations
@@ -31,8 +34,12 @@ from reelspan.llm.components import components
 from reelspan.llm.scratch import written
 from reelspan.llm.spans import LOWER, Words, text_chunks
 
-CHUNKS, CHUNK_SLOTS = 11, 7
+CHUNKS, CHUNK_SLOTS = 14, 8
 SLOTS = CHUNKS * CHUNK_SLOTS
+#: Slots in which the signatures of linked texts may differ: at 0.8 about 22 do, with a deviation of 4.
+MOST_WRONG = 50
+#: Nodes of one key that are compared with each other; of a key that more share, each is linked with the first.
+COMPARED = 64
 #: Set elements in a block: 16 MB of hashes.
 BLOCK_ELEMENTS = 2_000_000
 
@@ -117,7 +124,9 @@ def _signed(size: int):
     return run
 
 
-def _keys_of(keep: bloom.Filter | None):
+def _keys_of(keep: bloom.Filter | None, without: bloom.Filter | None = None, signed: bool = False):
+    """Keys of each node, of those that may be in ``keep`` and are not in ``without``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = batch.column(0).to_numpy(zero_copy_only=False)
@@ -131,12 +140,64 @@ def _keys_of(keep: bloom.Filter | None):
                     for s in range(CHUNK_SLOTS):
                         k = c * CHUNK_SLOTS + s
                         key = mix(sums[:, c] - placed[:, k] + np.uint64(0x632BE59BD9B4E019 * (k + 1) % (1 << 64))).view(np.int64)
-                        hit = keep.hits(key) if keep else slice(None)
-                        yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(own[hit])], names=["key", "node"])
+                        hit = keep.hits(key) if keep else np.ones(len(key), bool)
+                        if without:
+                            hit &= ~without.hits(key)
+                        at = np.flatnonzero(hit)
+                        if len(at):
+                            columns = [pa.array(key[at]), pa.array(own[at]), *([_fixed_binary(signature[at])] if signed else [])]
+                            yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "signature"][: len(columns)])
 
     return run
 
 
+class Forest:
+    """Union-find over nodes as they come: tells whether a link joins two trees."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        top = parent.setdefault(x, x)
+        while parent[top] != top:
+            top = parent[top]
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    def joins(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.parent[a] = b
+        return a != b
+
+
+def _alike_in_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, signature) sorted by key: a spanning forest of the alike pairs of this task's keys."""
+    forest = Forest()
+    left: tuple | None = None
+    for batch in batches:
+        for low in range(0, len(batch), 32_768):
+            part = batch.slice(low, 32_768)
+            keys, nodes = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            signature = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(keys), SLOTS)
+            if left is not None:
+                keys, nodes, signature = (np.concatenate(x) for x in zip(left, (keys, nodes, signature), strict=True))
+            a, b = [], []
+            for step in range(1, COMPARED):
+                at = np.flatnonzero(keys[step:] == keys[:-step])
+                if not len(at):
+                    break
+                at = at[(signature[at] != signature[at + step]).sum(axis=1) <= MOST_WRONG]
+                a.append(nodes[at])
+                b.append(nodes[at + step])
+            links = [(x, y) for x, y in zip(np.concatenate(a or [nodes[:0]]).tolist(), np.concatenate(b or [nodes[:0]]).tolist(), strict=True) if forest.joins(x, y)]
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+            last = np.flatnonzero(keys == keys[-1])  # this key may go on
+            left = keys[last], nodes[last], signature[last]
+
+
 def _sets_of(size: int, wanted: bloom.Filter):
     """Full sets of the documents that may be wanted."""
 
@@ -258,32 +319,64 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     signature_of = classes.select("node", "signature")
     shared = written(
-        signature_of.mapInArrow(_keys_of(None), "key bigint, node bigint").groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).where("hub < _last").drop("_last"),
+        signature_of.mapInArrow(_keys_of(None), "key bigint, node bigint")
+        .groupBy("key")
+        .agg(F.min("node").alias("hub"), F.max("node").alias("_last"), F.count(F.lit(1)).alias("_n"))
+        .where("hub < _last")
+        .select("key", "hub", (F.col("_n") > COMPARED).alias("many")),
         "near-keys",
     )
-    keep = bloom.build(shared.select("key"), shared.count())
-    stars = signature_of.mapInArrow(_keys_of(keep), "key bigint, node bigint").join(shared, "key").where("node != hub").select("node", "hub")
-    clusters = components(stars)
+    n = {r["many"]: r["n"] for r in shared.groupBy("many").agg(F.count(F.lit(1)).alias("n")).collect()}
+    hot = bloom.build(shared.where("many").select("key"), n.get(True, 0))
+    warm = bloom.build(shared.where("NOT many").select("key"), n.get(False, 0))
+    # A key goes one way or the other: no key of many nodes can miss ``hot``; what passes by chance is settled by the join or finds no partner.
+    alike = signature_of.mapInArrow(_keys_of(warm, hot, signed=True), "key bigint, node bigint, signature binary").repartition("key").sortWithinPartitions("key")
+    few = alike.mapInArrow(_alike_in_keys, "a bigint, b bigint")
+    many = signature_of.mapInArrow(_keys_of(hot), "key bigint, node bigint").join(shared.drop("many"), "key").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    clusters = components(few.unionByName(many))
 
-    # Where links can be: superclusters, cut into blocks of bounded size.
     members = written(clusters.join(classes.drop("signature"), "node").withColumnRenamed("component", "cluster"), "near-members")
-    sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / F.lit(BLOCK_ELEMENTS)).cast("int").alias("blocks"))
-    placed = (
-        members.join(sizes, "cluster")
-        .withColumn("_own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cluster", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "first_doc", "node", "node2")
-    )
-    wanted = bloom.build(members.select(F.coalesce("first_doc", F.lit(0))), members.count())
-    # Rows that repeat an id and text give the same set twice.
-    sets = rows.mapInArrow(_sets_of(shingle_words, wanted), "doc_id bigint, node bigint, node2 bigint, elements binary").withColumnRenamed("doc_id", "first_doc")
-    same = [placed[c].eqNullSafe(sets[c]) for c in ("first_doc", "node", "node2")]
-    grouped = placed.join(sets, [placed["node"] == sets["node"], *same]).select("cluster", "i", "j", placed["node"], "elements")
-    links = (
-        grouped.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_confirm(percent), "a bigint, b bigint")
+    h = F.xxhash64("node")
+    sizes = written(
+        members.groupBy("cluster").agg(
+            F.ceil(F.sum("n_shingles") / F.lit(BLOCK_ELEMENTS)).cast("int").alias("blocks"),
+            F.array_distinct(F.array(F.min("node"), F.max("node"), F.min_by("node", h), F.max_by("node", h))).alias("hubs"),
+        ),
+        "near-sizes",
     )
+
+    def links_in(placed: DataFrame, of: DataFrame) -> DataFrame:
+        """Links confirmed in the groups (cluster, i, j) of ``placed``; the nodes are among ``of``."""
+        wanted = bloom.build(of.select(F.coalesce("first_doc", F.lit(0))), of.count())
+        # Rows that repeat an id and text give the same set twice, which does no harm.
+        sets = rows.mapInArrow(_sets_of(shingle_words, wanted), "doc_id bigint, node bigint, node2 bigint, elements binary").withColumnRenamed("doc_id", "first_doc")
+        same = [placed[c].eqNullSafe(sets[c]) for c in ("first_doc", "node2")]
+        grouped = placed.join(sets, [placed["node"] == sets["node"], *same]).select("cluster", "i", "j", placed["node"], "elements")
+        found = grouped.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_confirm(percent), "a bigint, b bigint")
+        return written(found, "near-links")
+
+    # Each block by itself, with its supercluster's hubs.
+    own_block = F.pmod(h, F.col("blocks")).cast("int")
+    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
+    own = members.join(sizes, "cluster")
+    first = own.withColumn("i", F.explode(F.when((F.col("blocks") > 1) & F.array_contains("hubs", F.col("node")), everywhere).otherwise(F.array(own_block)))).withColumn("j", F.lit(0))
+    links = links_in(first, members)
     linked = components(links)
 
+    # Of a supercluster of several blocks, what its largest part so far does not have is held against all of it.
+    large = own.where("blocks > 1").drop("hubs")
+    labelled = written(large.join(linked, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"), "near-parts")
+    counts = labelled.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("_n"))
+    main = counts.groupBy("cluster").agg(F.max_by("part", F.struct("_n", "part")).alias("main"))
+    rest = written(labelled.join(main, "cluster").where("part != main").drop("main", "part"), "near-rest")
+    if rest.limit(1).count():
+        pieces = rest.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / F.lit(BLOCK_ELEMENTS)).cast("int").alias("pieces"))
+        cut = rest.join(pieces, "cluster").withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), F.col("pieces")).cast("int")).withColumn("i", F.explode(everywhere))
+        whole = labelled.join(pieces, "cluster").withColumn("i", own_block).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        columns = ["cluster", "i", "j", "first_doc", "node", "node2"]
+        second = written(cut.select(*columns).unionByName(whole.select(*columns)).distinct(), "near-second")
+        linked = components(links.unionByName(links_in(second, labelled.join(pieces.select("cluster"), "cluster", "left_semi"))))
+
     named = linked.join(classes.select(F.col("node"), "first_doc"), "node")
     least = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     of_node = written(named.join(least, "component").select("node", "component_id"), "near-named")
@@ -298,3 +391,18 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle_words=2)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, a, coalesce(b, ' ') AS b FROM (
+  SELECT doc_id, unnest(list_slice(ws, 1, greatest(len(ws) - 1, 1))) AS a, unnest(CASE WHEN len(ws) > 1 THEN list_slice(ws, 2, len(ws)) ELSE [NULL] END) AS b FROM t WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.a = b.a AND a.b = b.b AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+l AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM n UNION SELECT r.node, l.y FROM r JOIN l ON l.x = r.seen),
+g AS (SELECT node, min(seen) AS c FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(g.c, d.doc_id) AS component_id, coalesce(g.c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN g ON g.node = d.doc_id
+"""

@@ -84,6 +84,7 @@ def test_near_copies_around_the_threshold(spark):
 
 def test_blocks_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK_ELEMENTS", 300)
+    monkeypatch.setattr(near_dedup, "COMPARED", 3)  # so that keys go both ways
     base = [f"w{k}" for k in range(100)]
     texts = [" ".join([*base[: 100 - k], *[f"y{k}-{j}" for j in range(k)]]) for k in range(0, 40)]
     sets = {i: shingled(t, 2) for i, t in enumerate(texts)}
