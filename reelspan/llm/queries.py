@@ -20,6 +20,8 @@ QUERIES = {
 ORACLES = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op3_source_mix": source_mix.OP3_SQL,
+    "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op8_minhash_near_dedup": near_dedup.OP8_SQL,
     "op9_chat_format": tool_calls.OP9_SQL,
 }

@@ -198,3 +198,14 @@ def remove_repeats(docs: DataFrame, span_words: int = SPAN_WORDS, edge_words: in
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM t),
+s AS (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i + 1, i + 50), ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(len(ws) - 49)) AS i FROM t WHERE len(ws) >= 50)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS src FROM s) WHERE src < doc_id),
+m AS (SELECT w.doc_id, w.i, w.word, max(f.i) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM w LEFT JOIN f ON f.doc_id = w.doc_id AND f.i = w.i),
+k AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS r, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(k.n, 0) AS n_words, coalesce(k.r, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
