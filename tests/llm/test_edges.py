@@ -1,6 +1,7 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import random
 
 import public_tokenizers
 import pytest
@@ -121,12 +122,13 @@ def test_calls(spark):
         ("c", "e1", "f", "{", None), ("c", "e2", "g", "{}", ["gone"]), ("c", "e3", "f", '{"n": "1", "t": null}', []), ("c", "e4", "f", '{"n": 10}', []), ("c", "e5", "f", None, []), ("c", "e6", "f", "[1]", []), ("c", "e7", "f", "{}", []),
         ("d", "a", "f", '{"n": 0}', []), (None, "a", "f", "{}", []), ("d", None, "f", "{}", []),
     ]
-    calls = spark.createDataFrame(rows, "conv_id string, call_id string, name string, arguments string, depends_on array<string>")
+    rows = [(c, i, k, *rest) for k, (c, i, *rest) in enumerate(rows)]
+    calls = spark.createDataFrame(rows, "conv_id string, call_id string, position int, name string, arguments string, depends_on array<string>")
     results = spark.createDataFrame([("c", "a", 'say "é"\n'), ("c", "a", "zz"), ("d", "q", None), ("d", "a", None)], "conv_id string, call_id string, content string")
     got = {(r.conv_id, r.call_id): r for r in tool_calls.link_calls(calls, results, rules).collect()}
     assert len(got) == 14
     assert got[("c", "a")].json == '{"arguments":{"n":3,"s":"x"},"id":"a","name":"f","result":"say \\"é\\"\\n","status":"answered"}'
-    assert (got[("c", "a")].level, got[("c", "b")].level, got[("c", "b")].status) == (1, 0, "unanswered")
+    assert [tuple(got[("c", k)])[2:6] for k in "ab"] == [(0, 1, "b", 1), (1, 1, "b", 0)] and got[("c", "b")].status == "unanswered"
     assert {got[("c", k)].status for k in "xyz"} == {"cyclic"} and got[("d", "q")].status == "orphan" and got[("d", "a")].status == "answered"
     errors = {k: got[("c", k)].errors for k in ("e1", "e2", "e3", "e4", "e5", "e6", "e7")}
     assert errors == {"e1": "json", "e2": "tool", "e3": "type:n,unknown:t", "e4": "range:n", "e5": "json", "e6": "json", "e7": "missing:n"}
@@ -137,3 +139,21 @@ def test_evidence(spark, odd, labels):
     rows = toxicity.toxicity(odd, labels).collect()
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
     assert toxicity.toxicity(odd, labels.where("false")).agg(F.max("score")).first()[0] <= 0.5
+
+
+def test_order_of_drawn_calls(spark):
+    draw = random.Random(8)
+    rows, edges = [], {}
+    for c in range(25):
+        order = list(range(draw.randint(1, 14)))
+        draw.shuffle(order)  # the order that dependencies agree with
+        for k, i in enumerate(order):
+            deps = draw.sample(order[:k], min(k, draw.randint(0, 2)))
+            edges[c, i] = deps
+            rows.append((c, f"{i:03d}", i, [f"{d:03d}" for d in deps]))
+    found = tool_calls.ordered(spark.createDataFrame(rows, "conv_id int, call_id string, position int, depends_on array<string>")).collect()
+    assert len(found) == len(rows)
+    for c in range(25):
+        own = sorted((r.after_position, r.after_call, r.wave, int(r.call_id)) for r in found if r.conv_id == c)
+        place = {x[-1]: n for n, x in enumerate(own)}
+        assert all(place[d] < place[i] for (k, i), deps in edges.items() if k == c for d in deps)
