@@ -138,7 +138,8 @@ def sequence(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **opti
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixed(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("source")
     found = found.withColumn("position", F.try_element_at("positions", F.lit(1))).drop("positions")
-    return found.repartitionByRange("position").sortWithinPartitions("position")
+    # Documents that the mix leaves out have no position; the id spreads them over partitions.
+    return found.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 OP3_SQL = r"""
