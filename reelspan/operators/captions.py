@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reelspan.functions.media import ass_color, ass_time, falsy, font_name, pixels
 from reelspan.functions.text import display_word, ends_sentence
+from reelspan.operators.ranges import points_in
 
 GAP_MS, LINE_WORDS, LINGER_MS = 300, 5, 200
 AHEAD_MS, HOLD_MS = 500, 500
@@ -59,16 +60,17 @@ def karaoke_lines(words: DataFrame, times: DataFrame, order: list[str], key: str
         key, (F.row_number().over(own) - 1).alias("seq"), F.sum("_start").over(own.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint").alias("sentence"), F.col("start_ms").alias("_from"), F.col("end_ms").alias("_to")
     )
     t = times.dropDuplicates([key, "t_ms"]).select(key, "t_ms")
-    sung = t.join(w, key).where((F.col("_from") <= F.col("t_ms")) & (F.col("t_ms") < F.col("_to"))).groupBy(key, "t_ms").agg(F.min_by("sentence", "seq").alias("_sung"))
+    sung = points_in(t, w, key, F.col("t_ms"), F.col("_from"), F.col("_to")).groupBy(key, "t_ms").agg(F.min_by("sentence", "seq").alias("_sung"))
     # The first word in list order that starts after t: of words that start later than all before them, the earliest such.
     record = w.withColumn("_before", F.max("_from").over(Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))).where(F.col("_before").isNull() | (F.col("_from") > F.col("_before")))
-    ahead = t.join(record, key).where((F.col("_from") > F.col("t_ms")) & (F.coalesce("_before", F.col("t_ms")) <= F.col("t_ms")) & (F.col("_from") - F.col("t_ms") < AHEAD_MS)).select(key, "t_ms", F.col("sentence").alias("_ahead"))
+    soonest = F.greatest("_before", F.col("_from") - AHEAD_MS + 1)
+    ahead = points_in(t, record, key, F.col("t_ms"), soonest, F.col("_from")).select(key, "t_ms", F.col("sentence").alias("_ahead"))
     return times.join(sung, [key, "t_ms"], "left").join(ahead, [key, "t_ms"], "left").withColumn("sentence", F.coalesce("_sung", "_ahead")).drop("_sung", "_ahead")
 
 
 def visible_words(words: DataFrame, times: DataFrame, key: str = "clip_id") -> DataFrame:
     """Words on screen at each time without karaoke: from their start until 500 ms after their end (that excluded)."""
-    return times.join(words, key).where((F.col("start_ms") <= F.col("t_ms")) & (F.col("t_ms") < F.col("end_ms") + HOLD_MS))
+    return points_in(times, words, key, F.col("t_ms"), F.col("start_ms"), F.col("end_ms") + HOLD_MS)
 
 
 def first_style(styles: DataFrame, key: str = "clip_id", by: str = "id") -> DataFrame:

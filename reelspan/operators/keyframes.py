@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelspan.operators.ranges import points_in
+
 DEFAULTS = {"x": 0.0, "y": 0.0, "w": 1.0, "h": 1.0}
 FIRST = -(1 << 62)
 LAST = 1 << 62
@@ -22,10 +24,17 @@ def validity(keyframes: DataFrame) -> DataFrame:
 
 def position_at(probes: DataFrame, keyframes: DataFrame) -> DataFrame:
     """``probes`` (box_id, q_ms and others) with x, y, w, h at that time; a box without keyframes fills the frame."""
-    v = validity(keyframes).select("box_id", "lo", "hi", *DEFAULTS)
-    # A lone first keyframe ties with its successor only if both have one time; then lo < hi still holds for it alone.
-    hit = (probes["box_id"] == v["box_id"]) & (probes["q_ms"] >= v["lo"]) & (probes["q_ms"] < v["hi"])
-    return probes.join(v, hit, "left").select(*[probes[c] for c in probes.columns], *[F.coalesce(v[c], F.lit(d)).alias(c) for c, d in DEFAULTS.items()])
+    # One sort of both by time: a probe takes the last keyframe at or before it, so a busy box costs no more than its rows.
+    kind = "struct<" + ", ".join(f"{c}: double" for c in DEFAULTS) + ">"
+    own = [F.col(c) for c in probes.columns]
+    asked = probes.select("box_id", F.col("q_ms").alias("_t"), F.lit(1).alias("_asked"), F.lit(0).cast("bigint").alias("_seq"), F.lit(None).cast(kind).alias("_kf"), F.struct(*own).alias("_row"))
+    empty = F.lit(None).cast(asked.schema["_row"].dataType)
+    frames = keyframes.select("box_id", F.col("t_ms").alias("_t"), F.lit(0).alias("_asked"), F.col("kf_seq").cast("bigint").alias("_seq"), F.struct(*DEFAULTS).cast(kind).alias("_kf"), empty.alias("_row"))
+    order = Window.partitionBy("box_id").orderBy("_t", "_asked", "_seq")
+    last = F.last("_kf", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    first = F.first("_kf", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    found = asked.unionByName(frames).withColumn("_at", last).withColumn("_first", first).where("_asked = 1").withColumn("_at", F.coalesce("_at", "_first"))
+    return found.select(*[F.col(f"_row.{c}").alias(c) for c in probes.columns], *[F.coalesce(F.col(f"_at.{c}"), F.lit(d)).alias(c) for c, d in DEFAULTS.items()])
 
 
 def crop_pixels(width: int, height: int) -> dict:
@@ -53,7 +62,7 @@ def crop_track(slots: DataFrame, keyframes: DataFrame, width: int, height: int)
 def active_at(times: DataFrame, overlays: DataFrame, key: str = "clip_id") -> DataFrame:
     """Overlays on screen at each time, both ends included."""
     o = overlays.withColumnsRenamed({"start_ms": "from_ms", "end_ms": "to_ms"})
-    return times.join(o, key).where(F.col("t_ms").between(F.col("from_ms"), F.col("to_ms")))
+    return points_in(times, o, key, F.col("t_ms"), F.col("from_ms"), F.col("to_ms") + 1, width_ms=3_600_000)
 
 
 def time_grid(clips: DataFrame, step_ms: int, key: str = "clip_id") -> DataFrame:
