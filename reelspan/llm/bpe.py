@@ -23,8 +23,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Distinct pre-tokens in a generation of what a Python worker remembers (two generations are kept, about 250 MB).
-REMEMBERED = 600_000
+from reelspan.llm.scratch import bounded_batches
+
+#: Distinct pre-tokens in a generation of what a Python worker remembers (two generations are kept, about 190 MB).
+REMEMBERED = 450_000
 #: Bytes of text whose ids are returned at once.
 EMIT_BYTES = 1 << 22
 
@@ -177,6 +179,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     text has no ids.  Order, repeated rows and other columns do not matter; an
     empty table gives no rows.  No shuffle.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

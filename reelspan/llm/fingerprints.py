@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelspan.llm.scratch import bounded_batches
+
 P = np.uint64((1 << 31) - 1)
 BASES = (np.uint64(1_000_003_999 % int(P)), np.uint64(1_234_567_891 % int(P)))
 INVERSES = tuple(np.uint64(pow(int(b), -1, int(P))) for b in BASES)
@@ -255,6 +257,7 @@ def fingerprint_pairs(docs: DataFrame, text: str = "text", id_col: str = "doc_id
     columns are not read; an empty table gives no rows.  Memory: about 100 bytes for
     each character of the longest pair.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     return in_pairs(rows).mapInArrow(_streamed, SHAPE)
 

@@ -23,14 +23,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspan.llm.bloom import mix
+from reelspan.llm.scratch import bounded_batches
 
 DIMENSIONS = 1 << 14
 ORDERS = 3
 FIT_ROWS = 4000
 #: Characters handled at once, unless one text is longer.
-CHUNK_CHARS = 1 << 19
-TEXTS_AT_ONCE = 96
+CHUNK_CHARS = 1 << 18
+TEXTS_AT_ONCE = 48
 
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
@@ -165,6 +165,7 @@ def train(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     No rows give a model without labels (every text is ``und``), one label gives
     that label with score 1.
     """
+    bounded_batches(rows.sparkSession)
     seen = {r["bucket"]: r["n"] for r in rows.select("text").mapInArrow(_frequencies, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
     total = seen.pop(-1, 0)
     df = np.zeros(DIMENSIONS)
@@ -194,6 +195,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str,
     names in ``docs`` are replaced.
     """
     docs = docs.drop(*names)
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     shape = shape_of(docs) + f", `{names[0]}` string, `{names[1]}` double"
     at = docs.columns.index(text)
@@ -225,8 +227,11 @@ def shape_of(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def keep_known(docs: DataFrame, least: float = 0.5, text: str = "text", lang: str = "lang", id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of ``docs`` whose text has a language: not ``und``, and one label is likelier than ``least``."""
+def keep_known(docs: DataFrame, least: float = 0.25, text: str = "text", lang: str = "lang", id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of ``docs`` whose text has a language: not ``und``, and the best label has at least ``least``.
+
+    Short and mixed texts of a language score low and are kept; what goes has no letter, or fits no label.
+    """
     learnable = docs.where(F.col(lang).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     found = predict(docs, train(learnable, fit_rows), text, ("_lang_pred", "_lang_score"))
     return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])

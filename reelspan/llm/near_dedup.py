@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from reelspan.llm import bloom
 from reelspan.llm.bloom import mix
 from reelspan.llm.components import components
-from reelspan.llm.scratch import written
+from reelspan.llm.scratch import bounded_batches, written
 from reelspan.llm.spans import LOWER, Words, text_chunks
 
 CHUNKS, CHUNK_SLOTS = 14, 8
@@ -40,8 +40,8 @@ SLOTS = CHUNKS * CHUNK_SLOTS
 MOST_WRONG = 50
 #: Nodes of one key that are compared with each other; of a key that more share, each is linked with the first.
 COMPARED = 64
-#: Set elements in a block: 16 MB of hashes.
-BLOCK_ELEMENTS = 2_000_000
+#: Set elements in a block: 8 MB of hashes.
+BLOCK_ELEMENTS = 1_000_000
 
 _rng = np.random.default_rng(20)
 _FACTORS = _rng.integers(1, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -310,6 +310,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     Other columns are not read; an empty table gives no rows.  Memory: about 40
     bytes for each byte of the longest text.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("_text"))
     signed = written(rows.mapInArrow(_signed(shingle_words), "doc_id bigint, n_shingles bigint, node bigint, node2 bigint, signature binary"), "near-signed")
     classes = written(

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from reelspan.llm import bloom
 from reelspan.llm.bloom import mix
-from reelspan.llm.scratch import written
+from reelspan.llm.scratch import bounded_batches, written
 from reelspan.llm.spans import Words, prefix_sums, span_hashes, text_chunks
 
 SPAN_WORDS = 50
@@ -156,6 +156,7 @@ def remove_repeats(docs: DataFrame, span_words: int = SPAN_WORDS, edge_words: in
     text of such a row stays whole.  Other columns are not read; an empty table
     gives no rows.  Memory: about 60 bytes for each byte of the longest text.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     stats = written(
         rows.mapInArrow(_scan(span_words, edge_words), "edge bigint, context bigint, doc_id bigint")
