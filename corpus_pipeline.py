@@ -15,7 +15,7 @@ from reelspan.llm.scratch import written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in no language that is likelier than not, go."""
+    """Documents without a letter, or that fit no language, go."""
     return language_id.keep_known(docs)
 
 
