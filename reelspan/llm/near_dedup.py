@@ -130,8 +130,8 @@ def _keys_of(keep: bloom.Filter | None, without: bloom.Filter | None = None, sig
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = batch.column(0).to_numpy(zero_copy_only=False)
-            for low in range(0, len(nodes), 8192):
-                own = nodes[low : low + 8192]
+            for low in range(0, len(nodes), 4096):
+                own = nodes[low : low + 4096]
                 raw = batch.column(1).slice(low, len(own)).to_pylist()
                 signature = np.frombuffer(b"".join(raw), np.uint8).reshape(len(own), SLOTS)
                 placed = np.stack([_PLACE[k][signature[:, k]] for k in range(SLOTS)], axis=1)
@@ -177,8 +177,8 @@ def _alike_in_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     forest = Forest()
     left: tuple | None = None
     for batch in batches:
-        for low in range(0, len(batch), 32_768):
-            part = batch.slice(low, 32_768)
+        for low in range(0, len(batch), 16_384):
+            part = batch.slice(low, 16_384)
             keys, nodes = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             signature = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(keys), SLOTS)
             if left is not None:

@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Bytes of rows that Python workers are given at once; Spark's own default, 64 MB, is three times that with copies.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from reelspan.llm.bloom import mix
 
 #: Bytes of text handled at once, unless one text is longer.
-CHUNK_BYTES = (1 << 20) - 1
+CHUNK_BYTES = (1 << 19) - 1
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
