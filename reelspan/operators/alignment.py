@@ -82,7 +82,8 @@ def with_matches(spoken: DataFrame) -> DataFrame:
 
 def matches(phrases: DataFrame, anchors: DataFrame) -> DataFrame:
     """``clip_id, chunk_idx, phrase_idx, i, j``: the anchor that each matched word takes."""
-    rows = with_matches(phrase_anchors(phrases, anchors)).select(*PHRASE, F.posexplode("taken").alias("i", "j"))
+    # The outer form: else the optimizer asks for the size of ``taken`` first and folds twice.
+    rows = with_matches(phrase_anchors(phrases, anchors)).select(*PHRASE, F.posexplode_outer("taken").alias("i", "j"))
     return rows.where(F.col("j").isNotNull())
 
 
