@@ -1,15 +1,18 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
 A text's terms are its words in lower case (split at every ASCII character but
-letters).  The terms of the index are those whose log-likelihood ratio says that they stand
-in toxic examples more often than chance; their document frequencies are counted
-over all documents.
-
-Examples with the same vector are one posting with its counts of either label.
-Postings are sorted so that alike ones share a block, and each term knows its
-largest weight in each block.  A query reads blocks in falling order of their
-bound and stops when no bound can reach its k-th neighbour: the neighbours are
-those of a full scan, ties by place in the index.  Votes are weighted by
+letters), and all of them count.  The index holds every term of the examples;
+document frequencies are counted over all documents.  A term that stands in toxic
+examples more often than chance weighs more, by its log-likelihood ratio; none is left
+out.  A term of a text that no
+example has cannot add to a cosine but to the text's length: there it counts as
+one that a single document has.
+
+Examples with the same vector are one place with its counts of either label.
+Places are sorted so that alike ones share a block.  A term's postings lie block
+by block, each with its largest weight.  A query reads the blocks of the highest
+bounds, then every other block whose bound reaches its k-th neighbour: the
+neighbours are those of a full scan, ties by place in the index.  Votes are weighted by
 distance; a logistic curve fitted on the examples, each scored without itself,
 turns them into probabilities.
 
@@ -20,6 +23,7 @@ broadcast.  Counting and scoring run over all documents and shuffle no text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +36,14 @@ from reelspan.llm.scratch import bounded_batches, written
 from reelspan.llm.spans import LOWER, Words, text_chunks
 
 FIT_ROWS = 8000
-MAX_TERMS = 1024
-#: A term's ratio must pass this plus twice the log of the number of terms tried.
-LEAST_RATIO = 8.0
-LEAST_ROWS = 3
 NEIGHBOURS = 16
 #: Votes fall with this power of the distance; of examples with one vector each counts less, by this power of their number.
 POWER, SPREAD = 2.0, 0.5
 BLOCK = 64
+#: Blocks that a query reads before it leaves any out.
+FIRST_BLOCKS = 8
+#: Terms whose counts travel in one row.
+SLICE = 1 << 14
 THRESHOLD = 0.7
 
 #: Bytes that are no part of a word here: ASCII but for letters.
@@ -54,30 +58,24 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.repeat(np.arange(len(offsets) - 1), np.diff(words.first)), words.hash
 
 
-def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each task: in how many texts, and toxic texts, a term stands."""
-    found, toxic = [], []
-    rows = positive = 0
+def term_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term hash, count) of each term of each text, in order."""
+    text, term = terms(data, offsets)
+    found, of = np.unique(term, return_inverse=True)
+    size = max(len(found), 1)
+    pair, n = np.unique(text * size + of, return_counts=True)
+    return pair // size, found[pair % size], n
+
+
+def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each example all term hashes, in order, and then their counts."""
     for batch in batches:
-        labels = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        for at, data, offsets in text_chunks(batch.column(1)):
-            text, term = terms(data, offsets)
-            order = np.lexsort((term, text))
-            text, term = text[order], term[order]
-            new = np.ones(len(term), bool)
-            new[1:] = (term[1:] != term[:-1]) | (text[1:] != text[:-1])
-            found.append(term[new])
-            toxic.append(labels[at][text[new]])
-        rows += len(labels)
-        positive += int(labels.sum())
-    if not rows:
-        return
-    term, of = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_inverse=True)
-    n = np.bincount(of, minlength=len(term))
-    bad = np.bincount(of, weights=np.concatenate(toxic) if toxic else None, minlength=len(term)).astype(np.int64)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([*term.view(np.int64), None], pa.int64()), pa.array([*n, rows], pa.int64()), pa.array([*bad, positive], pa.int64())], names=["term", "n", "toxic"]
-    )
+        for at, data, offsets in text_chunks(batch.column(2)):
+            text, term, n = term_counts(data, offsets)
+            cuts = np.searchsorted(text, np.arange(len(offsets)))
+            own = [batch.column(k).slice(at.start, at.stop - at.start) for k in (0, 1)]
+            vectors = [term[i:j].astype("<u8").tobytes() + n[i:j].astype("<u8").tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(vectors, pa.binary())], names=["doc_id", "toxic", "vector"])
 
 
 class Vocabulary:
@@ -85,69 +83,140 @@ class Vocabulary:
 
     def __init__(self, hashes: np.ndarray):
         self.hashes = np.sort(hashes)
-        self.door = np.zeros(1 << 16, bool)
-        self.door[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
+        self.door = np.zeros(1 << 22, bool)
+        self.door[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
+
+    def numbers(self, term: np.ndarray) -> np.ndarray:
+        """The number of each term, -1 for one that is not known."""
+        out = np.full(len(term), -1)
+        maybe = np.flatnonzero(self.door[(term >> np.uint64(42)).astype(np.int64)])
+        at = np.searchsorted(self.hashes, term[maybe])
+        known = at < len(self.hashes)
+        known[known] = self.hashes[at[known]] == term[maybe[known]]
+        out[maybe[known]] = at[known]
+        return out
 
     def vectors(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, term number, count) of each known term of each text, in order."""
-        text, term = terms(data, offsets)
-        maybe = self.door[(term >> np.uint64(48)).astype(np.int64)]
-        text, term = text[maybe], term[maybe]
-        at = np.searchsorted(self.hashes, term)
-        known = at < len(self.hashes)
-        known[known] = self.hashes[at[known]] == term[known]
-        size = max(len(self.hashes), 1)
-        pair, n = np.unique(text[known] * size + at[known], return_counts=True)
-        return pair // size, pair % size, n
+        """(text, term number, count) of each term of each text; those that are not known are -1."""
+        text, term, n = term_counts(data, offsets)
+        return text, self.numbers(term), n
+
 
+def _document_counts(vocabulary: Vocabulary):
+    """In how many texts of this task each known term stands, in slices; slice -1 has the number of texts."""
 
-def _term_counts(vocabulary: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, rows = np.zeros(len(vocabulary.hashes), np.int64), 0
         for batch in batches:
             for _, data, offsets in text_chunks(batch.column(0)):
-                found += np.bincount(vocabulary.vectors(data, offsets)[1], minlength=len(found))
+                number = vocabulary.vectors(data, offsets)[1]
+                found += np.bincount(number[number >= 0], minlength=len(found))
             rows += len(batch)
-        yield pa.RecordBatch.from_arrays([pa.array([*range(len(found)), -1], pa.int32()), pa.array([*found, rows], pa.int64())], names=["term", "n"])
+        if not rows:
+            return
+        parts = [np.array([rows], "<i8"), *(found[k : k + SLICE].astype("<i8") for k in range(0, len(found), SLICE))]
+        yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(parts) - 1), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["slice", "n"])
 
     return run
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of the rows of each slice."""
+    found: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found[k] = np.frombuffer(n, "<i8") + found.get(k, 0)
+    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], names=["slice", "n"])
+
+
+def runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each run, one run after the other."""
+    ends = np.cumsum(length)
+    return np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Index:
-    """Labelled example vectors in blocks, with the largest weight of each term in each block."""
+    """Labelled example vectors as postings of every term, in blocks with the largest weight of each term in each block."""
 
     def __init__(self, vectors: np.ndarray, n: np.ndarray, toxic: np.ndarray, doc_ids: list):
-        order = np.lexsort(np.concatenate((np.arange(len(vectors))[None], vectors.T[::-1])) if len(vectors) else np.empty((1, 0)))
-        self.x, self.n, self.toxic = vectors[order].astype(np.float64), n[order], toxic[order]
-        self.doc_ids = [doc_ids[k] for k in order]
-        starts = np.arange(0, len(vectors), BLOCK)
-        self.bound = np.maximum.reduceat(self.x, starts, axis=0) if len(vectors) else np.zeros((0, vectors.shape[1]))
+        self.fill(*np.nonzero(vectors), vectors[np.nonzero(vectors)].astype(np.float64), vectors.shape[1], n, toxic, doc_ids)
+
+    @classmethod
+    def sparse(cls, row: np.ndarray, term: np.ndarray, weight: np.ndarray, size: int, n: np.ndarray, toxic: np.ndarray, doc_ids: list) -> Index:
+        """The same from (example, term, weight) triples of ``size`` terms."""
+        out = cls.__new__(cls)
+        out.fill(row, term, weight, size, n, toxic, doc_ids)
+        return out
+
+    def fill(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, size: int, n: np.ndarray, toxic: np.ndarray, doc_ids: list) -> None:
+        # Alike examples have the same of the commonest terms.
+        common = np.argsort(-np.bincount(term, minlength=size), kind="stable")[:BLOCK]
+        rank = np.full(size, -1)
+        rank[common] = np.arange(len(common))
+        has = np.zeros((len(common), len(n)), bool)
+        has[rank[term[rank[term] >= 0]], row[rank[term] >= 0]] = True
+        order = np.lexsort(np.concatenate((np.arange(len(n))[None], has[::-1])))
+        self.n, self.toxic, self.doc_ids, self.size = n[order], toxic[order], [doc_ids[k] for k in order], size
+        place = np.empty(len(n), np.int64)
+        place[order] = np.arange(len(n))
+        by_term = np.lexsort((place[row], term))
+        self.place, self.weight = place[row][by_term].astype(np.int32), weight[by_term]
+        # A pair is a term and a block that has it: ``at`` is its first posting, ``first`` the first pair of each term.
+        own, block = term[by_term], self.place // BLOCK
+        new = np.ones(len(own), bool)
+        new[1:] = (own[1:] != own[:-1]) | (block[1:] != block[:-1])
+        start = np.flatnonzero(new)
+        self.block, self.most = block[start], np.maximum.reduceat(self.weight, start) if len(start) else np.empty(0)
+        self.at = np.append(start, len(own)).astype(np.int32)
+        self.first = np.searchsorted(own[start], np.arange(size + 1)).astype(np.int32)
+        self.blocks = -(-len(n) // BLOCK)
+
+    @property
+    def x(self) -> np.ndarray:
+        """The vectors in the order of their places."""
+        out = np.zeros((len(self.n), self.size))
+        out[self.place, np.repeat(np.arange(self.size), np.diff(self.at[self.first]))] = self.weight
+        return out
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples with a cosine above zero, the best first."""
-        bound = self.bound[:, term] @ weight
+        width = self.first[term + 1] - self.first[term]
+        pair, own = runs(self.first[term].astype(np.int64), width), np.repeat(weight, width)
+        block = self.block[pair]
+        bound = np.bincount(block, weights=self.most[pair] * own, minlength=self.blocks)
+        order = np.argsort(-bound, kind="stable")
         places, cosines, worst = np.empty(0, np.int64), np.empty(0), 0.0
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or (len(places) == k and bound[block] < worst - 1e-9):
-                break
-            at = np.arange(block * BLOCK, min((block + 1) * BLOCK, len(self.x)))
-            cosine = self.x[at[0] : at[-1] + 1][:, term] @ weight
-            take = (cosine > 0) & (at != without)
-            places, cosines = np.concatenate((places, at[take])), np.round(np.concatenate((cosines, cosine[take])), 9)
-            order = np.lexsort((places, -cosines))[:k]
-            places, cosines = places[order], cosines[order]
+        for blocks in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
+            read = np.zeros(self.blocks, bool)
+            read[blocks] = (bound[blocks] > 0) & ((len(places) < k) | (bound[blocks] >= worst - 1e-9))
+            if not read.any():
+                continue
+            some = read[block]
+            length = self.at[pair[some] + 1] - self.at[pair[some]]
+            posting = runs(self.at[pair[some]].astype(np.int64), length)
+            cosine = np.bincount(self.place[posting], weights=self.weight[posting] * np.repeat(own[some], length), minlength=len(self.n))
+            if without >= 0:
+                cosine[without] = 0
+            take = np.flatnonzero(cosine > 0)
+            places, cosines = np.concatenate((places, take)), np.round(np.concatenate((cosines, cosine[take])), 9)
+            if len(cosines) > k:
+                best = cosines >= np.partition(cosines, -k)[-k]
+                places, cosines = places[best], cosines[best]
+            best = np.lexsort((places, -cosines))[:k]
+            places, cosines = places[best], cosines[best]
             worst = cosines[-1] if len(cosines) else 0.0
         return places, cosines
 
 
 class Model:
-    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, index: Index, base: float, none: float):
-        self.vocabulary, self.idf, self.index = vocabulary, idf, index
-        self.base, self.none = base, none  # shares of toxic examples: all, and those without a known term
+    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, index: Index, rare: float, base: float, none: float):
+        self.vocabulary, self.idf, self.index, self.rare = vocabulary, idf, index, rare  # rare: for terms that are not known
+        self.base, self.none = base, none  # shares of toxic examples: all, and those without a term
         self.slope, self.shift = 1.0, 0.0
 
     def unit(self, term: np.ndarray, n: np.ndarray) -> np.ndarray:
-        weight = (1 + np.log(n)) * self.idf[term]
+        """Weights of a whole text's terms (-1 for one that is not known), of length one."""
+        weight = (1 + np.log(n)) * np.where(term >= 0, self.idf[term] if len(self.idf) else self.rare, self.rare)
         return weight / np.sqrt((weight * weight).sum())
 
     def vote(self, places: np.ndarray, cosines: np.ndarray, minus: int = -1, label: int = 0) -> float:
@@ -164,7 +233,8 @@ class Model:
         """Calibrated probability and the ids of the nearest examples."""
         if not len(term):
             return self.none, []
-        places, cosines = self.index.nearest(term, self.unit(term, n))
+        known = term >= 0
+        places, cosines = self.index.nearest(term[known], self.unit(term, n)[known])
         if not len(places):
             return self.none, []
         p = 1 / (1 + np.exp(-(self.slope * self.vote(places, cosines) + self.shift)))
@@ -209,51 +279,33 @@ def train(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Mod
     rows = docs.join(F.broadcast(drawn), "doc_id").groupBy(F.xxhash64("text").alias("_t"), "toxic").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("r"))
     sample = written(rows.select("r.doc_id", "toxic", F.col("r.text").alias("text")).repartition(16, "doc_id"), "toxic-sample")
 
-    seen = (
-        sample.select("toxic", "text").mapInArrow(_term_rows, "term bigint, n bigint, toxic bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    )
-    whole = seen.where("term IS NULL").first()
-    n_rows, positive = (whole["n"], whole["toxic"]) if whole else (0, 0)
-    # What a term needs at least to be worth a look; the rest is decided here.
-    found = seen.where(f"term IS NOT NULL AND toxic >= {LEAST_ROWS} AND toxic * {max(n_rows, 1)} > n * {positive}").orderBy(F.desc(F.col("toxic") / F.col("n")), F.desc("toxic"), "term").limit(50 * MAX_TERMS).collect()
-    hashes = np.array([r["term"] for r in found], np.int64).view(np.uint64)
-    n, toxic = np.array([r["n"] for r in found], float), np.array([r["toxic"] for r in found], float)
-    ratio = ratios(n, toxic, n_rows, positive) if len(found) else np.empty(0)
-    best = np.lexsort((hashes, -ratio))[:MAX_TERMS]
-    vocabulary = Vocabulary(hashes[best[ratio[best] >= LEAST_RATIO + 2 * np.log(max(len(found), 1))]])
-
-    counted = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(_term_counts(vocabulary), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    total, size = counted.pop(-1, 0), len(vocabulary.hashes)
-    df = np.array([counted.get(k, 0) for k in range(size)], float)
-    idf = np.log((1 + total) / (1 + df)) + 1
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, data, offsets in text_chunks(batch.column(2)):
-                text, term, n = vocabulary.vectors(data, offsets)
-                cuts = np.searchsorted(text, np.arange(len(offsets)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(at.start, at.stop - at.start), batch.column(1).slice(at.start, at.stop - at.start),
-                        pa.array([term[i:j].astype("<i4").tobytes() + n[i:j].astype("<i4").tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
-                    ],
-                    names=["doc_id", "toxic", "vector"],
-                )
-
-    got = sample.mapInArrow(vectors, "doc_id bigint, toxic int, vector binary").orderBy("doc_id", "toxic").collect()
+    got = sample.select("doc_id", "toxic", "text").mapInArrow(_example_terms, "doc_id bigint, toxic int, vector binary").orderBy("doc_id", "toxic").collect()
     groups: dict[bytes, list] = {}
     for r in got:
         groups.setdefault(bytes(r["vector"]), []).append((r["doc_id"], min(max(r["toxic"], 0), 1)))
+    n_rows, positive = len(got), sum(y for group in groups.values() for _, y in group)
     plain = groups.pop(b"", [])
-    model = Model(vocabulary, idf, None, (positive + 0.5) / (n_rows + 5), (sum(y for _, y in plain) + 0.5) / (len(plain) + 5))
     raw = list(groups.items())
-    x = np.zeros((len(raw), size))
-    queries = []
-    for k, (vector, _) in enumerate(raw):
-        term, n = np.frombuffer(vector, "<i4").reshape(2, -1)
-        queries.append((term, model.unit(term, n)))
-        x[k, term] = queries[-1][1]
-    model.index = Index(x, np.array([len(g) for _, g in raw], np.int64), np.array([sum(y for _, y in g) for _, g in raw], np.int64), [g[0][0] for _, g in raw])
+    pairs = [np.frombuffer(vector, "<u8").reshape(2, -1) for vector, _ in raw]
+    hashes = np.concatenate([p[0] for p in pairs] or [np.empty(0, np.uint64)])
+    vocabulary = Vocabulary(np.unique(hashes))
+
+    size = len(vocabulary.hashes)
+    parts = docs.select("text").mapInArrow(_document_counts(vocabulary), "slice int, n binary").repartition("slice").mapInArrow(_added, "slice int, n binary").collect()
+    counted = {r["slice"]: np.frombuffer(r["n"], "<i8") for r in parts}
+    total = int(counted.pop(-1, np.zeros(1))[0])
+    df = np.concatenate([counted[k] for k in sorted(counted)]) if counted else np.zeros(size)
+    idf = np.log((1 + total) / (1 + df)) + 1
+
+    term, cuts = vocabulary.numbers(hashes), np.cumsum([0, *(p.shape[1] for p in pairs)])
+    own_n, own_toxic = np.array([len(g) for _, g in raw], np.int64), np.array([sum(y for _, y in g) for _, g in raw], np.int64)
+    seen, bad = (np.bincount(term, weights=np.repeat(x, np.diff(cuts)), minlength=size) for x in (own_n, own_toxic))
+    idf = idf * (1 + np.maximum(ratios(seen, bad, n_rows, positive) - np.log(max(size, 1)), 0))  # 1 + what no chance among so many terms explains
+
+    model = Model(vocabulary, idf, None, float(np.log((1 + total) / 2) + 1), (positive + 0.5) / (n_rows + 5), (sum(y for _, y in plain) + 0.5) / (len(plain) + 5))
+    queries = [(term[i:j], model.unit(term[i:j], p[1].astype(np.int64))) for i, j, p in zip(cuts[:-1], cuts[1:], pairs, strict=True)]
+    weight = np.concatenate([w for _, w in queries] or [np.empty(0)])
+    model.index = Index.sparse(np.repeat(np.arange(len(raw)), np.diff(cuts)), term, weight, size, own_n, own_toxic, [g[0][0] for _, g in raw])
     place = {doc: k for k, doc in enumerate(model.index.doc_ids)}
     votes, answers = [], []
     for (_, group), (term, weight) in zip(raw, queries, strict=True):
@@ -280,7 +332,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 cuts = np.searchsorted(text, np.arange(len(offsets)))
                 scores, evidence = [], []
                 for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                    key = term[i:j].tobytes() + n[i:j].tobytes()
+                    key = hashlib.blake2b(term[i:j].tobytes() + n[i:j].tobytes(), digest_size=16).digest()
                     if key not in known:
                         if len(known) >= 20_000:
                             known.clear()
@@ -297,9 +349,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted, evidence``.
 
-    Learns from labels whose crc32 of the id (as text) modulo 3 is not 1.  A null or
-    empty text, and one without a known term, gets the share of toxic examples among
-    those without one; without any label that is 0.1.  A null id is scored and never
+    Learns from labels whose crc32 of the id (as text) modulo 3 is not 1.  A text
+    without a term, or with none that an example has, gets the share of toxic examples
+    among those without a term; without such an example that is 0.1.  A null id is scored and never
     learned from.  Other columns are not read; an empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)

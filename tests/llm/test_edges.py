@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +143,26 @@ def test_evidence(spark, odd, labels):
     assert toxicity.toxicity(odd, labels.where("false")).agg(F.max("score")).first()[0] <= 0.5
 
 
+def test_copies_of_toxic_examples_find_them(spark):
+    draw = random.Random(4)
+    learned = [i for i in range(1, 200) if zlib.crc32(str(i).encode()) % 3 != 1][:60]
+    text = {i: " ".join("".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(30)) for i in learned}
+    # Each toxic word stands in one example only, and most of a copy's own words in none.
+    toxic = learned[:6]
+    rows = [(i, text[i], "en") for i in learned] + [(1000 + i, text[i].upper() + " something else", "en") for i in learned]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in learned], "doc_id bigint, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    assert all(got[1000 + i].evidence[0] == i for i in learned)
+    assert min(got[1000 + i].score for i in toxic) > max(got[1000 + i].score for i in learned[6:])
+    assert toxicity.toxicity(docs.selectExpr("doc_id", "'unseen ' || doc_id AS text"), labels.where("false")).where("size(evidence) > 0").count() == 0
+
+
+def test_unknown_terms_count_in_the_length():
+    model = toxicity.Model(toxicity.Vocabulary(np.array([5, 9], np.uint64)), np.array([1.0, 2.0]), None, 3.0, 0.1, 0.1)
+    assert np.allclose(model.unit(np.array([1, -1]), np.array([1, 1])), np.array([2.0, 3.0]) / 13**0.5)
+
+
 def test_order_of_drawn_calls(spark):
     draw = random.Random(8)
     rows, edges = [], {}
