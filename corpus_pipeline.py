@@ -14,6 +14,10 @@ from reelspan.llm import bloom, bpe, language_id, line_dedup, near_dedup, source
 from reelspan.llm.scratch import written
 
 
+#: The largest id.
+MOST = (1 << 63) - 1
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or that fit no language, go."""
     return language_id.keep_known(docs)
@@ -28,18 +32,23 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the smallest id stays.
 
     Rows that share an id are decided together; those that share the text too become one.
+    A row without an id is decided by a key from its text, greater than any id: it goes only
+    if its group has another row, and of rows without an id that share the text one stays.
+    Only where ids come so near to the largest BIGINT that keys collide, copies may stay.
     """
-    found = written(near_dedup.near_duplicates(docs), "stage-near")
-    by_id = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    unsure = written(by_id.where(~F.col("kept") | (F.col("n") > 1)).select("doc_id", "kept"), "stage-near-unsure")
+    top = min(max(docs.agg(F.max(F.col("doc_id").cast("bigint"))).first()[0] or 0, 0), MOST - 1)
+    own_key = F.lit(top + 1) + F.pmod(F.xxhash64("text"), F.lit(MOST - top))
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("bigint"), own_key))
+    found = written(near_dedup.near_duplicates(keyed, id_col="_key"), "stage-near").withColumnRenamed("doc_id", "_key")
+    by_id = found.groupBy("_key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    unsure = written(by_id.where(~F.col("kept") | (F.col("n") > 1)).select("_key", "kept"), "stage-near-unsure")
     # Only rows that may go are shuffled; the others pass straight through.
-    key = F.xxhash64("doc_id")
+    key = F.xxhash64("_key")
     maybe = bloom.build(unsure.select(key), unsure.count())
     own = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.withColumn("_maybe", maybe.maybe(key))
-    moved = rows.where("_maybe").drop("_maybe").alias("d").join(unsure.alias("u"), F.col("d.doc_id").eqNullSafe(F.col("u.doc_id")), "left")
-    kept = moved.where(F.col("u.kept").isNull() | F.col("u.kept")).select(*[F.col(f"d.`{c}`") for c in docs.columns])
-    return rows.where(~F.col("_maybe")).select(*own).unionByName(kept.dropDuplicates(["doc_id", "text"]))
+    rows = keyed.withColumn("_maybe", maybe.maybe(key))
+    moved = rows.where("_maybe").drop("_maybe").join(unsure, "_key", "left").where(F.col("kept").isNull() | F.col("kept"))
+    return rows.where(~F.col("_maybe")).select(*own).unionByName(moved.dropDuplicates(["_key", "text"]).select(*own))
 
 
 def in_training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,6 +117,20 @@ def test_pipeline_stages(spark, odd, none):
     assert sorted(kept) == [1, 2, 3, 4, 6, 8, 10, 11]
 
 
+def test_near_stage_keeps_rows_without_an_id(spark):
+    copied, near = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(1, copied), (None, copied), (None, "alone without an id"), (None, near), (None, near + " end"), (None, "twice the same"), (None, "twice the same"), (None, ""), (7, "with an id")]
+    for top in (7, (1 << 63) - 1):
+        docs = spark.createDataFrame([(top if i == 7 else i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+        kept = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, docs, "").collect()]
+        assert [r for r in kept if r[0] is not None] in ([(1, copied), (top, "with an id")], [(top, "with an id"), (1, copied)])
+        none = sorted(t for i, t in kept if i is None)
+        if top == 7:
+            assert [t for t in none if t not in (near, near + " end")] == ["", "alone without an id", "twice the same"] and len(none) == 4
+        else:  # no room above the ids: copies may stay, nothing is lost
+            assert {"", "alone without an id", "twice the same"} <= set(none) and {near, near + " end"} & set(none)
+
+
 def test_calls(spark):
     rules = [tool_calls.Field("f", "n", "integer", least=0, most=9), tool_calls.Field("f", "s", "string", required=False)]
     rows = [
