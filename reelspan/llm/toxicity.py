@@ -4,17 +4,16 @@ A text's terms are its words in lower case (split at every ASCII character but
 letters), and all of them count.  The index holds every term of the examples;
 document frequencies are counted over all documents.  A term that stands in toxic
 examples more often than chance weighs more, by its log-likelihood ratio; none is left
-out.  A term of a text that no
-example has cannot add to a cosine but to the text's length: there it counts as
-one that a single document has.
+out.  A term of a text that no example has cannot add to a cosine but to the text's
+length: there it counts as one that a single document has.
 
 Examples with the same vector are one place with its counts of either label.
-Places are sorted so that alike ones share a block.  A term's postings lie block
-by block, each with its largest weight.  A query reads the blocks of the highest
-bounds, then every other block whose bound reaches its k-th neighbour: the
-neighbours are those of a full scan, ties by place in the index.  Votes are weighted by
-distance; a logistic curve fitted on the examples, each scored without itself,
-turns them into probabilities.
+Places are sorted so that alike ones share a block, and a common term's postings lie
+block by block, each with its largest weight.  A query reads the short lists of its
+rarer terms whole, then the blocks of the highest bounds, then every other block whose
+bound reaches its k-th neighbour: the neighbours are those of a full scan, ties by the
+smaller id.  Votes are weighted by distance; a logistic curve fitted on the examples,
+each scored without itself in a Spark task, turns them into probabilities.
 
 Learning reads at most ``FIT_ROWS`` labelled rows (a documented bound; those with
 the smallest hash of the id); the index is therefore of bounded size and is
@@ -40,6 +39,10 @@ NEIGHBOURS = 16
 #: Votes fall with this power of the distance; of examples with one vector each counts less, by this power of their number.
 POWER, SPREAD = 2.0, 0.5
 BLOCK = 64
+#: Of so many of the commonest terms a block's postings lie as a matrix.
+DENSE_TERMS = 512
+#: Texts that are searched at once (8 MB of cosines), and scores that a task remembers for texts of the same terms.
+TEXTS_AT_ONCE, REMEMBERED = 128, 20_000
 #: Blocks that a query reads before it leaves any out.
 FIRST_BLOCKS = 8
 #: Terms whose counts travel in one row.
@@ -135,77 +138,106 @@ def runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)
 
 
-class Index:
-    """Labelled example vectors as postings of every term, in blocks with the largest weight of each term in each block."""
+def bisected(x: np.ndarray) -> np.ndarray:
+    """An order of rows in which alike ones share a block: cut in halves along the main direction, again and again."""
 
-    def __init__(self, vectors: np.ndarray, n: np.ndarray, toxic: np.ndarray, doc_ids: list):
-        self.fill(*np.nonzero(vectors), vectors[np.nonzero(vectors)].astype(np.float64), vectors.shape[1], n, toxic, doc_ids)
+    def halves(at: np.ndarray) -> list[np.ndarray]:
+        if len(at) <= BLOCK:
+            return [at]
+        y = x[at] - x[at].mean(axis=0)
+        along = y[np.argmax((y * y).sum(axis=1))]
+        for _ in range(8):
+            along = y.T @ (y @ along)
+            along /= max(np.linalg.norm(along), 1e-300)
+        at = at[np.argsort(y @ along, kind="stable")]
+        cut = max(len(at) // 2 // BLOCK, 1) * BLOCK
+        return halves(at[:cut]) + halves(at[cut:])
 
-    @classmethod
-    def sparse(cls, row: np.ndarray, term: np.ndarray, weight: np.ndarray, size: int, n: np.ndarray, toxic: np.ndarray, doc_ids: list) -> Index:
-        """The same from (example, term, weight) triples of ``size`` terms."""
-        out = cls.__new__(cls)
-        out.fill(row, term, weight, size, n, toxic, doc_ids)
-        return out
+    return np.concatenate(halves(np.arange(len(x))))
 
-    def fill(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, size: int, n: np.ndarray, toxic: np.ndarray, doc_ids: list) -> None:
-        # Alike examples have the same of the commonest terms.
-        common = np.argsort(-np.bincount(term, minlength=size), kind="stable")[:BLOCK]
-        rank = np.full(size, -1)
-        rank[common] = np.arange(len(common))
-        has = np.zeros((len(common), len(n)), bool)
-        has[rank[term[rank[term] >= 0]], row[rank[term] >= 0]] = True
-        order = np.lexsort(np.concatenate((np.arange(len(n))[None], has[::-1])))
-        self.n, self.toxic, self.doc_ids, self.size = n[order], toxic[order], [doc_ids[k] for k in order], size
-        place = np.empty(len(n), np.int64)
-        place[order] = np.arange(len(n))
-        by_term = np.lexsort((place[row], term))
-        self.place, self.weight = place[row][by_term].astype(np.int32), weight[by_term]
-        # A pair is a term and a block that has it: ``at`` is its first posting, ``first`` the first pair of each term.
-        own, block = term[by_term], self.place // BLOCK
-        new = np.ones(len(own), bool)
-        new[1:] = (own[1:] != own[:-1]) | (block[1:] != block[:-1])
-        start = np.flatnonzero(new)
-        self.block, self.most = block[start], np.maximum.reduceat(self.weight, start) if len(start) else np.empty(0)
-        self.at = np.append(start, len(own)).astype(np.int32)
-        self.first = np.searchsorted(own[start], np.arange(size + 1)).astype(np.int32)
-        self.blocks = -(-len(n) // BLOCK)
 
-    @property
-    def x(self) -> np.ndarray:
-        """The vectors in the order of their places."""
-        out = np.zeros((len(self.n), self.size))
-        out[self.place, np.repeat(np.arange(self.size), np.diff(self.at[self.first]))] = self.weight
-        return out
+class Index:
+    """Labelled example vectors as postings of every term, in blocks with the largest weight of each term in each block.
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples with a cosine above zero, the best first."""
+    Of the ``DENSE_TERMS`` commonest terms a block's postings lie as a matrix, since most examples
+    have them; the others have a short list each.  Texts are searched some at a time, so that a block is read once for them.
+    """
+
+    def __init__(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, size: int, n: np.ndarray, toxic: np.ndarray, doc_ids: list):
+        """From (example, term, weight) triples of ``size`` terms, and each example's count, toxic ones among them, and an id."""
+        common = np.argsort(-np.bincount(term, minlength=size), kind="stable")[:DENSE_TERMS]
+        self.dense = np.full(size, -1, np.int32)  # a term's row in the blocks' matrices
+        self.dense[common] = np.arange(len(common))
+        inside = self.dense[term] >= 0
+        rows = np.zeros((len(n), len(common)))
+        rows[row[inside], self.dense[term[inside]]] = weight[inside]
+        order = bisected(rows)
+        del rows
+        self.n, self.toxic, self.doc_ids, self.size = n[order], toxic[order], [doc_ids[k] for k in order], size
+        self.rank = np.argsort(np.argsort(np.array(self.doc_ids, np.int64), kind="stable"), kind="stable")  # decides ties
+        self.blocks = -(-len(n) // BLOCK)
+        of = np.empty(len(n), np.int64)
+        of[order] = np.arange(len(n))
+        place = of[row]
+        self.matrix = np.zeros((self.blocks, len(common), BLOCK))
+        self.matrix[place[inside] // BLOCK, self.dense[term[inside]], place[inside] % BLOCK] = weight[inside]
+        self.bounds = np.ascontiguousarray(self.matrix.max(axis=2, initial=0.0).T)
+        own, place, weight = term[~inside], place[~inside], weight[~inside]
+        by_term = np.lexsort((place, own))
+        self.place, self.weight = place[by_term].astype(np.int32), weight[by_term]
+        self.first = np.searchsorted(own[by_term], np.arange(size + 1))  # of each term's list
+
+    def nearest(self, cuts: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each text (its terms and weights are those from cuts[i] to cuts[i + 1]) places and cosines of the
+        k nearest examples with a cosine above zero, the best first, ties by the smaller id.  ``without``: a place that each text leaves out, or -1."""
+        texts = len(cuts) - 1
+        if not self.blocks:
+            return [(np.empty(0, np.int64), np.empty(0))] * texts
+        text = np.repeat(np.arange(texts), np.diff(cuts))
+        inside = self.dense[term] >= 0
+        common = np.zeros((texts, self.matrix.shape[1]))
+        common[text[inside], self.dense[term[inside]]] = weight[inside]
+        text, term, weight = text[~inside], term[~inside], weight[~inside]
+        # The lists of the rarer terms, whole; then a block can reach its best such sum and what its common terms' maxima allow.
         width = self.first[term + 1] - self.first[term]
-        pair, own = runs(self.first[term].astype(np.int64), width), np.repeat(weight, width)
-        block = self.block[pair]
-        bound = np.bincount(block, weights=self.most[pair] * own, minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        places, cosines, worst = np.empty(0, np.int64), np.empty(0), 0.0
-        for blocks in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
-            read = np.zeros(self.blocks, bool)
-            read[blocks] = (bound[blocks] > 0) & ((len(places) < k) | (bound[blocks] >= worst - 1e-9))
-            if not read.any():
-                continue
-            some = read[block]
-            length = self.at[pair[some] + 1] - self.at[pair[some]]
-            posting = runs(self.at[pair[some]].astype(np.int64), length)
-            cosine = np.bincount(self.place[posting], weights=self.weight[posting] * np.repeat(own[some], length), minlength=len(self.n))
-            if without >= 0:
-                cosine[without] = 0
-            take = np.flatnonzero(cosine > 0)
-            places, cosines = np.concatenate((places, take)), np.round(np.concatenate((cosines, cosine[take])), 9)
-            if len(cosines) > k:
-                best = cosines >= np.partition(cosines, -k)[-k]
-                places, cosines = places[best], cosines[best]
-            best = np.lexsort((places, -cosines))[:k]
-            places, cosines = places[best], cosines[best]
-            worst = cosines[-1] if len(cosines) else 0.0
-        return places, cosines
+        posting = runs(self.first[term], width)
+        into = np.repeat(text * (self.blocks * BLOCK), width) + self.place[posting]
+        cosine = np.bincount(into, weights=self.weight[posting] * np.repeat(weight, width), minlength=texts * self.blocks * BLOCK)
+        cosine = cosine.astype(np.float64, copy=False).reshape(texts, self.blocks, BLOCK)
+        bound = common @ self.bounds + cosine.max(axis=2)
+
+        def read(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                own = np.flatnonzero(wanted[:, b])
+                cosine[own, b] += common[own] @ self.matrix[b]
+            if without is not None:
+                left_out = np.flatnonzero(without >= 0)
+                cosine[left_out, without[left_out] // BLOCK, without[left_out] % BLOCK] = 0
+
+        # First the blocks of the highest bounds, then every other one whose bound reaches the k-th neighbour so far.
+        first = np.zeros(bound.shape, bool)
+        few = min(FIRST_BLOCKS, self.blocks)
+        top = np.argpartition(-bound, few - 1, axis=1)[:, :few]
+        np.put_along_axis(first, top, True, axis=1)
+        read(first & (bound > 0))
+        seen = np.take_along_axis(cosine, top[:, :, None], axis=1).reshape(texts, -1)
+        worst = np.partition(seen, -k, axis=1)[:, -k] if seen.shape[1] >= k else np.zeros(texts)
+        rest = ~first & (bound > 0) & (bound >= worst[:, None] - 1e-9)
+        read(rest)
+        cosine[~first & ~rest] = 0  # only in part, and too little
+        cosine = cosine.reshape(texts, -1)
+        out = []
+        for own, least in zip(cosine, np.maximum(worst - 1e-9, 0), strict=True):
+            places = np.flatnonzero(own > least)
+            found = own[places]
+            if len(places) > k:
+                keep = found > np.partition(found, -k)[-k] - 1e-9
+                places, found = places[keep], found[keep]
+            cosines = np.round(found, 9)
+            best = np.lexsort((self.rank[places], -cosines))[:k]
+            best = best[cosines[best] > 0]
+            out.append((places[best], cosines[best]))
+        return out
 
 
 class Model:
@@ -214,10 +246,18 @@ class Model:
         self.base, self.none = base, none  # shares of toxic examples: all, and those without a term
         self.slope, self.shift = 1.0, 0.0
 
-    def unit(self, term: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Weights of a whole text's terms (-1 for one that is not known), of length one."""
+    def units(self, cuts: np.ndarray, term: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Weights of whole texts' terms (-1 for one that is not known), each text's of length one."""
         weight = (1 + np.log(n)) * np.where(term >= 0, self.idf[term] if len(self.idf) else self.rare, self.rare)
-        return weight / np.sqrt((weight * weight).sum())
+        squares = np.concatenate(([0.0], np.cumsum(weight * weight)))
+        length = np.sqrt(squares[cuts[1:]] - squares[cuts[:-1]])
+        return weight / np.repeat(np.maximum(length, 1e-12), np.diff(cuts))
+
+    def nearest(self, cuts: np.ndarray, term: np.ndarray, n: np.ndarray, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Neighbours of each text; terms that are not known count in its length alone."""
+        weight, known = self.units(cuts, term, n), term >= 0
+        own = np.concatenate(([0], np.cumsum(known)))[cuts]
+        return self.index.nearest(own, term[known], weight[known], without=without)
 
     def vote(self, places: np.ndarray, cosines: np.ndarray, minus: int = -1, label: int = 0) -> float:
         """Log odds of the neighbours' weighted votes; ``minus``: one example at this place less."""
@@ -229,16 +269,12 @@ class Model:
         share = min(max(share, 1e-6), 1 - 1e-6)
         return float(np.log(share / (1 - share)))
 
-    def score(self, term: np.ndarray, n: np.ndarray) -> tuple[float, list]:
+    def score(self, places: np.ndarray, cosines: np.ndarray) -> tuple[float, list]:
         """Calibrated probability and the ids of the nearest examples."""
-        if not len(term):
-            return self.none, []
-        known = term >= 0
-        places, cosines = self.index.nearest(term[known], self.unit(term, n)[known])
         if not len(places):
             return self.none, []
-        p = 1 / (1 + np.exp(-(self.slope * self.vote(places, cosines) + self.shift)))
-        return float(p), [self.index.doc_ids[k] for k in places[:3]]
+        z = self.slope * self.vote(places, cosines) + self.shift
+        return float(1 / (1 + np.exp(-z))), [self.index.doc_ids[k] for k in places[:3]]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -284,11 +320,18 @@ def train(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Mod
     for r in got:
         groups.setdefault(bytes(r["vector"]), []).append((r["doc_id"], min(max(r["toxic"], 0), 1)))
     n_rows, positive = len(got), sum(y for group in groups.values() for _, y in group)
+    del got
     plain = groups.pop(b"", [])
-    raw = list(groups.items())
-    pairs = [np.frombuffer(vector, "<u8").reshape(2, -1) for vector, _ in raw]
-    hashes = np.concatenate([p[0] for p in pairs] or [np.empty(0, np.uint64)])
+    members = list(groups.values())
+    width = np.array([len(vector) // 16 for vector in groups], np.int64)
+    cuts = np.concatenate(([0], np.cumsum(width)))
+    hashes, times = np.empty(cuts[-1], np.uint64), np.empty(cuts[-1], np.int64)
+    for k, vector in enumerate(groups):
+        hashes[cuts[k] : cuts[k + 1]], times[cuts[k] : cuts[k + 1]] = np.frombuffer(vector, "<u8").reshape(2, -1)
+    groups.clear()
     vocabulary = Vocabulary(np.unique(hashes))
+    term = vocabulary.numbers(hashes)
+    del hashes
 
     size = len(vocabulary.hashes)
     parts = docs.select("text").mapInArrow(_document_counts(vocabulary), "slice int, n binary").repartition("slice").mapInArrow(_added, "slice int, n binary").collect()
@@ -297,29 +340,45 @@ def train(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Mod
     df = np.concatenate([counted[k] for k in sorted(counted)]) if counted else np.zeros(size)
     idf = np.log((1 + total) / (1 + df)) + 1
 
-    term, cuts = vocabulary.numbers(hashes), np.cumsum([0, *(p.shape[1] for p in pairs)])
-    own_n, own_toxic = np.array([len(g) for _, g in raw], np.int64), np.array([sum(y for _, y in g) for _, g in raw], np.int64)
-    seen, bad = (np.bincount(term, weights=np.repeat(x, np.diff(cuts)), minlength=size) for x in (own_n, own_toxic))
+    own_n, own_toxic = np.array([len(g) for g in members], np.int64), np.array([sum(y for _, y in g) for g in members], np.int64)
+    seen, bad = (np.bincount(term, weights=np.repeat(x, width), minlength=size) for x in (own_n, own_toxic))
     idf = idf * (1 + np.maximum(ratios(seen, bad, n_rows, positive) - np.log(max(size, 1)), 0))  # 1 + what no chance among so many terms explains
 
     model = Model(vocabulary, idf, None, float(np.log((1 + total) / 2) + 1), (positive + 0.5) / (n_rows + 5), (sum(y for _, y in plain) + 0.5) / (len(plain) + 5))
-    queries = [(term[i:j], model.unit(term[i:j], p[1].astype(np.int64))) for i, j, p in zip(cuts[:-1], cuts[1:], pairs, strict=True)]
-    weight = np.concatenate([w for _, w in queries] or [np.empty(0)])
-    model.index = Index.sparse(np.repeat(np.arange(len(raw)), np.diff(cuts)), term, weight, size, own_n, own_toxic, [g[0][0] for _, g in raw])
+    weight = model.units(cuts, term, times)
+    model.index = Index(np.repeat(np.arange(len(members)), width), term, weight, size, own_n, own_toxic, [g[0][0] for g in members])
     place = {doc: k for k, doc in enumerate(model.index.doc_ids)}
-    votes, answers = [], []
-    for (_, group), (term, weight) in zip(raw, queries, strict=True):
-        own = place[group[0][0]]
-        places, cosines = model.index.nearest(term, weight, without=own if len(group) == 1 else -1)
-        for label in {y for _, y in group}:
-            times = sum(y == label for _, y in group)
-            votes += [model.vote(places, cosines, own, label)] * times
-            answers += [label] * times
-    if len(set(answers)) > 1:
-        model.slope, model.shift = fit_logistic(np.array(votes), np.array(answers))
+    own = {(doc, y): (place[g[0][0]], len(g) == 1) for g in members for doc, y in g}
+    del term, times, weight
+    # Every example is scored without itself, in tasks.
+    shared = docs.sparkSession.sparkContext.broadcast((model, own))
+    votes = sample.mapInArrow(_votes(shared), "doc_id bigint, toxic int, vote double").orderBy("doc_id", "toxic").toPandas()
+    shared.unpersist()
+    if votes["toxic"].nunique() > 1:
+        model.slope, model.shift = fit_logistic(votes["vote"].to_numpy(), votes["toxic"].to_numpy())
     return model
 
 
+def _votes(shared):
+    """The vote on each example by the others, for the examples that have a term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, own = shared.value
+        for batch in batches:
+            for at, data, offsets in text_chunks(batch.column(2)):
+                text, term, n = model.vocabulary.vectors(data, offsets)
+                cuts = np.searchsorted(text, np.arange(len(offsets)))
+                rows = list(zip(*(batch.column(k).slice(at.start, at.stop - at.start).to_pylist() for k in (0, 1)), strict=True))
+                rows = [(doc, min(max(y, 0), 1)) for doc, y in rows]
+                at_place = np.array([own.get(r, (-1, False)) for r in rows], np.int64)
+                found = model.nearest(cuts, term, n, np.where(at_place[:, 1] > 0, at_place[:, 0], -1))
+                out = [(doc, y, model.vote(*near, place, y)) for (doc, y), (place, _), near in zip(rows, at_place.tolist(), found, strict=True) if place >= 0]
+                doc, y, vote = zip(*out, strict=True) if out else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(y, pa.int32()), pa.array(vote, pa.float64())], names=["doc_id", "toxic", "vote"])
+
+    return run
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score, evidence`` (ids of the nearest examples) from the text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -330,17 +389,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for at, data, offsets in text_chunks(batch.column(1)):
                 text, term, n = model.vocabulary.vectors(data, offsets)
                 cuts = np.searchsorted(text, np.arange(len(offsets)))
-                scores, evidence = [], []
-                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                    key = hashlib.blake2b(term[i:j].tobytes() + n[i:j].tobytes(), digest_size=16).digest()
-                    if key not in known:
-                        if len(known) >= 20_000:
-                            known.clear()
-                        known[key] = model.score(term[i:j], n[i:j])
-                    scores.append(known[key][0])
-                    evidence.append(known[key][1])
+                keys = [hashlib.blake2b(term[i:j].tobytes() + n[i:j].tobytes(), digest_size=16).digest() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                new = {key: k for k, key in enumerate(keys) if key not in known}
+                for low in range(0, len(new), TEXTS_AT_ONCE):
+                    some = np.array(list(new.values())[low : low + TEXTS_AT_ONCE])
+                    width = np.diff(cuts)[some]
+                    own = runs(cuts[some], width)
+                    found = model.nearest(np.concatenate(([0], np.cumsum(width))), term[own], n[own])
+                    known.update((keys[k], model.score(*near)) for k, near in zip(some.tolist(), found, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at.start, at.stop - at.start), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"]
+                    [batch.column(0).slice(at.start, at.stop - at.start), pa.array([known[k][0] for k in keys], pa.float64()), pa.array([known[k][1] for k in keys], pa.list_(pa.int64()))],
+                    names=["doc_id", "score", "evidence"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double, evidence array<bigint>")
@@ -351,8 +412,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, text:
 
     Learns from labels whose crc32 of the id (as text) modulo 3 is not 1.  A text
     without a term, or with none that an example has, gets the share of toxic examples
-    among those without a term; without such an example that is 0.1.  A null id is scored and never
-    learned from.  Other columns are not read; an empty table gives no rows.
+    among those without a term; without such an example that is 0.1.  Null counts as
+    empty, equal texts get equal scores, and a very long text is one vector like any
+    other (memory: about 60 bytes for each byte of the longest text).  A null id is
+    scored and never learned from.  Other columns are not read; an empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

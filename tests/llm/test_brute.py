@@ -195,18 +195,92 @@ def test_toxicity_held_out(spark):
     assert hits / sum(label[r.doc_id] for r in held) >= 0.6 and hits / sum(r.predicted for r in held) >= 0.9
 
 
-def test_block_max_finds_what_a_full_scan_finds():
+def test_block_max_finds_what_a_full_scan_finds(monkeypatch):
+    monkeypatch.setattr(toxicity, "DENSE_TERMS", 8)
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
     draw = np.random.default_rng(1)
     x = draw.random((300, 20)) * (draw.random((300, 20)) < 0.2)
+    x[17:30] = x[5]
     x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
-    index = toxicity.Index(x, np.ones(300, int), np.zeros(300, int), list(range(300)))
-    for _ in range(50):
-        term = np.sort(draw.choice(20, 4, replace=False))
-        weight = draw.random(4)
-        full = np.round(index.x[:, term] @ weight, 9)
-        order = [k for k in np.lexsort((np.arange(300), -full)) if full[k] > 0][:16]
-        places, cosines = index.nearest(term, weight)
-        assert places.tolist() == order and cosines.tolist() == full[order].tolist()
+    ids = draw.permutation(300)
+    index = toxicity.Index(*np.nonzero(x), x[np.nonzero(x)], 20, np.ones(300, int), np.zeros(300, int), ids.tolist())
+    queries = [(np.sort(draw.choice(20, k, replace=False)), draw.random(k)) for k in (4, 1, 0, 9, 20) * 10]
+    cuts = np.cumsum([0] + [len(t) for t, _ in queries])
+    found = index.nearest(cuts, np.concatenate([t for t, _ in queries]), np.concatenate([w for _, w in queries]))
+    for (term, weight), (places, cosines) in zip(queries, found, strict=True):
+        full = np.round(x[:, term] @ weight, 9)
+        want = [k for k in np.lexsort((ids, -full)) if full[k] > 0][:16]
+        assert [index.doc_ids[k] for k in places] == ids[want].tolist() and np.allclose(cosines, full[want])
+
+
+def test_toxicity_against_every_pair(spark, small, docs):
+    """The whole query again: terms, weights, all cosines, votes and the curve, from their definitions."""
+    labels = duckdb.sql(f"SELECT doc_id, max(toxic) FROM '{small}/labels.parquet' WHERE toxic IS NOT NULL GROUP BY doc_id").fetchall()
+    learned = {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    bags = {i: collections.Counter(re.findall("[a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) for i, t, *_ in docs}
+    examples = {}  # (text, label) once, by its smallest id
+    for i, t, *_ in docs:
+        if i in learned and (t, learned[i]) not in examples:
+            examples[t, learned[i]] = i
+    places = {}
+    for (_, y), i in examples.items():
+        if bags[i]:
+            places.setdefault(tuple(sorted(bags[i].items())), []).append((i, y))
+    terms = sorted({w for vector in places for w, _ in vector})
+    df = collections.Counter(w for bag in bags.values() for w in bag)
+    rows, positive = len(examples), sum(y for _, y in examples)
+
+    def weight(w):
+        out = np.log((1 + len(docs)) / (1 + df[w])) + 1
+        own = [y for vector, group in places.items() if w in dict(vector) for _, y in group]
+        n, bad, part = len(own), sum(own), positive / rows
+        if bad <= n * part:
+            return out
+        cells = [(bad, n * part), (n - bad, n * (1 - part)), (positive - bad, (rows - n) * part), (rows - positive - n + bad, (rows - n) * (1 - part))]
+        return out * (1 + max(2 * sum(k * np.log(k / m) for k, m in cells if k) - np.log(len(terms)), 0))
+
+    of = {w: weight(w) for w in terms}
+    rare = np.log((1 + len(docs)) / 2) + 1
+
+    def unit(bag):
+        x = {w: (1 + np.log(n)) * of.get(w, rare) for w, n in bag.items()}
+        length = sum(v * v for v in x.values()) ** 0.5
+        return {w: v / length for w, v in x.items()}
+
+    vectors = [(unit(dict(vector)), group) for vector, group in places.items()]
+    base = (positive + 0.5) / (rows + 5)
+
+    def vote(bag, minus=None):
+        x, own = unit(bag), []
+        for y, group in vectors:
+            rest = [g for g in group if g != minus]
+            cosine = round(sum(v * y.get(w, 0) for w, v in x.items()), 9)
+            if rest and cosine > 0:
+                own.append((-cosine, min(group)[0], sum(g[1] for g in rest), len(rest)))
+        own = sorted(own)[:16]
+        w = [(-c / (1.05 + c)) ** 2 / n**0.5 for c, _, _, n in own]
+        share = (sum(a * t for a, (_, _, t, _) in zip(w, own, strict=True)) + base) / (sum(a * n for a, (_, _, _, n) in zip(w, own, strict=True)) + 1)
+        return np.log(share / (1 - share)), [i for _, i, _, _ in own]
+
+    votes = [(vote(bags[i], (i, y))[0], y) for _, group in vectors for i, y in group]
+    slope, shift = toxicity.fit_logistic(*map(np.array, zip(*votes, strict=True)))
+    plain = [y for (_, y), i in examples.items() if not bags[i]]
+    got = {r.doc_id: r for r in toxicity.toxicity(spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")).collect()}
+    assert len(got) == len(docs)
+    for i, bag in bags.items():
+        v, near = vote(bag) if bag else (0, [])
+        want = 1 / (1 + np.exp(-(slope * v + shift))) if near else (sum(plain) + 0.5) / (len(plain) + 5)
+        assert abs(got[i].score - want) < 1e-6 and got[i].evidence == near[:3] and got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+
+
+def test_logistic_curve_has_the_least_loss():
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=400)
+    y = (draw.random(400) < 1 / (1 + np.exp(-(1.7 * x - 0.4)))).astype(int)
+    target = np.where(y > 0, 1 - 1 / (y.sum() + 2), 1 / (400 - y.sum() + 2))
+    loss = lambda a, b: (np.log1p(np.exp(a * x + b)) - target * (a * x + b)).sum() + 5e-4 * (a - 1) ** 2
+    a, b = toxicity.fit_logistic(x, y)
+    assert all(loss(a, b) <= loss(a + da, b + db) + 1e-9 for da in (-0.01, 0, 0.01) for db in (-0.01, 0, 0.01))
 
 
 def test_bloom_has_no_false_negative(spark):

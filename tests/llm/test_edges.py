@@ -174,7 +174,7 @@ def test_copies_of_toxic_examples_find_them(spark):
 
 def test_unknown_terms_count_in_the_length():
     model = toxicity.Model(toxicity.Vocabulary(np.array([5, 9], np.uint64)), np.array([1.0, 2.0]), None, 3.0, 0.1, 0.1)
-    assert np.allclose(model.unit(np.array([1, -1]), np.array([1, 1])), np.array([2.0, 3.0]) / 13**0.5)
+    assert np.allclose(model.units(np.array([0, 2, 2]), np.array([1, -1]), np.array([1, 1])), np.array([2.0, 3.0]) / 13**0.5)
 
 
 def test_order_of_drawn_calls(spark):
