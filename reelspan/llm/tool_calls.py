@@ -3,15 +3,17 @@
 Calls and results meet in an equi-join on their identifier.  A conversation's own
 order is kept wherever the calls that a call depends on stand before it; a call that
 has to wait takes the place of the last one it waits for.  Only conversations with a
-dependency on a later call take part in the rounds of joins that find those places,
-each written to the shared folder, so long chains in order cost no round.  Arguments are checked against field rules as
-VARIANT values, and written with sorted keys and no white space.  DataFrame
-functions only; nothing is collected per conversation.
+dependency on a later call take part in the rounds of joins that find those places.
+A round drops the links to calls that wait for nothing and, where a call waits for a
+single other one, links those who wait for it with that other one directly, so a
+chain halves: its rounds grow with the logarithm of its length.  Arguments are checked
+as VARIANT values against nested schemas, and written with sorted keys and no white
+space.  DataFrame functions only; nothing is collected per conversation.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,59 +22,82 @@ from reelspan.llm.scratch import written
 
 
 @dataclass(frozen=True)
-class Field:
-    """A rule for one argument of one tool: JSON kind (string, integer, number, boolean) and bounds."""
+class Schema:
+    """What a JSON value has to be.
+
+    ``kind``: object, array, string, integer, number, boolean or any.  ``least`` and ``most``
+    bound a number's value, a string's length and an array's size.  ``pattern`` is
+    searched for in a string; ``one_of`` lists the allowed scalars as JSON texts.  An object's
+    ``fields`` are checked by their own schemas, others are ``unknown`` unless it is ``open``; an
+    array's elements by ``items``.  Without ``required`` a value may be missing or null.
+    """
 
-    tool: str
-    name: str
-    kind: str
+    kind: str = "any"
     required: bool = True
     least: float | None = None
     most: float | None = None
-
-
-KINDS = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DOUBLE", "FLOAT", "DECIMAL"), "boolean": ("BOOLEAN",)}
-
-
-def argument_errors(tool: str | Column, arguments: str, rules: list[Field]) -> Column:
-    """Sorted array of what is wrong: ``json``, ``tool``, ``missing:x``, ``type:x``, ``range:x``, ``unknown:x``.
+    pattern: str | None = None
+    one_of: tuple[str, ...] = ()
+    fields: dict[str, Schema] = field(default_factory=dict)
+    items: Schema | None = None
+    open: bool = False
+
+
+#: How the types of VARIANT values start, by kind.
+KINDS = {"object": ("OBJECT",), "array": ("ARRAY",), "string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DOUBLE", "FLOAT", "DECIMAL"), "boolean": ("BOOLEAN",), "any": ("",)}
+NONE = "array<string>"
+
+
+def _errors(value: Column, schema: Schema, path: Column) -> Column:
+    """What is wrong with a VARIANT value: ``missing``, ``type``, ``range``, ``length``, ``size``, ``pattern``, ``enum`` or ``unknown``, each with its path."""
+    say = lambda what: F.concat(F.lit(f"{what}:"), path)
+    nothing = F.array().cast(NONE)
+    kind = F.schema_of_variant(value)
+    right = F.lit(False)
+    for k in KINDS[schema.kind]:
+        right = right | kind.startswith(k)
+    found: list[Column] = []
+
+    def unless(good: Column, what: str) -> None:
+        found.append(F.when(good, nothing).otherwise(F.array(say(what))))
+
+    measure, what = {
+        "string": (F.length(F.try_variant_get(value, "$", "string")), "length"), "array": (F.size(F.try_variant_get(value, "$", "array<variant>")), "size"),
+    }.get(schema.kind, (F.try_variant_get(value, "$", "double"), "range"))
+    if schema.least is not None or schema.most is not None:
+        low = F.lit(True) if schema.least is None else measure >= schema.least
+        unless(low if schema.most is None else low & (measure <= schema.most), what)
+    if schema.pattern is not None:
+        unless(F.try_variant_get(value, "$", "string").rlike(schema.pattern), "pattern")
+    if schema.one_of:
+        unless(F.to_json(value).isin(*schema.one_of), "enum")
+    if schema.items is not None:
+        items = F.try_variant_get(value, "$", "array<variant>")
+        found.append(F.flatten(F.transform(items, lambda x, i: _errors(x, schema.items, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))))
+    if schema.kind == "object":
+        # As a map, so that any name is a key and none a path.
+        own = F.try_variant_get(value, "$", "map<string, variant>")
+        below = lambda name: F.when(path == "", name).otherwise(F.concat(path, F.lit("."), name))
+        found += [_errors(F.try_element_at(own, F.lit(name)), s, below(F.lit(name))) for name, s in schema.fields.items()]
+        if not schema.open:
+            unknown = F.array_except(F.map_keys(own), F.array(*map(F.lit, schema.fields)).cast(NONE))
+            found.append(F.transform(unknown, lambda k: F.concat(F.lit("unknown:"), below(k))))
+    absent = value.isNull() | (kind == "VOID")
+    inside = F.concat(*found) if found else nothing
+    return F.when(absent, F.array(say("missing")) if schema.required else nothing).when(~right, F.array(say("type"))).otherwise(inside)
+
+
+def argument_errors(tool: str | Column, arguments: str | Column, tools: dict[str, Schema]) -> Column:
+    """Sorted array of what is wrong: ``json``, ``tool`` (not known), or the errors of the tool's schema.
 
     Null or broken JSON, or JSON that is no object, is ``json``.
     """
     name = F.col(tool) if isinstance(tool, str) else tool
-    value = F.try_parse_json(F.col(arguments))
-    whole = F.coalesce(F.schema_of_variant(value), F.lit(""))
-    known = F.coalesce(name.isin(*{r.tool for r in rules}), F.lit(False))
-    checks = []
-    for r in rules:
-        own = F.try_variant_get(value, f"$.{r.name}", "variant")
-        kind = F.schema_of_variant(own)
-        here = name == r.tool
-        absent = own.isNull() | (kind == "VOID")
-        right = F.lit(False)
-        for k in KINDS[r.kind]:
-            right = right | kind.startswith(k)
-        number = F.try_variant_get(value, f"$.{r.name}", "double")
-        outside = F.lit(False)
-        if r.least is not None:
-            outside = outside | (number < r.least)
-        if r.most is not None:
-            outside = outside | (number > r.most)
-        error = F.when(here & absent, F.lit(f"missing:{r.name}") if r.required else F.lit(None)).when(here & ~right, F.lit(f"type:{r.name}")).when(here & outside, F.lit(f"range:{r.name}"))
-        checks.append(error)
-    keys = F.coalesce(F.json_object_keys(F.col(arguments)), F.array().cast("array<string>"))
-    allowed = None
-    for t in sorted({r.tool for r in rules}):
-        own = F.array(*[F.lit(r.name) for r in rules if r.tool == t])
-        allowed = F.when(name == t, own) if allowed is None else allowed.when(name == t, own)
-    unknown = F.transform(F.array_except(keys, allowed), lambda k: F.concat(F.lit("unknown:"), k))
-    found = F.array_sort(F.concat(F.filter(F.array(*checks), lambda x: x.isNotNull()), unknown))
-    return F.when(~whole.startswith("OBJECT"), F.array(F.lit("json"))).when(~known, F.array(F.lit("tool"))).otherwise(found)
-
-
-def canonical(arguments: str) -> Column:
-    """The same JSON with sorted keys and no white space; null if it is broken."""
-    return F.to_json(F.try_parse_json(F.col(arguments)))
+    value = F.try_parse_json(F.col(arguments) if isinstance(arguments, str) else arguments)
+    out = F.when(~F.coalesce(F.schema_of_variant(value), F.lit("")).startswith("OBJECT"), F.array(F.lit("json")))
+    for own, schema in tools.items():
+        out = out.when(name == own, F.array_sort(_errors(value, schema, F.lit(""))))
+    return out.otherwise(F.array(F.lit("tool")))
 
 
 def ordered(calls: DataFrame) -> DataFrame:
@@ -82,126 +107,175 @@ def ordered(calls: DataFrame) -> DataFrame:
     follows those it depends on.  A call's place is the largest (position, call_id)
     among itself and all it waits for; ``wave`` counts, for calls with one place, the
     dependencies that point forward.  A call on a cycle, or after one, has no row.
-    Dependencies on calls that the conversation does not have are ignored.
+    Dependencies on calls that the conversation does not have are ignored, repeated ones
+    count once.  Ids must be unique and not null.  Rounds: the logarithm of the longest chain of calls with one open
+    dependency each, and one more for each level at which calls with several meet.
     """
     own = calls.select("conv_id", "call_id", F.struct(F.col("position").alias("p"), F.col("call_id").alias("c")).alias("at"))
-    edges = calls.select("conv_id", "call_id", F.explode("depends_on").alias("dep")).distinct()
-    edges = edges.join(own, ["conv_id", "call_id"]).join(own.select("conv_id", F.col("call_id").alias("dep"), F.col("at").alias("dep_at")), ["conv_id", "dep"])
-    edges = written(edges.withColumn("forward", (F.col("dep_at") >= F.col("at")).cast("int")), "call-edges")
-    tangled = written(edges.groupBy("conv_id").agg(F.sum("forward").alias("most")).where("most > 0"), "call-tangled")
-    place = lambda at, wave: F.struct(at.alias("at"), wave.alias("wave"))
-    start = own.join(tangled, "conv_id", "left").withColumn("v", place(F.col("at"), F.lit(0)))
-    plain = start.where("most IS NULL")
-    state = written(start.where("most IS NOT NULL").withColumn("cyclic", F.lit(False)), "call-places")
-    links = written(edges.join(tangled.select("conv_id"), "conv_id", "left_semi").select("conv_id", "call_id", "dep", "forward"), "call-links")
-    changed = tangled.limit(1).count()
-    while changed:
-        # Places only grow, so this ends: in an acyclic conversation no wave passes the number of its forward dependencies.
-        deps = state.select("conv_id", F.col("call_id").alias("dep"), F.col("v").alias("d"), F.col("cyclic").alias("_bad"))
-        best = links.join(deps, ["conv_id", "dep"]).groupBy("conv_id", "call_id").agg(F.max(place(F.col("d.at"), (F.col("d.wave") + F.col("forward")).cast("int"))).alias("_v"), F.max("_bad").alias("_bad"))
-        grown = state.join(best, ["conv_id", "call_id"], "left")
-        value = F.when(F.col("cyclic"), F.col("v")).otherwise(F.greatest(F.col("v"), F.coalesce("_v", "v")))
-        bad = F.col("cyclic") | F.coalesce("_bad", F.lit(False)) | (value["wave"] > F.col("most"))
-        state = written(
-            grown.select("conv_id", "call_id", "at", "most", value.alias("v"), bad.alias("cyclic"), ((value != F.col("v")) | (bad != F.col("cyclic"))).alias("_new")), "call-places"
+    named = calls.select("conv_id", "call_id", F.struct(F.col("position").alias("p"), F.col("call_id").alias("c")).alias("at"), F.explode(F.array_distinct("depends_on")).alias("dep"))
+    edges = named.join(own.select("conv_id", F.col("call_id").alias("dep"), F.col("at").alias("dep_at")), ["conv_id", "dep"])
+    edges = written(edges.select("conv_id", "call_id", "dep", (F.col("dep_at") >= F.col("at")).cast("bigint").alias("k")), "call-edges")
+    tangled = written(edges.groupBy("conv_id").agg(F.sum("k").alias("most")).where("most > 0"), "call-tangled")
+    plain = own.join(tangled, "conv_id", "left_anti").select("conv_id", "call_id", F.struct("at", F.lit(0).cast("bigint").alias("wave")).alias("place"))
+    # ``links``: the calls that a call waits for, and how many forward dependencies lie on the way.
+    links = edges.join(tangled.select("conv_id"), "conv_id", "left_semi").groupBy("conv_id", "call_id").agg(F.collect_list(F.struct("dep", "k")).alias("links"))
+    state = own.join(tangled, "conv_id").join(links, ["conv_id", "call_id"], "left")
+    state = state.select("conv_id", "call_id", "most", F.struct("at", F.lit(0).cast("bigint").alias("wave")).alias("place"), F.coalesce("links", F.array().cast("array<struct<dep:string,k:bigint>>")).alias("links"), F.lit(False).alias("bad"), F.lit(True).alias("moved"))
+    state = written(state, "call-places")
+    settled: list[DataFrame] = []  # of each round, what waits for nothing more, or goes round
+    while True:
+        seen = state.agg(F.count_if(F.size("links") > 0).alias("open"), F.count_if("moved").alias("moved")).first()
+        settled.append(state.where(F.size("links") == 0))
+        if not seen["open"] or not seen["moved"]:
+            break  # if nothing moved, each of what is left waits for a cycle
+        target = state.where(F.size("links") > 0)
+        for more in settled:
+            target = target.unionByName(more)
+        target = target.select(
+            "conv_id", F.col("call_id").alias("dep"), F.col("place").alias("d"), F.size("links").alias("n"), F.get("links", F.lit(0)).alias("next"), F.col("bad").alias("_bad")
         )
-        changed = state.where("_new").limit(1).count()
-        state = state.drop("_new")
-    found = plain.select("conv_id", "call_id", "v").unionByName(state.where("NOT cyclic").select("conv_id", "call_id", "v"))
-    return found.select("conv_id", "call_id", F.col("v.at.p").alias("after_position"), F.col("v.at.c").alias("after_call"), F.col("v.wave").alias("wave"))
-
-
-def link_calls(calls: DataFrame, results: DataFrame, rules: list[Field]) -> DataFrame:
-    """One row per call and per result that answers none: ``conv_id, call_id, position, after_position, after_call, wave, status, errors, json``.
+        link = state.where(F.size("links") > 0).select("conv_id", "call_id", "most", "place", F.inline("links")).join(target, ["conv_id", "dep"])
+        passed = F.when(F.col("n") < 2, F.struct(F.col("d.at").alias("at"), (F.col("d.wave") + F.col("k")).alias("wave")))
+        ahead = F.when(F.col("n") == 1, F.struct(F.col("next.dep").alias("dep"), (F.col("k") + F.col("next.k")).alias("k"))).when(F.col("n") > 1, F.struct("dep", "k"))
+        link = link.select("conv_id", "call_id", "most", "place", passed.alias("passed"), ahead.alias("ahead"), F.col("_bad"), (F.col("n") < 2).alias("_moved"))
+        grown = link.groupBy("conv_id", "call_id").agg(
+            F.first("most").alias("most"), F.greatest(F.first("place"), F.coalesce(F.max("passed"), F.first("place"))).alias("place"),
+            F.array_sort(F.collect_list("ahead")).alias("links"),
+            # More forward dependencies on the way than the conversation has: the way goes round.
+            (F.max("_bad") | F.coalesce(F.max(F.col("ahead.k") > F.col("most")), F.lit(False))).alias("bad"), F.max("_moved").alias("moved"),
+        )
+        last = lambda x, i: F.coalesce(F.get("links", i + 1)["dep"] != x["dep"], F.lit(True))
+        state = written(grown.withColumn("links", F.when(F.col("bad"), F.slice("links", 1, 0)).otherwise(F.filter("links", last))), "call-places")
+    out = plain
+    for more in settled:
+        out = out.unionByName(more.where("NOT bad").select("conv_id", "call_id", "place"))
+    return out.select("conv_id", "call_id", F.col("place.at.p").alias("after_position"), F.col("place.at.c").alias("after_call"), F.col("place.wave").cast("int").alias("wave"))
+
+
+def link_calls(calls: DataFrame, results: DataFrame, tools: dict[str, Schema], messages: DataFrame | None = None) -> DataFrame:
+    """One row per call, per result that answers none, and per message: ``conv_id, call_id, position, after_position, after_call, wave, status, errors, json``.
 
     ``calls``: conv_id, call_id, position, name, arguments (JSON), depends_on.  ``results``:
-    conv_id, call_id, content.  Status is ``invalid`` (errors in the arguments),
-    else ``cyclic``, else ``unanswered``, else ``answered``; ``orphan`` for a result
-    without a call.  Of several results of a call the smallest content counts, and
-    of repeated call ids the first and smallest call.  See ``ordered`` for the order.
-    Null ids never link; an empty table gives no
-    rows.
+    conv_id, call_id, content.  ``messages``, of any other turns: conv_id, position, role, content.
+    Status is ``invalid`` (errors in the arguments), else ``cyclic``, else ``unanswered``, else
+    ``answered``; ``orphan`` for a result without a call, ``message`` for a message, and
+    ``unlinked`` for a call or result whose conversation or call id is null: these never link, and
+    each is a row of its own.  Of several results of a call the smallest content counts, and of
+    repeated call ids the first and smallest call.  See ``ordered`` for the order.  Texts are
+    carried whole, however long; null and empty ones differ in the JSON.  Other columns are not
+    read; an empty table gives no rows.
     """
+    identified = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     body = F.struct("position", "name", "arguments", "depends_on")
-    own = calls.where(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()).groupBy("conv_id", "call_id").agg(F.min(body).alias("c"))
+    own = calls.where(identified).groupBy("conv_id", "call_id").agg(F.min(body).alias("c"))
     own = written(own.select("conv_id", "call_id", "c.*"), "calls")
-    answers = results.where(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()).groupBy("conv_id", "call_id").agg(F.min("content").alias("content"), F.lit(True).alias("_answered"))
-    linked = own.withColumn("_call", F.lit(True)).join(answers, ["conv_id", "call_id"], "full").join(ordered(own), ["conv_id", "call_id"], "left")
-    errors = F.when(F.col("_call"), argument_errors("name", "arguments", rules)).otherwise(F.array().cast("array<string>"))
+    answers = results.where(identified).groupBy("conv_id", "call_id").agg(F.min("content").alias("content"), F.lit(True).alias("_answered"))
+    linked = own.withColumn("_call", F.lit(True)).join(answers, ["conv_id", "call_id"], "full").join(ordered(own.select("conv_id", "call_id", "position", "depends_on")), ["conv_id", "call_id"], "left")
+    errors = F.when(F.col("_call"), argument_errors("name", "arguments", tools)).otherwise(F.array().cast(NONE))
     status = (
         F.when(F.col("_call").isNull(), "orphan").when(F.size("errors") > 0, "invalid").when(F.col("wave").isNull(), "cyclic").when(F.col("_answered").isNull(), "unanswered").otherwise("answered")
     )
-    out = linked.withColumn("errors", errors).withColumn("status", status)
-
-    def text(value: Column) -> Column:
-        return F.coalesce(F.to_json(F.to_variant_object(F.array(value))).substr(F.lit(2), F.length(F.to_json(F.to_variant_object(F.array(value)))) - 2), F.lit("null"))
-
-    line = F.concat(
-        F.lit('{"arguments":'), F.coalesce(canonical("arguments"), F.lit("null")), F.lit(',"id":'), text(F.col("call_id")), F.lit(',"name":'), text(F.col("name")),
-        F.lit(',"result":'), text(F.col("content")), F.lit(',"status":"'), F.col("status"), F.lit('"}'),
-    )
-    return out.select("conv_id", "call_id", "position", "after_position", "after_call", "wave", "status", F.array_join("errors", ",").alias("errors"), line.alias("json"))
+    out = linked.withColumn("errors", errors).withColumn("status", status).drop("_call", "_answered", "depends_on")
+    # Rows that cannot link.
+    loose = calls.where(~identified).select("conv_id", "call_id", "position", "name", "arguments", argument_errors("name", "arguments", tools).alias("errors"))
+    loose = loose.unionByName(results.where(~identified).select("conv_id", "call_id", "content"), allowMissingColumns=True)
+    out = out.unionByName(loose.withColumn("errors", F.coalesce("errors", F.array().cast(NONE))).withColumn("status", F.lit("unlinked")), allowMissingColumns=True)
+    fields = F.struct(F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("id"), "name", F.col("content").alias("result"), "status")
+    columns = ["conv_id", "call_id", "position", "after_position", "after_call", "wave", "status"]
+    # The names of the fields are in order, and VARIANT objects keep theirs so.
+    out = out.select(*columns, F.array_join("errors", ",").alias("errors"), F.to_json(fields, {"ignoreNullFields": "false"}).alias("json"))
+    if messages is None:
+        return out
+    said = F.to_json(F.struct("content", "role"), {"ignoreNullFields": "false"})
+    told = messages.select("conv_id", "position", F.col("position").alias("after_position"), F.lit(0).alias("wave"), F.lit("message").alias("status"), F.lit("").alias("errors"), said.alias("json"))
+    return out.unionByName(told, allowMissingColumns=True)
 
 
 #: The tools that op9 derives from user turns.
-RULES = [
-    Field("search", "query", "string"), Field("search", "limit", "integer", least=1, most=5),
-    Field("summarize", "ratio", "number", least=0, most=1), Field("summarize", "text", "string"),
-    Field("translate", "text", "string"), Field("translate", "to", "string"), Field("translate", "formal", "boolean", required=False),
-]
-
-
-def derived_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tool calls from user turns and results from assistant turns of ``conv_id, turn, role, text``.
-
-    Turn t of a user calls a tool chosen by the length of its text, and depends on
-    the user turn two before it, or two after it where t % 10 = 4 (whose own
-    dependency is then left out).  An assistant turn answers the turn before it.
+TOOLS = {
+    "search": Schema("object", fields={"query": Schema("string", least=1), "limit": Schema("integer", least=1, most=5)}),
+    "summarize": Schema("object", fields={
+        "text": Schema("string"),
+        "style": Schema("object", fields={"tone": Schema("string", one_of=('"plain"', '"formal"')), "parts": Schema("array", least=1, items=Schema("integer", most=4))}),
+    }),
+    "translate": Schema("object", fields={"text": Schema("string"), "to": Schema("string", pattern="^[a-z]{2}$"), "formal": Schema("boolean", required=False)}),
+}
+
+
+def derived_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tool calls from user turns, results from assistant turns and messages from all others of ``conv_id, turn, role, text``.
+
+    A user's turn calls a tool chosen by the length of its text, with the whole text among
+    its arguments.  By the conversation's id it depends on the turn two before it; or
+    (1) on the one two after it; or (2) the third and fourth turns on each other, which
+    is a cycle; or (3) the first turns on several later ones.  An assistant's turn answers
+    the turn before it.
     """
     call_id = lambda t: F.concat(F.lit("call-"), F.lpad(t.cast("string"), 6, "0"))
     text, turn = F.coalesce(F.col("text"), F.lit("")), F.col("turn")
     n = F.length(text)
-    word = F.substring(text, 1, 40)
-    name = F.element_at(F.array(F.lit("search"), F.lit("summarize"), F.lit("translate")), (n % 3 + 1).cast("int"))
+    pick = lambda c, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (c % len(xs) + 1).cast("int"))
+    name = pick(n, "search", "summarize", "translate")
+    style = F.struct(F.array(n % 5, n % 7).alias("parts"), pick(n, "plain", "formal", "loud", None).alias("tone"))
     arguments = (
-        F.when(n % 3 == 0, F.to_json(F.struct(word.alias("query"), (n % 7).alias("limit"))))
-        .when(n % 3 == 1, F.to_json(F.struct(word.alias("text"), (n % 9 / F.lit(8.0)).alias("ratio"))))
-        .otherwise(F.to_json(F.struct(F.when(n % 4 > 0, F.lit("en")).alias("to"), word.alias("text"), (n % 2 == 0).alias("formal"))))
+        F.when(n % 3 == 0, F.to_json(F.struct(text.alias("query"), (n % 7).alias("limit"))))
+        .when(n % 3 == 1, F.to_json(F.struct(text.alias("text"), style.alias("style"))))
+        .otherwise(F.to_json(F.struct(pick(n, None, "en", "EN", "fr").alias("to"), text.alias("text"), (n % 2 == 0).alias("formal"))))
     )
-    dep = F.when(turn % 10 == 4, F.array(call_id(turn + 2))).when(turn % 10 == 6, F.array().cast("array<string>")).otherwise(F.array(call_id(turn - 2)))
+    on = lambda *steps: F.array(*[call_id(turn + s) for s in steps]).cast(NONE)
+    kind, place = F.pmod("conv_id", F.lit(4)), F.floor(turn / 2)
+    dep = (
+        F.when(kind == 1, on(2))
+        .when((kind == 2) & (place == 1), on(2))
+        .when((kind == 3) & (place == 0), on(2, 4)).when((kind == 3) & (place == 1), on(2)).when((kind == 3) & (place == 2), on()).when(kind == 3, on(-2, -4))
+        .otherwise(on(-2))
+    )
     calls = conversations.where("role = 'user'").select("conv_id", call_id(turn).alias("call_id"), turn.alias("position"), name.alias("name"), arguments.alias("arguments"), dep.alias("depends_on"))
     results = conversations.where("role = 'assistant'").select("conv_id", call_id(turn - 1).alias("call_id"), F.col("text").alias("content"))
-    return calls, results
+    others = conversations.where("role IS NULL OR role NOT IN ('user', 'assistant')").select("conv_id", turn.alias("position"), "role", F.col("text").alias("content"))
+    return calls, results, others
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = derived_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return link_calls(calls, results, RULES)
+    calls, results, others = derived_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return link_calls(calls, results, TOOLS, others)
 
 
 OP9_SQL = r"""
-WITH u AS (
-  SELECT conv_id, turn, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, substr(coalesce(text, ''), 1, 40) AS w FROM conversations WHERE role = 'user'),
+WITH RECURSIVE u AS (
+  SELECT conv_id, turn, 'call-' || lpad(cast(turn AS VARCHAR), 6, '0') AS call_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, conv_id % 4 AS kind, turn // 2 AS place
+  FROM conversations WHERE role = 'user'),
 calls AS (
-  SELECT conv_id, 'call-' || lpad(cast(turn AS VARCHAR), 6, '0') AS call_id, turn,
-         ['search', 'summarize', 'translate'][n % 3 + 1] AS name,
-         CASE n % 3 WHEN 0 THEN '{"limit":' || (n % 7) || ',"query":' || to_json(w) || '}'
-                    WHEN 1 THEN '{"ratio":' || CASE WHEN n % 9 IN (0, 8) THEN cast(cast((n % 9) / 8 AS INT) AS VARCHAR) ELSE cast((n % 9) / 8.0 AS DOUBLE)::VARCHAR END || ',"text":' || to_json(w) || '}'
-                    ELSE '{"formal":' || (n % 2 = 0)::VARCHAR || ',"text":' || to_json(w) || CASE WHEN n % 4 > 0 THEN ',"to":"en"' ELSE '' END || '}' END AS arguments,
-         CASE n % 3 WHEN 0 THEN CASE WHEN n % 7 NOT BETWEEN 1 AND 5 THEN 'range:limit' ELSE '' END
-                    WHEN 2 THEN CASE WHEN n % 4 = 0 THEN 'missing:to' ELSE '' END ELSE '' END AS errors,
-         CASE WHEN turn % 10 = 4 THEN turn + 2 WHEN turn % 10 = 6 THEN NULL ELSE turn - 2 END AS dep
+  SELECT *, ['search', 'summarize', 'translate'][n % 3 + 1] AS name,
+         CASE n % 3 WHEN 0 THEN '{"limit":' || (n % 7) || ',"query":' || to_json(t) || '}'
+                    WHEN 1 THEN '{"style":{"parts":[' || (n % 5) || ',' || (n % 7) || ']' || ['', '', ',"tone":"loud"', ''][n % 4 + 1] || CASE n % 4 WHEN 0 THEN ',"tone":"plain"' WHEN 1 THEN ',"tone":"formal"' ELSE '' END || '},"text":' || to_json(t) || '}'
+                    ELSE '{"formal":' || (n % 2 = 0)::VARCHAR || ',"text":' || to_json(t) || CASE n % 4 WHEN 0 THEN '' WHEN 1 THEN ',"to":"en"' WHEN 2 THEN ',"to":"EN"' ELSE ',"to":"fr"' END || '}' END AS arguments,
+         array_to_string(list_sort(list_filter(CASE n % 3
+           WHEN 0 THEN [CASE WHEN n = 0 THEN 'length:query' END, CASE WHEN n % 7 NOT BETWEEN 1 AND 5 THEN 'range:limit' END]
+           WHEN 1 THEN [CASE n % 4 WHEN 2 THEN 'enum:style.tone' WHEN 3 THEN 'missing:style.tone' END, CASE WHEN n % 7 > 4 THEN 'range:style.parts[1]' END]
+           ELSE [CASE n % 4 WHEN 0 THEN 'missing:to' WHEN 2 THEN 'pattern:to' END] END, lambda x: x IS NOT NULL)), ',') AS errors,
+         CASE WHEN kind = 1 OR kind = 2 AND place = 1 OR kind = 3 AND place = 1 THEN [turn + 2] WHEN kind = 3 AND place = 0 THEN [turn + 2, turn + 4]
+              WHEN kind = 3 AND place = 2 THEN [] WHEN kind = 3 THEN [turn - 2, turn - 4] ELSE [turn - 2] END AS deps
   FROM u),
-lv AS (
-  SELECT c.conv_id, c.turn, CASE WHEN d.turn > c.turn THEN d.turn ELSE c.turn END AS after_position, CASE WHEN d.turn > c.turn THEN d.call_id ELSE c.call_id END AS after_call, CASE WHEN d.turn > c.turn THEN 1 ELSE 0 END AS wave
-  FROM calls c LEFT JOIN calls d ON c.conv_id = d.conv_id AND c.dep = d.turn),
+e AS (SELECT c.conv_id, c.turn AS a, d.turn AS b, cast(d.turn >= c.turn AS INT) AS f FROM (SELECT conv_id, turn, unnest(deps) AS dep FROM calls) c JOIN calls d ON d.conv_id = c.conv_id AND d.turn = c.dep),
+reach AS (SELECT conv_id, a, b FROM e UNION SELECT r.conv_id, r.a, e.b FROM reach r JOIN e ON e.conv_id = r.conv_id AND e.a = r.b),
+loops AS (SELECT conv_id, a FROM reach WHERE a = b),
+stuck AS (SELECT conv_id, a FROM loops UNION SELECT r.conv_id, r.a FROM reach r JOIN loops l ON l.conv_id = r.conv_id AND l.a = r.b),
+walk AS (
+  SELECT conv_id, turn AS a, turn AS b, 0 AS k FROM calls c WHERE NOT EXISTS (SELECT 1 FROM stuck s WHERE s.conv_id = c.conv_id AND s.a = c.turn)
+  UNION SELECT w.conv_id, w.a, e.b, w.k + e.f FROM walk w JOIN e ON e.conv_id = w.conv_id AND e.a = w.b),
+lv AS (SELECT conv_id, a AS turn, max(struct_pack(b := b, k := k)) AS v FROM walk GROUP BY conv_id, a),
 res AS (SELECT conv_id, 'call-' || lpad(cast(turn - 1 AS VARCHAR), 6, '0') AS call_id, min(text) AS content, true AS answered FROM conversations WHERE role = 'assistant' GROUP BY ALL),
 j AS (
-  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn AS position, lv.after_position, lv.after_call, lv.wave, coalesce(c.errors, '') AS errors, c.name, c.arguments, r.content,
-         CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN c.errors <> '' THEN 'invalid' WHEN lv.wave IS NULL THEN 'cyclic' WHEN r.answered IS NULL THEN 'unanswered' ELSE 'answered' END AS status
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn AS position, lv.v.b AS after_position, 'call-' || lpad(cast(lv.v.b AS VARCHAR), 6, '0') AS after_call, lv.v.k AS wave,
+         coalesce(c.errors, '') AS errors, c.name, c.arguments, r.content,
+         CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN c.errors <> '' THEN 'invalid' WHEN lv.v IS NULL THEN 'cyclic' WHEN r.answered IS NULL THEN 'unanswered' ELSE 'answered' END AS status
   FROM calls c FULL JOIN res r ON c.conv_id = r.conv_id AND c.call_id = r.call_id LEFT JOIN lv ON lv.conv_id = c.conv_id AND lv.turn = c.turn)
 SELECT conv_id, call_id, position, after_position, after_call, wave, status, errors,
        '{"arguments":' || coalesce(arguments, 'null') || ',"id":' || to_json(call_id) || ',"name":' || coalesce(to_json(name)::VARCHAR, 'null')
        || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || ',"status":"' || status || '"}' AS json
 FROM j
+UNION ALL
+SELECT conv_id, NULL, turn, turn, NULL, 0, 'message', '', '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}'
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 """

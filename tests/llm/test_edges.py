@@ -131,24 +131,58 @@ def test_near_stage_keeps_rows_without_an_id(spark):
             assert {"", "alone without an id", "twice the same"} <= set(none) and {near, near + " end"} & set(none)
 
 
+CALLS = "conv_id string, call_id string, position int, name string, arguments string, depends_on array<string>"
+
+
 def test_calls(spark):
-    rules = [tool_calls.Field("f", "n", "integer", least=0, most=9), tool_calls.Field("f", "s", "string", required=False)]
+    own = tool_calls.Schema("object", fields={"n": tool_calls.Schema("integer", least=0, most=9), "s": tool_calls.Schema("string", required=False)})
     rows = [
         ("c", "a", "f", '{"s": "x", "n": 3}', ["b"]), ("c", "b", "f", '{"n": 1}', []), ("c", "x", "f", '{"n": 1}', ["y"]), ("c", "y", "f", '{"n": 1}', ["x"]), ("c", "z", "f", '{"n": 1}', ["y"]),
         ("c", "e1", "f", "{", None), ("c", "e2", "g", "{}", ["gone"]), ("c", "e3", "f", '{"n": "1", "t": null}', []), ("c", "e4", "f", '{"n": 10}', []), ("c", "e5", "f", None, []), ("c", "e6", "f", "[1]", []), ("c", "e7", "f", "{}", []),
-        ("d", "a", "f", '{"n": 0}', []), (None, "a", "f", "{}", []), ("d", None, "f", "{}", []),
+        ("d", "a", "f", '{"n": 0}', []), (None, "a", "f", "{}", []), ("d", None, "f", "{}", []), ("d", "a", "f", '{"n": 7}', ["a"]), (None, "a", "f", "{}", []),
     ]
-    rows = [(c, i, k, *rest) for k, (c, i, *rest) in enumerate(rows)]
-    calls = spark.createDataFrame(rows, "conv_id string, call_id string, position int, name string, arguments string, depends_on array<string>")
-    results = spark.createDataFrame([("c", "a", 'say "é"\n'), ("c", "a", "zz"), ("d", "q", None), ("d", "a", None)], "conv_id string, call_id string, content string")
-    got = {(r.conv_id, r.call_id): r for r in tool_calls.link_calls(calls, results, rules).collect()}
-    assert len(got) == 14
+    rows = [(c, i, k, *rest, "v", 1) for k, (c, i, *rest) in enumerate(rows)]
+    calls = spark.createDataFrame(rows, CALLS + ", place string, links int")  # names that the operator uses inside
+    results = spark.createDataFrame([("c", "a", 'say "é"\n', 1), ("c", "a", "zz", 1), ("d", "q", None, 1), ("d", "a", None, 1), ("c", None, "lost", 1)], "conv_id string, call_id string, content string, status int")
+    messages = spark.createDataFrame([("c", 0, "system", LONG), (None, None, None, None)], "conv_id string, position int, role string, content string")
+    found = tool_calls.link_calls(calls, results, {"f": own}, messages).collect()
+    got = {(r.conv_id, r.call_id): r for r in found if r.status not in ("unlinked", "message")}
+    assert len(got) == 14 and len(found) == 20
+    assert sorted((str(r.conv_id), str(r.call_id), r.errors) for r in found if r.status == "unlinked") == [("None", "a", "missing:n")] * 2 + [("c", "None", ""), ("d", "None", "missing:n")]
+    assert sorted(r.json for r in found if r.status == "message") == ['{"content":"' + LONG + '","role":"system"}', '{"content":null,"role":null}']
     assert got[("c", "a")].json == '{"arguments":{"n":3,"s":"x"},"id":"a","name":"f","result":"say \\"é\\"\\n","status":"answered"}'
     assert [tuple(got[("c", k)])[2:6] for k in "ab"] == [(0, 1, "b", 1), (1, 1, "b", 0)] and got[("c", "b")].status == "unanswered"
     assert {got[("c", k)].status for k in "xyz"} == {"cyclic"} and got[("d", "q")].status == "orphan" and got[("d", "a")].status == "answered"
     errors = {k: got[("c", k)].errors for k in ("e1", "e2", "e3", "e4", "e5", "e6", "e7")}
     assert errors == {"e1": "json", "e2": "tool", "e3": "type:n,unknown:t", "e4": "range:n", "e5": "json", "e6": "json", "e7": "missing:n"}
-    assert tool_calls.link_calls(calls.where("false"), results.where("false"), rules).count() == 0
+    assert tool_calls.link_calls(calls.where("false"), results.where("false"), {"f": own}, messages.where("false")).count() == 0
+
+
+def test_nested_schemas(spark):
+    s = tool_calls.Schema
+    own = s("object", fields={
+        "a.b": s("integer"), "it's \"q\"": s("boolean", required=False), "who": s("object", required=False, open=True, fields={"name": s("string", least=2, most=4)}),
+        "tags": s("array", required=False, most=2, items=s("object", fields={"k": s("string", pattern="^x")})), "mode": s("string", required=False, one_of=('"on"', '"off"')), "any": s(required=False),
+    })
+    want = {
+        '{"a.b": 3, "a": {"b": "x"}}': "unknown:a", '{"a.b": 3, "it\'s \\"q\\"": 1}': 'type:it\'s "q"', '{"a.b": 1, "who": {"name": "n", "more": 1}}': "length:who.name", '{"a.b": 1, "who": {}}': "missing:who.name",
+        '{"a.b": 1, "tags": [{"k": "xa"}, {"k": "a", "z": 1}, 5]}': "pattern:tags[1].k,size:tags,type:tags[2],unknown:tags[1].z", '{"a.b": 1, "mode": "up"}': "enum:mode", '{"a.b": 1.5, "any": [1]}': "type:a.b",
+        '{"a.b": 1, "mode": "on", "tags": [], "who": null}': "", '{"a.b": true, "tags": {"k": "x"}}': "type:a.b,type:tags",
+    }
+    rows = spark.createDataFrame(list(want.items()), "arguments string, want string")
+    got = rows.select("arguments", F.array_join(tool_calls.argument_errors(F.lit("f"), "arguments", {"f": own}), ",").alias("got")).collect()
+    assert {r.arguments: r.got for r in got} == want
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    rounds, keep = [], tool_calls.written
+    monkeypatch.setattr(tool_calls, "written", lambda df, name: rounds.append(name) or keep(df, name))
+    rows = [("f", f"{k:05d}", k, [f"{k + 1:05d}"]) for k in range(2000)] + [("b", f"{k:05d}", k, [f"{k - 1:05d}"]) for k in range(500)] + [("b", "x", 500, ["y"]), ("b", "y", 501, [])]
+    rows += [("o", f"{k:05d}", k, [f"{(k + 1) % 777:05d}"]) for k in range(777)]
+    found = tool_calls.ordered(spark.createDataFrame(rows, "conv_id string, call_id string, position int, depends_on array<string>")).collect()
+    assert rounds.count("call-places") <= 15
+    own = sorted((r.after_position, r.after_call, r.wave, r.call_id) for r in found if r.conv_id == "f")
+    assert [x[-1] for x in own] == [f"{k:05d}" for k in reversed(range(2000))] and len(found) == 2000 + 502
 
 
 def test_evidence(spark, odd, labels):
@@ -177,6 +211,20 @@ def test_unknown_terms_count_in_the_length():
     assert np.allclose(model.units(np.array([0, 2, 2]), np.array([1, -1]), np.array([1, 1])), np.array([2.0, 3.0]) / 13**0.5)
 
 
+def test_cycles_of_drawn_calls(spark):
+    draw = random.Random(18)
+    edges = {(c, i): draw.sample(range(9), draw.randint(0, 2)) for c in range(40) for i in range(9)}
+    rows = [(c, str(i), i, [*map(str, deps), "gone"]) for (c, i), deps in edges.items()]
+    found = {(r.conv_id, int(r.call_id)): r for r in tool_calls.ordered(spark.createDataFrame(rows, "conv_id int, call_id string, position int, depends_on array<string>")).collect()}
+    for c in range(40):
+        left, done = set(range(9)), {}
+        while ready := [i for i in left if all(d in done for d in edges[c, i])]:
+            for i in ready:
+                done[i] = max([(i, 0), *((done[d][0], done[d][1] + (d >= i)) for d in edges[c, i])])
+                left.discard(i)
+        assert {i: (found[c, i].after_position, found[c, i].wave) for i in range(9) if (c, i) in found} == done
+
+
 def test_order_of_drawn_calls(spark):
     draw = random.Random(8)
     rows, edges = [], {}
