@@ -22,11 +22,13 @@ broadcast.  Counting and scoring run over all documents and shuffle no text.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,7 +79,7 @@ def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             text, term, n = term_counts(data, offsets)
             cuts = np.searchsorted(text, np.arange(len(offsets)))
             own = [batch.column(k).slice(at.start, at.stop - at.start) for k in (0, 1)]
-            vectors = [term[i:j].astype("<u8").tobytes() + n[i:j].astype("<u8").tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            vectors = [term[i:j].astype("<u8").tobytes() + n[i:j].astype("<u4").tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(vectors, pa.binary())], names=["doc_id", "toxic", "vector"])
 
 
@@ -86,8 +88,15 @@ class Vocabulary:
 
     def __init__(self, hashes: np.ndarray):
         self.hashes = np.sort(hashes)
-        self.door = np.zeros(1 << 22, bool)
-        self.door[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
+
+    def __getstate__(self) -> dict:
+        return {"hashes": self.hashes}
+
+    @functools.cached_property
+    def door(self) -> np.ndarray:
+        out = np.zeros(1 << 22, bool)
+        out[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
+        return out
 
     def numbers(self, term: np.ndarray) -> np.ndarray:
         """The number of each term, -1 for one that is not known."""
@@ -169,7 +178,7 @@ class Index:
         self.dense = np.full(size, -1, np.int32)  # a term's row in the blocks' matrices
         self.dense[common] = np.arange(len(common))
         inside = self.dense[term] >= 0
-        rows = np.zeros((len(n), len(common)))
+        rows = np.zeros((len(n), len(common)), np.float32)
         rows[row[inside], self.dense[term[inside]]] = weight[inside]
         order = bisected(rows)
         del rows
@@ -178,15 +187,26 @@ class Index:
         self.blocks = -(-len(n) // BLOCK)
         of = np.empty(len(n), np.int64)
         of[order] = np.arange(len(n))
-        place = of[row]
-        self.matrix = np.zeros((self.blocks, len(common), BLOCK))
-        self.matrix[place[inside] // BLOCK, self.dense[term[inside]], place[inside] % BLOCK] = weight[inside]
-        self.bounds = np.ascontiguousarray(self.matrix.max(axis=2, initial=0.0).T)
+        place = of[row].astype(np.int32)
+        # Cells of the matrices; the matrices themselves are made from them wherever the index arrives.
+        self.shape = self.blocks, len(common), BLOCK
+        self.cell = np.ravel_multi_index((place[inside] // BLOCK, self.dense[term[inside]], place[inside] % BLOCK), self.shape).astype(np.int32)
+        self.cell_weight = weight[inside]
         own, place, weight = term[~inside], place[~inside], weight[~inside]
         by_term = np.lexsort((place, own))
         self.place, self.weight = place[by_term].astype(np.int32), weight[by_term]
         self.first = np.searchsorted(own[by_term], np.arange(size + 1))  # of each term's list
 
+    @functools.cached_property
+    def matrix(self) -> np.ndarray:
+        out = np.zeros(self.shape)
+        out.ravel()[self.cell] = self.cell_weight
+        return out
+
+    @functools.cached_property
+    def bounds(self) -> np.ndarray:
+        return np.ascontiguousarray(self.matrix.max(axis=2, initial=0.0).T)
+
     def nearest(self, cuts: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each text (its terms and weights are those from cuts[i] to cuts[i + 1]) places and cosines of the
         k nearest examples with a cosine above zero, the best first, ties by the smaller id.  ``without``: a place that each text leaves out, or -1."""
@@ -195,7 +215,7 @@ class Index:
             return [(np.empty(0, np.int64), np.empty(0))] * texts
         text = np.repeat(np.arange(texts), np.diff(cuts))
         inside = self.dense[term] >= 0
-        common = np.zeros((texts, self.matrix.shape[1]))
+        common = np.zeros((texts, self.shape[1]))
         common[text[inside], self.dense[term[inside]]] = weight[inside]
         text, term, weight = text[~inside], term[~inside], weight[~inside]
         # The lists of the rarer terms, whole; then a block can reach its best such sum and what its common terms' maxima allow.
@@ -244,7 +264,6 @@ class Model:
     def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, index: Index, rare: float, base: float, none: float):
         self.vocabulary, self.idf, self.index, self.rare = vocabulary, idf, index, rare  # rare: for terms that are not known
         self.base, self.none = base, none  # shares of toxic examples: all, and those without a term
-        self.slope, self.shift = 1.0, 0.0
 
     def units(self, cuts: np.ndarray, term: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Weights of whole texts' terms (-1 for one that is not known), each text's of length one."""
@@ -269,11 +288,11 @@ class Model:
         share = min(max(share, 1e-6), 1 - 1e-6)
         return float(np.log(share / (1 - share)))
 
-    def score(self, places: np.ndarray, cosines: np.ndarray) -> tuple[float, list]:
-        """Calibrated probability and the ids of the nearest examples."""
+    def score(self, places: np.ndarray, cosines: np.ndarray, curve: tuple[float, float]) -> tuple[float, list]:
+        """Calibrated probability (by the curve's slope and shift) and the ids of the nearest examples."""
         if not len(places):
             return self.none, []
-        z = self.slope * self.vote(places, cosines) + self.shift
+        z = curve[0] * self.vote(places, cosines) + curve[1]
         return float(1 / (1 + np.exp(-z))), [self.index.doc_ids[k] for k in places[:3]]
 
 
@@ -304,8 +323,8 @@ def ratios(n: np.ndarray, toxic: np.ndarray, rows: int, positive: int) -> np.nda
     return np.where(toxic > n * part, 2 * (seen + rest), 0.0)
 
 
-def train(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """A model from ``doc_id, text`` of all documents and ``doc_id, toxic`` of those to learn from.
+def train(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[Broadcast, tuple[float, float]]:
+    """A model, broadcast, from ``doc_id, text`` of all documents and ``doc_id, toxic`` of those to learn from; and its curve.
 
     Repeated labels of an id count once (the largest); examples with equal text count
     once for each label.
@@ -316,21 +335,28 @@ def train(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Mod
     sample = written(rows.select("r.doc_id", "toxic", F.col("r.text").alias("text")).repartition(16, "doc_id"), "toxic-sample")
 
     got = sample.select("doc_id", "toxic", "text").mapInArrow(_example_terms, "doc_id bigint, toxic int, vector binary").orderBy("doc_id", "toxic").collect()
+    vectors: dict[bytes, bytes] = {}
     groups: dict[bytes, list] = {}
-    for r in got:
-        groups.setdefault(bytes(r["vector"]), []).append((r["doc_id"], min(max(r["toxic"], 0), 1)))
-    n_rows, positive = len(got), sum(y for group in groups.values() for _, y in group)
-    del got
-    plain = groups.pop(b"", [])
+    n_rows, positive = len(got), 0
+    got.reverse()
+    while got:
+        r = got.pop()
+        key = hashlib.blake2b(r["vector"], digest_size=16).digest()
+        vectors.setdefault(key, r["vector"])
+        groups.setdefault(key, []).append((r["doc_id"], min(max(r["toxic"], 0), 1)))
+        positive += groups[key][-1][1]
+    nothing = next((key for key, vector in vectors.items() if not vector), b"")
+    plain = groups.pop(nothing, [])
+    vectors.pop(nothing, None)
     members = list(groups.values())
-    width = np.array([len(vector) // 16 for vector in groups], np.int64)
+    width = np.array([len(vector) // 12 for vector in vectors.values()], np.int64)
     cuts = np.concatenate(([0], np.cumsum(width)))
-    hashes, times = np.empty(cuts[-1], np.uint64), np.empty(cuts[-1], np.int64)
-    for k, vector in enumerate(groups):
-        hashes[cuts[k] : cuts[k + 1]], times[cuts[k] : cuts[k + 1]] = np.frombuffer(vector, "<u8").reshape(2, -1)
-    groups.clear()
+    hashes, times = np.empty(cuts[-1], np.uint64), np.empty(cuts[-1], np.int32)
+    for i, j, vector in zip(cuts[:-1], cuts[1:], vectors.values(), strict=True):
+        hashes[i:j], times[i:j] = np.frombuffer(vector, "<u8", j - i), np.frombuffer(vector, "<u4", j - i, 8 * (j - i))
+    del groups, vectors
     vocabulary = Vocabulary(np.unique(hashes))
-    term = vocabulary.numbers(hashes)
+    term = vocabulary.numbers(hashes).astype(np.int32)
     del hashes
 
     size = len(vocabulary.hashes)
@@ -350,20 +376,20 @@ def train(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Mod
     place = {doc: k for k, doc in enumerate(model.index.doc_ids)}
     own = {(doc, y): (place[g[0][0]], len(g) == 1) for g in members for doc, y in g}
     del term, times, weight
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    del model
     # Every example is scored without itself, in tasks.
-    shared = docs.sparkSession.sparkContext.broadcast((model, own))
-    votes = sample.mapInArrow(_votes(shared), "doc_id bigint, toxic int, vote double").orderBy("doc_id", "toxic").toPandas()
-    shared.unpersist()
-    if votes["toxic"].nunique() > 1:
-        model.slope, model.shift = fit_logistic(votes["vote"].to_numpy(), votes["toxic"].to_numpy())
-    return model
+    votes = sample.mapInArrow(_votes(shared, own), "doc_id bigint, toxic int, vote double").orderBy("doc_id", "toxic").select("toxic", "vote").collect()
+    toxic = np.array([r["toxic"] for r in votes])
+    curve = fit_logistic(np.array([r["vote"] for r in votes]), toxic) if len(set(toxic.tolist())) > 1 else (1.0, 0.0)
+    return shared, curve
 
 
-def _votes(shared):
-    """The vote on each example by the others, for the examples that have a term."""
+def _votes(shared, own: dict):
+    """The vote on each example by the others, for the examples that have a term; ``own``: each one's place, and whether it is alone there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, own = shared.value
+        model = shared.value
         for batch in batches:
             for at, data, offsets in text_chunks(batch.column(2)):
                 text, term, n = model.vocabulary.vectors(data, offsets)
@@ -379,9 +405,8 @@ def _votes(shared):
     return run
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, shared: Broadcast, curve: tuple[float, float]) -> DataFrame:
     """``doc_id, score, evidence`` (ids of the nearest examples) from the text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = shared.value, {}
@@ -398,7 +423,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     width = np.diff(cuts)[some]
                     own = runs(cuts[some], width)
                     found = model.nearest(np.concatenate(([0], np.cumsum(width))), term[own], n[own])
-                    known.update((keys[k], model.score(*near)) for k, near in zip(some.tolist(), found, strict=True))
+                    known.update((keys[k], model.score(*near, curve)) for k, near in zip(some.tolist(), found, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at.start, at.stop - at.start), pa.array([known[k][0] for k in keys], pa.float64()), pa.array([known[k][1] for k in keys], pa.list_(pa.int64()))],
                     names=["doc_id", "score", "evidence"],
@@ -420,7 +445,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, text:
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     learnable = labels.where(~held_out("doc_id", 3, 1)).select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic")
-    scored = score(rows, train(rows, learnable, fit_rows))
+    scored = score(rows, *train(rows, learnable, fit_rows))
     return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
