@@ -41,11 +41,16 @@ def run_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/reelspan-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again with its own schema."""
+def stored(df: DataFrame, name: str) -> str:
+    """``df`` written to the shared folder: where."""
     path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again with its own schema."""
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))
 
 
 def clear(spark: SparkSession) -> None:

@@ -2,8 +2,9 @@
 
 Calls and results meet in an equi-join on their identifier.  A conversation's own
 order is kept wherever the calls that a call depends on stand before it; a call that
-has to wait takes the place of the last one it waits for.  Only conversations with a
-dependency on a later call take part in the rounds of joins that find those places.
+has to wait takes the place of the last one it waits for.  Dependencies on later calls
+span stretches of a conversation; where such stretches overlap they are one tangle, and
+only the calls of tangles take part in the rounds of joins that find those places.
 A round drops the links to calls that wait for nothing and, where a call waits for a
 single other one, links those who wait for it with that other one directly, so a
 chain halves: its rounds grow with the logarithm of its length.  Arguments are checked
@@ -15,10 +16,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelspan.llm.scratch import written
+from reelspan.llm.scratch import stored, written
+
+#: Positions in a stretch of a conversation.
+STRETCH = 4096
 
 
 @dataclass(frozen=True)
@@ -100,6 +104,27 @@ def argument_errors(tool: str | Column, arguments: str | Column, tools: dict[str
     return out.otherwise(F.array(F.lit("tool")))
 
 
+def _tangles(calls: DataFrame) -> DataFrame:
+    """``conv_id, call_id, at, reach, tangle`` of calls with the furthest call that each depends on (``reach``, itself if none is later).
+
+    A tangle starts at a call that no earlier one reaches; its name is that call's ``at``.  Running
+    maxima go by stretches of ``STRETCH`` positions and then over the stretches, so a long conversation is no single task.
+    """
+    stretch = calls.withColumn("_s", F.floor(F.col("at.p") / STRETCH))
+    inside = Window.partitionBy("conv_id", "_s").orderBy("at")
+    over = Window.partitionBy("conv_id").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+
+    def so_far(rows: DataFrame, value: str, name: str, last: int) -> DataFrame:
+        ahead = rows.groupBy("conv_id", "_s").agg(F.max(value).alias("_m")).select("conv_id", "_s", F.max("_m").over(over).alias("_ahead"))
+        here = F.max(value).over(inside.rowsBetween(Window.unboundedPreceding, last))
+        own = [c for c in rows.columns if c not in ("conv_id", "_s")]
+        return rows.withColumn(name, here).join(ahead, ["conv_id", "_s"]).select("conv_id", "_s", *own, F.greatest(name, "_ahead").alias(name))
+
+    reached = so_far(stretch, "reach", "_before", -1)
+    starts = reached.withColumn("_start", F.when(F.col("_before").isNull() | (F.col("_before") < F.col("at")), F.col("at"))).drop("_before")
+    return so_far(starts, "_start", "tangle", 0).select("conv_id", "call_id", "at", "reach", "tangle")
+
+
 def ordered(calls: DataFrame) -> DataFrame:
     """``conv_id, call_id, after_position, after_call, wave`` of calls ``conv_id, call_id, position, depends_on``.
 
@@ -108,48 +133,77 @@ def ordered(calls: DataFrame) -> DataFrame:
     among itself and all it waits for; ``wave`` counts, for calls with one place, the
     dependencies that point forward.  A call on a cycle, or after one, has no row.
     Dependencies on calls that the conversation does not have are ignored, repeated ones
-    count once.  Ids must be unique and not null.  Rounds: the logarithm of the longest chain of calls with one open
-    dependency each, and one more for each level at which calls with several meet.
+    count once.  Ids must be unique and not null; an empty table gives no rows.  Rounds: the logarithm of a
+    tangle's longest chain of calls with one open dependency each, and one more for each level at
+    which calls with several meet in it; where there are cycles, the same for all that waits for them.
     """
-    own = calls.select("conv_id", "call_id", F.struct(F.col("position").alias("p"), F.col("call_id").alias("c")).alias("at"))
-    named = calls.select("conv_id", "call_id", F.struct(F.col("position").alias("p"), F.col("call_id").alias("c")).alias("at"), F.explode(F.array_distinct("depends_on")).alias("dep"))
+    at = F.struct(F.col("position").alias("p"), F.col("call_id").alias("c"))
+    own = calls.select("conv_id", "call_id", at.alias("at"))
+    named = calls.select("conv_id", "call_id", at.alias("at"), F.explode(F.array_distinct("depends_on")).alias("dep"))
     edges = named.join(own.select("conv_id", F.col("call_id").alias("dep"), F.col("at").alias("dep_at")), ["conv_id", "dep"])
-    edges = written(edges.select("conv_id", "call_id", "dep", (F.col("dep_at") >= F.col("at")).cast("bigint").alias("k")), "call-edges")
-    tangled = written(edges.groupBy("conv_id").agg(F.sum("k").alias("most")).where("most > 0"), "call-tangled")
-    plain = own.join(tangled, "conv_id", "left_anti").select("conv_id", "call_id", F.struct("at", F.lit(0).cast("bigint").alias("wave")).alias("place"))
-    # ``links``: the calls that a call waits for, and how many forward dependencies lie on the way.
-    links = edges.join(tangled.select("conv_id"), "conv_id", "left_semi").groupBy("conv_id", "call_id").agg(F.collect_list(F.struct("dep", "k")).alias("links"))
-    state = own.join(tangled, "conv_id").join(links, ["conv_id", "call_id"], "left")
-    state = state.select("conv_id", "call_id", "most", F.struct("at", F.lit(0).cast("bigint").alias("wave")).alias("place"), F.coalesce("links", F.array().cast("array<struct<dep:string,k:bigint>>")).alias("links"), F.lit(False).alias("bad"), F.lit(True).alias("moved"))
-    state = written(state, "call-places")
-    settled: list[DataFrame] = []  # of each round, what waits for nothing more, or goes round
+    edges = written(edges.select("conv_id", "call_id", "dep", F.when(F.col("dep_at") >= F.col("at"), F.col("dep_at")).alias("to")), "call-edges")
+    reach = edges.where("to IS NOT NULL").groupBy("conv_id", "call_id").agg(F.max("to").alias("to"))
+    tangled = _tangles(own.join(reach, ["conv_id", "call_id"], "left").withColumn("reach", F.coalesce("to", "at")).drop("to"))
+    tangled = written(tangled, "call-tangles")
+    forward = edges.where("to IS NOT NULL").join(tangled.select("conv_id", "call_id", "tangle"), ["conv_id", "call_id"]).groupBy("conv_id", "tangle").agg(F.count(F.lit(1)).alias("most"))
+    place = F.struct("at", F.lit(0).cast("bigint").alias("wave")).alias("place")
+    known = written(tangled.join(forward, ["conv_id", "tangle"], "left").select("conv_id", "call_id", "tangle", "most", place), "call-known")
+    plain = known.where("most IS NULL").select("conv_id", "call_id", "place")
+    # ``links``: the calls of its tangle that a call waits for, and how many forward dependencies lie on the way.
+    inner = known.where("most IS NOT NULL").drop("place")
+    deps = inner.select("conv_id", F.col("call_id").alias("dep"), F.col("tangle").alias("_tangle"))
+    links = edges.join(inner.drop("most"), ["conv_id", "call_id"]).join(deps, ["conv_id", "dep"]).where("tangle = _tangle")
+    links = links.groupBy("conv_id", "call_id").agg(F.collect_list(F.struct("dep", F.col("to").isNotNull().cast("bigint").alias("k"))).alias("links"))
+    state = known.where("most IS NOT NULL").drop("tangle").join(links, ["conv_id", "call_id"], "left")
+    empty = F.array().cast("array<struct<dep:string,k:bigint>>")
+    state = state.select("conv_id", "call_id", "most", "place", F.coalesce("links", empty).alias("links"), F.lit(False).alias("bad"), F.lit(True).alias("moved"))
+    found = _settled(state)
+    out = plain.unionByName(found.where("NOT bad").select("conv_id", "call_id", "place"))
+    # Where a call goes round, so do all behind it that wait for it.
+    stuck = state.select("conv_id", "call_id").join(found.where("NOT bad").select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
+    stuck = written(stuck.withColumn("stuck", F.lit(True)), "call-stuck")
+    if stuck.limit(1).count():
+        again = known.join(stuck.select("conv_id").distinct(), "conv_id", "left_semi").join(stuck, ["conv_id", "call_id"], "left")
+        waits = edges.groupBy("conv_id", "call_id").agg(F.collect_list(F.struct("dep", F.lit(0).cast("bigint").alias("k"))).alias("links"))
+        again = again.join(waits, ["conv_id", "call_id"], "left")
+        bad = F.col("stuck").isNotNull()
+        again = again.select("conv_id", "call_id", F.lit(1).cast("bigint").alias("most"), "place", F.when(bad | F.col("links").isNull(), empty).otherwise(F.col("links")).alias("links"), bad.alias("bad"), F.lit(True).alias("moved"))
+        out = out.join(_settled(again).where("bad").select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
+    return out.select("conv_id", "call_id", F.col("place.at.p").alias("after_position"), F.col("place.at.c").alias("after_call"), F.col("place.wave").cast("int").alias("wave"))
+
+
+def _settled(state: DataFrame) -> DataFrame:
+    """``conv_id, call_id, place, bad`` of calls ``conv_id, call_id, most, place, links, bad, moved`` after all that they wait for.
+
+    ``links``: what a call waits for (dep), and how many forward dependencies lie on the way (k).
+    ``bad`` calls have a cycle before them: those given as such, those that wait for one, and those with
+    more than ``most`` forward dependencies on their way.  Calls that only wait for each other have no row.
+    """
+    paths = [stored(state, "call-places")]
+    shape, spark = state.schema, state.sparkSession
     while True:
+        state = spark.read.schema(shape).parquet(paths[-1])
         seen = state.agg(F.count_if(F.size("links") > 0).alias("open"), F.count_if("moved").alias("moved")).first()
-        settled.append(state.where(F.size("links") == 0))
+        # Of all rounds, what waits for nothing more.
+        settled = spark.read.schema(shape).parquet(*paths).where(F.size("links") == 0)
         if not seen["open"] or not seen["moved"]:
-            break  # if nothing moved, each of what is left waits for a cycle
-        target = state.where(F.size("links") > 0)
-        for more in settled:
-            target = target.unionByName(more)
-        target = target.select(
+            return settled.select("conv_id", "call_id", "place", "bad")
+        waiting = state.where(F.size("links") > 0)
+        target = waiting.unionByName(settled).select(
             "conv_id", F.col("call_id").alias("dep"), F.col("place").alias("d"), F.size("links").alias("n"), F.get("links", F.lit(0)).alias("next"), F.col("bad").alias("_bad")
         )
-        link = state.where(F.size("links") > 0).select("conv_id", "call_id", "most", "place", F.inline("links")).join(target, ["conv_id", "dep"])
+        link = waiting.select("conv_id", "call_id", "most", "place", F.inline("links")).join(target, ["conv_id", "dep"])
         passed = F.when(F.col("n") < 2, F.struct(F.col("d.at").alias("at"), (F.col("d.wave") + F.col("k")).alias("wave")))
         ahead = F.when(F.col("n") == 1, F.struct(F.col("next.dep").alias("dep"), (F.col("k") + F.col("next.k")).alias("k"))).when(F.col("n") > 1, F.struct("dep", "k"))
-        link = link.select("conv_id", "call_id", "most", "place", passed.alias("passed"), ahead.alias("ahead"), F.col("_bad"), (F.col("n") < 2).alias("_moved"))
+        link = link.select("conv_id", "call_id", "most", "place", passed.alias("passed"), ahead.alias("ahead"), "_bad", (F.col("n") < 2).alias("_moved"))
         grown = link.groupBy("conv_id", "call_id").agg(
             F.first("most").alias("most"), F.greatest(F.first("place"), F.coalesce(F.max("passed"), F.first("place"))).alias("place"),
             F.array_sort(F.collect_list("ahead")).alias("links"),
-            # More forward dependencies on the way than the conversation has: the way goes round.
+            # More forward dependencies on the way than there are: the way goes round.
             (F.max("_bad") | F.coalesce(F.max(F.col("ahead.k") > F.col("most")), F.lit(False))).alias("bad"), F.max("_moved").alias("moved"),
         )
         last = lambda x, i: F.coalesce(F.get("links", i + 1)["dep"] != x["dep"], F.lit(True))
-        state = written(grown.withColumn("links", F.when(F.col("bad"), F.slice("links", 1, 0)).otherwise(F.filter("links", last))), "call-places")
-    out = plain
-    for more in settled:
-        out = out.unionByName(more.where("NOT bad").select("conv_id", "call_id", "place"))
-    return out.select("conv_id", "call_id", F.col("place.at.p").alias("after_position"), F.col("place.at.c").alias("after_call"), F.col("place.wave").cast("int").alias("wave"))
+        paths.append(stored(grown.withColumn("links", F.when(F.col("bad"), F.slice("links", 1, 0)).otherwise(F.filter("links", last))), "call-places"))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, tools: dict[str, Schema], messages: DataFrame | None = None) -> DataFrame:

@@ -175,14 +175,17 @@ def test_nested_schemas(spark):
 
 
 def test_long_chains_take_few_rounds(spark, monkeypatch):
-    rounds, keep = [], tool_calls.written
-    monkeypatch.setattr(tool_calls, "written", lambda df, name: rounds.append(name) or keep(df, name))
+    rounds, keep = [], tool_calls.stored
+    monkeypatch.setattr(tool_calls, "stored", lambda df, name: rounds.append(name) or keep(df, name))
+    monkeypatch.setattr(tool_calls, "STRETCH", 100)
     rows = [("f", f"{k:05d}", k, [f"{k + 1:05d}"]) for k in range(2000)] + [("b", f"{k:05d}", k, [f"{k - 1:05d}"]) for k in range(500)] + [("b", "x", 500, ["y"]), ("b", "y", 501, [])]
     rows += [("o", f"{k:05d}", k, [f"{(k + 1) % 777:05d}"]) for k in range(777)]
+    # Each on two before it, behind a tangle: in no round at all.
+    rows += [("m", f"{k:05d}", k, [f"{k - 1:05d}", f"{k - 2:05d}"] if k > 2 else [f"{k + 1:05d}"][: 2 - k]) for k in range(900)]
     found = tool_calls.ordered(spark.createDataFrame(rows, "conv_id string, call_id string, position int, depends_on array<string>")).collect()
     assert rounds.count("call-places") <= 15
     own = sorted((r.after_position, r.after_call, r.wave, r.call_id) for r in found if r.conv_id == "f")
-    assert [x[-1] for x in own] == [f"{k:05d}" for k in reversed(range(2000))] and len(found) == 2000 + 502
+    assert [x[-1] for x in own] == [f"{k:05d}" for k in reversed(range(2000))] and len(found) == 2000 + 502 + 900
 
 
 def test_evidence(spark, odd, labels):
