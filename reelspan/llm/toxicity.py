@@ -157,7 +157,7 @@ def bisected(x: np.ndarray) -> np.ndarray:
         along = y[np.argmax((y * y).sum(axis=1))]
         for _ in range(8):
             along = y.T @ (y @ along)
-            along /= max(np.linalg.norm(along), 1e-300)
+            along /= np.linalg.norm(along) or 1
         at = at[np.argsort(y @ along, kind="stable")]
         cut = max(len(at) // 2 // BLOCK, 1) * BLOCK
         return halves(at[:cut]) + halves(at[cut:])

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -186,6 +187,108 @@ def test_language_held_out(spark, small, docs):
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) / len(held) >= 0.95
 
 
+def gram_counts(text):
+    """The n-gram buckets of a text, character by character."""
+    own = re.sub(r"[\x00-\x60\x7b-\x7f]+", " ", (text or "").lower())
+    out = collections.Counter()
+    for i in range(len(own)):
+        gram = 0
+        for order, c in enumerate(own[i : i + 3]):
+            gram = (gram * 0x100000001B3 + ord(c) + order) % (1 << 64)
+            out[gram * 0x9E3779B97F4A7C15 % (1 << 64) >> 50] += 1
+    return out
+
+
+def follow_the_leader(rows, labels, n_labels, epochs=3, alpha=0.5, beta=1.0, l1=0.3, l2=1e-3):
+    """FTRL-proximal, a coordinate at a time; rows are {bucket: weight} and None is the bias."""
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(j, c):
+        own, (a, b) = z[j, c], ((0, 0) if j is None else (l1, l2))
+        return 0.0 if abs(own) <= a else -(own - math.copysign(a, own)) / ((beta + math.sqrt(n[j, c])) / alpha + b)
+
+    order = np.random.default_rng(7)
+    for _ in range(epochs):
+        for i in order.permutation(len(rows)):
+            own = {**rows[i], None: 1.0}
+            w = {(j, c): weight(j, c) for j in own for c in range(n_labels)}
+            score = [sum(x * w[j, c] for j, x in own.items()) for c in range(n_labels)]
+            e = [math.exp(s - max(score)) for s in score]
+            for j, x in own.items():
+                for c in range(n_labels):
+                    g = x * (e[c] / sum(e) - (c == labels[i]))
+                    z[j, c] += g - (math.sqrt(n[j, c] + g * g) - math.sqrt(n[j, c])) / alpha * w[j, c]
+                    n[j, c] += g * g
+    return {(j, c): weight(j, c) for j, c in list(z)}
+
+
+def test_language_against_plain_loops(spark, small, docs):
+    """The whole query again, from the definitions, without arrays."""
+    learned = [(x, gram_counts(t)) for i, t, x, _ in docs if x is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    df = collections.Counter(b for _, bag in learned for b in bag)
+    idf = lambda b: math.log((1 + len(learned)) / (1 + df[b])) + 1
+
+    def unit(bag):
+        x = {b: n * idf(b) for b, n in sorted(bag.items())}
+        length = math.sqrt(sum(v * v for v in x.values()))
+        return {b: v / length for b, v in x.items()}
+
+    rows = []
+    for x, bag in learned:
+        own = unit(bag)
+        rows.append((x, np.array(list(own), "<u2").tobytes(), np.array(list(own.values()), "<f4").tobytes(), own))
+    rows.sort(key=lambda r: r[:3])
+    labels = sorted({r[0] for r in rows})
+    y = [labels.index(r[0]) for r in rows]
+    back = np.random.default_rng(11).permutation(len(y)) % 5 == 0
+    fitted, rest = [i for i in range(len(y)) if not back[i]], [i for i in range(len(y)) if back[i]]
+    w = follow_the_leader([rows[i][3] for i in fitted], [y[i] for i in fitted], len(labels))
+    score = lambda own: np.array([w.get((None, c), 0) + sum(v * w.get((b, c), 0) for b, v in own.items()) for c in range(len(labels))])
+    scores = [score(rows[i][3]) for i in rest]
+
+    def loss(t):
+        out = 0
+        for z, i in zip(scores, rest, strict=True):
+            logp = z / t - max(z / t) - math.log(sum(np.exp(z / t - max(z / t))))
+            e = 1 / (len(rest) + 2)
+            out -= sum(logp[c] * ((1 - e) if c == y[i] else e / (len(labels) - 1)) for c in range(len(labels)))
+        return out
+
+    t = min(np.exp(np.linspace(math.log(0.02), math.log(20), 1500)), key=loss)
+    got = {r.doc_id: r for r in queries.QUERIES["op7_language_id"](spark, small).collect()}
+    assert len(got) == len(docs)
+    for i, text, *_ in docs:
+        if not re.search(r"[^\W\d_]", text or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        p = np.exp(score(unit(gram_counts(text))) / t)
+        p /= p.sum()
+        assert abs(got[i].score - p.max()) < 5e-3 and (p.max() - np.sort(p)[-2] < 1e-2 or got[i].lang_pred == labels[int(p.argmax())])
+
+
+def test_most_language_weights_are_zero(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train(docs.selectExpr("doc_id AS id", "text", "lang").where("crc32(cast(cast(id AS string) AS binary)) % 4 <> 2"))
+    seen = (model.usual > model.usual.min(axis=0)).any(axis=1)
+    assert (model.weights[seen] == 0).mean() > 0.8
+    held = language_id.predict(docs.where("crc32(cast(cast(doc_id AS string) AS binary)) % 4 = 2"), model).collect()
+    assert sum(r.lang == r.lang_pred for r in held) / len(held) >= 0.98
+
+
+def test_language_stage(spark):
+    """What is in no language that the table has goes; all that is, however short, mixed or loud, stays."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    foreign = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "Все люди рождаются свободными и равными в своем достоинстве и правах",
+        "人人生而自由,在尊严和权利上一律平等", "xqzvkj wrtplk bvnmcx qwrtzp lkjhgf dsmnbv xzcvbq wkrtpl mnvbcx zqwxrt", "1234 567 !!", "", None, "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar",
+    ]
+    planted = spark.createDataFrame([(-1 - k, t, None, "s", 0) for k, t in enumerate(foreign)], docs.schema)
+    kept = {r.doc_id for r in language_id.keep_known(docs.unionByName(planted)).select("doc_id").collect()}
+    assert not [i for i in kept if i < 0]
+    lettered = {r.doc_id for r in docs.where("text RLIKE '\\\\p{L}'").select("doc_id").collect()}
+    assert len(lettered - kept) <= 1 and kept <= lettered
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.01"
     label = dict(duckdb.sql(f"SELECT doc_id, toxic FROM '{d}/labels.parquet'").fetchall())
@@ -310,6 +413,69 @@ def test_components(spark):
     assert got == {x: root(x) for a, b in links if a != b for x in (a, b)}
 
 
+def mixed_up(sizes, weights=(3, 1, 2)):
+    """Words taken by the mix of [(id, source, size)], and the time of each pass of a document."""
+    total, out = sum(n for *_, n in sizes), {}
+    names = sorted({s for _, s, _ in sizes}, key=lambda s: (s is None, s))
+    size = {s: sum(n for _, x, n in sizes if x == s) for s in names}
+    weight = {s: weights[k % 3] for k, s in enumerate(names)}
+    target, open_ = {}, set(names)
+    while open_:
+        left = 1.5 * total - sum(target.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        full = [s for s in open_ if share[s] >= 2 * size[s]]
+        target.update({s: 2.0 * size[s] for s in full} if full else share)
+        open_ -= set(full or open_)
+    for k, s in enumerate(names):
+        a = (0.5, 1.0, 1.5)[k % 3]
+        wanted, before = math.floor(target[s] + 0.5), 0
+        for i, _, n in sorted((r for r in sizes if r[1] == s), key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest(), r[0], r[2])):
+            passes = wanted // size[s] if size[s] else 0
+            taken = passes * n + min(max(wanted - passes * size[s] - before, 0), n)
+            times = []
+            for c in range(math.ceil(taken / n) if n else 0):
+                q = (c * size[s] + before + min(n, taken - c * n) / 2) / wanted
+                times.append(q * 2 / (a + math.sqrt(max(a * a + 4 * (1 - a) * q, 0))))
+            out[i] = taken, times
+            before += n
+    return out
+
+
+def test_pipeline_stages_against_brute_force(spark, small, docs):
+    frame = spark.read.parquet(f"{small}/documents.parquet")
+    lines = [(i, x, k, line.strip(" \t\r")) for i, t, _, x in docs for k, line in enumerate((t or "").split("\n"))]
+    sites, first = collections.defaultdict(set), {}
+    for i, x, k, line in lines:
+        sites[line].add(x)
+        first[line] = min(first.get(line, (i, k)), (i, k))
+    gone = {(i, k) for i, x, k, line in lines if line and len(sites[line] - {None}) >= 5 and first[line] != (i, k)}
+    want = {i: "\n".join(line for k, line in enumerate(t.split("\n")) if (i, k) not in gone) for i, t, *_ in docs if t is not None}
+    got = {r.doc_id: r.text for r in corpus_pipeline.clean_lines(spark, frame, small).collect()}
+    assert gone and {i: t for i, t in got.items() if t is not None} == want
+
+    plan = mixed_up([(i, x, len(re.findall(WORD, t or ""))) for i, t, _, x in docs])
+    size = {i: len(re.findall(WORD, t or "")) for i, t, *_ in docs}
+    want = sorted((time, i) for i, (taken, times) in plan.items() for time in times[: math.floor(taken / size[i] + 0.5) if size[i] else 0])
+    order = corpus_pipeline.in_training_order(spark, frame, small)
+    got = [r.doc_id for r in order.collect()]
+    assert order.columns == frame.columns and collections.Counter(got) == collections.Counter(i for _, i in want)
+    time_of = {}
+    for time, i in want:
+        time_of.setdefault(i, []).append(time)
+    seen = collections.Counter()
+    times = []
+    for i in got:
+        times.append(time_of[i][seen[i]])
+        seen[i] += 1
+    assert all(a <= b + 1e-9 for a, b in zip(times, times[1:], strict=False))
+
+    _, encoding = reference_encoding()
+    text = {i: t or "" for i, t, *_ in docs}
+    for r in corpus_pipeline.tokens(spark, frame, small).collect():
+        ids = encoding.encode_ordinary(text[r.doc_id])
+        assert bytes(r.ids) == np.array(ids, "<u4").tobytes() and r.n_tokens == len(ids) and r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
+
+
 def test_pipeline(spark, small, docs):
     rows = corpus_pipeline.run(spark, small).collect()
     ids = collections.Counter(r.doc_id for r in rows)
