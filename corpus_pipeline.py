@@ -1,7 +1,9 @@
 """A corpus pipeline: language ID, line dedup, near-dedup, source mixing, tokens.
 
 Each stage takes ``(spark, docs, sf_dir)`` with the columns of ``documents`` and
-returns what it keeps, with the same columns but for the last one.
+returns what it keeps, with the same columns but for the last one.  Texts may be null, empty or
+very long, rows may repeat, ids may be null, tables may be empty; further columns pass through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -11,21 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspan.llm import bloom, bpe, language_id, line_dedup, near_dedup, source_mix
+from reelspan.llm.names import columns, fresh
 from reelspan.llm.scratch import written
 
-
 #: The largest id.
 MOST = (1 << 63) - 1
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or that fit no language, go."""
+    """Documents without a letter, or in no language that the table has labels of, go (see ``language_id.keep_known``)."""
     return language_id.keep_known(docs)
 
 
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines stay where they first stand; the documents stay."""
-    return line_dedup.dedup_lines(docs).select(*docs.columns)
+    """Boilerplate lines stay where they first stand; the documents stay, null texts null (see ``line_dedup.dedup_lines``)."""
+    return line_dedup.dedup_lines(docs).select(*columns(docs.columns))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,26 +40,26 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     top = min(max(docs.agg(F.max(F.col("doc_id").cast("bigint"))).first()[0] or 0, 0), MOST - 1)
     own_key = F.lit(top + 1) + F.pmod(F.xxhash64("text"), F.lit(MOST - top))
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("bigint"), own_key))
-    found = written(near_dedup.near_duplicates(keyed, id_col="_key"), "stage-near").withColumnRenamed("doc_id", "_key")
-    by_id = found.groupBy("_key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    unsure = written(by_id.where(~F.col("kept") | (F.col("n") > 1)).select("_key", "kept"), "stage-near-unsure")
+    key, kept, maybe = fresh(docs, "key", "kept", "maybe")
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), own_key))
+    found = written(near_dedup.near_duplicates(keyed, id_col=key), "stage-near").withColumnRenamed("doc_id", key)
+    by_id = found.groupBy(key).agg(F.max("kept").alias(kept), F.count(F.lit(1)).alias("n"))
+    unsure = written(by_id.where(~F.col(kept) | (F.col("n") > 1)).select(key, kept), "stage-near-unsure")
     # Only rows that may go are shuffled; the others pass straight through.
-    key = F.xxhash64("_key")
-    maybe = bloom.build(unsure.select(key), unsure.count())
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    rows = keyed.withColumn("_maybe", maybe.maybe(key))
-    moved = rows.where("_maybe").drop("_maybe").join(unsure, "_key", "left").where(F.col("kept").isNull() | F.col("kept"))
-    return rows.where(~F.col("_maybe")).select(*own).unionByName(moved.dropDuplicates(["_key", "text"]).select(*own))
+    seen = bloom.build(unsure.select(F.xxhash64(key)), unsure.count())
+    rows = keyed.withColumn(maybe, seen.maybe(F.xxhash64(key)))
+    moved = rows.where(F.col(maybe)).drop(maybe).join(unsure, key, "left").where(F.coalesce(kept, F.lit(True)))
+    own = columns(docs.columns)
+    return rows.where(~F.col(maybe)).select(*own).unionByName(moved.dropDuplicates([key, "text"]).select(*own))
 
 
 def in_training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources mixed to their target weights, a row each time a document is trained on, in order."""
+    """Sources mixed to their target weights, a row each time a document is trained on, in order (see ``source_mix.sequence``)."""
     return source_mix.sequence(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids, ids_sha256, decoded_sha256``."""
+    """``doc_id, n_tokens, ids, ids_sha256, decoded_sha256`` of every row; a null or empty text has no ids (see ``bpe.encode_documents``)."""
     encoded = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return encoded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
