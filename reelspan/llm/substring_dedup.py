@@ -1,22 +1,24 @@
-"""Substring dedup over a sparse de Bruijn graph of token k-mers.
-
-An edge is a k-mer of 25 words.  Of all edges only the minimisers of the
-50-word windows are kept (one in about 14): equal windows choose the same edge,
-so nothing repeated is lost, and the graph is small enough for Spark joins.
-
-* Scan one counts, for each edge, where it first stands and whether all its
-  occurrences continue alike over the windows that chose it.  Edges of a single
-  document go no further.
-* A repeated edge whose occurrences all continue alike does not branch: its
-  windows compact into one stretch, decided by one comparison of source
-  coordinates (is the first document smaller?).
-* At a repeated edge that branches, each window that chose it is verified on its
-  own hash.
-* Stretches and windows of a document become the spans to remove; only documents
-  that have some are shuffled with their text.
-
-A decision rests on at least 128 bits of hash (edge and window, or edge and
-context).  Windows are judged on the input, not on what is left.
+"""Substring dedup by compaction of a de Bruijn graph of token k-mers.
+
+Edges are the ``span``-word windows of the texts, nodes the ``span - 1`` words that two
+windows in a row share.  Windows in a row that have the same minimiser (the least of their
+25-word k-mers by hash) travel as one edge, and only minimisers of more than one
+document are looked at: equal windows have equal minimisers, so no repeat is lost.
+
+* Scan one finds, for each minimiser, whether several documents have it and whether all
+  its occurrences continue alike over the windows that have it.  If so, those windows are
+  one edge already; if not, each is an edge of its own.
+* Equal edges become one, with the coordinates (document, place) of its source: where it
+  stands in the document of the smallest id.  Edges of one document go.
+* In- and out-degrees of the nodes: at a node with one edge in and one out, whose source
+  coordinates go on from one to the other, the path does not branch.  Such paths compact by
+  joins that double their pointers, so rounds are the logarithm of the longest path.
+* Occurrences of a path's edges that stand in a row in another document are one long
+  repeated span, with the source it repeats.
+* Only documents that have spans are shuffled with their text.
+
+That two edges are equal rests on 128 bits of hash (minimiser and window, or minimiser
+and context); paths only join what is known to be repeated.  Windows are judged on the input, not on what is left.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 
 from reelspan.llm import bloom
 from reelspan.llm.bloom import mix
-from reelspan.llm.scratch import bounded_batches, written
+from reelspan.llm.names import quoted
+from reelspan.llm.scratch import bounded_batches, stored, written
 from reelspan.llm.spans import Words, prefix_sums, span_hashes, text_chunks
 
 SPAN_WORDS = 50
@@ -49,7 +52,7 @@ def _least_in_each(h: np.ndarray, width: int) -> np.ndarray:
 
 
 class Edges:
-    """The edges of a chunk of texts and the windows that chose each."""
+    """The windows of a chunk of texts, those in a row with one minimiser together."""
 
     def __init__(self, words: Words, span: int, edge: int):
         n_words = len(words.hash)
@@ -70,7 +73,7 @@ class Edges:
         self.count = np.diff(np.concatenate((first, [len(window)])))
         self.window, edge_at = window[first], chosen[first]
         self.text = text[self.window]
-        self.edge = edges[edge_at].view(np.int64)
+        self.minimiser = edges[edge_at].view(np.int64)
         inside = mix(span_hashes(self.prefix, self.window, self.window + self.count - 1 + span) + (edge_at - self.window).astype(np.uint64))
         self.context = mix(inside + self.count.astype(np.uint64)).view(np.int64)
         self.place = self.window - words.first[self.text]
@@ -78,7 +81,7 @@ class Edges:
 
 
 def _scan(span: int, edge: int):
-    """Edges with id and context."""
+    """Minimisers with id and context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,15 +89,18 @@ def _scan(span: int, edge: int):
                 found = Edges(Words(data, offsets), span, edge)
                 if found.size:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(found.edge), pa.array(found.context), batch.column(0).slice(rows.start, rows.stop - rows.start).take(pa.array(found.text))],
-                        names=["edge", "context", "doc_id"],
+                        [pa.array(found.minimiser), pa.array(found.context), batch.column(0).slice(rows.start, rows.stop - rows.start).take(pa.array(found.text))],
+                        names=["minimiser", "context", "doc_id"],
                     )
 
     return run
 
 
+OCCURRENCE = "minimiser bigint, label bigint, doc_id bigint, text_hash bigint, place bigint, n bigint, tail bigint, head bigint"
+
+
 def _occurrences(span: int, edge: int, repeated: bloom.Filter, branching: bloom.Filter):
-    """Occurrences of edges that may be repeated; window hashes only where the edge may branch."""
+    """Edges of minimisers that may be repeated, from node ``tail`` to node ``head``; where one may branch, each window by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,24 +108,103 @@ def _occurrences(span: int, edge: int, repeated: bloom.Filter, branching: bloom.
                 found = Edges(Words(data, offsets), span, edge)
                 if not found.size:
                     continue
-                own = np.flatnonzero(repeated.hits(found.edge))
-                n = np.where(branching.hits(found.edge[own]), found.count[own], 0)
-                cuts = np.concatenate(([0], np.cumsum(n)))
-                start = np.repeat(found.window[own] - cuts[:-1], n) + np.arange(cuts[-1])
-                hashes = span_hashes(found.prefix, start, start + span).view(np.int64)
-                of = pa.array(found.text[own] + rows.start)
+                own = np.flatnonzero(repeated.hits(found.minimiser))
+                if not len(own):
+                    continue
+                apart = branching.hits(found.minimiser[own])
+                pieces = np.where(apart, found.count[own], 1)
+                cuts = np.concatenate(([0], np.cumsum(pieces)))
+                of = np.repeat(np.arange(len(own)), pieces)
+                shift = np.arange(cuts[-1]) - cuts[:-1][of]
+                start, n = found.window[own][of] + shift, np.where(apart, 1, found.count[own])[of]
+                label = np.where(apart[of], span_hashes(found.prefix, start, start + span).view(np.int64), found.context[own][of])
+                row = pa.array(found.text[own][of] + rows.start)
+                node = lambda at: pa.array(span_hashes(found.prefix, at, at + span - 1).view(np.int64))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(found.edge[own]), batch.column(0).take(of), batch.column(1).take(of),
-                        pa.array(found.place[own]), pa.array(found.count[own]),
-                        pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(hashes)),
+                        pa.array(found.minimiser[own][of]), pa.array(label), batch.column(0).take(row), batch.column(1).take(row),
+                        pa.array(found.place[own][of] + shift), pa.array(n.astype(np.int64)), node(start), node(start + n),
                     ],
-                    names=["edge", "doc_id", "text_hash", "place", "n", "windows"],
+                    names=[c.split()[0] for c in OCCURRENCE.split(", ")],
                 )
 
     return run
 
 
+def compacted(edges: DataFrame) -> DataFrame:
+    """``source, place, start``: where the non-branching path of each edge starts, of edges ``source, place, n, tail, head`` that do not start one.
+
+    A path goes on through a node with one edge in and one out if the source goes on as well.
+    """
+    ends = edges.select(F.col("head").alias("node"), "source", "place", "n", F.lit(1).alias("into")).unionByName(edges.select(F.col("tail").alias("node"), "source", "place", "n", F.lit(0).alias("into")))
+    one = lambda c, into: F.max(F.when(F.col("into") == into, F.col(c)))
+    nodes = ends.groupBy("node").agg(
+        F.sum("into").alias("n_in"), F.sum(1 - F.col("into")).alias("n_out"), one("source", 1).alias("source"), one("source", 0).alias("source_out"),
+        one("place", 1).alias("before"), one("n", 1).alias("n"), one("place", 0).alias("place"),
+    )
+    straight = nodes.where("n_in = 1 AND n_out = 1 AND source = source_out AND before + n = place")
+    # ``jump``: an edge further ahead on the path, at last its first.  The places on a path only grow, so it has no cycle.
+    active = straight.groupBy("source", "place").agg(F.min("before").alias("jump"))
+    shape, spark = "source bigint, place bigint, jump bigint", edges.sparkSession
+    path, done = stored(active, "graph-links"), []
+    while True:
+        active = spark.read.schema(shape).parquet(path)
+        if not active.limit(1).count():
+            break
+        known = spark.read.schema(shape).parquet(path, *done).select("source", F.col("place").alias("jump"), F.col("jump").alias("_jump"))
+        moved = written(active.join(known, ["source", "jump"], "left"), "graph-jumps")
+        done.append(stored(moved.where("_jump IS NULL").select("source", "place", "jump"), "graph-done"))
+        path = stored(moved.where("_jump IS NOT NULL").select("source", "place", F.col("_jump").alias("jump")), "graph-links")
+    found = spark.read.schema(shape).parquet(*done) if done else active
+    return found.withColumnRenamed("jump", "start")
+
+
+def _repeats(rows: DataFrame, span: int, edge: int) -> DataFrame:
+    """``doc_id, text_hash, place, stop, source_doc, source_place``: long spans of words that repeat what stands in a document with a smaller id.
+
+    ``rows``: doc_id, text_hash, _text.
+    """
+    found = rows.select("doc_id", "_text").mapInArrow(_scan(span, edge), "minimiser bigint, context bigint, doc_id bigint")
+    several = found.groupBy("minimiser").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"), F.min("context").alias("_low"), F.max("context").alias("_high"))
+    several = written(several.where("_first < _last").select("minimiser", (F.col("_low") != F.col("_high")).alias("branches")), "graph-minimisers")
+    n = {r["branches"]: r["n"] for r in several.groupBy("branches").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # What passes a filter by chance does so wherever it stands, and is found to be of one document, or is taken window by window.
+    repeated = bloom.build(several.select("minimiser"), sum(n.values()))
+    branching = bloom.build(several.where("branches").select("minimiser"), n.get(True, 0))
+
+    own = written(rows.select("doc_id", "text_hash", "_text").mapInArrow(_occurrences(span, edge, repeated, branching), OCCURRENCE), "graph-occurrences")
+    edges = own.groupBy("minimiser", "label").agg(
+        F.min("doc_id").alias("source"), F.max("doc_id").alias("_last"), F.min_by("place", "doc_id").alias("place"), F.max("n").alias("n"), F.max("tail").alias("tail"), F.max("head").alias("head")
+    )
+    edges = written(edges.where("source < _last").drop("_last"), "graph-edges")
+    paths = compacted(edges.select("source", "place", "n", "tail", "head"))
+    edges = edges.select("minimiser", "label", "source", F.col("place").alias("source_place")).join(paths.withColumnRenamed("place", "source_place"), ["source", "source_place"], "left")
+    edges = written(edges.withColumn("start", F.coalesce("start", "source_place")), "graph-paths")
+
+    # Of each document, path and shift between the two, the stretches without a gap.
+    again = own.select("minimiser", "label", "doc_id", "text_hash", "place", (F.col("place") + F.col("n")).alias("next")).join(edges, ["minimiser", "label"]).where("doc_id > source")
+    again = again.groupBy("doc_id", "text_hash", "source", "start", (F.col("place") - F.col("source_place")).alias("shift")).agg(F.array_sort(F.collect_set(F.struct("place", "next"))).alias("parts"))
+    firsts = F.filter("parts", lambda x, i: F.coalesce(F.get("parts", i - 1)["next"] < x["place"], F.lit(True)))
+    lasts = F.filter("parts", lambda x, i: F.coalesce(F.get("parts", i + 1)["place"] > x["next"], F.lit(True)))
+    spans = again.select("doc_id", "text_hash", "source", "shift", F.inline(F.arrays_zip(F.transform(firsts, lambda x: x["place"]).alias("place"), F.transform(lasts, lambda x: x["next"]).alias("next"))))
+    return spans.select("doc_id", "text_hash", "place", (F.col("next") - 1 + span).alias("stop"), F.col("source").alias("source_doc"), (F.col("place") - F.col("shift")).alias("source_place"))
+
+
+def _rows(docs: DataFrame, text: str, id_col: str) -> DataFrame:
+    rows = docs.select(F.col(quoted(id_col)).cast("bigint").alias("doc_id"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("_text"))
+    return rows.withColumn("text_hash", F.xxhash64("_text"))
+
+
+def repeated_spans(docs: DataFrame, span_words: int = SPAN_WORDS, edge_words: int = EDGE_WORDS, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``doc_id, place, stop, source_doc, source_place``: words [place, stop) of a document repeat those from source_place on of one with a smaller id.
+
+    Of several sources of a window the smallest id is told.  See ``remove_repeats`` for words, and
+    for odd rows; spans of a document may overlap.
+    """
+    bounded_batches(docs.sparkSession)
+    return _repeats(_rows(docs, text, id_col), span_words, edge_words).drop("text_hash")
+
+
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts, spans = batch.column(0), batch.column(1), batch.column(2)
@@ -131,9 +216,14 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words = (texts[low].as_py() or "").encode().split()
                 size += 8 * len(words)
                 take, done = [], 0
-                for span in sorted(spans[low].as_py() or [], key=lambda x: x["place"]):
-                    take += words[done : max(done, span["place"])]
-                    done = max(done, span["stop"])
+                # Spans as two arrays, in order of place.
+                own = spans[low].values
+                if own is not None:
+                    place, stop = (own.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                    order = np.argsort(place, kind="stable")
+                    for a, b in zip(place[order].tolist(), stop[order].tolist(), strict=True):
+                        take += words[done : max(done, a)]
+                        done = max(done, b)
                 take += words[done:]
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(take))
@@ -157,39 +247,14 @@ def remove_repeats(docs: DataFrame, span_words: int = SPAN_WORDS, edge_words: in
     gives no rows.  Memory: about 60 bytes for each byte of the longest text.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    stats = written(
-        rows.mapInArrow(_scan(span_words, edge_words), "edge bigint, context bigint, doc_id bigint")
-        .groupBy("edge")
-        .agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("_last"), F.min("context").alias("_low"), F.max("context").alias("_high"))
-        .where("first_doc < _last")
-        .select("edge", "first_doc", (F.col("_low") != F.col("_high")).alias("branches")),
-        "graph-edges",
-    )
-    n = {r["branches"]: r["n"] for r in stats.groupBy("branches").agg(F.count(F.lit(1)).alias("n")).collect()}
-    repeated = bloom.build(stats.select("edge"), sum(n.values()))
-    branching = bloom.build(stats.where("branches").select("edge"), n.get(True, 0))
-
-    found = rows.select("doc_id", F.xxhash64("_text").alias("text_hash"), "_text").mapInArrow(
-        _occurrences(span_words, edge_words, repeated, branching),
-        "edge bigint, doc_id bigint, text_hash bigint, place bigint, n bigint, windows array<bigint>",
-    )
-    found = written(found.join(stats, "edge"), "graph-occurrences")
-    last = F.col("place") + F.col("n") - 1 + span_words
-    straight = found.where(~F.col("branches") & (F.col("doc_id") > F.col("first_doc"))).select("doc_id", "text_hash", "place", last.alias("stop"))
-    window = found.where("branches").select("edge", "doc_id", "text_hash", "place", F.posexplode("windows").alias("_k", "window"))
-    sources = written(window.groupBy("edge", "window").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("_last")).where("source < _last").drop("_last"), "graph-windows")
-    start = F.col("place") + F.col("_k")
-    verified = window.join(sources, ["edge", "window"]).where("doc_id > source").select("doc_id", "text_hash", start.alias("place"), (start + span_words).alias("stop"))
-    spans = written(
-        straight.unionByName(verified).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("place", "stop")).alias("spans")), "graph-spans"
-    )
+    rows = _rows(docs, text, id_col)
+    spans = _repeats(rows, span_words, edge_words)
+    spans = written(spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("place", "stop")).alias("spans")), "graph-spans")
 
     # Only documents that lose words meet their spans; the others pass straight through.
     key = F.xxhash64("doc_id", "text_hash")
     losing = bloom.build(spans.select(key), spans.count())
-    keyed = rows.withColumn("text_hash", F.xxhash64("_text"))
-    keyed = keyed.withColumn("_maybe", losing.maybe(key))
+    keyed = rows.withColumn("_maybe", losing.maybe(key))
     shape = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string"
     whole = keyed.where(~F.col("_maybe")).select("doc_id", "_text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
     cut = keyed.where("_maybe").join(spans.hint("shuffle_hash"), ["doc_id", "text_hash"], "left").select("doc_id", "_text", "spans")

@@ -123,6 +123,31 @@ def test_drawn_substrings(spark):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got} == cut(texts, 8)
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_spans_and_their_sources(spark, seed):
+    draw = random.Random(seed)
+    pool = [[draw.choice("abcdefgh") for _ in range(draw.randint(5, 90))] for _ in range(12)]
+    texts = {i: " ".join(w for _ in range(draw.randint(0, 6)) for w in draw.choice(pool)) for i in range(80)}
+    words = {i: t.split() for i, t in texts.items()}
+    found = substring_dedup.repeated_spans(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), span_words=8, edge_words=4).collect()
+    covered = collections.defaultdict(set)
+    for r in found:
+        n = r.stop - r.place
+        assert r.source_doc < r.doc_id and n >= 8 and words[r.doc_id][r.place : r.stop] == words[r.source_doc][r.source_place : r.source_place + n]
+        covered[r.doc_id].update(range(r.place, r.stop))
+    want = cut(texts, 8)
+    assert all(len(covered[i]) == want[i][1] for i in texts)
+
+
+def test_a_long_copy_is_one_span_after_few_rounds(spark, monkeypatch):
+    rounds, keep = [], substring_dedup.stored
+    monkeypatch.setattr(substring_dedup, "stored", lambda df, name: rounds.append(name) or keep(df, name))
+    text = " ".join(f"w{k}" for k in range(30_000))
+    docs = spark.createDataFrame([(1, "a b " + text), (2, text + " c"), (3, "nothing else")], "doc_id bigint, text string")
+    assert [tuple(r) for r in substring_dedup.repeated_spans(docs).collect()] == [(2, 0, 30_000, 1, 2)]
+    assert rounds.count("graph-done") <= 13
+
+
 def reference_encoding():
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return ranks, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
