@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelspan.llm.names import quoted
 from reelspan.llm.scratch import bounded_batches
 
 P = np.uint64((1 << 31) - 1)
@@ -221,21 +222,34 @@ def in_pairs(rows: DataFrame) -> DataFrame:
     """
     spark = rows.sparkSession
     ids = rows.select("doc_id")
-    buckets = max(1, min(MAX_BUCKETS, ids.count() // BUCKET_ROWS))
-    cuts = np.unique(ids.stat.approxQuantile("doc_id", [k / buckets for k in range(1, buckets)], 0.2 / buckets)) if buckets > 1 else np.empty(0)
+    counted = ids.agg(F.count("doc_id").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("none")).first()
+    buckets = max(1, min(MAX_BUCKETS, counted["n"] // BUCKET_ROWS))
+    cuts = ids.stat.approxQuantile("doc_id", [k / buckets for k in range(1, buckets)], 0.2 / buckets) if buckets > 1 else []
+    cuts, times = np.unique(np.array(cuts, np.float64), return_counts=True)
+    # An id that is several cuts at once has as many buckets' rows: these, and those without an id, are cut by hash as well.
+    shares = np.where((times > 1) & (np.abs(cuts) < 1 << 53), times, 0)
+    none = max(1, min(MAX_BUCKETS, counted["none"] // BUCKET_ROWS))
+    starts = np.concatenate(([0], np.cumsum(1 + shares[::-1]), [1 + len(cuts) + shares.sum()])).astype(np.int64)
 
     @F.pandas_udf("int")
-    def bucket_of(id_: pd.Series) -> pd.Series:
-        place = len(cuts) - np.searchsorted(cuts, id_.fillna(0).to_numpy(np.float64), "right")
-        return pd.Series(np.where(id_.isna(), len(cuts) + 1, place))
-
-    rows = rows.withColumn("_h", F.xxhash64("_text")).withColumn("bucket", bucket_of("doc_id"))
-    key = F.struct((-F.col("doc_id")).alias("i"), F.col("_h").alias("h"))
-    heads = sorted((r["bucket"], r["head"]["i"], r["head"]["h"]) for r in rows.groupBy("bucket").agg(F.min(key).alias("head")).collect())  # at most MAX_BUCKETS + 1 rows
+    def bucket_of(id_: pd.Series, h: pd.Series) -> pd.Series:
+        x, unit = id_.fillna(0).to_numpy(np.float64), h.to_numpy(np.int64) / 2.0**64 + 0.5
+        at = np.searchsorted(cuts, x, "right")
+        out = starts[len(cuts) - at]
+        if len(cuts):
+            low = np.maximum(at - 1, 0)
+            split = (at > 0) & (shares[low] > 0) & (cuts[low] == x)
+            out = out + np.where(split, 1 + np.minimum((unit * shares[low]).astype(np.int64), shares[low] - 1), 0)
+        return pd.Series(np.where(id_.isna(), starts[-1] + np.minimum((unit * none).astype(np.int64), none - 1), out).astype(np.int32))
+
+    rows = rows.withColumn("_h", F.xxhash64("_text")).withColumn("bucket", bucket_of("doc_id", "_h"))
+    down = F.bitwise_not(F.col("doc_id"))  # falls as the id grows, for every id
+    key = F.struct(down.isNull().alias("n"), down.alias("i"), F.col("_h").alias("h"))
+    heads = sorted((r["bucket"], r["head"]["i"], r["head"]["h"]) for r in rows.groupBy("bucket").agg(F.min(key).alias("head")).collect())  # at most some MAX_BUCKETS rows
     known = [(b, heads[k - 1][0], i, h) for k, (b, i, h) in enumerate(heads)]  # the first head follows the last bucket
     head = F.broadcast(spark.createDataFrame(known, "bucket int, _to int, _i bigint, _first bigint"))
     own = F.struct(F.col("bucket"), F.lit(True).alias("own"))
-    is_head = (-F.col("doc_id")).eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_first"))
+    is_head = down.eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_first"))
     placed = rows.join(head, "bucket", "left").withColumn("_at", F.explode(F.when(is_head, F.array(own, F.struct(F.col("_to").alias("bucket"), F.lit(False).alias("own")))).otherwise(F.array(own))))
     return (
         placed.select("_at.bucket", "_at.own", "doc_id", "_text", "_h")
@@ -258,7 +272,7 @@ def fingerprint_pairs(docs: DataFrame, text: str = "text", id_col: str = "doc_id
     each character of the longest pair.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = docs.select(F.col(quoted(id_col)).cast("bigint").alias("doc_id"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("_text"))
     return in_pairs(rows).mapInArrow(_streamed, SHAPE)
 
 

@@ -238,8 +238,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str,
     docs = docs.drop(*names)
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    shape = f"{shape_of(docs)}, {quoted(names[0])} string, {quoted(names[1])} double, {quoted(names[2])} double"
-    at = docs.columns.index(text)
+    own = docs.columns
+    at = own.index(text)
+    docs = docs.toDF(*[f"c{k}" for k in range(len(own))])  # names with dots do not go through mapInArrow
+    shape = f"{shape_of(docs)}, lang_pred string, score double, fit double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -259,9 +261,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str,
                     found += [UNKNOWN] * rows
                     scores += [0.0] * rows
                     fits += [0.0] * rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.float64())], names=[*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.float64())], names=[*batch.schema.names, "lang_pred", "score", "fit"])
 
-    return docs.mapInArrow(run, shape)
+    return docs.mapInArrow(run, shape).toDF(*own, *names)
 
 
 def _learnable(docs: DataFrame, text: str, lang: str, id_col: str) -> DataFrame:

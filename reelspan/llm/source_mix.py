@@ -8,7 +8,7 @@ time at which the document is trained on.  Documents are then range-sorted by ti
 
 Running sums never see a whole source: a source's rows are cut by hash into
 buckets of about BUCKET_ROWS, bucket totals are summed first, and the sums inside
-a bucket are its own.
+a bucket are its own.  Sums over the sources themselves go by ranges in the same way.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reelspan.llm.names import columns, fresh, quoted
 from reelspan.llm.scratch import written
 
 WEIGHTS = (3, 1, 2)
@@ -61,21 +62,30 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     source's words; what is left over is shared again by weight until none does.
     """
     sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
-    ordered = Window.orderBy(F.asc_nulls_last("source"))  # a row for each source
-    out = sums.withColumn("place", (F.row_number().over(ordered) - 1).cast("int"))
+    out = running(sums.withColumn("one", F.lit(1).cast("bigint")), [F.asc_nulls_last("source")], {"place": "one"}).withColumn("place", F.col("place").cast("int")).drop("one")
     weight = F.element_at(F.array(*[F.lit(int(w)).cast("bigint") for w in weights]), (F.col("place") % len(weights)) + 1)
     out = out.withColumn("weight", weight).withColumn("most", F.col("source_size") * most)
     # By falling need of the cap: a source is capped if what is left for it and those after reaches its cap.
-    by_need = Window.orderBy((F.col("most") / F.col("weight")), "place")
-    before = by_need.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_need.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    left = F.lit(share) * F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0))
-    out = out.withColumn("level", left / F.sum("weight").over(after))
-    target = F.least(F.col("most").cast("double"), F.max("level").over(everything) * F.col("weight"))
+    out = running(out.withColumn("need", F.col("most") / F.col("weight")), [F.col("need").asc(), F.col("place").asc()], {"most_before": "most", "weight_before": "weight"})
+    out = written(out, "mix-needs")
+    total = out.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    left = F.lit(share) * F.lit(total["size"] or 0) - F.col("most_before")
+    level = out.agg(F.max(left / (F.lit(total["weight"] or 1) - F.col("weight_before"))).alias("level")).first()["level"]
+    target = F.least(F.col("most").cast("double"), F.lit(level) * F.col("weight"))
     return out.select("source", "place", "rows", "source_size", target.alias("target"))
 
 
+def running(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """``rows`` with sums of columns (name: column) over all rows before in ``order``, which must be strict; by ranges of it, so no task has all rows."""
+    ranged = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "mix-ranges")
+    totals = ranged.groupBy("_range").agg(*[F.sum(c).alias(c) for c in set(sums.values())])
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    ahead = totals.select("_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{name}") for name, c in sums.items()])
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = ranged.join(F.broadcast(ahead), "_range")
+    return found.withColumns({name: F.col(f"_{name}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for name, c in sums.items()}).drop("_range", *[f"_{name}" for name in sums])
+
+
 def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, schedules=SCHEDULES, text: str = "text", id_col: str = "doc_id", source: str = "source") -> DataFrame:
     """One row per document: ``doc_id, size, source, source_size, target, taken, positions``.
 
@@ -85,9 +95,16 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHAR
     of the middle of the document in each pass that takes it.  Sources are ordered by
     code point, a null source is one more source, a null text has no words.  Rows
     that repeat an id are ordered by size; identical rows are interchangeable.
-    Reruns agree.  An empty table gives no rows; other columns are not read.
+    Reruns agree.  Very long texts are counted whole; an empty table gives no rows; other columns are not read.
     """
-    rows = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size")), "mix-sizes")
+    return _planned(docs, weights, share, most, schedules, text, id_col, source).drop("text_hash")
+
+
+def _planned(docs: DataFrame, weights: Sequence[int], share: float, most: int, schedules, text: str, id_col: str, source: str) -> DataFrame:
+    """What ``mixed`` returns, and ``text_hash``."""
+    own = F.col(quoted(text))
+    rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(source)).alias("source"), n_words(own).alias("size"), F.xxhash64(own).alias("text_hash"))
+    rows = written(rows, "mix-sizes")
     rows = rows.withColumn("_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")))
     sources = written(source_targets(rows, weights, share, most), "mix-sources")
     few = sources.count() <= BROADCAST_SOURCES
@@ -99,7 +116,7 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHAR
     totals = placed.groupBy("place", "_part").agg(F.sum("size").alias("_total"))
     ahead = Window.partitionBy("place").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("place", "_part", F.coalesce(F.sum("_total").over(ahead), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("place", "_part").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("place", "_part").orderBy("_key", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.join(starts, ["place", "_part"]).withColumn("_before", F.col("_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
 
     wanted = F.floor(F.col("target") + 0.5).cast("bigint")
@@ -118,21 +135,28 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHAR
             out = F.when(here, own) if out is None else out.when(here, own)
         return out
 
-    return placed.select("doc_id", "size", "source", "source_size", "target", "taken", F.transform(passes_of, time).alias("positions"))
+    return placed.select("doc_id", "size", "source", "source_size", "target", "taken", F.transform(passes_of, time).alias("positions"), "text_hash")
 
 
-def sequence(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+def sequence(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, schedules=SCHEDULES, text: str = "text", id_col: str = "doc_id", source: str = "source") -> DataFrame:
     """Whole documents in training order: the columns of ``docs``, a row for each time that a document is trained on.
 
     A document whose part of the last pass is under half its words is left out of
-    that pass, otherwise it is taken whole.  Rows that repeat an id and size share
-    one plan.  Range-sorted by training time.
+    that pass, otherwise it is taken whole; one without words (null and empty texts) has no row.
+    Rows that repeat an id, source and text share one plan, the largest of theirs; reruns agree.
+    Range-sorted by training time, ties by id.  Very long texts are one row; an empty table gives no
+    rows; all columns are kept, whatever their names.
     """
-    own = docs.columns
-    plan = mixed(docs, text=text, id_col=id_col, **options).where("taken > 0").dropDuplicates(["doc_id", "size"])
-    times = plan.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.expr("slice(positions, 1, cast(floor(taken / size + 0.5) as int))").alias("_times"))
-    found = docs.withColumn("_words", n_words(text)).join(times, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
-    return found.select(*[F.col(f"`{c}`") for c in own], F.explode("_times").alias("_time")).repartitionByRange("_time").sortWithinPartitions("_time").drop("_time")
+    plan = _planned(docs, weights, share, most, schedules, text, id_col, source).where("taken > 0")
+    plan = plan.groupBy("doc_id", "source", "text_hash").agg(F.max(F.struct("taken", "positions", "size")).alias("p"))
+    times = plan.select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), F.expr("slice(p.positions, 1, cast(floor(p.taken / p.size + 0.5) as int))").alias("_times")
+    )
+    hashed, time = fresh(docs, "hash", "time")
+    rows = docs.withColumn(hashed, F.xxhash64(F.col(quoted(text)))).alias("d")
+    same = F.col(f"d.{quoted(id_col)}").eqNullSafe(F.col("p._id")) & F.col(f"d.{quoted(source)}").eqNullSafe(F.col("p._source")) & (F.col(f"d.{quoted(hashed)}") == F.col("p._hash"))
+    found = rows.join(times.alias("p"), same).select(*columns(docs.columns, "d"), F.explode("p._times").alias(time))
+    return found.repartitionByRange(time).sortWithinPartitions(time, quoted(id_col)).drop(time)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

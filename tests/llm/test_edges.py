@@ -1,5 +1,6 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import collections
 import hashlib
 import random
 import zlib
@@ -94,6 +95,80 @@ def test_line_sites(odd):
     assert rows[6]["od.d"] == "x"
 
 
+def test_every_line_of_one_site(spark):
+    docs = spark.createDataFrame([(1, "a\nb\na", "s"), (2, "b\nc", None), (3, None, "t"), (4, "c\n ", "t")], "doc_id bigint, text string, source string")
+    rows = {r.doc_id: r for r in line_dedup.dedup_lines(docs, min_sites=1).collect()}
+    assert [rows[k].text for k in (1, 2, 3, 4)] == ["a\nb", "c", None, " "] and [rows[k].n_removed for k in (1, 2, 3, 4)] == [1, 1, 0, 1]
+
+
+def test_hot_lines_and_keys(spark, monkeypatch):
+    from reelspan.llm import hot
+
+    monkeypatch.setattr(hot, "HOT_ROWS", 3)
+    docs = spark.createDataFrame([(k, f"everywhere\nonly {k}\nsome {k // 4}", f"s{k}") for k in range(40)], "doc_id bigint, text string, source string")
+    rows = {r.doc_id: r for r in line_dedup.dedup_lines(docs, min_sites=4).collect()}
+    assert all(rows[k].text == "\n".join((["everywhere"] if not k else []) + [f"only {k}"] + ([f"some {k // 4}"] if k % 4 == 0 else [])) for k in range(40))
+
+
+CLASHING = ["_maybe", "_key", "maybe", "key", "kept", "_id", "_words", "_size", "_times", "time", "hash", "_lang_pred", "score", "fit", "lang_pred", "th", "gone", "part", "bit", "bitmap", "d.x", "a`b", "_hash", "p", "d", "g"]
+
+
+def test_stages_keep_clashing_columns(spark):
+    rows = [(i, t, x, s, n, *[f"{c} of {i}" for c in CLASHING]) for i, t, x, s, n in ODD]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id bigint, text string, lang string, source string, n_chars bigint", *(f"`{c.replace('`', '``')}` string" for c in CLASHING)]))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        found = out.collect()
+        assert found and all(r[5 + k] == f"{c} of {r.doc_id}" for r in found for k, c in enumerate(CLASHING)), name
+    assert corpus_pipeline.tokens(spark, docs, "").count() == len(ODD)
+    for name in OPERATORS:
+        assert len(OPERATORS[name](docs, spark.createDataFrame([(4, 1), (5, 0)], "doc_id bigint, toxic int")).collect()) == len(ODD), name
+
+
+def test_pairs_of_extreme_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 10)
+    ids = [-(1 << 63), (1 << 63) - 1, 0, *[7] * 120, *range(100, 160), *[None] * 50]
+    rows = [(i, f"text number {k} " * (k % 5 + 1)) for k, i in enumerate(ids)]
+    got = fingerprints.fingerprint_pairs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == len(rows) and len({r.fingerprint for r in got}) == len(rows)
+    one = {r.doc_id: r for r in got if r.doc_id not in (7, None)}
+    edited = lambda a, b: a[: len(a) - len(a) // 2] + b[: len(a) // 2]
+    text = {i: t for i, t in rows if i not in (7, None)}
+    for a, b in [((1 << 63) - 1, 159), (101, 100)]:
+        assert one[a].edited_sha256 == hashlib.sha256(edited(text[a], text[b]).encode()).hexdigest()
+    # Those without an id come last; after the last of them comes the largest.
+    nones = [t for i, t in rows if i is None]
+    assert one[-(1 << 63)].edited_sha256 in {hashlib.sha256(edited(text[-(1 << 63)], t).encode()).hexdigest() for t in nones}
+    sevens = [t for i, t in rows if i == 7]
+    assert one[100].edited_sha256 in {hashlib.sha256(edited(text[100], t).encode()).hexdigest() for t in sevens}
+    # Each text's first half is followed by that of one other, and none is next twice.
+    after = collections.Counter()
+    whole = {hashlib.sha256(edited(a, b).encode()).hexdigest(): b for a in nones for b in [*nones, text[(1 << 63) - 1]]}
+    for r in got:
+        if r.doc_id is None:
+            after[whole[r.edited_sha256]] += 1
+    assert len(after) == 50
+
+
+def test_many_sources(spark):
+    rows = [(k, "w " * (k % 17 + 1), None if k == 5 else f"s{k % 900:04d}") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = {r.source: r for r in source_mix.source_targets(docs.select("source", source_mix.n_words("text").alias("size"))).collect()}
+    size = collections.Counter()
+    for _, t, s in rows:
+        size[s] += len(t.split())
+    names = sorted(size, key=lambda s: (s is None, s))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    open_, target = set(names), {}
+    while open_:
+        left, total = 1.5 * sum(size.values()) - sum(target.values()), sum(weight[s] for s in open_)
+        full = {s for s in open_ if left * weight[s] / total >= 2 * size[s]}
+        target.update({s: 2.0 * size[s] for s in full} if full else {s: left * weight[s] / total for s in open_})
+        open_ -= full or open_
+    assert [found[s].place for s in names] == list(range(len(names))) and all(abs(found[s].target - target[s]) < 1e-6 for s in names)
+
+
 def test_mix_takes_no_more_than_twice(odd):
     rows = source_mix.mixed(odd).collect()
     assert all(0 <= r.taken <= 2 * r["size"] for r in rows)
