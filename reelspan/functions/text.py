@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -56,7 +54,10 @@ def pass_through(word: Column) -> Column:
 @F.pandas_udf(StringType())
 def strip_diacritics(words: pd.Series) -> pd.Series:
     """Canonical decomposition without the marks U+0300 to U+036F."""
-    return words.map(lambda w: None if w is None else "".join(c for c in unicodedata.normalize("NFD", w) if not "̀" <= c <= "ͯ"))
+    marked = ~words.fillna("").map(str.isascii)  # nothing to take off the others
+    out = words.copy()
+    out[marked] = words[marked].str.normalize("NFD").str.replace("[\u0300-\u036f]", "", regex=True)
+    return out
 
 
 def join_words(words: Column) -> Column:

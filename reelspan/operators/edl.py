@@ -23,7 +23,9 @@ def slots(segments: DataFrame, boxes: DataFrame, known: DataFrame | None = None)
     out = own.join(b, ["segment_id", "slot"], "left")
     if known is not None:
         k = known.select(F.col("video_id").alias("source_video_id"), F.lit(True).alias("_known")).distinct()
-        out = out.join(k, "source_video_id", "left").withColumn("source_video_id", F.when(F.col("_known"), F.col("source_video_id"))).drop("_known")
+        # Slots of the primary source, which may be most of them, are no key's rows.
+        other = out.where(F.col("source_video_id").isNotNull()).join(k, "source_video_id", "left").withColumn("source_video_id", F.when(F.col("_known"), F.col("source_video_id"))).drop("_known")
+        out = out.where(F.col("source_video_id").isNull()).unionByName(other)
     return out
 
 

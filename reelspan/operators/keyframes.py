@@ -48,15 +48,19 @@ def crop_pixels(width: int, height: int) -> dict:
 def crop_track(slots: DataFrame, keyframes: DataFrame, width: int, height: int) -> DataFrame:
     """Pieces of constant crop of each slot: ``segment_id, slot, start_ms, end_ms, crop_x, crop_y, crop_w, crop_h``.
 
-    ``slots``: segment_id, slot, box_id (null: the whole frame), start_ms, end_ms.
+    ``slots``: segment_id, slot, box_id (null: the whole frame), start_ms, end_ms.  A slot
+    starts with its box's position at that time; every later keyframe inside it starts a piece.
     """
-    v = validity(keyframes).where("lo < hi").select("box_id", "lo", "hi", *DEFAULTS)
-    meets = (slots["box_id"] == v["box_id"]) & (v["lo"] < slots["end_ms"]) & (v["hi"] > slots["start_ms"])
-    pieces = slots.join(v, meets, "left").select(
-        "segment_id", "slot", F.greatest(F.col("start_ms"), F.coalesce("lo", F.lit(FIRST))).alias("start_ms"), F.least(F.col("end_ms"), F.coalesce("hi", F.lit(LAST))).alias("end_ms"),
-        *[F.coalesce(v[c], F.lit(d)).alias(c) for c, d in DEFAULTS.items()],
-    )
-    return pieces.withColumns(crop_pixels(width, height)).drop(*DEFAULTS)
+    own = slots.select("segment_id", "slot", "box_id", "start_ms", "end_ms")
+    framed = own.where("box_id IS NOT NULL")
+    starts = position_at(framed.withColumn("q_ms", F.col("start_ms")), keyframes).drop("q_ms")
+    whole = own.where("box_id IS NULL").withColumns({c: F.lit(d) for c, d in DEFAULTS.items()})
+    # The first keyframe holds from ever, so nothing changes at it.
+    changes = validity(keyframes).where((F.col("lo") < F.col("hi")) & (F.col("lo") > FIRST)).select("box_id", "lo", *DEFAULTS)
+    inside = points_in(changes, framed, "box_id", F.col("lo"), F.col("start_ms") + 1, F.col("end_ms"), width_ms=3_600_000).withColumn("start_ms", F.col("lo")).drop("lo")
+    after = F.lead("start_ms").over(Window.partitionBy("segment_id", "slot").orderBy("start_ms"))
+    pieces = starts.unionByName(inside).withColumn("end_ms", F.coalesce(after, "end_ms")).unionByName(whole)
+    return pieces.withColumns(crop_pixels(width, height)).drop("box_id", *DEFAULTS)
 
 
 def active_at(times: DataFrame, overlays: DataFrame, key: str = "clip_id") -> DataFrame:

@@ -16,3 +16,15 @@ def points_in(points: DataFrame, intervals: DataFrame, key: str, t: Column, lo:
     bucket = lambda ms: F.floor(ms / width_ms)
     spread = intervals.where(lo < hi).withColumn("_bucket", F.explode(F.sequence(bucket(lo), bucket(hi - 1))))
     return points.withColumn("_bucket", bucket(t)).join(spread, [key, "_bucket"]).where((lo <= t) & (t < hi)).drop("_bucket")
+
+
+def touching(a: DataFrame, b: DataFrame, key: str, a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column, width_ms: int = 60_000) -> DataFrame:
+    """Intervals of ``a`` and ``b`` of one key that have a point in common, both ends counted.
+
+    Either is copied to each bucket that it touches; a pair meets where the later one of the two starts, so once.
+    An interval that ends before it starts counts as the point where it starts if that lies in the other one.
+    """
+    bucket = lambda ms: F.floor(ms / width_ms)
+    spread = lambda df, name, lo, hi: df.withColumn(name, bucket(lo)).withColumn("_bucket", F.explode(F.sequence(bucket(lo), F.greatest(bucket(lo), bucket(hi)))))
+    both = spread(a, "_a", a_lo, a_hi).join(spread(b, "_b", b_lo, b_hi), [key, "_bucket"])
+    return both.where((F.col("_bucket") == F.greatest("_a", "_b")) & (a_hi >= b_lo) & (a_lo <= b_hi)).drop("_a", "_b", "_bucket")

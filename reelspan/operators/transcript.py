@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reelspan.functions.languages import resolve_script, roman_word, script_rank
 from reelspan.functions.media import seconds_to_ms
 from reelspan.operators.alignment import align
+from reelspan.operators.ranges import touching
 
 CHUNK_S, LONGEST_HOLD_S = 25, 4.0
 UNKNOWN = "unknown"
@@ -83,12 +84,6 @@ def word_stats(rows: DataFrame, *by: str, order: str = "anchor_idx") -> DataFram
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_words"), F.max_by("end_s", order).alias("last_end_s"), F.array_join(F.transform(listed, lambda x: x["word"]), " ").alias("sample"))
 
 
-def full_text(words: DataFrame, order: list[str], key: str = "clip_id") -> DataFrame:
-    """``key, text``: all words in order, one space between."""
-    listed = F.array_sort(F.collect_list(F.struct(*order, "word")))
-    return words.groupBy(key).agg(F.array_join(F.transform(listed, lambda x: x["word"]), " ").alias("text"))
-
-
 def batches(words: DataFrame, size: int, order: str = "pos", key: str = "clip_id") -> DataFrame:
     """``key, batch, words``: arrays of ``size`` consecutive words (``order`` counts from 0)."""
     batch = F.floor(F.col(order) / size).cast("bigint")
@@ -125,8 +120,20 @@ def latest(transcripts: DataFrame, key: str = "video_id") -> DataFrame:
     return transcripts.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
 
 
+def clip_words(clips: DataFrame, transcripts: DataFrame, words: DataFrame) -> DataFrame:
+    """Words of the newest transcript of each clip's video that touch the clip (both ends count), in clip time.
+
+    ``clips``: clip_id, video_id, start_ms, end_ms; ``words``: transcript_id, start_ms, end_ms and others.
+    A word meets only the clips of its minutes, however many clips its video has.
+    """
+    newest = latest(transcripts).select("video_id", F.col("id").alias("transcript_id"))
+    c = clips.select("clip_id", "video_id", F.col("start_ms").alias("_from"), F.col("end_ms").alias("_to")).join(newest, "video_id").drop("video_id")
+    own = touching(words, c, "transcript_id", F.col("start_ms"), F.col("end_ms"), F.col("_from"), F.col("_to"))
+    return own.withColumns({"start_ms": F.col("start_ms") - F.col("_from"), "end_ms": F.col("end_ms") - F.col("_from")}).drop("_from", "_to")
+
+
 def latest_words(clips: DataFrame, transcripts: DataFrame, words: DataFrame) -> DataFrame:
-    """Clips with the words of their video's newest transcript; clips without one have no rows."""
+    """Clips with all the words of their video's newest transcript, as clip specs have them; clips without one have no rows."""
     newest = latest(transcripts).select("video_id", F.col("id").alias("transcript_id"))
     return clips.join(newest, "video_id").join(words, "transcript_id")
 

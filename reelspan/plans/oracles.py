@@ -87,14 +87,15 @@ def _case(expr: str, pairs: dict[str, str]) -> str:
     return f"CASE {expr} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in pairs.items()) + " END"
 
 
-def _roman(w: str) -> str:
+def _roman(w: str, keep: str = r"a-zA-Z0-9\s.,!?''-") -> str:
     """A mark after every consonant, taken back before a sign, then letter by letter."""
-    out = f"regexp_replace({w}, '([{''.join(CONSONANTS)}])', '\\1@', 'g')"
+    mark = chr(0xE000)
+    out = f"regexp_replace({w}, '([{''.join(CONSONANTS)}])', '\\1{mark}', 'g')"
     for s in SIGNS:
-        out = f"replace({out}, '@{s}', '{s}')"
-    for a, b in (CONSONANTS | VOWELS | SIGNS | CODAS | {"@": "a"}).items():
+        out = f"replace({out}, '{mark}{s}', '{s}')"
+    for a, b in (CONSONANTS | VOWELS | SIGNS | CODAS | {mark: "a"}).items():
         out = f"replace({out}, '{a}', '{b}')"
-    return rf"lower(regexp_replace({out}, '[^a-zA-Z0-9\s.,!?''-]', '', 'g'))"
+    return rf"lower(regexp_replace({out}, '[^{keep}]', '', 'g'))"
 
 
 _SLOTS = """
@@ -175,12 +176,43 @@ s AS (SELECT clip_id, seq, start_ms, end_ms, cast(sum(cast(new AS INT)) OVER (PA
     ),
     "visible_words": duck("SELECT t.clip_id, t.t_ms, w.turn, w.i, w.word FROM caption_times t JOIN words w ON w.clip_id = t.clip_id AND w.start_ms <= t.t_ms AND t.t_ms < w.end_ms + 500"),
     "sampled_state": duck(
-        "SELECT g.clip_id, g.t_ms, count(w.word) AS n_words FROM g LEFT JOIN words w ON w.clip_id = g.clip_id AND w.start_ms <= g.t_ms + g.o AND g.t_ms + g.o < w.end_ms + 500 AND w.end_ms >= g.o AND w.start_ms <= g.o + 300000 GROUP BY ALL",
-        "g AS (SELECT clip_id, start_ms AS o, unnest(range(0, end_ms - start_ms, 10000)) AS t_ms FROM clips)",
+        """SELECT g.clip_id, g.t_ms, coalesce(n.n, 0) AS n_words,
+  coalesce((SELECT arg_min(sentence, seq) FROM s WHERE s.clip_id = g.clip_id AND start_ms <= g.t_ms AND g.t_ms < end_ms),
+    (SELECT CASE WHEN arg_min(start_ms, seq) - g.t_ms < 500 THEN arg_min(sentence, seq) END FROM s WHERE s.clip_id = g.clip_id AND start_ms > g.t_ms)) AS sentence,
+  round(coalesce(x, 0), 9) AS x, round(coalesce(y, 0), 9) AS y, round(coalesce(w, 1), 9) AS w, round(coalesce(h, 1), 9) AS h, coalesce(o.layers, '') AS layers
+FROM g LEFT JOIN n USING (clip_id, t_ms) LEFT JOIN o USING (clip_id, t_ms) LEFT JOIN kf ON kf.box_id = g.clip_id % 150 AND g.q >= lo AND g.q < hi""",
+        r"""g AS (SELECT clip_id, t_ms, 1704067200000 + t_ms * 8640 AS q FROM (SELECT clip_id, unnest(range(0, end_ms - start_ms, 10000)) AS t_ms FROM clips)),
+cw AS (SELECT w.clip_id, w.turn, w.i, w.word, w.start_ms - c.start_ms AS start_ms, w.end_ms - c.start_ms AS end_ms FROM words w JOIN clips c USING (clip_id) WHERE w.end_ms >= c.start_ms AND w.start_ms <= c.end_ms),
+s0 AS (SELECT *, coalesce(lag(regexp_matches(word, '[.!?।]$')) OVER w, false) AS new, row_number() OVER w AS seq FROM cw WINDOW w AS (PARTITION BY clip_id ORDER BY turn, i)),
+s AS (SELECT clip_id, seq, start_ms, end_ms, cast(sum(cast(new AS INT)) OVER (PARTITION BY clip_id ORDER BY seq) AS BIGINT) AS sentence FROM s0),
+n AS (SELECT g.clip_id, g.t_ms, count(*) AS n FROM g JOIN cw ON cw.clip_id = g.clip_id AND cw.start_ms <= g.t_ms AND g.t_ms < cw.end_ms + 500 GROUP BY ALL),
+o AS (SELECT g.clip_id, g.t_ms, string_agg(v.id, ',' ORDER BY v.z_index, v.id) AS layers FROM g JOIN overlays v ON v.clip_id = g.clip_id AND g.q BETWEEN v.start_ms AND v.end_ms GROUP BY ALL),"""
+        + _VALID,
     ),
     "clip_spec": duck(
-        """SELECT s.clip_id, string_agg(s.id || ':' || coalesce(b.ids, ''), ';' ORDER BY s.sort_order, s.id) AS segments, any_value(coalesce(t.n, 0)) AS n_tracks, any_value(CASE WHEN s.clip_id % 2 = 0 THEN 720 ELSE 1080 END) AS output_width
-FROM segments s LEFT JOIN (SELECT segment_id, string_agg(id, ',' ORDER BY slot_index, id) AS ids FROM crop_boxes GROUP BY segment_id) b ON b.segment_id = s.id LEFT JOIN (SELECT clip_id, count(*) AS n FROM audio_tracks GROUP BY clip_id) t ON t.clip_id = s.clip_id GROUP BY s.clip_id"""
+        """SELECT e.clip_id, coalesce(sg.v, '') AS segments, coalesce(cs.v, '') AS styles, coalesce(tx.v, '') AS texts, coalesce(tr.v, '') AS tracks, coalesce(ts.v, '') AS transitions, coalesce(ov.v, '') AS overlays,
+  sha256(coalesce(wd.v, '')) AS words_sha256, coalesce(wd.n, 0) AS n_words, CASE WHEN e.clip_id % 2 = 0 THEN 720 ELSE 1080 END AS output_width
+FROM e LEFT JOIN sg USING (clip_id) LEFT JOIN cs USING (clip_id) LEFT JOIN tx USING (clip_id) LEFT JOIN tr USING (clip_id) LEFT JOIN ts USING (clip_id) LEFT JOIN ov USING (clip_id) LEFT JOIN wd USING (clip_id)""",
+        """e AS (SELECT clip_id FROM segments UNION SELECT clip_id FROM clips),
+fr AS (SELECT kf_seq % 5000 * 100 + 110 AS box_id, string_agg(kf_seq || '@' || t_ms || ':' || cast(round(x * 1000000) AS BIGINT), ',' ORDER BY t_ms, kf_seq) AS v FROM box_keyframes GROUP BY 1),
+bs AS (SELECT segment_id, string_agg(b.id || '(' || coalesce(fr.v, '') || ')', ',' ORDER BY slot_index, b.id) AS v FROM crop_boxes b LEFT JOIN fr ON fr.box_id = b.id GROUP BY segment_id),
+sg AS (SELECT clip_id, string_agg(s.id || '[' || coalesce(bs.v, '') || ']', ';' ORDER BY sort_order, s.id) AS v FROM segments s LEFT JOIN bs ON bs.segment_id = s.id GROUP BY clip_id),
+cs AS (SELECT clip_id, clip_id || ':' || CASE WHEN clip_id % 2 = 0 THEN 'roboto' ELSE '' END AS v FROM clips),
+tx AS (SELECT clip_id, string_agg(id || ':text ' || id, ',' ORDER BY id) AS v FROM overlays WHERE id % 2 = 1 GROUP BY clip_id),
+tr AS (SELECT clip_id, string_agg(id || ':' || seek_ms, ',' ORDER BY id) AS v FROM audio_tracks GROUP BY clip_id),
+ts AS (SELECT clip_id, string_agg(id || ':' || CASE WHEN sort_order % 2 = 0 THEN 'cut' ELSE 'fade' END, ',' ORDER BY id) AS v FROM segments WHERE sort_order > 1 GROUP BY clip_id),
+ov AS (SELECT clip_id, string_agg(z_index || ':' || id, ',' ORDER BY z_index, id) AS v FROM overlays WHERE id % 2 = 0 GROUP BY clip_id),
+nw AS (SELECT video_id, arg_max(clip_id, struct_pack(a := start_ms % 10000, b := clip_id)) AS transcript_id FROM clips GROUP BY video_id),
+wd AS (SELECT c.clip_id, string_agg(w.start_ms || ':' || w.word, ' ' ORDER BY w.start_ms, w.turn * 100000 + w.i) AS v, count(*) AS n FROM clips c JOIN nw USING (video_id) JOIN words w ON w.clip_id = nw.transcript_id GROUP BY c.clip_id)""",
+    ),
+    "spec_json": duck(
+        """SELECT e.clip_id, coalesce(sg.n, 0) AS n_segments, coalesce(bx.n, 0) AS n_boxes, coalesce(bx.p, 0) AS n_primary, coalesce(wd.n, 0) AS n_words, CASE WHEN c.clip_id % 2 = 0 THEN 'roboto' END AS font, CASE WHEN e.clip_id % 2 = 0 THEN 1280 ELSE 1920 END AS output_height
+FROM e LEFT JOIN sg USING (clip_id) LEFT JOIN bx USING (clip_id) LEFT JOIN wd USING (clip_id) LEFT JOIN clips c ON c.clip_id = e.clip_id""",
+        """e AS (SELECT clip_id FROM segments UNION SELECT clip_id FROM clips),
+sg AS (SELECT clip_id, count(*) AS n FROM segments GROUP BY clip_id),
+bx AS (SELECT clip_id, count(*) AS n, count(*) FILTER (WHERE source_video_id IS NULL) AS p FROM crop_boxes GROUP BY clip_id),
+nw AS (SELECT video_id, arg_max(clip_id, struct_pack(a := start_ms % 10000, b := clip_id)) AS transcript_id FROM clips GROUP BY video_id),
+wd AS (SELECT c.clip_id, count(*) AS n FROM clips c JOIN nw USING (video_id) JOIN words w ON w.clip_id = nw.transcript_id GROUP BY c.clip_id)""",
     ),
     "cut_list": duck(
         """SELECT clip_id, segment_id, sort_order, slot, box_id, source_video_id, CASE WHEN source_video_id IS NOT NULL THEN coalesce(off, 0) ELSE start_ms END AS in_ms,
@@ -203,7 +235,11 @@ FROM known JOIN (SELECT id, cast(coalesce(sum(end_ms - start_ms) OVER (PARTITION
 UNION ALL SELECT id, 'text', cast(trunc(CASE WHEN id % 3 > 0 AND id % 17 > 0 THEN id % 17 / cast(16 AS DOUBLE) ELSE cast(0.1 AS DOUBLE) END * 1080) AS BIGINT), cast(trunc(CASE WHEN id % 4 > 0 AND id % 9 > 0 THEN id % 9 / cast(8 AS DOUBLE) ELSE cast(0.1 AS DOUBLE) END * 1920) AS BIGINT), 48, 0 FROM overlays WHERE id % 2 = 0"""
     ),
     "latest_transcript": duck("SELECT id, video_id, language FROM transcripts QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY created_at DESC, id DESC) = 1"),
-    "replace_transcripts": duck("SELECT id, video_id, language FROM transcripts WHERE id % 3 <> 0 AND video_id NOT IN (SELECT video_id FROM transcripts WHERE id % 6 = 0) UNION ALL SELECT id, video_id, language FROM transcripts WHERE id % 6 = 0"),
+    "replace_transcripts": duck("SELECT id, video_id, language FROM transcripts WHERE id % 3 <> 0 AND video_id NOT IN (SELECT video_id FROM transcripts WHERE id % 3 = 0) UNION ALL SELECT id, video_id, language FROM transcripts WHERE id % 3 = 0"),
+    "table_round_trip": duck(
+        "SELECT cast(id AS VARCHAR) AS id, cast(video_id AS VARCHAR) AS video_id, language, way FROM r CROSS JOIN (SELECT unnest(['replaced', 'keyed']) AS way)",
+        "r AS (SELECT * FROM transcripts WHERE id % 3 = 2 OR video_id NOT IN (SELECT video_id FROM transcripts WHERE id % 3 = 2))",
+    ),
     "music_gain": duck(
         """SELECT id, clip_id, t AS start_ms, nxt AS end_ms, round(CASE WHEN inside > 0 THEN volume * 0.15 ELSE volume END, 6) AS gain, seek_ms
 FROM (SELECT *, lead(t) OVER (PARTITION BY id ORDER BY t) AS nxt, sum(step) OVER (PARTITION BY id ORDER BY t) AS inside FROM e) JOIN audio_tracks USING (id) WHERE nxt IS NOT NULL""",
@@ -228,9 +264,13 @@ FROM (SELECT *, [{", ".join(f"'{x}'" for x in CODES)}][i % {len(CODES)} + 1] AS
 FROM (SELECT clip_id, word, trim(translate(word, '.,!?।[]', '')) AS c, row_number() OVER (PARTITION BY clip_id ORDER BY turn, i) - 1 AS p FROM words)"""
     ),
     "model_list_decode": duck(
-        """SELECT clip_id, turn, unnest(CASE WHEN items IS NULL THEN [NULL] ELSE range(len(items)) END) AS pos, nullif(unnest(CASE WHEN items IS NULL THEN [NULL] ELSE items END), '') AS item FROM (
-  SELECT clip_id, turn, CASE (clip_id + turn) % 5 WHEN 0 THEN [a, b, NULL] WHEN 1 THEN [a, NULL] WHEN 2 THEN [a, NULL, b] WHEN 3 THEN [a, b] END AS items
-  FROM (SELECT clip_id, turn, max(word) FILTER (WHERE i = 0) AS a, coalesce(max(word) FILTER (WHERE i = 1), '') AS b FROM words WHERE i < 2 GROUP BY clip_id, turn))"""
+        """SELECT clip_id, turn, unnest(CASE WHEN items IS NULL THEN [NULL] ELSE range(len(items)) END) AS pos, unnest(CASE WHEN items IS NULL THEN [NULL] ELSE items END) AS item FROM (
+  SELECT clip_id, turn, CASE WHEN (clip_id + turn) % 5 < 3 THEN list_append(ws, NULL) WHEN (clip_id + turn) % 5 = 3 THEN ws END AS items
+  FROM (SELECT clip_id, turn, list(word ORDER BY i) AS ws FROM words GROUP BY clip_id, turn))"""
+    ),
+    "script_words": duck(
+        f"SELECT clip_id, turn, i, coalesce(nullif(roman, ''), CASE WHEN regexp_matches(word, '[{chr(0x0C00)}-{chr(0x0C7F)}]') THEN {_roman('word', keep=chr(92) + 'x00-' + chr(92) + 'x7F')} ELSE word END) AS shown FROM sw",
+        f"sw AS (SELECT clip_id, turn, i, CASE WHEN i % 2 = 0 THEN translate(lower(word), '{TO_TELUGU[0]}', '{TO_TELUGU[1]}') ELSE word END AS word, CASE i % 3 WHEN 0 THEN lower(word) WHEN 1 THEN '' END AS roman FROM words)",
     ),
     "job_routes": duck("SELECT id, is_link, is_retranscribe, is_clip, CASE WHEN NOT is_clip AND NOT is_retranscribe AND NOT is_link THEN 'mark_ready' WHEN NOT is_clip AND NOT is_retranscribe THEN 'fetch_only' ELSE 'transcribe' END AS route FROM jr", _ROUTED),
     "audio_ranges": duck("SELECT id, cast(json_extract_string(payload, '$.clip_start_ms') AS BIGINT) / cast(1000 AS DOUBLE) AS start_s, (cast(json_extract_string(payload, '$.clip_end_ms') AS BIGINT) - cast(json_extract_string(payload, '$.clip_start_ms') AS BIGINT)) / cast(1000 AS DOUBLE) AS length_s FROM jr WHERE is_clip", _ROUTED),
@@ -260,3 +300,6 @@ JOIN (SELECT clip_id, chunk_idx, count(*) AS n_phrases, greatest(count(*) - 2, 0
 }
 ORACLES["speech_ranges"] = duck("SELECT * FROM ranges", _RANGES)
 ORACLES["speech_ranges_session"] = ORACLES["speech_ranges"]
+ORACLES["stream_speech_ranges"] = ORACLES["speech_ranges"]
+ORACLES["stream_answers"] = duck("SELECT cast(clip_id AS VARCHAR) AS clip_id, chunk_idx, row_number() OVER (PARTITION BY clip_id, chunk_idx ORDER BY phrase_idx) - 1 AS phrase_idx, phrase, start_s, end_s FROM asr_phrases")
+ORACLES["stream_progress"] = duck(f"SELECT video_id, max(p) AS progress FROM (SELECT video_id, {_PCT} AS p FROM log_lines) WHERE p IS NOT NULL GROUP BY video_id")

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from reelspan.functions import languages, media, text
 from reelspan.operators import alignment, captions, edl, jobs, keyframes, speech, spec, transcript
 from reelspan.plans.fixtures import view
+from reelspan.schemas import schema
+from reelspan.sources import tables
+from reelspan.streaming import streams
 
 WIDTH, HEIGHT = 1080, 1920
 ORDER = ["turn", "i"]
@@ -28,20 +31,13 @@ def caption_events(spark: SparkSession, d: str) -> DataFrame:
 def clip_captions(spark: SparkSession, d: str) -> DataFrame:
     """The caption table: newest transcript, words in the clip, clip time, lines, script times."""
     words = view(spark, d, "words").withColumnRenamed("clip_id", "transcript_id")
-    clips, transcripts = _clips_and_transcripts(spark, d)
-    found = captions.events(captions.in_clips(transcript.latest_words(clips, transcripts, words), _bounds(clips)), ORDER)
+    found = captions.events(transcript.clip_words(view(spark, d, "clips"), _transcripts(spark, d), words), ORDER)
     return found.select("clip_id", "line", media.ass_time(F.col("start_ms")).alias("start_time"), media.ass_time(F.col("end_ms")).alias("end_time"), "text")
 
 
-def _clips_and_transcripts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Clips whose newest transcript, by id modulo the clips, has words; word times overlap the clip's either way."""
-    clips = view(spark, d, "clips").drop("start_ms", "end_ms")
-    transcripts = view(spark, d, "clips").select(F.col("clip_id").alias("id"), "video_id", "start_ms").withColumn("created_at", F.col("start_ms") % 10000).drop("start_ms")
-    return clips, transcripts
-
-
-def _bounds(clips: DataFrame) -> DataFrame:
-    return clips.select("clip_id", (F.col("clip_id") % 7 * 5000).alias("start_ms"), (F.col("clip_id") % 7 * 5000 + 300000).alias("end_ms"))
+def _transcripts(spark: SparkSession, d: str) -> DataFrame:
+    """A transcript for each clip's conversation; several of a video, with ties of their time."""
+    return view(spark, d, "clips").select(F.col("clip_id").alias("id"), "video_id", (F.col("start_ms") % 10000).alias("created_at"))
 
 
 def caption_scripts(spark: SparkSession, d: str) -> DataFrame:
@@ -132,23 +128,69 @@ def visible_words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sampled_state(spark: SparkSession, d: str) -> DataFrame:
-    """Words on screen at every tenth second of each clip."""
+    """At every tenth second of each clip: words on screen, the karaoke line, the box's place, and the overlays from back to front.
+
+    Boxes and overlays are asked about at times laid over the month of their tables.
+    """
     clips = view(spark, d, "clips")
-    grid = keyframes.time_grid(clips, 10_000)
+    month = F.lit(1704067200000) + F.col("t_ms") * 8640
+    grid = keyframes.time_grid(clips, 10_000).withColumns({"q_ms": month, "box_id": F.col("clip_id") % 150})
     words = captions.in_clips(view(spark, d, "words"), clips)
-    shown = captions.visible_words(words, grid).groupBy("clip_id", "t_ms").agg(F.count(F.lit(1)).alias("n_words"))
-    return grid.join(shown, ["clip_id", "t_ms"], "left").select("clip_id", "t_ms", F.coalesce("n_words", F.lit(0)).alias("n_words"))
+    shown = captions.visible_words(words, grid.select("clip_id", "t_ms")).groupBy("clip_id", "t_ms").agg(F.count(F.lit(1)).alias("n_words"))
+    placed = keyframes.position_at(captions.karaoke_lines(words, grid, ORDER), view(spark, d, "box_keyframes"))
+    on = keyframes.active_at(grid.select("clip_id", F.col("q_ms").alias("t_ms")), view(spark, d, "overlays")).withColumnRenamed("t_ms", "q_ms")
+    layers = on.groupBy("clip_id", "q_ms").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("z_index", "id"))), lambda x: x["id"].cast("string")), ",").alias("layers"))
+    found = placed.join(shown, ["clip_id", "t_ms"], "left").join(layers, ["clip_id", "q_ms"], "left")
+    return found.select("clip_id", "t_ms", F.coalesce("n_words", F.lit(0)).alias("n_words"), "sentence", *[F.round(c, 9).alias(c) for c in "xywh"], F.coalesce("layers", F.lit("")).alias("layers"))
+
+
+def _specs(spark: SparkSession, d: str) -> DataFrame:
+    """Specs of all clips that have segments or a video, with every child table.
+
+    The tables have no styles, texts or transitions: those are derived from clips, overlays and segments.
+    """
+    segments, clips = view(spark, d, "segments"), view(spark, d, "clips")
+    # A keyframe belongs to the first box of a first segment.
+    frames = view(spark, d, "box_keyframes").withColumn("box_id", F.col("kf_seq") % 5000 * 100 + 110)
+    every = segments.select("clip_id").unionByName(clips.select("clip_id")).distinct()
+    overlays = view(spark, d, "overlays")
+    children = {
+        "caption_styles": clips.select(F.col("clip_id").alias("id"), "clip_id", F.when(F.col("clip_id") % 2 == 0, "roboto").alias("font")),
+        "text_overlays": overlays.where("id % 2 = 1").select("id", "clip_id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), "start_ms"),
+        "audio_tracks": view(spark, d, "audio_tracks"), "overlays": overlays.where("id % 2 = 0"),
+        "transitions": segments.where("sort_order > 1").select("id", "clip_id", F.when(F.col("sort_order") % 2 == 0, "cut").otherwise("fade").alias("type")),
+    }
+    words = view(spark, d, "words").withColumnRenamed("clip_id", "transcript_id")
+    spoken = transcript.latest_words(clips.select("clip_id", "video_id"), _transcripts(spark, d), words).select("clip_id", (F.col("turn") * 100000 + F.col("i")).alias("word_idx"), "word", "start_ms")
+    return spec.clip_specs(every, segments, view(spark, d, "crop_boxes").drop("clip_id"), frames, children, spoken, quality=F.when(F.col("clip_id") % 2 == 0, "720p"))
 
 
 def clip_spec(spark: SparkSession, d: str) -> DataFrame:
-    """Nested specs, told by the ids in their order."""
-    segments, boxes = view(spark, d, "segments"), view(spark, d, "crop_boxes")
-    frames = view(spark, d, "box_keyframes").where("t_ms % 7200000 = 0").withColumn("box_id", F.col("box_id") + 0)
-    clips = segments.select("clip_id").distinct()
-    tracks = view(spark, d, "audio_tracks")
-    specs = spec.clip_specs(clips, segments, boxes.drop("clip_id"), frames, {"audio_tracks": tracks}, quality=F.when(F.col("clip_id") % 2 == 0, "720p"))
-    seg = lambda s: F.concat(s["id"].cast("string"), F.lit(":"), F.array_join(F.transform(s["crop_boxes"], lambda b: b["id"].cast("string")), ","))
-    return specs.select("clip_id", F.array_join(F.transform("segments", seg), ";").alias("segments"), F.size("audio_tracks").cast("bigint").alias("n_tracks"), F.col("output_width").cast("bigint").alias("output_width"))
+    """Nested specs with all that is in them: boxes and keyframes inside segments, children and words in their order."""
+    listed = lambda items, one, sep=",": F.array_join(F.transform(items, one), sep)
+    text = lambda c: c.cast("string")
+    frame = lambda k: F.concat(text(k["kf_seq"]), F.lit("@"), text(k["t_ms"]), F.lit(":"), text(F.round(k["x"] * 1000000).cast("bigint")))
+    box = lambda b: F.concat(text(b["id"]), F.lit("("), listed(b["box_keyframes"], frame), F.lit(")"))
+    segment = lambda s: F.concat(text(s["id"]), F.lit("["), listed(s["crop_boxes"], box), F.lit("]"))
+    pair = lambda a, b: lambda x: F.concat(text(x[a]), F.lit(":"), F.coalesce(text(x[b]), F.lit("")))
+    return _specs(spark, d).select(
+        "clip_id", listed(F.col("segments"), segment, ";").alias("segments"), listed(F.col("caption_styles"), pair("id", "font")).alias("styles"), listed(F.col("text_overlays"), pair("id", "text")).alias("texts"),
+        listed(F.col("audio_tracks"), pair("id", "seek_ms")).alias("tracks"), listed(F.col("transitions"), pair("id", "type")).alias("transitions"), listed(F.col("overlays"), pair("z_index", "id")).alias("overlays"),
+        F.sha2(listed(F.col("words"), pair("start_ms", "word"), " "), 256).alias("words_sha256"), F.size("words").cast("bigint").alias("n_words"), F.col("output_width").cast("bigint").alias("output_width"),
+    )
+
+
+def spec_json(spark: SparkSession, d: str) -> DataFrame:
+    """Specs written as JSON lines, one object a clip, and read again."""
+    path = tables.shared_folder(spark, "specs")
+    tables.write_specs(spec.as_json(_specs(spark, d)), path)
+    shape = "clip_id bigint, segments array<struct<id: bigint, source: string, crop_boxes: array<struct<id: bigint, source_video_id: bigint>>>>, caption_styles array<struct<font: string>>, words array<struct<word: string>>, output_height int"
+    rows = spark.read.schema(shape).json(path)
+    boxes = F.flatten(F.transform("segments", lambda s: s["crop_boxes"]))
+    return rows.select(
+        "clip_id", F.size("segments").cast("bigint").alias("n_segments"), F.size(boxes).cast("bigint").alias("n_boxes"), F.size(F.filter(boxes, lambda b: b["source_video_id"].isNull())).cast("bigint").alias("n_primary"),
+        F.size("words").cast("bigint").alias("n_words"), F.try_element_at("caption_styles", F.lit(1))["font"].alias("font"), F.col("output_height").cast("bigint").alias("output_height"),
+    )
 
 
 def cut_list(spark: SparkSession, d: str) -> DataFrame:
@@ -189,8 +231,24 @@ def latest_transcript(spark: SparkSession, d: str) -> DataFrame:
 
 
 def replace_transcripts(spark: SparkSession, d: str) -> DataFrame:
+    """The first two thirds of the transcripts, and then those of the last third in place of all of their videos."""
     rows = view(spark, d, "transcripts").select("id", "video_id", "language")
-    return transcript.replaced(rows.where("id % 3 <> 0"), rows.where("id % 6 = 0"))
+    return transcript.replaced(rows.where("id % 3 <> 0"), rows.where("id % 3 = 0"))
+
+
+def table_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Transcripts through the sinks and the reader: two appends, then the keys of a third part replaced."""
+    path = tables.shared_folder(spark, "tables")
+    rows = view(spark, d, "transcripts").select(F.col("id").cast("string").alias("id"), F.col("video_id").cast("string").alias("video_id"), "language", F.col("created_at").cast("timestamp").alias("created_at"))
+    part = lambda k: rows.where(F.col("id").cast("bigint") % 3 == k)
+    tables.append_transcripts(part(0), f"{path}/first.parquet")
+    tables.append_transcripts(part(1), f"{path}/first.parquet")
+    tables.overwrite_keys(spark.read.schema(schema("transcripts")).parquet(f"{path}/first.parquet"), f"{path}/keyed")
+    tables.overwrite_keys(part(2), f"{path}/keyed")
+    tables.replace_transcripts(spark, f"{path}/first.parquet", part(2), f"{path}/transcripts.parquet")
+    both = tables.read_table(spark, path, "transcripts").select("id", "video_id", "language", F.lit("replaced").alias("way"))
+    keyed = spark.read.parquet(f"{path}/keyed").select("id", "video_id", "language", F.lit("keyed").alias("way"))
+    return both.unionByName(keyed)
 
 
 def music_gain(spark: SparkSession, d: str) -> DataFrame:
@@ -250,13 +308,26 @@ def marker_batches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model_list_decode(spark: SparkSession, d: str) -> DataFrame:
-    """Model answers in every form, from the first words of each turn."""
-    first = view(spark, d, "words").where("i < 2").groupBy("clip_id", "turn").agg(F.max_by("word", F.when(F.col("i") == 0, 1)).alias("a"), F.max_by("word", F.when(F.col("i") == 1, 1)).alias("b"))
-    a, b = F.col("a"), F.coalesce("b", F.lit(""))
-    q = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    """Model answers in every form, from all words of each turn."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"])
+    turns = view(spark, d, "words").groupBy("clip_id", "turn").agg(listed.alias("words"))
+    array = F.to_json("words")
+    open_ = array.substr(F.lit(1), F.length(array) - 1)
+    keyed = F.to_json(F.map_from_entries(F.transform("words", lambda w, k: F.struct(F.lpad(k.cast("string"), 6, "0"), w))))
     n = (F.col("clip_id") + F.col("turn")) % 5
-    answer = F.when(n == 0, q('["', a, '", "', b, '", 2]')).when(n == 1, q('```json\n["', a, '", " "]\n```')).when(n == 2, q('{"words": ["', a, '", null, "', b, '"]}')).when(n == 3, q('{"0": "', a, '", "1": "', b, '"}')).otherwise(q('["', a, '", '))
-    return first.select("clip_id", "turn", F.posexplode_outer(text.model_list(answer)).alias("pos", "item")).withColumn("pos", F.col("pos").cast("bigint"))
+    answer = (
+        F.when(n == 0, F.concat(open_, F.lit(", 2]"))).when(n == 1, F.concat(F.lit("```json\n"), open_, F.lit(', " "]\n```'))).when(n == 2, F.concat(F.lit('{"words": '), open_, F.lit(", null]}"))).when(n == 3, keyed)
+        .otherwise(open_)
+    )
+    return turns.select("clip_id", "turn", F.posexplode_outer(text.model_list(answer)).alias("pos", "item")).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+def script_words(spark: SparkSession, d: str) -> DataFrame:
+    """What captions show of words in many scripts: the romanized word, or Telugu romanized on the fly."""
+    telugu = F.translate(F.lower("word"), *TO_TELUGU)
+    own = F.when(F.col("i") % 2 == 0, telugu).otherwise(F.col("word"))
+    rows = view(spark, d, "words").select("clip_id", "turn", "i", own.alias("word"), F.when(F.col("i") % 3 == 0, F.lower("word")).when(F.col("i") % 3 == 1, "").alias("roman"))
+    return rows.select("clip_id", "turn", "i", languages.display_with_script(F.col("word"), F.col("roman")).alias("shown"))
 
 
 def job_routes(spark: SparkSession, d: str) -> DataFrame:
@@ -306,8 +377,6 @@ def chunk_languages(spark: SparkSession, d: str) -> DataFrame:
 
 def answer_rows(spark: SparkSession, d: str) -> DataFrame:
     """Answers of both forms, written as JSON and read again: words of each chunk with its statistics."""
-    from reelspan.schemas import schema
-
     anchors = view(spark, d, "asr_anchors")
     record = F.struct(F.concat(F.lit(" "), F.col("word")).alias("word"), F.col("start_s").alias("start"), F.col("end_s").alias("end"))
     listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("anchor_idx", c.alias("v")))), lambda x: x["v"])
@@ -320,3 +389,35 @@ def answer_rows(spark: SparkSession, d: str) -> DataFrame:
     phrases = transcript.phrase_rows(spoken.select("clip_id", "chunk_idx", F.from_json("json", schema("phrase_response")).alias("response")))
     sums = phrases.groupBy("clip_id", "chunk_idx").agg(F.count(F.lit(1)).alias("n_phrases"), F.count_if(F.col("end_s") == 0).alias("n_untimed"))
     return found.join(sums, ["clip_id", "chunk_idx"])
+
+
+def stream_speech_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Speech ranges of the words as a stream."""
+    path = tables.shared_folder(spark, "stream")
+    words = view(spark, d, "words")
+    words.write.parquet(f"{path}/words")
+    ranges = streams.speech_ranges(spark.readStream.schema(words.schema).parquet(f"{path}/words"))
+    streams.last_result(ranges, f"{path}/ranges", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("clip_id bigint, start_ms bigint, end_ms bigint").parquet(f"{path}/ranges")
+
+
+def stream_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Recognizer answers as a stream of files to word rows."""
+    path = tables.shared_folder(spark, "stream")
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("phrase_idx", F.col(c).alias("v")))), lambda x: x["v"])
+    arrays = F.struct(listed("phrase").alias("words"), listed("start_s").alias("start_time_seconds"), listed("end_s").alias("end_time_seconds"))
+    answers = view(spark, d, "asr_phrases").groupBy(F.col("clip_id").cast("string").alias("clip_id"), "chunk_idx").agg(F.struct(arrays.alias("timestamps")).alias("response"))
+    answers.write.json(f"{path}/answers")
+    arriving = streams.answer_stream(spark, f"{path}/answers", "phrase_response")
+    streams.answers_to_words(arriving, "phrase_response", f"{path}/words", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/words").select("clip_id", "chunk_idx", F.col("phrase_idx").cast("bigint").alias("phrase_idx"), "phrase", "start_s", "end_s")
+
+
+def stream_progress(spark: SparkSession, d: str) -> DataFrame:
+    """The highest progress of each video from its log as a stream."""
+    path = tables.shared_folder(spark, "stream")
+    lines = view(spark, d, "log_lines").select("video_id", "line")
+    lines.write.parquet(f"{path}/log")
+    found = streams.progress(spark.readStream.schema(lines.schema).parquet(f"{path}/log"))
+    streams.last_result(found, f"{path}/progress", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("video_id bigint, progress bigint").parquet(f"{path}/progress")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,9 +55,37 @@ def replace_transcripts(spark: SparkSession, path: str, new: DataFrame, out: str
     replaced(spark.read.parquet(path), new, key).write.mode("overwrite").parquet(out)
 
 
-def overwrite_keys(new: DataFrame, path: str, key: str = "video_id") -> None:
-    """Only the partitions of ``new``'s keys are replaced."""
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+#: Folders of a table that is replaced by key.
+BUCKETS = 64
+
+
+def overwrite_keys(new: DataFrame, path: str, key: str = "video_id", buckets: int = BUCKETS) -> None:
+    """The rows of ``new``'s keys are replaced in the table at ``path``, which lies in folders by hash of the key.
+
+    Only the folders that hold such a key are written again; their other rows are set aside in a folder
+    beside the table first, where they stay until the next time.
+    """
+    spark = new.sparkSession
+    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+    rows = new.withColumn("bucket", bucket)
+    aside = f"{path.rstrip('/')}-kept"
+    table = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if table.getFileSystem(spark._jsc.hadoopConfiguration()).exists(table):
+        old = spark.read.schema(rows.schema).parquet(path)
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most BUCKETS
+        old.where(F.col("bucket").isin(touched)).join(new.select(key).distinct(), key, "left_anti").write.mode("overwrite").parquet(aside)
+        rows = rows.unionByName(spark.read.schema(rows.schema).parquet(aside))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``; for a local master without the setting, a local one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-tables-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def write_specs(specs_json: DataFrame, path: str) -> None:
@@ -63,6 +94,10 @@ def write_specs(specs_json: DataFrame, path: str) -> None:
 
 
 def write_scripts(script_lines: DataFrame, path: str, key: str = "clip_id") -> None:
-    """Caption scripts: a folder for each clip with its lines in order."""
-    sorted_lines = script_lines.repartition(key).sortWithinPartitions(key, "n")
-    sorted_lines.select(key, F.col("line").alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+    """Caption scripts as Parquet with columns key, n and line, sorted by key and place: no file or folder for each clip."""
+    script_lines.select(key, "n", "line").repartitionByRange(key, "n").sortWithinPartitions(key, "n").write.mode("overwrite").parquet(path)
+
+
+def read_script(spark: SparkSession, path: str, clip: str | int, key: str = "clip_id") -> DataFrame:
+    """The lines of one clip's script in order; files of other keys are not read."""
+    return spark.read.parquet(path).where(F.col(key) == clip).orderBy("n").select("line")

@@ -11,6 +11,7 @@ from reelspan.operators.speech import GAP_MS
 from reelspan.operators.transcript import anchor_rows, phrase_rows
 from reelspan.schemas import schema
 
+#: Columns of a stream of words.
 WORDS = "clip_id bigint, start_ms bigint, end_ms bigint, word string"
 
 
@@ -41,3 +42,8 @@ def answers_to_words(answers: DataFrame, form: str, path: str, checkpoint: str)
 def progress(lines: DataFrame, key: str = "video_id") -> DataFrame:
     """Highest download progress of each video so far, from its log lines."""
     return lines.select(key, download_progress(download_percent(F.col("line"))).alias("progress")).where(F.col("progress").isNotNull()).groupBy(key).agg(F.max("progress").alias("progress"))
+
+
+def last_result(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """The whole result of an aggregating stream, written again to ``path`` with each batch."""
+    return stream.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint)

@@ -55,13 +55,16 @@ def test_sinks(spark, tmp_path):
     tables.append_transcripts(old, path)
     tables.replace_transcripts(spark, path, new, str(tmp_path / "next"))
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "next")).collect()) == ["b", "c"]
-    tables.overwrite_keys(old, str(tmp_path / "parts"))
-    tables.overwrite_keys(new, str(tmp_path / "parts"))
+    tables.overwrite_keys(old, str(tmp_path / "parts"), buckets=1)  # so that keys share a folder
+    tables.overwrite_keys(new, str(tmp_path / "parts"), buckets=1)
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "parts")).collect()) == ["b", "c"]
+    tables.overwrite_keys(old, str(tmp_path / "many"))
+    tables.overwrite_keys(new, str(tmp_path / "many"))
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "many")).collect()) == ["b", "c"]
     words = spark.createDataFrame([("c", 0, "Hi.", 0, 400)], "clip_id string, i int, word string, start_ms bigint, end_ms bigint")
     styles = spark.createDataFrame([("s", "c", None, 0, None, 0.0)], "id string, clip_id string, font string, size int, color string, position_y double")
     tables.write_scripts(captions.scripts(captions.events(words, ["i"]), styles, 100, 200), str(tmp_path / "scripts"))
-    lines = [r.value for r in spark.read.text(str(tmp_path / "scripts" / "clip_id=c")).collect()]
+    lines = [r.line for r in tables.read_script(spark, str(tmp_path / "scripts"), "c").collect()]
     assert lines[0] == "[Script Info]" and lines[-1] == "Dialogue: 0,0:00:00.00,0:00:00.60,Default,,0,0,0,,{\\pos(50,168)}Hi."
     ids = words.select(tables.transcript_id("clip_id", "run").alias("x")).first().x
     assert len(ids) == 64
@@ -72,3 +75,14 @@ def test_sinks(spark, tmp_path):
 def test_table_reader(spark, tmp_path):
     spark.createDataFrame([("s", "c", 1, "split", 0, 5)], "id string, clip_id string, sort_order int, layout string, start_ms bigint, end_ms bigint").write.parquet(str(tmp_path / "segments.parquet"))
     assert tables.read_table(spark, str(tmp_path), "segments").first().layout == "split"
+
+
+def test_database_round_trip(spark):
+    words = spark.createDataFrame([(f"t{k % 3}", k, f"w{k}") for k in range(1200)], "transcript_id string, word_idx bigint, word string")
+    url, options = "jdbc:derby:memory:reels;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    tables.append_jdbc(words.where("word_idx < 700"), url, "transcript_words", **options)
+    tables.append_jdbc(words.where("word_idx >= 700"), url, "transcript_words", **options)
+    whole = tables.read_jdbc(spark, url, "transcript_words", **options)
+    parts = tables.read_jdbc(spark, url, "transcript_words", column='"word_idx"', lower=0, upper=1200, partitions=4, **options)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect())) == sorted(map(tuple, words.collect()))
+    assert len({r.p for r in parts.selectExpr("spark_partition_id() AS p").collect()}) == 4
