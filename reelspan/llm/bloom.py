@@ -7,8 +7,8 @@ filter costs time and never changes a result.
 
 Build: each task turns its keys into two bit positions inside one segment of
 at most 2**22 bits and sends, per segment, the positions it saw once and the
-ones it saw again.  A second step merges the pieces of a segment, batch by
-batch, into one bitmap.
+ones it saw again.  A second step merges the pieces of a segment, one after the
+other, into one bitmap.
 """
 
 from __future__ import annotations
@@ -104,22 +104,30 @@ def build(keys: DataFrame, expected: int, repeated: bool = False, max_bits: int
             )
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        now, seen, twice = None, np.zeros(segment_bits, bool), np.zeros(segment_bits, bool)
+
+        def packed() -> pa.RecordBatch:
+            bits = np.packbits(twice if repeated else seen, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([bits], pa.binary())], names=["segment", "bits"])
+
         for batch in batches:
-            for segment, once, again in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                seen, twice = maps.setdefault(segment, (np.zeros(segment_bits, bool), np.zeros(segment_bits, bool)))
-                own = np.frombuffer(once, "<u4")
+            for segment, once, again in zip(*batch.columns, strict=True):
+                if segment.as_py() != now:
+                    if now is not None:
+                        yield packed()
+                    now = segment.as_py()
+                    seen[:], twice[:] = False, False
+                own = np.frombuffer(once.as_buffer(), "<u4")
                 twice[own[seen[own]]] = True
-                twice[np.frombuffer(again, "<u4")] = True
+                twice[np.frombuffer(again.as_buffer(), "<u4")] = True
                 seen[own] = True
-        for segment, (seen, twice) in maps.items():
-            packed = np.packbits(twice if repeated else seen, bitorder="little").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([packed], pa.binary())], names=["segment", "bits"])
+        if now is not None:
+            yield packed()
 
     rows = (
         keys.select(F.col(name).cast("bigint"))
         .mapInArrow(pieces, "segment int, once binary, again binary")
-        .repartition("segment")
+        .repartition("segment").sortWithinPartitions("segment")
         .mapInArrow(merged, "segment int, bits binary")
         .collect()  # at most MAX_BITS / 8 bytes
     )

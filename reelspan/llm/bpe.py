@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelspan.llm.names import quoted
 from reelspan.llm.scratch import bounded_batches
 
 #: Distinct pre-tokens in a generation of what a Python worker remembers (two generations are kept, about 190 MB).
@@ -176,7 +177,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     ``ids`` (binary) are the ids of the whole text as little-endian unsigned 32-bit
     integers: each match of ``pattern`` is encoded by itself, without special
     tokens.  ``decoded`` (binary) is what those ids stand for.  A null or empty
-    text has no ids.  Order, repeated rows and other columns do not matter; an
+    text has no ids; a very long one, or a very long pre-token, takes time in proportion
+    (times a logarithm).  Order, repeated rows and other columns do not matter; an
     empty table gives no rows.  No shuffle.
     """
     bounded_batches(docs.sparkSession)
@@ -200,7 +202,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
                     names=["doc_id", "n_tokens", "ids", "decoded"],
                 )
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("_text"))
+    rows = docs.select(F.col(quoted(id_col)).cast("bigint").alias("doc_id"), F.col(quoted(text)).alias("_text"))
     return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary, decoded binary")
 
 

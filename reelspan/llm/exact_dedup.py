@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspan.llm import bloom
+from reelspan.llm.names import quoted
 from reelspan.llm.scratch import written
 
 #: Groups above this many rows (or a 100,000th of all rows) are joined by broadcast: at most 100,000 groups are.
@@ -25,11 +26,11 @@ def exact_duplicates(docs: DataFrame, text: str | Column = "text", id_col: str =
     Texts are equal when they are identical (null counts as empty).  Of equal
     texts the row with the largest id stays; null ids are smaller than all
     others.  Rows that repeat both id and text are one group: of several rows
-    with the winning id exactly one is kept.  An empty table gives no rows;
-    other columns of ``docs`` are not read.
+    with the winning id exactly one is kept.  Very long texts are hashed whole; only
+    digests move.  An empty table gives no rows; other columns of ``docs`` are not read.
     """
-    value = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), value.alias("_text"))
+    value = F.coalesce(F.col(quoted(text)) if isinstance(text, str) else text, F.lit(""))
+    rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), value.alias("_text"))
     n = rows.count()
     seen_again = bloom.build(rows.select(F.xxhash64("_text").alias("h")), n, repeated=True)
     digests = written(

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from reelspan.llm import bloom
 from reelspan.llm.bloom import mix
 from reelspan.llm.components import components
+from reelspan.llm.names import quoted
 from reelspan.llm.scratch import bounded_batches, written
 from reelspan.llm.spans import LOWER, Words, text_chunks
 
@@ -42,6 +43,8 @@ MOST_WRONG = 50
 COMPARED = 64
 #: Set elements in a block: 8 MB of hashes.
 BLOCK_ELEMENTS = 1_000_000
+#: Nodes of which one task makes all keys, in at most so many tasks.
+PART_NODES, MOST_PARTS = 4096, 20_000
 
 _rng = np.random.default_rng(20)
 _FACTORS = _rng.integers(1, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -311,7 +314,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     bytes for each byte of the longest text.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("_text"))
+    rows = docs.select(F.col(quoted(id_col)).cast("bigint").alias("doc_id"), F.col(quoted(text)).alias("_text"))
     signed = written(rows.mapInArrow(_signed(shingle_words), "doc_id bigint, n_shingles bigint, node bigint, node2 bigint, signature binary"), "near-signed")
     classes = written(
         signed.where("n_shingles > 0").groupBy("node", "node2", "n_shingles").agg(F.min("doc_id").alias("first_doc"), F.first("signature").alias("signature")),
@@ -319,8 +322,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     )
 
     signature_of = classes.select("node", "signature")
+    # All keys of all nodes are made and counted here, so the nodes are dealt out evenly first.
+    parts = min(MOST_PARTS, classes.count() // PART_NODES + 1)
     shared = written(
-        signature_of.mapInArrow(_keys_of(None), "key bigint, node bigint")
+        signature_of.repartition(parts).mapInArrow(_keys_of(None), "key bigint, node bigint")
         .groupBy("key")
         .agg(F.min("node").alias("hub"), F.max("node").alias("_last"), F.count(F.lit(1)).alias("_n"))
         .where("hub < _last")

@@ -7,12 +7,19 @@ a re-read, not a recomputation, and every executor sees the same files.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of our own, and the innermost ``scratch``, by application.
+_local: dict[str, str] = {}
+_inside: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder; a local one of our own only for a local master without the setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -20,9 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = tempfile.mkdtemp(prefix="spark-scratch-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    own = spark.sparkContext.applicationId
+    if own not in _local:
+        _local[own] = tempfile.mkdtemp(prefix="spark-scratch-")
+    return _local[own]
 
 
 #: Bytes of rows that Python workers are given at once; Spark's own default, 64 MB, is three times that with copies.
@@ -36,11 +44,15 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_BYTES)
 
 
-def run_dir(spark: SparkSession) -> str:
-    """This application's own folder in the shared one."""
+def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/reelspan-{spark.sparkContext.applicationId}"
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one, or that of the ``scratch`` that it is in."""
+    return _own_dir(spark) + _inside.get(spark.sparkContext.applicationId, "")
+
+
 def stored(df: DataFrame, name: str) -> str:
     """``df`` written to the shared folder: where."""
     path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -53,7 +65,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written within goes at the end, and the session's batch size is as before; consume results inside.
+
+        with scratch(spark):
+            remove_repeats(docs).write.parquet(out)
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, outer = spark.conf.get(name), _inside.get(spark.sparkContext.applicationId, "")
+    _inside[spark.sparkContext.applicationId] = own = f"{outer}/{uuid.uuid4().hex}"
+    try:
+        yield
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{_own_dir(spark)}{own}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _inside[spark.sparkContext.applicationId] = outer
+        spark.conf.set(name, before)
+
+
 def clear(spark: SparkSession) -> None:
     """Removes all that this application has written here; results that still read it are then lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

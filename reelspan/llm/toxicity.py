@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspan.llm.language_id import held_out
+from reelspan.llm.names import quoted
 from reelspan.llm.scratch import bounded_batches, written
 from reelspan.llm.spans import LOWER, Words, text_chunks
 
@@ -443,7 +444,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, text:
     scored and never learned from.  Other columns are not read; an empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).cast("bigint").alias("doc_id"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
     learnable = labels.where(~held_out("doc_id", 3, 1)).select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic")
     scored = score(rows, *train(rows, learnable, fit_rows))
     return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")

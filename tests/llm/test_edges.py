@@ -319,3 +319,18 @@ def test_order_of_drawn_calls(spark):
         own = sorted((r.after_position, r.after_call, r.wave, int(r.call_id)) for r in found if r.conv_id == c)
         place = {x[-1]: n for n, x in enumerate(own)}
         assert all(place[d] < place[i] for (k, i), deps in edges.items() if k == c for d in deps)
+
+
+def test_scratch_leaves_nothing(spark):
+    import os
+
+    from reelspan.llm import scratch
+
+    name, folder = "spark.sql.execution.arrow.maxBytesPerBatch", scratch.run_dir(spark)
+    before = spark.conf.get(name)
+    have = sorted(os.listdir(folder)) if os.path.isdir(folder) else []
+    with scratch.scratch(spark):
+        docs = spark.createDataFrame([(1, "a b"), (2, "a b")], "doc_id bigint, text string")
+        assert near_dedup.near_duplicates(docs, shingle_words=2).where("kept").count() == 1
+        assert os.listdir(scratch.run_dir(spark))
+    assert scratch.run_dir(spark) == folder and (sorted(os.listdir(folder)) if os.path.isdir(folder) else []) == have and spark.conf.get(name) == before
