@@ -169,6 +169,25 @@ def test_many_sources(spark):
     assert [found[s].place for s in names] == list(range(len(names))) and all(abs(found[s].target - target[s]) < 1e-6 for s in names)
 
 
+def test_values_of_null_and_empty_texts(odd, labels):
+    nothing = hashlib.sha256(b"").hexdigest()
+    pairs = {r.doc_id: r for r in fingerprints.fingerprint_pairs(odd).collect() if r.doc_id in (1, 2)}
+    assert all((r.n_chars, r.edited_sha256, r.near_edited, r.common_prefix) == (0, nothing, 1.0, 0) for r in pairs.values())
+    assert pairs[1].fingerprint == pairs[2].fingerprint == pairs[1].edited_fingerprint and pairs[2].near_next == 1.0  # the next one is null
+    codes = {r.doc_id: r for r in bpe.encode_documents(odd, *ranks()).collect() if r.doc_id in (1, 2, 10)}
+    assert all((codes[k].n_tokens, bytes(codes[k].ids), bytes(codes[k].decoded)) == (0, b"", b"") for k in (1, 2))
+    assert bytes(codes[10].decoded).decode() == ODD[12][1] and codes[10].n_tokens * 4 == len(codes[10].ids)
+    scores = {r.doc_id: r for r in toxicity.toxicity(odd, labels).collect() if r.doc_id in (1, 2, 3, 11)}
+    assert len({(r.score, r.predicted, tuple(r.evidence)) for r in scores.values()}) == 1 and scores[1].evidence == [] and abs(scores[1].score - 0.1) < 1e-9
+    kept = {r.doc_id: r for r in substring_dedup.remove_repeats(odd).collect()}
+    assert all((kept[k].n_words, kept[k].n_removed, kept[k].kept_text) == (0, 0, "") for k in (1, 2, 3))
+
+
+def test_tokens_of_an_empty_table(spark, none):
+    out = corpus_pipeline.tokens(spark, none, "")
+    assert out.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] and out.collect() == []
+
+
 def test_mix_takes_no_more_than_twice(odd):
     rows = source_mix.mixed(odd).collect()
     assert all(0 <= r.taken <= 2 * r["size"] for r in rows)
