@@ -194,7 +194,7 @@ o AS (SELECT g.clip_id, g.t_ms, string_agg(v.id, ',' ORDER BY v.z_index, v.id) A
   sha256(coalesce(wd.v, '')) AS words_sha256, coalesce(wd.n, 0) AS n_words, CASE WHEN e.clip_id % 2 = 0 THEN 720 ELSE 1080 END AS output_width
 FROM e LEFT JOIN sg USING (clip_id) LEFT JOIN cs USING (clip_id) LEFT JOIN tx USING (clip_id) LEFT JOIN tr USING (clip_id) LEFT JOIN ts USING (clip_id) LEFT JOIN ov USING (clip_id) LEFT JOIN wd USING (clip_id)""",
         """e AS (SELECT clip_id FROM segments UNION SELECT clip_id FROM clips),
-fr AS (SELECT kf_seq % 5000 * 100 + 110 AS box_id, string_agg(kf_seq || '@' || t_ms || ':' || cast(round(x * 1000000) AS BIGINT), ',' ORDER BY t_ms, kf_seq) AS v FROM box_keyframes GROUP BY 1),
+fr AS (SELECT kf_seq // 3 * 100 + 110 AS box_id, string_agg(kf_seq || '@' || t_ms || ':' || cast(round(x * 1000000) AS BIGINT), ',' ORDER BY t_ms, kf_seq) AS v FROM box_keyframes GROUP BY 1),
 bs AS (SELECT segment_id, string_agg(b.id || '(' || coalesce(fr.v, '') || ')', ',' ORDER BY slot_index, b.id) AS v FROM crop_boxes b LEFT JOIN fr ON fr.box_id = b.id GROUP BY segment_id),
 sg AS (SELECT clip_id, string_agg(s.id || '[' || coalesce(bs.v, '') || ']', ';' ORDER BY sort_order, s.id) AS v FROM segments s LEFT JOIN bs ON bs.segment_id = s.id GROUP BY clip_id),
 cs AS (SELECT clip_id, clip_id || ':' || CASE WHEN clip_id % 2 = 0 THEN 'roboto' ELSE '' END AS v FROM clips),

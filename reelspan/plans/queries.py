@@ -150,8 +150,8 @@ def _specs(spark: SparkSession, d: str) -> DataFrame:
     The tables have no styles, texts or transitions: those are derived from clips, overlays and segments.
     """
     segments, clips = view(spark, d, "segments"), view(spark, d, "clips")
-    # A keyframe belongs to the first box of a first segment.
-    frames = view(spark, d, "box_keyframes").withColumn("box_id", F.col("kf_seq") % 5000 * 100 + 110)
+    # Three keyframes in a row belong to the first box of a clip's first segment.
+    frames = view(spark, d, "box_keyframes").withColumn("box_id", F.floor(F.col("kf_seq") / 3) * 100 + 110)
     every = segments.select("clip_id").unionByName(clips.select("clip_id")).distinct()
     overlays = view(spark, d, "overlays")
     children = {
