@@ -129,7 +129,7 @@ def test_stages_keep_clashing_columns(spark):
 def test_pairs_of_extreme_and_repeated_ids(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 10)
     ids = [-(1 << 63), (1 << 63) - 1, 0, *[7] * 120, *range(100, 160), *[None] * 50]
-    rows = [(i, f"text number {k} " * (k % 5 + 1)) for k, i in enumerate(ids)]
+    rows = [(i, f"{k:05d} text " * (k % 5 + 1)) for k, i in enumerate(ids)]  # half of each tells it from the others
     got = fingerprints.fingerprint_pairs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert len(got) == len(rows) and len({r.fingerprint for r in got}) == len(rows)
     one = {r.doc_id: r for r in got if r.doc_id not in (7, None)}
