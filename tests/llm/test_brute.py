@@ -27,7 +27,7 @@ def docs(small):
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_sql(spark, small, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     found = queries.QUERIES[name](spark, small)
     columns = sorted(found.columns)
