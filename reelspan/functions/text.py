@@ -16,15 +16,19 @@ def normalize_word(word: Column) -> Column:
     return F.regexp_replace(F.lower(word), r"[^\p{L}\p{N}]", "")
 
 
-def similar(a: Column, b: Column, threshold: float = 0.45) -> Column:
-    """Equal normal forms, or over two characters and an edit distance under ``threshold`` of the longer one."""
-    na, nb = normalize_word(a), normalize_word(b)
+def similar_normal(na: Column, nb: Column, threshold: float = 0.45) -> Column:
+    """``similar`` for words that are in normal form already."""
     longer = F.greatest(F.length(na), F.length(nb))
     # A length gap that alone reaches the threshold is cheaper to see than the distance.
     gap = F.abs(F.length(na) - F.length(nb)) / longer < threshold
     return (na == nb) | ((longer > 2) & gap & (F.levenshtein(na, nb) / longer < threshold))
 
 
+def similar(a: Column, b: Column, threshold: float = 0.45) -> Column:
+    """Equal normal forms, or over two characters and an edit distance under ``threshold`` of the longer one."""
+    return similar_normal(normalize_word(a), normalize_word(b), threshold)
+
+
 def tokens(phrase: Column) -> Column:
     """Words of a phrase; any Unicode white space separates."""
     return F.filter(F.split(phrase, r"(?U)\s+"), lambda x: x != "")

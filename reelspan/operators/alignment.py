@@ -2,8 +2,9 @@
 
 One equi-join on (clip, chunk) brings each phrase its overlapping anchors, as an
 array of bounded length; everything after it keeps that partitioning, so nothing
-is shuffled again.  The only sequential part, that matches never go backwards, is
-a fold over one phrase's words.
+is shuffled again.  Candidate pairs of word and anchor become rows, so that their
+similarity runs in generated code, once a pair; the only sequential part, that matches
+never go backwards, is a fold over a phrase's few candidates that are alike.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspan.functions.text import normalize_word, tokens
+from reelspan.functions.text import normalize_word, similar_normal, tokens
 
 CHUNK = ["clip_id", "chunk_idx"]
 PHRASE = [*CHUNK, "phrase_idx"]
@@ -23,7 +24,8 @@ def phrase_anchors(phrases: DataFrame, anchors: DataFrame) -> DataFrame:
     Overlap is strict at both ends; an anchor may serve several phrases.  A phrase
     without anchors has an empty array.
     """
-    a = anchors.select(*CHUNK, F.struct("anchor_idx", "word", "start_s", "end_s").alias("a"))
+    # Normal forms are made before an anchor is copied to the phrases that it overlaps.
+    a = anchors.select(*CHUNK, F.struct("anchor_idx", "word", "start_s", "end_s", normalize_word(F.col("word")).alias("normal")).alias("a"))
     meets = [phrases[c] == a[c] for c in CHUNK] + [(F.col("a.start_s") < phrases["end_s"]) & (F.col("a.end_s") > phrases["start_s"])]
     found = phrases.join(a, meets, "left").select(*[phrases[c] for c in phrases.columns], "a")
     listed = F.array_sort(F.collect_list("a")).alias("anchors")  # nulls are left out
@@ -53,38 +55,40 @@ def even_split(phrase_words: DataFrame) -> DataFrame:
     )
 
 
-# The similarity rule of functions.text on normal forms, inside the fold.
-_ALIKE = """(get(na, i) = get(nb, j) OR (greatest(length(get(na, i)), length(get(nb, j))) > 2
-    AND levenshtein(get(na, i), get(nb, j)) / greatest(length(get(na, i)), length(get(nb, j))) < 0.45))"""
-_FOLD = f"""
-aggregate(sequence(0, size(na) - 1), named_struct('least', 0, 'out', cast(array() AS array<int>)),
-  (s, i) -> transform(array(cast(round(i * (size(nb) - 1) / greatest(size(na) - 1, 1)) AS int)), ex ->
-    transform(array(if(greatest(s.least, ex - win) > least(size(nb) - 1, ex + win), cast(NULL AS int),
-        array_min(transform(filter(sequence(greatest(s.least, ex - win), least(size(nb) - 1, ex + win)), j -> {_ALIKE}),
-          j -> named_struct('d', abs(j - ex), 'j', j))).j)),
-      p -> named_struct('least', coalesce(p + 1, s.least), 'out', concat(s.out, array(p))))[0])[0],
+#: Candidates in the order of word, distance and place; each word takes its first one after the last match.
+_FOLD = """
+aggregate(near, named_struct('least', 0, 'word', -1, 'out', cast(array() AS array<struct<i: int, j: int>>)),
+  (s, x) -> if(x.i > s.word AND x.j >= s.least, named_struct('least', x.j + 1, 'word', x.i, 'out', array_append(s.out, named_struct('i', x.i, 'j', x.j))), s),
   s -> s.out)"""
 
 
-def with_matches(spoken: DataFrame) -> DataFrame:
-    """Phrases of ``phrase_anchors`` with ``taken``: for each word the place of the anchor that it takes, or null.
+def candidates(spoken: DataFrame) -> DataFrame:
+    """``clip_id, chunk_idx, phrase_idx, near``: of each phrase of ``phrase_anchors``, the pairs ``(i, d, j)`` of a word and a similar anchor near its place.
 
-    Word i looks within max(3, n/4) places of its proportional place for a similar
-    anchor after the last match, the nearest first and the lower one of two.
+    Word i looks within max(3, n/4) places of its proportional place; ``d`` is how far j is from that.
     """
-    own = spoken.withColumns({
-        "na": F.transform("words", normalize_word), "nb": F.transform("anchors", lambda a: normalize_word(a["word"])),
-        "win": F.greatest(F.lit(3), F.round(F.size("anchors") / 4)).cast("int"),
-    })
-    some = (F.size("words") > 0) & (F.size("anchors") > 0)
-    return own.withColumn("taken", F.when(some, F.expr(_FOLD)).otherwise(F.transform("words", lambda _: F.lit(None).cast("int")))).drop("na", "nb", "win")
+    n, m = F.size("anchors"), F.size("words")
+    words = spoken.select(*PHRASE, m.alias("m"), n.alias("n"), F.transform("anchors", lambda a: a["normal"]).alias("others"), F.posexplode("words").alias("i", "word")).where("n > 0")
+    expected = F.round(F.col("i") * (F.col("n") - 1) / F.greatest(F.col("m") - 1, F.lit(1))).cast("int")
+    window = F.greatest(F.lit(3), F.round(F.col("n") / 4)).cast("int")
+    placed = words.select(*PHRASE, "i", normalize_word(F.col("word")).alias("a"), "others", expected.alias("at"), F.greatest(F.lit(0), expected - window).alias("low"), F.least(F.col("n") - 1, expected + window).alias("high"))
+    # The slice is counted from ``low``, so nothing but the window's own anchors is copied.
+    pairs = placed.select(*PHRASE, "i", "a", "at", "low", F.posexplode(F.slice("others", F.col("low") + 1, F.col("high") - F.col("low") + 1)).alias("k", "b")).withColumn("j", F.col("low") + F.col("k"))
+    near = pairs.where(similar_normal(F.col("a"), F.col("b"))).select(*PHRASE, F.struct("i", F.abs(F.col("j") - F.col("at")).alias("d"), "j").alias("pair"))
+    return near.groupBy(*PHRASE).agg(F.array_sort(F.collect_list("pair")).alias("near"))
+
+
+def matched(spoken: DataFrame) -> DataFrame:
+    """``clip_id, chunk_idx, phrase_idx, taken``: pairs ``(i, j)`` of a word and the anchor that it takes; phrases without a match may have no row.
+
+    Of similar anchors after the last match, a word takes the nearest, the lower one of two.
+    """
+    return candidates(spoken).select(*PHRASE, F.expr(_FOLD).alias("taken"))
 
 
 def matches(phrases: DataFrame, anchors: DataFrame) -> DataFrame:
     """``clip_id, chunk_idx, phrase_idx, i, j``: the anchor that each matched word takes."""
-    # The outer form: else the optimizer asks for the size of ``taken`` first and folds twice.
-    rows = with_matches(phrase_anchors(phrases, anchors)).select(*PHRASE, F.posexplode_outer("taken").alias("i", "j"))
-    return rows.where(F.col("j").isNotNull())
+    return matched(phrase_anchors(phrases, anchors)).select(*PHRASE, F.explode("taken").alias("t")).select(*PHRASE, "t.i", "t.j")
 
 
 def fill_gaps(aligned: DataFrame) -> DataFrame:
@@ -118,13 +122,13 @@ def align(phrases: DataFrame, anchors: DataFrame) -> DataFrame:
 
     ``clip_id, chunk_idx, phrase_idx, word_idx, word, start_s, end_s, anchored``.
     """
-    spoken = with_matches(phrase_anchors(phrases, anchors))
-    word = F.struct(F.col("words"), F.transform("taken", lambda j: F.get("anchors", j)).alias("hits"))
-    rows = spoken.select(
+    spoken = phrase_anchors(phrases, anchors)
+    both = spoken.join(matched(spoken), PHRASE, "left").withColumn("hits", F.map_from_entries(F.transform("taken", lambda t: F.struct(t["i"], F.get("anchors", t["j"])))))
+    rows = both.select(
         *PHRASE, "start_s", "end_s", F.size("words").alias("m"), F.get("anchors", F.lit(0))["start_s"].alias("first_start"),
-        F.try_element_at("anchors", F.lit(-1))["end_s"].alias("last_end"), F.posexplode(F.arrays_zip(word["words"], word["hits"])).alias("i", "z"),
-    )
-    return fill_gaps(rows.select("*", F.col("z.words").alias("word"), F.col("z.hits.start_s").alias("anchor_start"), F.col("z.hits.end_s").alias("anchor_end")).drop("z"))
+        F.try_element_at("anchors", F.lit(-1))["end_s"].alias("last_end"), F.col("hits"), F.posexplode("words").alias("i", "word"),
+    ).withColumn("hit", F.try_element_at("hits", F.col("i")))
+    return fill_gaps(rows.select("*", F.col("hit.start_s").alias("anchor_start"), F.col("hit.end_s").alias("anchor_end")).drop("hit", "hits"))
 
 
 def quality(aligned: DataFrame, *by: str) -> DataFrame:

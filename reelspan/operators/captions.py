@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from reelspan.functions.media import ass_color, ass_time, falsy, font_name, pixels
 from reelspan.functions.text import display_word, ends_sentence
 from reelspan.operators.ranges import points_in
+from reelspan.operators.scans import before, carried
 
 GAP_MS, LINE_WORDS, LINGER_MS = 300, 5, 200
 AHEAD_MS, HOLD_MS = 500, 500
@@ -20,30 +21,63 @@ def in_clips(words: DataFrame, clips: DataFrame, key: str = "clip_id") -> DataFr
     return own.withColumns({"start_ms": F.col("start_ms") - F.col("_from"), "end_ms": F.col("end_ms") - F.col("_from")}).drop("_from", "_to")
 
 
-def lines(words: DataFrame, order: list[str], key: str = "clip_id") -> DataFrame:
+def lines(words: DataFrame, order: list[str], key: str = "clip_id", stretch: Column | None = None) -> DataFrame:
     """``words`` with ``line`` and ``place``: a line ends after a sentence end, before a gap over 300 ms, or with its 5th word.
 
     Hard breaks make islands; inside one every fifth word starts a line, since a line that fills up starts the count anew.
+    With ``stretch``, a column that never falls in list order, a video is worked on in stretches of equal values (see ``scans``):
+    the automaton's state between them is the place in the line, the last end, and whether a sentence ended.
     """
-    own = Window.partitionBy(key).orderBy(*order)
-    gap = F.col("start_ms") - F.lag("end_ms").over(own)
-    hard = F.coalesce(F.lag(ends_sentence(F.col("word"))).over(own), F.lit(False)) | F.coalesce(gap > GAP_MS, F.lit(False))
-    inside = F.row_number().over(Window.partitionBy(key, "_island").orderBy(*order)) - 1
-    out = words.withColumn("_hard", hard).withColumn("_island", F.sum(F.col("_hard").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    out = out.withColumn("_inside", inside)
+    ends = ends_sentence(F.col("word"))
+    out = words.withColumn("_stretch", F.lit(0) if stretch is None else stretch)
+    own = Window.partitionBy(key, "_stretch").orderBy(*order)
+    so_far = own.rowsBetween(Window.unboundedPreceding, 0)
+    hard = F.coalesce(F.lag(ends).over(own), F.lit(False)) | F.coalesce(F.col("start_ms") - F.lag("end_ms").over(own) > GAP_MS, F.lit(False))
+    out = out.withColumn("_ends", ends).withColumn("_hard", hard).withColumn("_island", F.sum(F.col("_hard").cast("int")).over(so_far))
+    out = out.withColumn("_inside", F.row_number().over(Window.partitionBy(key, "_stretch", "_island").orderBy(*order)) - 1)
+    if stretch is not None:
+        out = carried(out, key, _line_summary(order), _line_carry)
+        out = out.withColumn("_inside", F.col("_inside") + F.when(F.col("_island") == 0, F.col("_phase")).otherwise(0))
     new = (F.col("_inside") % LINE_WORDS == 0).cast("int")
-    return out.withColumn("line", F.sum(new).over(own.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint") - 1).withColumn("place", (F.col("_inside") % LINE_WORDS).cast("int")).drop("_hard", "_island", "_inside")
-
-
-def events(words: DataFrame, order: list[str], key: str = "clip_id", roman: str | None = None) -> DataFrame:
+    line = F.sum(new).over(so_far) - 1 + (F.col("_lines") if stretch is not None else 0)
+    return out.withColumn("line", line.cast("bigint")).withColumn("place", (F.col("_inside") % LINE_WORDS).cast("int")).drop("_stretch", "_ends", "_hard", "_island", "_inside", "_phase", "_lines")
+
+
+def _line_summary(order: list[str]) -> dict[str, Column]:
+    """Of a stretch: its ends, its words, those before its first hard break and after its last one, and the lines that start between."""
+    at = F.struct(*order)
+    later = F.col("_island") > 0
+    return {
+        "first_start": F.min_by("start_ms", at), "last_end": F.max_by("end_ms", at), "last_ends": F.max_by("_ends", at), "n": F.count(F.lit(1)), "n_open": F.count_if(~later),
+        "n_tail": F.max_by(F.col("_inside") + 1, at), "breaks": F.max("_island"), "later_lines": F.count_if(later & (F.col("_inside") % LINE_WORDS == 0)),
+    }
+
+
+def _line_carry(line: WindowSpec) -> dict[str, Column]:
+    """What a stretch starts with: the place in the line (``_phase``) and the lines before (``_lines``)."""
+    up = lambda x: F.ceil(x / LINE_WORDS)
+    words_before = F.coalesce(F.sum("n").over(before(line)), F.lit(0))
+    anew = F.coalesce(F.lag("last_ends").over(line), F.lit(False)) | F.coalesce(F.col("first_start") - F.lag("last_end").over(line) > GAP_MS, F.lit(False))
+    since = F.when(F.col("breaks") > 0, F.col("__words") + F.col("n") - F.col("n_tail")).when(F.col("__anew"), F.col("__words"))
+    return {
+        "__words": words_before, "__anew": anew,
+        # Where the island began that is open at the end of a stretch, counted in words of the video.
+        "__since": since, "__open": F.when(F.col("__anew"), F.col("__words")).otherwise(F.coalesce(F.last("__since", ignorenulls=True).over(before(line)), F.lit(0))),
+        "_phase": (F.col("__words") - F.col("__open")) % LINE_WORDS,
+        "__started": up(F.col("_phase") + F.col("n_open")) - up(F.col("_phase")) + F.col("later_lines"),
+        "_lines": F.coalesce(F.sum("__started").over(before(line)), F.lit(0)),
+    }
+
+
+def events(words: DataFrame, order: list[str], key: str = "clip_id", roman: str | None = None, stretch: Column | None = None) -> DataFrame:
     """``key, line, start_ms, end_ms, text`` of the lines that have text.
 
-    From the first word's start (0 at least) to 200 ms after the last word's end.
+    From the first word's start (0 at least) to 200 ms after the last word's end.  ``stretch``: see ``lines``.
     """
     shown = display_word(F.col("word"), F.col(roman) if roman else F.lit(None).cast("string"))
     listed = F.array_sort(F.collect_list(F.struct("place", shown.alias("shown"))))
     text = F.array_join(F.filter(F.transform(listed, lambda x: x["shown"]), lambda x: x != ""), " ")
-    found = lines(words, order, key).groupBy(key, "line").agg(
+    found = lines(words, order, key, stretch).groupBy(key, "line").agg(
         F.greatest(F.lit(0), F.min_by("start_ms", "place")).cast("bigint").alias("start_ms"), (F.max_by("end_ms", "place") + LINGER_MS).alias("end_ms"), text.alias("text")
     )
     return found.where(F.btrim("text") != "")
@@ -64,7 +98,7 @@ def karaoke_lines(words: DataFrame, times: DataFrame, order: list[str], key: str
     # The first word in list order that starts after t: of words that start later than all before them, the earliest such.
     record = w.withColumn("_before", F.max("_from").over(Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))).where(F.col("_before").isNull() | (F.col("_from") > F.col("_before")))
     soonest = F.greatest("_before", F.col("_from") - AHEAD_MS + 1)
-    ahead = points_in(t, record, key, F.col("t_ms"), soonest, F.col("_from")).select(key, "t_ms", F.col("sentence").alias("_ahead"))
+    ahead = points_in(t, record, key, F.col("t_ms"), soonest, F.col("_from"), longest_ms=AHEAD_MS).select(key, "t_ms", F.col("sentence").alias("_ahead"))
     return times.join(sung, [key, "t_ms"], "left").join(ahead, [key, "t_ms"], "left").withColumn("sentence", F.coalesce("_sung", "_ahead")).drop("_sung", "_ahead")
 
 

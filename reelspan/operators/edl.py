@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelspan.operators.scans import before, carried
+
 
 def slot_count(layout: Column) -> Column:
     return F.when(layout == "split", 2).when(layout == "trio", 3).otherwise(1)
@@ -40,10 +42,18 @@ def slot_rectangle(layout: Column, slot: Column, width: int, height: int) -> dic
     return {"dst_x": F.lit(0), "dst_y": row * slot, "dst_w": F.lit(width), "dst_h": row, "fit": F.when(layout == "horizontal", "fit").otherwise("cover")}
 
 
-def segment_offsets(segments: DataFrame) -> DataFrame:
-    """``segment_id, output_start_ms``: segments one after the other in ``sort_order``."""
-    before = Window.partitionBy("clip_id").orderBy("sort_order", "id").rowsBetween(Window.unboundedPreceding, -1)
-    return segments.select(F.col("id").alias("segment_id"), F.coalesce(F.sum(F.col("end_ms") - F.col("start_ms")).over(before), F.lit(0)).alias("output_start_ms"))
+def segment_offsets(segments: DataFrame, stretch: Column | None = None) -> DataFrame:
+    """``segment_id, output_start_ms``: segments one after the other in ``sort_order``.
+
+    With ``stretch``, a column that never falls in that order, a clip is worked on in stretches of equal values (see ``scans``).
+    """
+    length = F.col("end_ms") - F.col("start_ms")
+    rows = segments.withColumn("_stretch", F.lit(0) if stretch is None else stretch)
+    total = F.coalesce(F.sum(length).over(before(Window.partitionBy("clip_id", "_stretch").orderBy("sort_order", "id"))), F.lit(0))
+    if stretch is not None:
+        rows = carried(rows, "clip_id", {"length": F.sum(length)}, lambda line: {"_so_far": F.coalesce(F.sum("length").over(before(line)), F.lit(0))})
+        total = total + F.col("_so_far")
+    return rows.select(F.col("id").alias("segment_id"), total.alias("output_start_ms"))
 
 
 def cut_list(segments: DataFrame, boxes: DataFrame, width: int, height: int, known: DataFrame | None = None) -> DataFrame:

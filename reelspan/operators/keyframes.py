@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspan.operators.ranges import points_in
@@ -10,6 +10,8 @@ from reelspan.operators.ranges import points_in
 DEFAULTS = {"x": 0.0, "y": 0.0, "w": 1.0, "h": 1.0}
 FIRST = -(1 << 62)
 LAST = 1 << 62
+#: Length of the stretches of time by which boxes are dealt out.
+PIECE_MS = 3_600_000
 
 
 def validity(keyframes: DataFrame) -> DataFrame:
@@ -22,19 +24,47 @@ def validity(keyframes: DataFrame) -> DataFrame:
     return keyframes.withColumn("lo", lo).withColumn("hi", F.coalesce(F.lead("t_ms").over(own), F.lit(LAST)))
 
 
-def position_at(probes: DataFrame, keyframes: DataFrame) -> DataFrame:
-    """``probes`` (box_id, q_ms and others) with x, y, w, h at that time; a box without keyframes fills the frame."""
-    # One sort of both by time: a probe takes the last keyframe at or before it, so a busy box costs no more than its rows.
+def _piece(ms: Column, width_ms: int) -> Column:
+    return F.floor(ms / width_ms)
+
+
+def pieces(probes: DataFrame, keyframes: DataFrame, width_ms: int) -> DataFrame:
+    """Both as one table, dealt out by box and stretch of time: ``box_id, _piece, _t, _asked, _seq, _kf, _row``."""
     kind = "struct<" + ", ".join(f"{c}: double" for c in DEFAULTS) + ">"
     own = [F.col(c) for c in probes.columns]
+    piece = _piece(F.col("_t"), width_ms).alias("_piece")
     asked = probes.select("box_id", F.col("q_ms").alias("_t"), F.lit(1).alias("_asked"), F.lit(0).cast("bigint").alias("_seq"), F.lit(None).cast(kind).alias("_kf"), F.struct(*own).alias("_row"))
     empty = F.lit(None).cast(asked.schema["_row"].dataType)
-    frames = keyframes.select("box_id", F.col("t_ms").alias("_t"), F.lit(0).alias("_asked"), F.col("kf_seq").cast("bigint").alias("_seq"), F.struct(*DEFAULTS).cast(kind).alias("_kf"), empty.alias("_row"))
-    order = Window.partitionBy("box_id").orderBy("_t", "_asked", "_seq")
-    last = F.last("_kf", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    first = F.first("_kf", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    found = asked.unionByName(frames).withColumn("_at", last).withColumn("_first", first).where("_asked = 1").withColumn("_at", F.coalesce("_at", "_first"))
-    return found.select(*[F.col(f"_row.{c}").alias(c) for c in probes.columns], *[F.coalesce(F.col(f"_at.{c}"), F.lit(d)).alias(c) for c, d in DEFAULTS.items()])
+    frames = keyframes.where("box_id IS NOT NULL AND t_ms IS NOT NULL").select("box_id", F.col("t_ms").alias("_t"), F.lit(0).alias("_asked"), F.col("kf_seq").cast("bigint").alias("_seq"), F.struct(*DEFAULTS).cast(kind).alias("_kf"), empty.alias("_row"))
+    return asked.unionByName(frames).select("box_id", piece, "_t", "_asked", "_seq", "_kf", "_row")
+
+
+def position_at(probes: DataFrame, keyframes: DataFrame, width_ms: int = PIECE_MS) -> DataFrame:
+    """``probes`` (box_id, q_ms and others) with x, y, w, h at that time; a box without keyframes fills the frame, as does a null box or time.
+
+    Two levels: inside a stretch of ``width_ms`` of a box one sort of both by time gives a probe the last keyframe at or before it;
+    where the stretch has none yet, the last one of the stretches before holds, which is carried over a table of one row for each
+    box and stretch.  A busy box is as many groups as it has stretches.
+    """
+    both = pieces(probes, keyframes, width_ms)
+    at = F.struct("_t", "_seq")
+    last = both.groupBy("box_id", "_piece").agg(F.max_by("_kf", F.when(F.col("_asked") == 0, at)).alias("_last"), F.min_by("_kf", F.when(F.col("_asked") == 0, at)).alias("_first"), F.max("_asked").alias("_some"))
+    line = Window.partitionBy("box_id").orderBy("_piece")
+    before = F.last("_last", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("_first", ignorenulls=True).over(line.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # Before a box's first keyframe that one holds.
+    carried = last.select("box_id", "_piece", F.coalesce(before, after).alias("_carried"), "_some").where("_some = 1").drop("_some")
+    inside = Window.partitionBy("box_id", "_piece").orderBy("_t", "_asked", "_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_at", F.last("_kf", ignorenulls=True).over(inside)).where("_asked = 1")
+    placed = found.join(carried, ["box_id", "_piece"], "left").withColumn("_at", F.coalesce("_at", "_carried"))
+    return placed.select(*[F.col(f"_row.{c}").alias(c) for c in probes.columns], *[F.coalesce(F.col(f"_at.{c}"), F.lit(d)).alias(c) for c, d in DEFAULTS.items()])
+
+
+def changes(keyframes: DataFrame) -> DataFrame:
+    """``box_id, lo, x, y, w, h``: where a box's position may change, that is at each time of keyframes but its first; of several at a time the last in input order."""
+    at = keyframes.groupBy("box_id", F.col("t_ms").alias("lo")).agg(F.max_by(F.struct(*DEFAULTS), "kf_seq").alias("_kf"))
+    first = keyframes.groupBy(F.col("box_id").alias("_box")).agg(F.min("t_ms").alias("_first"))
+    return at.join(first, F.col("box_id") == F.col("_box")).where(F.col("lo") > F.col("_first")).select("box_id", "lo", *[F.col(f"_kf.{c}").alias(c) for c in DEFAULTS])
 
 
 def crop_pixels(width: int, height: int) -> dict:
@@ -55,9 +85,7 @@ def crop_track(slots: DataFrame, keyframes: DataFrame, width: int, height: int)
     framed = own.where("box_id IS NOT NULL")
     starts = position_at(framed.withColumn("q_ms", F.col("start_ms")), keyframes).drop("q_ms")
     whole = own.where("box_id IS NULL").withColumns({c: F.lit(d) for c, d in DEFAULTS.items()})
-    # The first keyframe holds from ever, so nothing changes at it.
-    changes = validity(keyframes).where((F.col("lo") < F.col("hi")) & (F.col("lo") > FIRST)).select("box_id", "lo", *DEFAULTS)
-    inside = points_in(changes, framed, "box_id", F.col("lo"), F.col("start_ms") + 1, F.col("end_ms"), width_ms=3_600_000).withColumn("start_ms", F.col("lo")).drop("lo")
+    inside = points_in(changes(keyframes), framed, "box_id", F.col("lo"), F.col("start_ms") + 1, F.col("end_ms"), width_ms=3_600_000).withColumn("start_ms", F.col("lo")).drop("lo")
     after = F.lead("start_ms").over(Window.partitionBy("segment_id", "slot").orderBy("start_ms"))
     pieces = starts.unionByName(inside).withColumn("end_ms", F.coalesce(after, "end_ms")).unionByName(whole)
     return pieces.withColumns(crop_pixels(width, height)).drop("box_id", *DEFAULTS)

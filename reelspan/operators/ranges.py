@@ -1,30 +1,73 @@
-"""Range joins that stay linear in long videos: an equi-join on key and time bucket, then the exact bounds."""
+"""Range joins that stay linear in long videos: an equi-join on key and time cell, then the exact bounds.
+
+Cells come in levels, each 16 times as wide as the one below.  An interval lies at the lowest
+level whose cells are as long as itself, so it touches two cells at most, however long it is: an
+open end costs one more level, not a copy for each minute.  The other side is copied once to
+each level that has intervals; these are asked for first (a small aggregate, at most 13 rows), unless
+the caller knows a bound on the lengths.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Each level's cells are 2^STEP times as wide as those below; with cells of 60 s at level 0, level 12 is beyond any BIGINT.
+STEP, LEVELS = 4, 13
+
+
+def level_of(length: Column, width_ms: int) -> Column:
+    """The lowest level whose cells are at least ``length`` (a DOUBLE) wide."""
+    return reduce(lambda above, k: F.when(length <= float(width_ms << STEP * k), F.lit(k)).otherwise(above), reversed(range(LEVELS - 1)), F.lit(LEVELS - 1))
+
+
+def cell(ms: Column, level: Column, width_ms: int) -> Column:
+    """The cell of a time at a level: it never falls as the time grows, even where doubles round."""
+    return F.floor(ms / (F.lit(float(width_ms)) * F.pow(F.lit(2.0), level * STEP)))
+
 
-def points_in(points: DataFrame, intervals: DataFrame, key: str, t: Column, lo: Column, hi: Column, width_ms: int = 60_000) -> DataFrame:
+def _length(lo: Column, hi: Column) -> Column:
+    return hi.cast("double") - lo.cast("double")  # open ends may be too far apart for BIGINT
+
+
+def _present(levels: DataFrame) -> list[int]:
+    return sorted(r[0] for r in levels.distinct().collect() if r[0] is not None)  # at most LEVELS
+
+
+def points_in(points: DataFrame, intervals: DataFrame, key: str, t: Column, lo: Column, hi: Column, width_ms: int = 60_000, longest_ms: int | None = None) -> DataFrame:
     """Points joined with the intervals of their key that hold them: lo <= t < hi.
 
-    An interval is copied to each bucket that it touches, a point has one, so each
-    pair meets once.  ``width_ms`` should be of the order of an interval's length.
-    Empty intervals hold nothing.
+    ``width_ms`` should be of the order of a usual interval's length; ``longest_ms``, if given, must bound them
+    all.  An interval has two copies at most, a point one for each level, and each pair meets once.
+    Empty intervals hold nothing; a null time meets nothing.
     """
-    bucket = lambda ms: F.floor(ms / width_ms)
-    spread = intervals.where(lo < hi).withColumn("_bucket", F.explode(F.sequence(bucket(lo), bucket(hi - 1))))
-    return points.withColumn("_bucket", bucket(t)).join(spread, [key, "_bucket"]).where((lo <= t) & (t < hi)).drop("_bucket")
+    own = intervals.where(lo < hi).withColumn("_level", level_of(_length(lo, hi), width_ms))
+    if longest_ms is not None and longest_ms <= width_ms:
+        levels = [0]
+    else:
+        levels = _present(own.select("_level"))
+    spread = own.withColumn("_cell", F.explode(F.sequence(cell(lo, F.col("_level"), width_ms), cell(hi - 1, F.col("_level"), width_ms))))
+    asked = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels or [0])))).withColumn("_cell", cell(t, F.col("_level"), width_ms))
+    return asked.join(spread, [key, "_level", "_cell"]).where((lo <= t) & (t < hi)).drop("_level", "_cell")
 
 
 def touching(a: DataFrame, b: DataFrame, key: str, a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column, width_ms: int = 60_000) -> DataFrame:
     """Intervals of ``a`` and ``b`` of one key that have a point in common, both ends counted.
 
-    Either is copied to each bucket that it touches; a pair meets where the later one of the two starts, so once.
+    A pair meets at the higher of its two levels, in the cell where the later one of the two starts, so once; an
+    interval is copied to its own level and to those above it that have intervals, to two cells of each at most.
     An interval that ends before it starts counts as the point where it starts if that lies in the other one.
     """
-    bucket = lambda ms: F.floor(ms / width_ms)
-    spread = lambda df, name, lo, hi: df.withColumn(name, bucket(lo)).withColumn("_bucket", F.explode(F.sequence(bucket(lo), F.greatest(bucket(lo), bucket(hi)))))
-    both = spread(a, "_a", a_lo, a_hi).join(spread(b, "_b", b_lo, b_hi), [key, "_bucket"])
-    return both.where((F.col("_bucket") == F.greatest("_a", "_b")) & (a_hi >= b_lo) & (a_lo <= b_hi)).drop("_a", "_b", "_bucket")
+    one = a.withColumn("_a", level_of(_length(a_lo, F.greatest(a_lo, a_hi)), width_ms))
+    two = b.withColumn("_b", level_of(_length(b_lo, F.greatest(b_lo, b_hi)), width_ms))
+    levels = F.array(*map(F.lit, _present(one.select("_a").union(two.select("_b"))) or [0]))
+
+    def spread(df: DataFrame, own: str, at: str, lo: Column, hi: Column) -> DataFrame:
+        up = df.withColumn("_level", F.explode(F.filter(levels, lambda k: k >= F.col(own)))).withColumn(at, cell(lo, F.col("_level"), width_ms))
+        return up.withColumn("_cell", F.explode(F.sequence(F.col(at), F.greatest(F.col(at), cell(hi, F.col("_level"), width_ms)))))
+
+    both = spread(one, "_a", "_a_at", a_lo, a_hi).join(spread(two, "_b", "_b_at", b_lo, b_hi), [key, "_level", "_cell"])
+    meets = (F.col("_level") == F.greatest("_a", "_b")) & (F.col("_cell") == F.greatest("_a_at", "_b_at"))
+    return both.where(meets & (a_hi >= b_lo) & (a_lo <= b_hi)).drop("_a", "_b", "_a_at", "_b_at", "_level", "_cell")

@@ -27,15 +27,16 @@ def clip_specs(clips: DataFrame, segments: DataFrame, boxes: DataFrame, keyframe
     """One nested row for each clip.
 
     ``children``: name → rows with clip_id (caption_styles, text_overlays, audio_tracks,
-    transitions, overlays); overlays are sorted by z_index, all by id.  ``words``: rows
-    with clip_id and word_idx.  ``quality`` sets output_width and output_height, 2160p
+    transitions, overlays); overlays are sorted by z_index, all by id.  ``words``: clip_id and an
+    array ``words`` (see ``transcript.spoken``).  ``quality`` sets output_width and output_height, 2160p
     unless given.
     """
     out = nested(clips, with_boxes(segments, boxes, keyframes), "clip_id", "clip_id", "segments", ["sort_order", "id"])
     for name, rows in children.items():
         out = nested(out, rows, "clip_id", "clip_id", name, ["z_index", "id"] if "z_index" in rows.columns else ["id"])
     if words is not None:
-        out = nested(out, words, "clip_id", "clip_id", "words", ["start_ms", "word_idx"])
+        kind = words.schema["words"].dataType
+        out = out.join(words.select("clip_id", "words"), "clip_id", "left").withColumn("words", F.coalesce("words", F.array().cast(kind)))
     size = dimensions(F.lit("2160p") if quality is None else quality)
     return out.withColumn("output_width", size["w"]).withColumn("output_height", size["h"])
 

@@ -5,23 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelspan.operators.scans import before, carried
+
 GAP_MS = 500
 DUCK, VOLUME = 0.15, 0.5
 
 
-def speech_ranges(words: DataFrame, gap_ms: int = GAP_MS, key: str = "clip_id") -> DataFrame:
+def speech_ranges(words: DataFrame, gap_ms: int = GAP_MS, key: str = "clip_id", stretch_ms: int | None = None) -> DataFrame:
     """``key, start_ms, end_ms``: words merged while less than ``gap_ms`` parts them.
 
-    A word that ends before it starts counts as ending where it starts.
+    A word that ends before it starts counts as ending where it starts.  With ``stretch_ms`` a video is worked on in
+    stretches of that time (see ``scans``), for videos too long for one window.
     """
-    own = Window.partitionBy(key).orderBy("start_ms", "end_ms")
     ends = words.select(key, "start_ms", F.greatest("end_ms", "start_ms").alias("end_ms"))
-    reach = F.max("end_ms").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("start_ms") - F.col("_reach") >= gap_ms, 1).otherwise(0)).over(own.rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        ends.withColumn("_reach", reach).withColumn("_island", island)
-        .groupBy(key, "_island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("_island")
-    )
+    parts = [key]
+    if stretch_ms:
+        ends = ends.withColumn("_stretch", F.floor(F.col("start_ms") / stretch_ms))
+        ends = carried(ends, key, {"last": F.max("end_ms")}, lambda line: {"_reached": F.max("last").over(before(line))})
+        parts.append("_stretch")
+    own = Window.partitionBy(*parts).orderBy("start_ms", "end_ms")
+    reach = F.max("end_ms").over(before(own))
+    ends = ends.withColumn("_new", F.when(F.col("start_ms") - (F.greatest(reach, "_reached") if stretch_ms else reach) >= gap_ms, 1).otherwise(0))
+    island = F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    ends = ends.withColumn("_island", island)
+    if not stretch_ms:
+        return ends.groupBy(key, "_island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("_island")
+    # Ranges of a stretch are few; those that no gap parts from the stretch before go on.
+    local = ends.groupBy(key, "_stretch", "_island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    local = carried(local, key, {"n": F.max("_island")}, lambda line: {"_before": F.coalesce(F.sum("n").over(before(line)), F.lit(0))})
+    return local.groupBy(key, (F.col("_before") + F.col("_island")).alias("_i")).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("_i")
 
 
 def rejects(words: DataFrame, key: str = "clip_id") -> DataFrame:

@@ -9,6 +9,7 @@ from reelspan.functions.languages import resolve_script, roman_word, script_rank
 from reelspan.functions.media import seconds_to_ms
 from reelspan.operators.alignment import align
 from reelspan.operators.ranges import touching
+from reelspan.operators.scans import carried
 
 CHUNK_S, LONGEST_HOLD_S = 25, 4.0
 UNKNOWN = "unknown"
@@ -67,15 +68,19 @@ def to_video_time(words: DataFrame) -> DataFrame:
     return words.withColumn("start_s", F.col("start_s") + shift).withColumn("end_s", F.col("end_s") + shift)
 
 
-def clamp_ends(words: DataFrame, order: list[str], key: str = "clip_id") -> DataFrame:
+def clamp_ends(words: DataFrame, order: list[str], key: str = "clip_id", stretch: Column | None = None) -> DataFrame:
     """Each word ends where the next begins, at most 4 s after its own start; the last one at ``total_s`` if it ends before.
 
-    Next is next in list order, not in time.
+    Next is next in list order, not in time.  With ``stretch``, a column that never falls in list order, a video is worked
+    on in stretches of equal values (see ``scans``), the last word of one ending where the next one begins.
     """
-    own = Window.partitionBy(key).orderBy(*order)
-    after = F.lead("start_s").over(own)
+    after = F.lead("start_s").over(Window.partitionBy(*([key] if stretch is None else [key, "_stretch"])).orderBy(*order))
+    if stretch is not None:
+        words = words.withColumn("_stretch", stretch)
+        words = carried(words, key, {"first": F.min_by("start_s", F.struct(*order))}, lambda line: {"_then": F.lead("first").over(line)})
+        after = F.coalesce(after, "_then")
     last = F.when(F.col("end_s") < F.col("total_s"), F.col("total_s")).otherwise(F.col("end_s"))
-    return words.withColumn("end_s", F.when(after.isNull(), last).otherwise(F.least(after, F.col("start_s") + LONGEST_HOLD_S)))
+    return words.withColumn("_after", after).withColumn("end_s", F.when(F.col("_after").isNull(), last).otherwise(F.least("_after", F.col("start_s") + LONGEST_HOLD_S))).drop("_after", "_then", "_stretch")
 
 
 def word_stats(rows: DataFrame, *by: str, order: str = "anchor_idx") -> DataFrame:
@@ -132,10 +137,26 @@ def clip_words(clips: DataFrame, transcripts: DataFrame, words: DataFrame) -> Da
     return own.withColumns({"start_ms": F.col("start_ms") - F.col("_from"), "end_ms": F.col("end_ms") - F.col("_from")}).drop("_from", "_to")
 
 
-def latest_words(clips: DataFrame, transcripts: DataFrame, words: DataFrame) -> DataFrame:
-    """Clips with all the words of their video's newest transcript, as clip specs have them; clips without one have no rows."""
+def minutes(words: DataFrame, order: list[str], fields: list[str], width_ms: int = 60_000) -> DataFrame:
+    """``transcript_id, from_ms, to_ms, said``: the words of each minute as one array in the order of start and ``order``, and the time that they cover."""
+    end = F.greatest("start_ms", "end_ms")
+    listed = F.array_sort(F.collect_list(F.struct(F.struct("start_ms", *order).alias("o"), F.col("end_ms").alias("e"), F.struct(*fields).alias("v"))))
+    return words.groupBy("transcript_id", F.floor(F.col("start_ms") / width_ms).alias("_minute")).agg(F.min("start_ms").alias("from_ms"), F.max(end).alias("to_ms"), listed.alias("said")).drop("_minute")
+
+
+def spoken(clips: DataFrame, transcripts: DataFrame, words: DataFrame, order: list[str], fields: list[str]) -> DataFrame:
+    """``clip_id, words``: what is said in each clip (words that touch it, both ends counting) by its video's newest transcript, as one array of ``fields``.
+
+    In the order of start and ``order``, in video time.  Words travel as arrays of a minute; a clip takes the minutes that it
+    touches and cuts what it needs out of them, so a long video with many clips sends each clip its own part only.  Clips
+    without such words, or without a transcript, have no row.
+    """
     newest = latest(transcripts).select("video_id", F.col("id").alias("transcript_id"))
-    return clips.join(newest, "video_id").join(words, "transcript_id")
+    c = clips.select("clip_id", "video_id", F.col("start_ms").alias("_from"), F.col("end_ms").alias("_to")).join(newest, "video_id").drop("video_id")
+    met = touching(minutes(words, order, fields), c, "transcript_id", F.col("from_ms"), F.col("to_ms"), F.col("_from"), F.col("_to"))
+    own = F.filter("said", lambda w: (w["e"] >= F.col("_from")) & (w["o"]["start_ms"] <= F.col("_to")))
+    cut = met.select("clip_id", own.alias("said")).where(F.size("said") > 0)
+    return cut.groupBy("clip_id").agg(F.transform(F.array_sort(F.flatten(F.collect_list("said"))), lambda w: w["v"]).alias("words"))
 
 
 def replaced(old: DataFrame, new: DataFrame, key: str = "video_id") -> DataFrame:

@@ -43,6 +43,12 @@ VIEWS = {
     "crop_boxes": """select id*10+j id, id segment_id, cast(30-10*j as int) slot_index, case when (k+j)%3=0 then null else (k+j)%100 end source_video_id, 500*((k+j)%9) source_offset_ms, clip_id
  from segments cross join (values (0),(1),(2)) v(j) where j < k%4""",
     "box_keyframes": """select user_id box_id, event_id kf_seq, {MS} - {MS}%3600000 t_ms, value/1000 x, value/2000 y, cast(0.5 as double) w, cast(0.25 as double) h from events where event_type in ('click','view')""",
+    #: The boxes of as many groups of clips as there are users, numbered within each.
+    "box_places": """select id, clip_id % (select max(user_id) + 1 from events) grp, row_number() over (partition by clip_id % (select max(user_id) + 1 from events) order by id) - 1 place,
+  count(*) over (partition by clip_id % (select max(user_id) + 1 from events)) n from crop_boxes""",
+    #: Keyframes dealt over boxes that exist: three in a row to one box, then to the next of the user's group.
+    "dealt_keyframes": """select b.id box_id, k.kf_seq, k.t_ms, k.x, k.y, k.w, k.h from box_keyframes k join (select distinct grp, n from box_places) c on c.grp = k.box_id
+  join box_places b on b.grp = k.box_id and b.place = cast(floor(k.kf_seq/3) as bigint) % c.n""",
     "probes": "select user_id box_id, event_id, {MS} q_ms from events where event_type in ('error','purchase')",
     "overlays": "select user_id clip_id, event_id id, {MS} start_ms, {MS}+60000*cast(floor(value) as bigint) end_ms, event_id%5 z_index from events where event_type='signup'",
     "audio_tracks": "select s_suppkey id, s_suppkey clip_id, (s_suppkey%10)/cast(10 as double) volume, s_suppkey%2=0 duck, 1000*(s_suppkey%6) seek_ms from supplier",

@@ -118,6 +118,22 @@ _ROUTED = f"""
 jr AS (SELECT *, coalesce(json_extract_string(payload, '$.storage_path'), '') = '' AS is_link, coalesce(json_extract_string(payload, '$.is_retranscribe'), 'false') = 'true' AS is_retranscribe,
        coalesce(json_extract_string(payload, '$.clip_id'), '') <> '' AND {_present("clip_start_ms")} AND {_present("clip_end_ms")} AS is_clip FROM jobs)"""
 
+_SPEC = """SELECT e.clip_id, coalesce(sg.v, '') AS segments, coalesce(cs.v, '') AS styles, coalesce(tx.v, '') AS texts, coalesce(tr.v, '') AS tracks, coalesce(ts.v, '') AS transitions, coalesce(ov.v, '') AS overlays,
+  sha256(coalesce(wd.v, '')) AS words_sha256, coalesce(wd.n, 0) AS n_words, CASE WHEN e.clip_id % 2 = 0 THEN 720 ELSE 1080 END AS output_width
+FROM e LEFT JOIN sg USING (clip_id) LEFT JOIN cs USING (clip_id) LEFT JOIN tx USING (clip_id) LEFT JOIN tr USING (clip_id) LEFT JOIN ts USING (clip_id) LEFT JOIN ov USING (clip_id) LEFT JOIN wd USING (clip_id)"""
+_SPEC_PARTS = """e AS (SELECT clip_id FROM segments UNION SELECT clip_id FROM clips UNION SELECT clip_id FROM overlays UNION SELECT clip_id FROM audio_tracks),
+fr AS (SELECT box_id, string_agg(kf_seq || '@' || t_ms || ':' || cast(round(x * 1000000) AS BIGINT), ',' ORDER BY t_ms, kf_seq) AS v FROM dealt_keyframes GROUP BY 1),
+bs AS (SELECT segment_id, string_agg(b.id || '/' || coalesce(cast(source_video_id AS VARCHAR), '') || '(' || coalesce(fr.v, '') || ')', ',' ORDER BY slot_index, b.id) AS v FROM crop_boxes b LEFT JOIN fr ON fr.box_id = b.id GROUP BY segment_id),
+sg AS (SELECT clip_id, string_agg(s.id || '[' || coalesce(bs.v, '') || ']', ';' ORDER BY sort_order, s.id) AS v FROM segments s LEFT JOIN bs ON bs.segment_id = s.id GROUP BY clip_id),
+cs AS (SELECT clip_id, clip_id || ':' || CASE WHEN clip_id % 2 = 0 THEN 'roboto' ELSE '' END AS v FROM clips),
+tx AS (SELECT clip_id, string_agg(id || ':text ' || id, ',' ORDER BY id) AS v FROM overlays WHERE id % 2 = 1 GROUP BY clip_id),
+tr AS (SELECT clip_id, string_agg(id || ':' || seek_ms, ',' ORDER BY id) AS v FROM audio_tracks GROUP BY clip_id),
+ts AS (SELECT clip_id, string_agg(id || ':' || CASE WHEN sort_order % 2 = 0 THEN 'cut' ELSE 'fade' END, ',' ORDER BY id) AS v FROM segments WHERE sort_order > 1 GROUP BY clip_id),
+ov AS (SELECT clip_id, string_agg(z_index || ':' || id, ',' ORDER BY z_index, id) AS v FROM overlays WHERE id % 2 = 0 GROUP BY clip_id),
+nw AS (SELECT video_id, arg_max(clip_id, struct_pack(a := start_ms % 10000, b := clip_id)) AS transcript_id FROM clips GROUP BY video_id),
+wd AS (SELECT c.clip_id, string_agg(w.start_ms || ':' || w.word, ' ' ORDER BY w.start_ms, w.turn, w.i) AS v, count(*) AS n FROM clips c JOIN nw USING (video_id) JOIN words w ON w.clip_id = nw.transcript_id
+       WHERE w.end_ms >= c.start_ms AND w.start_ms <= c.end_ms GROUP BY c.clip_id)"""
+
 ORACLES = {
     "caption_events": duck("SELECT clip_id, line, start_ms, end_ms, text FROM ev WHERE trim(text) <> ''", _lines("words")),
     "clip_captions": duck(
@@ -189,31 +205,8 @@ n AS (SELECT g.clip_id, g.t_ms, count(*) AS n FROM g JOIN cw ON cw.clip_id = g.c
 o AS (SELECT g.clip_id, g.t_ms, string_agg(v.id, ',' ORDER BY v.z_index, v.id) AS layers FROM g JOIN overlays v ON v.clip_id = g.clip_id AND g.q BETWEEN v.start_ms AND v.end_ms GROUP BY ALL),"""
         + _VALID,
     ),
-    "clip_spec": duck(
-        """SELECT e.clip_id, coalesce(sg.v, '') AS segments, coalesce(cs.v, '') AS styles, coalesce(tx.v, '') AS texts, coalesce(tr.v, '') AS tracks, coalesce(ts.v, '') AS transitions, coalesce(ov.v, '') AS overlays,
-  sha256(coalesce(wd.v, '')) AS words_sha256, coalesce(wd.n, 0) AS n_words, CASE WHEN e.clip_id % 2 = 0 THEN 720 ELSE 1080 END AS output_width
-FROM e LEFT JOIN sg USING (clip_id) LEFT JOIN cs USING (clip_id) LEFT JOIN tx USING (clip_id) LEFT JOIN tr USING (clip_id) LEFT JOIN ts USING (clip_id) LEFT JOIN ov USING (clip_id) LEFT JOIN wd USING (clip_id)""",
-        """e AS (SELECT clip_id FROM segments UNION SELECT clip_id FROM clips),
-fr AS (SELECT kf_seq // 3 * 100 + 110 AS box_id, string_agg(kf_seq || '@' || t_ms || ':' || cast(round(x * 1000000) AS BIGINT), ',' ORDER BY t_ms, kf_seq) AS v FROM box_keyframes GROUP BY 1),
-bs AS (SELECT segment_id, string_agg(b.id || '(' || coalesce(fr.v, '') || ')', ',' ORDER BY slot_index, b.id) AS v FROM crop_boxes b LEFT JOIN fr ON fr.box_id = b.id GROUP BY segment_id),
-sg AS (SELECT clip_id, string_agg(s.id || '[' || coalesce(bs.v, '') || ']', ';' ORDER BY sort_order, s.id) AS v FROM segments s LEFT JOIN bs ON bs.segment_id = s.id GROUP BY clip_id),
-cs AS (SELECT clip_id, clip_id || ':' || CASE WHEN clip_id % 2 = 0 THEN 'roboto' ELSE '' END AS v FROM clips),
-tx AS (SELECT clip_id, string_agg(id || ':text ' || id, ',' ORDER BY id) AS v FROM overlays WHERE id % 2 = 1 GROUP BY clip_id),
-tr AS (SELECT clip_id, string_agg(id || ':' || seek_ms, ',' ORDER BY id) AS v FROM audio_tracks GROUP BY clip_id),
-ts AS (SELECT clip_id, string_agg(id || ':' || CASE WHEN sort_order % 2 = 0 THEN 'cut' ELSE 'fade' END, ',' ORDER BY id) AS v FROM segments WHERE sort_order > 1 GROUP BY clip_id),
-ov AS (SELECT clip_id, string_agg(z_index || ':' || id, ',' ORDER BY z_index, id) AS v FROM overlays WHERE id % 2 = 0 GROUP BY clip_id),
-nw AS (SELECT video_id, arg_max(clip_id, struct_pack(a := start_ms % 10000, b := clip_id)) AS transcript_id FROM clips GROUP BY video_id),
-wd AS (SELECT c.clip_id, string_agg(w.start_ms || ':' || w.word, ' ' ORDER BY w.start_ms, w.turn * 100000 + w.i) AS v, count(*) AS n FROM clips c JOIN nw USING (video_id) JOIN words w ON w.clip_id = nw.transcript_id GROUP BY c.clip_id)""",
-    ),
-    "spec_json": duck(
-        """SELECT e.clip_id, coalesce(sg.n, 0) AS n_segments, coalesce(bx.n, 0) AS n_boxes, coalesce(bx.p, 0) AS n_primary, coalesce(wd.n, 0) AS n_words, CASE WHEN c.clip_id % 2 = 0 THEN 'roboto' END AS font, CASE WHEN e.clip_id % 2 = 0 THEN 1280 ELSE 1920 END AS output_height
-FROM e LEFT JOIN sg USING (clip_id) LEFT JOIN bx USING (clip_id) LEFT JOIN wd USING (clip_id) LEFT JOIN clips c ON c.clip_id = e.clip_id""",
-        """e AS (SELECT clip_id FROM segments UNION SELECT clip_id FROM clips),
-sg AS (SELECT clip_id, count(*) AS n FROM segments GROUP BY clip_id),
-bx AS (SELECT clip_id, count(*) AS n, count(*) FILTER (WHERE source_video_id IS NULL) AS p FROM crop_boxes GROUP BY clip_id),
-nw AS (SELECT video_id, arg_max(clip_id, struct_pack(a := start_ms % 10000, b := clip_id)) AS transcript_id FROM clips GROUP BY video_id),
-wd AS (SELECT c.clip_id, count(*) AS n FROM clips c JOIN nw USING (video_id) JOIN words w ON w.clip_id = nw.transcript_id GROUP BY c.clip_id)""",
-    ),
+    "clip_spec": duck(_SPEC, _SPEC_PARTS),
+    "spec_json": duck(_SPEC, _SPEC_PARTS),
     "cut_list": duck(
         """SELECT clip_id, segment_id, sort_order, slot, box_id, source_video_id, CASE WHEN source_video_id IS NOT NULL THEN coalesce(off, 0) ELSE start_ms END AS in_ms,
   CASE WHEN source_video_id IS NOT NULL THEN coalesce(off, 0) + end_ms - start_ms ELSE end_ms END AS out_ms, 0 AS dst_x, CASE layout WHEN 'split' THEN 960 WHEN 'trio' THEN 640 ELSE 1920 END * slot AS dst_y, 1080 AS dst_w,
@@ -237,7 +230,7 @@ UNION ALL SELECT id, 'text', cast(trunc(CASE WHEN id % 3 > 0 AND id % 17 > 0 THE
     "latest_transcript": duck("SELECT id, video_id, language FROM transcripts QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY created_at DESC, id DESC) = 1"),
     "replace_transcripts": duck("SELECT id, video_id, language FROM transcripts WHERE id % 3 <> 0 AND video_id NOT IN (SELECT video_id FROM transcripts WHERE id % 3 = 0) UNION ALL SELECT id, video_id, language FROM transcripts WHERE id % 3 = 0"),
     "table_round_trip": duck(
-        "SELECT cast(id AS VARCHAR) AS id, cast(video_id AS VARCHAR) AS video_id, language, way FROM r CROSS JOIN (SELECT unnest(['replaced', 'keyed']) AS way)",
+        "SELECT cast(id AS VARCHAR) AS id, cast(video_id AS VARCHAR) AS video_id, language, way FROM r CROSS JOIN (SELECT unnest(['replaced', 'keyed', 'bucketed']) AS way)",
         "r AS (SELECT * FROM transcripts WHERE id % 3 = 2 OR video_id NOT IN (SELECT video_id FROM transcripts WHERE id % 3 = 2))",
     ),
     "music_gain": duck(
@@ -302,4 +295,4 @@ ORACLES["speech_ranges"] = duck("SELECT * FROM ranges", _RANGES)
 ORACLES["speech_ranges_session"] = ORACLES["speech_ranges"]
 ORACLES["stream_speech_ranges"] = ORACLES["speech_ranges"]
 ORACLES["stream_answers"] = duck("SELECT cast(clip_id AS VARCHAR) AS clip_id, chunk_idx, row_number() OVER (PARTITION BY clip_id, chunk_idx ORDER BY phrase_idx) - 1 AS phrase_idx, phrase, start_s, end_s FROM asr_phrases")
-ORACLES["stream_progress"] = duck(f"SELECT video_id, max(p) AS progress FROM (SELECT video_id, {_PCT} AS p FROM log_lines) WHERE p IS NOT NULL GROUP BY video_id")
+ORACLES["stream_progress"] = ORACLES["progress_changes"]

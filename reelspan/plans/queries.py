@@ -145,52 +145,48 @@ def sampled_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _specs(spark: SparkSession, d: str) -> DataFrame:
-    """Specs of all clips that have segments or a video, with every child table.
+    """Specs of all clips that any table names, with every row of every child table.
 
     The tables have no styles, texts or transitions: those are derived from clips, overlays and segments.
     """
-    segments, clips = view(spark, d, "segments"), view(spark, d, "clips")
-    # Three keyframes in a row belong to the first box of a clip's first segment.
-    frames = view(spark, d, "box_keyframes").withColumn("box_id", F.floor(F.col("kf_seq") / 3) * 100 + 110)
-    every = segments.select("clip_id").unionByName(clips.select("clip_id")).distinct()
-    overlays = view(spark, d, "overlays")
+    segments, clips, overlays, tracks = (view(spark, d, n) for n in ("segments", "clips", "overlays", "audio_tracks"))
+    every = segments.select("clip_id").unionByName(clips.select("clip_id")).unionByName(overlays.select("clip_id")).unionByName(tracks.select("clip_id")).distinct()
     children = {
         "caption_styles": clips.select(F.col("clip_id").alias("id"), "clip_id", F.when(F.col("clip_id") % 2 == 0, "roboto").alias("font")),
         "text_overlays": overlays.where("id % 2 = 1").select("id", "clip_id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), "start_ms"),
-        "audio_tracks": view(spark, d, "audio_tracks"), "overlays": overlays.where("id % 2 = 0"),
+        "audio_tracks": tracks, "overlays": overlays.where("id % 2 = 0"),
         "transitions": segments.where("sort_order > 1").select("id", "clip_id", F.when(F.col("sort_order") % 2 == 0, "cut").otherwise("fade").alias("type")),
     }
     words = view(spark, d, "words").withColumnRenamed("clip_id", "transcript_id")
-    spoken = transcript.latest_words(clips.select("clip_id", "video_id"), _transcripts(spark, d), words).select("clip_id", (F.col("turn") * 100000 + F.col("i")).alias("word_idx"), "word", "start_ms")
-    return spec.clip_specs(every, segments, view(spark, d, "crop_boxes").drop("clip_id"), frames, children, spoken, quality=F.when(F.col("clip_id") % 2 == 0, "720p"))
+    said = transcript.spoken(clips, _transcripts(spark, d), words, ORDER, ["turn", "i", "word", "start_ms", "end_ms"])
+    return spec.clip_specs(every, segments, view(spark, d, "crop_boxes").drop("clip_id"), view(spark, d, "dealt_keyframes"), children, said, quality=F.when(F.col("clip_id") % 2 == 0, "720p"))
 
 
-def clip_spec(spark: SparkSession, d: str) -> DataFrame:
-    """Nested specs with all that is in them: boxes and keyframes inside segments, children and words in their order."""
+def _spec_texts(specs: DataFrame) -> DataFrame:
+    """Nested specs with all that is in them as texts: boxes and keyframes inside segments, children and words in their order."""
     listed = lambda items, one, sep=",": F.array_join(F.transform(items, one), sep)
     text = lambda c: c.cast("string")
     frame = lambda k: F.concat(text(k["kf_seq"]), F.lit("@"), text(k["t_ms"]), F.lit(":"), text(F.round(k["x"] * 1000000).cast("bigint")))
-    box = lambda b: F.concat(text(b["id"]), F.lit("("), listed(b["box_keyframes"], frame), F.lit(")"))
+    box = lambda b: F.concat(text(b["id"]), F.lit("/"), F.coalesce(text(b["source_video_id"]), F.lit("")), F.lit("("), listed(b["box_keyframes"], frame), F.lit(")"))
     segment = lambda s: F.concat(text(s["id"]), F.lit("["), listed(s["crop_boxes"], box), F.lit("]"))
     pair = lambda a, b: lambda x: F.concat(text(x[a]), F.lit(":"), F.coalesce(text(x[b]), F.lit("")))
-    return _specs(spark, d).select(
+    return specs.select(
         "clip_id", listed(F.col("segments"), segment, ";").alias("segments"), listed(F.col("caption_styles"), pair("id", "font")).alias("styles"), listed(F.col("text_overlays"), pair("id", "text")).alias("texts"),
         listed(F.col("audio_tracks"), pair("id", "seek_ms")).alias("tracks"), listed(F.col("transitions"), pair("id", "type")).alias("transitions"), listed(F.col("overlays"), pair("z_index", "id")).alias("overlays"),
         F.sha2(listed(F.col("words"), pair("start_ms", "word"), " "), 256).alias("words_sha256"), F.size("words").cast("bigint").alias("n_words"), F.col("output_width").cast("bigint").alias("output_width"),
     )
 
 
+def clip_spec(spark: SparkSession, d: str) -> DataFrame:
+    return _spec_texts(_specs(spark, d))
+
+
 def spec_json(spark: SparkSession, d: str) -> DataFrame:
-    """Specs written as JSON lines, one object a clip, and read again."""
+    """Specs written as JSON lines, one object a clip, and every nested value read again."""
     path = tables.shared_folder(spark, "specs")
-    tables.write_specs(spec.as_json(_specs(spark, d)), path)
-    shape = "clip_id bigint, segments array<struct<id: bigint, source: string, crop_boxes: array<struct<id: bigint, source_video_id: bigint>>>>, caption_styles array<struct<font: string>>, words array<struct<word: string>>, output_height int"
-    rows = spark.read.schema(shape).json(path)
-    boxes = F.flatten(F.transform("segments", lambda s: s["crop_boxes"]))
-    return rows.select(
-        "clip_id", F.size("segments").cast("bigint").alias("n_segments"), F.size(boxes).cast("bigint").alias("n_boxes"), F.size(F.filter(boxes, lambda b: b["source_video_id"].isNull())).cast("bigint").alias("n_primary"),
-        F.size("words").cast("bigint").alias("n_words"), F.try_element_at("caption_styles", F.lit(1))["font"].alias("font"), F.col("output_height").cast("bigint").alias("output_height"),
-    )
+    specs = _specs(spark, d)
+    tables.write_specs(spec.as_json(specs), path)
+    return _spec_texts(spark.read.schema(specs.schema).json(path))
 
 
 def cut_list(spark: SparkSession, d: str) -> DataFrame:
@@ -237,18 +233,24 @@ def replace_transcripts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def table_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Transcripts through the sinks and the reader: two appends, then the keys of a third part replaced."""
+    """Transcripts through the sinks and the reader: two appends, each made twice, then the keys of a third part replaced in three ways."""
     path = tables.shared_folder(spark, "tables")
     rows = view(spark, d, "transcripts").select(F.col("id").cast("string").alias("id"), F.col("video_id").cast("string").alias("video_id"), "language", F.col("created_at").cast("timestamp").alias("created_at"))
     part = lambda k: rows.where(F.col("id").cast("bigint") % 3 == k)
-    tables.append_transcripts(part(0), f"{path}/first.parquet")
-    tables.append_transcripts(part(1), f"{path}/first.parquet")
-    tables.overwrite_keys(spark.read.schema(schema("transcripts")).parquet(f"{path}/first.parquet"), f"{path}/keyed")
+    for k in (0, 1, 0, 1):
+        tables.append_transcripts(part(k), f"{path}/first.parquet", f"run{k}", key="id")
+    first = spark.read.schema(schema("transcripts")).parquet(f"{path}/first.parquet").drop("run")
+    tables.overwrite_keys(first, f"{path}/keyed")
     tables.overwrite_keys(part(2), f"{path}/keyed")
     tables.replace_transcripts(spark, f"{path}/first.parquet", part(2), f"{path}/transcripts.parquet")
+    name = f"transcripts_{path.rsplit('-', 1)[1]}"
+    tables.save_bucketed(first, name, f"{path}/bucketed")
+    tables.replace_bucketed(spark, name, part(2), f"{path}/bucketed-next")
+    spark.sql(f"DROP TABLE {name}")
     both = tables.read_table(spark, path, "transcripts").select("id", "video_id", "language", F.lit("replaced").alias("way"))
     keyed = spark.read.parquet(f"{path}/keyed").select("id", "video_id", "language", F.lit("keyed").alias("way"))
-    return both.unionByName(keyed)
+    bucketed = spark.read.schema(schema("transcripts")).parquet(f"{path}/bucketed-next").select("id", "video_id", "language", F.lit("bucketed").alias("way"))
+    return both.unionByName(keyed).unionByName(bucketed)
 
 
 def music_gain(spark: SparkSession, d: str) -> DataFrame:
@@ -392,32 +394,36 @@ def answer_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_speech_ranges(spark: SparkSession, d: str) -> DataFrame:
-    """Speech ranges of the words as a stream."""
+    """Speech ranges of the words as a stream, and a heartbeat after them."""
     path = tables.shared_folder(spark, "stream")
     words = view(spark, d, "words")
-    words.write.parquet(f"{path}/words")
+    words.unionByName(streams.heartbeat(words, 3_600_000)).write.parquet(f"{path}/words")
     ranges = streams.speech_ranges(spark.readStream.schema(words.schema).parquet(f"{path}/words"))
-    streams.last_result(ranges, f"{path}/ranges", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    streams.appended(ranges, f"{path}/ranges", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("clip_id bigint, start_ms bigint, end_ms bigint").parquet(f"{path}/ranges")
 
 
 def stream_answers(spark: SparkSession, d: str) -> DataFrame:
-    """Recognizer answers as a stream of files to word rows."""
+    """Recognizer answers as a stream of files to word rows; every file is sent twice."""
     path = tables.shared_folder(spark, "stream")
     listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("phrase_idx", F.col(c).alias("v")))), lambda x: x["v"])
     arrays = F.struct(listed("phrase").alias("words"), listed("start_s").alias("start_time_seconds"), listed("end_s").alias("end_time_seconds"))
     answers = view(spark, d, "asr_phrases").groupBy(F.col("clip_id").cast("string").alias("clip_id"), "chunk_idx").agg(F.struct(arrays.alias("timestamps")).alias("response"))
-    answers.write.json(f"{path}/answers")
+    for mode in ("overwrite", "append"):
+        answers.write.mode(mode).json(f"{path}/answers")
     arriving = streams.answer_stream(spark, f"{path}/answers", "phrase_response")
     streams.answers_to_words(arriving, "phrase_response", f"{path}/words", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/words").select("clip_id", "chunk_idx", F.col("phrase_idx").cast("bigint").alias("phrase_idx"), "phrase", "start_s", "end_s")
+    rows = spark.read.schema("clip_id string, chunk_idx bigint, phrase_idx int, phrase string, start_s double, end_s double").parquet(f"{path}/words")
+    return rows.withColumn("phrase_idx", F.col("phrase_idx").cast("bigint"))
 
 
 def stream_progress(spark: SparkSession, d: str) -> DataFrame:
-    """The highest progress of each video from its log as a stream."""
+    """Changes of each video's progress from its log as a stream."""
     path = tables.shared_folder(spark, "stream")
-    lines = view(spark, d, "log_lines").select("video_id", "line")
+    lines = view(spark, d, "log_lines")
     lines.write.parquet(f"{path}/log")
-    found = streams.progress(spark.readStream.schema(lines.schema).parquet(f"{path}/log"))
-    streams.last_result(found, f"{path}/progress", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("video_id bigint, progress bigint").parquet(f"{path}/progress")
+    found = streams.progress_changes(spark.readStream.schema(lines.schema).parquet(f"{path}/log"))
+    with streams.expiring_state(spark):
+        query = streams.appended(found, f"{path}/progress", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema("video_id bigint, line_no bigint, progress bigint").parquet(f"{path}/progress")

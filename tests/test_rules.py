@@ -179,6 +179,29 @@ def test_keyframes(spark):
     assert track == [(0, 60, 100, 20.0, 50.0), (0, 100, 200, 30.0, 50.0), (1, 0, 9, 0.0, 100.0)]
 
 
+def test_keyframes_against_loops(spark):
+    draw = random.Random(11)
+    frames = [(draw.choice("abc"), n, draw.choice([draw.randint(-50, 400), 100 * draw.randint(0, 4)]), n / 1000) for n in range(200)] + [("late", 0, 10_000_000, 0.7)]
+    probes = [(draw.choice(["a", "b", "c", "late", "none", None]), draw.randint(-100, 600), k) for k in range(300)]
+    f = spark.createDataFrame(frames, "box_id string, kf_seq bigint, t_ms bigint, x double").withColumns({c: F.lit(0.5) for c in "ywh"})
+    p = spark.createDataFrame(probes, "box_id string, q_ms bigint, n int")
+    for width in (7, 100, keyframes.PIECE_MS):
+        got = {r.n: r.x for r in keyframes.position_at(p, f, width).collect()}
+        for box, q, n in probes:
+            own = sorted((t, seq, x) for b, seq, t, x in frames if b == box)
+            at = [x for t, _, x in own if t <= q]
+            assert got[n] == (at[-1] if at else own[0][2] if own else 0.0), (box, q, width)
+
+
+def test_a_busy_box_is_many_groups(spark):
+    f = spark.range(20_000).select(F.lit("hot").alias("box_id"), F.col("id").alias("kf_seq"), (F.col("id") * 1000).alias("t_ms"), *[F.lit(0.5).alias(c) for c in "xywh"])
+    p = spark.range(20_000).select(F.lit("hot").alias("box_id"), (F.col("id") * 997).alias("q_ms"))
+    sizes = [r["count"] for r in keyframes.pieces(p, f, 60_000).groupBy("box_id", "_piece").count().collect()]
+    assert len(sizes) > 300 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+    # The only window over a whole box has a row for each stretch.
+    assert keyframes.position_at(p, f, 60_000).count() == 20_000
+
+
 def telugu(word, keep):
     out, i = "", 0
     while i < len(word):
