@@ -8,6 +8,7 @@ a re-read, not a recomputation, and every executor sees the same files.
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -65,6 +66,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of queries that are over go now: Spark removes them when the driver's collector finds that no plan needs them, else every half hour."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What is written within goes at the end, and the session's batch size is as before; consume results inside.

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspan.llm.names import quoted
-from reelspan.llm.scratch import bounded_batches, written
+from reelspan.llm.scratch import bounded_batches, release_shuffles, written
 
 DEPTH, LEAST_COUNT, LEAST_GAIN, DISCOUNT, ADDED = 3, 4, 2.0, 0.75, 0.1
 #: Words of a block (more only for a longer text), pairs of a group, about.
@@ -61,6 +61,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def packed(p: np.ndarray) -> np.ndarray:
+    """Probabilities as the number of 1/2048 nats under one: what the divergence tests see."""
+    return np.minimum(np.rint(-np.log(p) * 2048), 65535).astype(np.uint16)
+
+
+def unpacked(steps: np.ndarray) -> np.ndarray:
+    """Their logarithms."""
+    return steps.astype(np.float64) / -2048
+
+
 class _Numbers(dict):
     """Numbers of words in the order in which they come."""
 
@@ -119,10 +129,10 @@ class Model:
     def hot_from(self) -> int:
         return max(self.least_count, self.train_tokens // self.hot_share + 1)
 
-    def parts_of_gain(self, n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, ...]:
+    def parts_of_gain(self, n: np.ndarray, log_p: np.ndarray) -> tuple[np.ndarray, ...]:
         """For each follower, counted n times: what is summed up over a context for its test."""
         several = n >= 2
-        left = np.where(several, np.log(np.maximum(n - 1 - self.discount, 1e-300)) - np.log(p), 0.0)
+        left = np.where(several, np.log(np.maximum(n - 1 - self.discount, 1e-300)) - log_p, 0.0)
         return n, n > 0, n == 1, np.where(several, n, 0), n * left
 
     def states(self, total, followers, single, repeated, fit) -> np.ndarray:
@@ -201,7 +211,7 @@ class Block:
                     some, sizes = np.unique(self.pair_context[own], return_counts=True)
                     contexts = self.contexts[some]
                 words = self.pair_word[own].view(np.uint8).reshape(-1, 8)[:, :5]
-                yield self.block, level, bucket, hot, contexts.tobytes(), sizes.astype(np.uint32).tobytes(), words.tobytes(), counts[own].tobytes(), self.pair_p[own].astype(np.float32).tobytes()
+                yield self.block, level, bucket, hot, contexts.tobytes(), sizes.astype(np.uint32).tobytes(), words.tobytes(), counts[own].tobytes(), packed(self.pair_p[own]).tobytes()
 
     def hear(self, level: int, answers: list[dict]) -> None:
         self.pairs(level)
@@ -286,7 +296,7 @@ def _count_pairs(table: pa.Table, model: Model) -> pa.Table:
     words = np.zeros((len(short), 8), np.uint8)
     words[:, :5] = short
     words = words.view(np.uint64).ravel()
-    counts, p = (np.frombuffer(b"".join(r[c] for r in rows), kind) for c, kind in (("d", np.uint32), ("e", np.float32)))
+    counts, p = (np.frombuffer(b"".join(r[c] for r in rows), kind) for c, kind in (("d", np.uint32), ("e", np.uint16)))
     order = np.lexsort((words, contexts))
     contexts, words = contexts[order], words[order]
     new_context = np.concatenate(([True], contexts[1:] != contexts[:-1]))
@@ -296,7 +306,7 @@ def _count_pairs(table: pa.Table, model: Model) -> pa.Table:
     back = np.empty(len(order), np.int64)
     back[order] = n[np.cumsum(new_pair) - 1]
     starts = np.flatnonzero(new_context[first])
-    sums = [np.add.reduceat(x.astype(np.float64) if k == 4 else x.astype(np.int64), starts) for k, x in enumerate(model.parts_of_gain(n, p[order][first].astype(np.float64)))]
+    sums = [np.add.reduceat(x.astype(np.float64) if k == 4 else x.astype(np.int64), starts) for k, x in enumerate(model.parts_of_gain(n, unpacked(p[order][first])))]
     every = contexts[first][starts]
     state = np.zeros(len(every), bool) if hot else model.states(*sums)
     out, at = [], 0
@@ -354,29 +364,37 @@ def score_texts(docs: DataFrame, held_out: Column, text: str = "text", id_col: s
         raise ValueError("depth 0 or more, least_count 2 or more, discount between 0 and 1, added above 0")
     spark = docs.sparkSession
     bounded_batches(spark)
+    blocks, told, model = _learned(docs, held_out, text, id_col, Model(depth, least_count, least_gain, discount, added, 0, hot_share), block_tokens, group_pairs)
+
+    def run(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_known(table, model, depth + 1).scores()])
+
+    return _of_blocks(blocks, told).applyInArrow(run, SCORES)
+
+
+def _learned(docs: DataFrame, held_out: Column, text: str, id_col: str, model: Model, block_tokens: int, group_pairs: int) -> tuple[DataFrame, list[DataFrame], Model]:
+    """The blocks, the answers to them level by level, and the model's own few numbers."""
     rows = docs.select(F.col(quoted(id_col)).cast("bigint").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(quoted(text)), F.lit("")).cast("binary").alias("text"))
     blocks = written(rows.mapInArrow(lambda batches: _to_blocks(batches, block_tokens), SHAPE), "suffix-blocks")
     # A third of a word's bytes or so: only the number of groups hangs on it.
     size = blocks.agg(F.sum(F.length("d") + 2 * F.length("e"))).first()[0] or 0
-    bits = max(0, math.ceil(math.log2(max(1, size / 3 / group_pairs))))
-    model = Model(depth, least_count, least_gain, discount, added, bits, hot_share)
+    model.bits = max(0, math.ceil(math.log2(max(1, size / 3 / group_pairs))))
 
     answers = written(_asking(blocks, [], model, 0).groupBy("bucket").applyInArrow(_count_words, SHAPE), "suffix-words")
     told = [answers]
     about = answers.where("block = -1").mapInArrow(_pairs_of_numbers, "distinct bigint, tokens bigint").agg(F.sum("distinct"), F.sum("tokens")).first()
     model.distinct, model.train_tokens = about[0] or 0, about[1] or 0
-    for level in range(1, depth + 1):
+    release_shuffles(docs.sparkSession)
+    for level in range(1, model.depth + 1):
         asked = _asking(blocks, told, model, level)
         answers = written(asked.groupBy("bucket", "hot").applyInArrow(lambda table: _count_pairs(table, model), SHAPE), "suffix-pairs")
         sums = answers.where("block = -1").select("a", "b", "c").mapInArrow(_hot_sums, "context bigint, total bigint, followers bigint, single bigint, repeated bigint, fit double")
         found = sums.groupBy("context").agg(*[F.sum(c).alias(c) for c in ("total", "followers", "single", "repeated", "fit")]).collect()  # fewer than HOT_SHARE
         model.hot[level] = {r.context & (1 << 64) - 1: (r.total, r.followers, bool(model.states(*(np.array([x]) for x in r[1:]))[0])) for r in found}
         told.append(answers)
-
-    def run(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_known(table, model, depth + 1).scores()])
-
-    return _of_blocks(blocks, told).applyInArrow(run, SCORES)
+        del asked
+        release_shuffles(docs.sparkSession)
+    return blocks, told, model
 
 
 def _pairs_of_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

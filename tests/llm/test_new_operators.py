@@ -171,7 +171,7 @@ def tree_scores(rows, depth, least, gain, discount=0.75, added=0.1):
             if total < least:
                 continue
             for word, n in c.items():
-                own += n * (math.log(n - 1 - discount) - math.log(p(context[1:], word)) - math.log(total - 1)) if n > 1 else math.log(discount * (len(c) - 1) / (total - 1))
+                own += n * (math.log(n - 1 - discount) + round(-math.log(p(context[1:], word)) * 2048) / 2048 - math.log(total - 1)) if n > 1 else math.log(discount * (len(c) - 1) / (total - 1))
             if own > gain:
                 states[context] = True
     out = []
