@@ -61,6 +61,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def small(values: np.ndarray) -> bytes:
+    """An array of mostly small numbers, byte by byte of the numbers, in few bytes."""
+    kind = values.dtype.itemsize
+    return zstandard.compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, kind).T.tobytes(), 1)
+
+
+def back(data: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def packed(p: np.ndarray) -> np.ndarray:
     """Probabilities as the number of 1/2048 nats under one: what the divergence tests see."""
     return np.minimum(np.rint(-np.log(p) * 2048), 65535).astype(np.uint16)
@@ -86,9 +97,8 @@ def _block(block: int, ids: list, held: list, lengths: list, tokens: list[np.nda
     rank = np.empty_like(order)
     rank[order] = np.arange(len(order))
     every = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in numbers), np.uint64, len(numbers))[order]
-    planes = rank[words].astype(np.uint32).view(np.uint8).reshape(-1, 4).T
     own = np.array([[i is None, h] for i, h in zip(ids, held, strict=True)], np.uint8)
-    return (block, -1, 0, False, np.array([i or 0 for i in ids], np.int64).tobytes(), own.tobytes(), np.array(lengths, np.int64).tobytes(), every.tobytes(), zstandard.compress(planes.tobytes(), 3))
+    return (block, -1, 0, False, np.array([i or 0 for i in ids], np.int64).tobytes(), own.tobytes(), np.array(lengths, np.int64).tobytes(), every.tobytes(), small(rank[words].astype(np.uint32)))
 
 
 def _to_blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa.RecordBatch]:
@@ -121,7 +131,7 @@ class Model:
     def __init__(self, depth: int, least_count: int, least_gain: float, discount: float, added: float, bits: int, hot_share: int):
         self.depth, self.least_count, self.least_gain, self.discount, self.added, self.bits, self.hot_share = depth, least_count, least_gain, discount, added, bits, hot_share
         self.train_tokens = self.distinct = 0
-        self.hot: dict[int, dict[int, tuple]] = {}
+        self.hot: dict[int, dict[int, int]] = {}
 
     def root(self, counts: np.ndarray) -> np.ndarray:
         return (counts + self.added) / (self.train_tokens + self.added * (self.distinct + 1))
@@ -156,8 +166,7 @@ class Block:
         self.missing, self.held = np.frombuffer(row["b"], np.uint8).reshape(-1, 2).T.astype(bool)
         self.lengths = np.frombuffer(row["c"], np.int64)
         self.hashes = np.frombuffer(row["d"], np.uint64)
-        planes = np.frombuffer(zstandard.decompress(row["e"]), np.uint8).reshape(4, -1)
-        self.words = np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64)
+        self.words = back(row["e"], np.uint32).astype(np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.train = np.repeat(~self.held, self.lengths)
         self.place = np.arange(len(self.words)) - np.repeat(self.starts, self.lengths)
@@ -168,12 +177,11 @@ class Block:
         counts = np.bincount(self.words[self.train], minlength=len(self.hashes))
         sorted_hashes = self.hashes[self.order]
         for bucket, low, high in _ranges(sorted_hashes, self.model.bits):
-            yield self.block, 0, bucket, False, sorted_hashes[low:high].tobytes(), None, None, counts[self.order[low:high]].tobytes(), None
+            yield self.block, 0, bucket, False, sorted_hashes[low:high].tobytes(), None, None, small(counts[self.order[low:high]]), None
 
     def hear_words(self, answers: list[dict]) -> None:
-        told = np.frombuffer(b"".join(r["a"] for r in answers), np.int64)
         self.counts = np.empty(len(self.hashes), np.int64)
-        self.counts[self.order] = told
+        self.counts[self.order] = np.concatenate([back(r["a"], np.int64) for r in answers])
         self.p = self.base = self.model.root(self.counts)[self.words]
         #: Of each word's place: how often the pair of its context and itself occurs, its context's hash, its state's length.
         self.n, self.context, self.length = self.counts[self.words], np.zeros(len(self.words), np.uint64), np.zeros(len(self.words), np.int8)
@@ -190,7 +198,8 @@ class Block:
         self.pair_context = key // max(len(self.hashes), 1)
         self.pair_word = self.hashes[key % max(len(self.hashes), 1)] >> np.uint64(24)
         self.pair_p = self.p[self.at][first]
-        self.context_hot = before[self.at][self.first] >= self.model.hot_from()
+        self.context_n = before[self.at][self.first]
+        self.context_hot = self.context_n >= self.model.hot_from()
         hot = self.context_hot[self.pair_context]
         whole = np.flatnonzero(~hot)
         apart = np.flatnonzero(hot)
@@ -211,28 +220,29 @@ class Block:
                     some, sizes = np.unique(self.pair_context[own], return_counts=True)
                     contexts = self.contexts[some]
                 words = self.pair_word[own].view(np.uint8).reshape(-1, 8)[:, :5]
-                yield self.block, level, bucket, hot, contexts.tobytes(), sizes.astype(np.uint32).tobytes(), words.tobytes(), counts[own].tobytes(), packed(self.pair_p[own]).tobytes()
+                # Contexts come in ascending order (hot ones almost): their differences are smaller.
+                steps = np.diff(contexts, prepend=np.uint64(0))
+                yield self.block, level, bucket, hot, small(steps), small(sizes.astype(np.uint32)), words.tobytes(), small(counts[own]), small(packed(self.pair_p[own]))
 
     def hear(self, level: int, answers: list[dict]) -> None:
         self.pairs(level)
         n = np.zeros(len(self.pair_p), np.int64)
-        total, followers, state = np.ones(len(self.contexts), np.int64), np.zeros(len(self.contexts), np.int64), np.zeros(len(self.contexts), bool)
+        followers = np.zeros(len(self.contexts), np.int64)  # of states; 0 of other contexts
         for hot, (pairs, _) in self.asked.items():
             told = [r for r in answers if r["hot"] == hot]
-            n[pairs] = np.frombuffer(b"".join(r["a"] for r in told), np.int64)
-            if not hot:
-                about = [np.frombuffer(r["b"], np.int64).reshape(3, -1) for r in told]
-                whole = np.flatnonzero(~self.context_hot)
-                if about:
-                    total[whole], followers[whole], state[whole] = np.concatenate(about, 1)
+            if told:
+                n[pairs] = np.concatenate([back(r["a"], np.int64) for r in told])
+            if told and not hot:
+                followers[~self.context_hot] = np.concatenate([back(r["b"], np.int64) for r in told])
         known = self.model.hot.get(level, {})
         for k in np.flatnonzero(self.context_hot).tolist():
-            total[k], followers[k], state[k] = known[int(self.contexts[k])]
+            followers[k] = known[int(self.contexts[k])]
         c = self.pair_context
-        p = np.where(state[c], self.model.smoothed(n, total[c], followers[c], self.pair_p), self.pair_p)
+        state = followers[c] > 0
+        p = np.where(state, self.model.smoothed(n, self.context_n[c], followers[c], self.pair_p), self.pair_p)
         self.p = self.p.copy()
         self.p[self.at] = p[self.pair]
-        self.length[self.at[state[c][self.pair]]] = level
+        self.length[self.at[state[self.pair]]] = level
         self.n = np.zeros_like(self.n)
         self.n[self.at] = n[self.pair]
 
@@ -273,38 +283,38 @@ def _count_words(table: pa.Table) -> pa.Table:
     keys = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in rows])
     _, which = np.unique(keys, return_inverse=True)
     totals = np.zeros(int(which.max()) + 1, np.int64)
-    np.add.at(totals, which, np.concatenate([np.frombuffer(r["d"], np.int64) for r in rows]))
+    np.add.at(totals, which, np.concatenate([back(r["d"], np.int64) for r in rows]))
     out, at = [(-1, 0, rows[0]["bucket"], False, np.array([np.count_nonzero(totals), totals.sum()], np.int64).tobytes(), None, None, None, None)], 0
     for r in rows:
         n = len(r["a"]) // 8
-        out.append((r["block"], 0, r["bucket"], False, totals[which[at : at + n]].tobytes(), None, None, None, None))
+        out.append((r["block"], 0, r["bucket"], False, small(totals[which[at : at + n]]), None, None, None, None))
         at += n
     return pa.Table.from_batches([_rows(out)])
 
 
 def _count_pairs(table: pa.Table, model: Model) -> pa.Table:
-    """Answers to blocks on pairs: counts of each pair; of each context its count, its number of followers and whether it is a state.
+    """Answers to blocks on pairs: counts of each pair, and of each context its number of followers if it is a state, else 0.
 
     Of hot contexts only a part of the followers is here: sums for their tests go to block -1.
     """
     rows = table.to_pylist()
     level, bucket, hot = rows[0]["level"], rows[0]["bucket"], rows[0]["hot"]
-    own = [np.frombuffer(r["a"], np.uint64) for r in rows]
-    sizes = [np.frombuffer(r["b"], np.uint32).astype(np.int64) for r in rows]
+    own = [np.cumsum(back(r["a"], np.uint64), dtype=np.uint64) for r in rows]
+    sizes = [back(r["b"], np.uint32).astype(np.int64) for r in rows]
     contexts = np.repeat(np.concatenate(own), np.concatenate(sizes))
     short = np.frombuffer(b"".join(r["c"] for r in rows), np.uint8).reshape(-1, 5)
     words = np.zeros((len(short), 8), np.uint8)
     words[:, :5] = short
     words = words.view(np.uint64).ravel()
-    counts, p = (np.frombuffer(b"".join(r[c] for r in rows), kind) for c, kind in (("d", np.uint32), ("e", np.uint16)))
+    counts, p = (np.concatenate([back(r[c], kind) for r in rows]) for c, kind in (("d", np.uint32), ("e", np.uint16)))
     order = np.lexsort((words, contexts))
     contexts, words = contexts[order], words[order]
     new_context = np.concatenate(([True], contexts[1:] != contexts[:-1]))
     new_pair = new_context | np.concatenate(([True], words[1:] != words[:-1]))
     first = np.flatnonzero(new_pair)
     n = np.add.reduceat(counts[order].astype(np.int64), first)
-    back = np.empty(len(order), np.int64)
-    back[order] = n[np.cumsum(new_pair) - 1]
+    found = np.empty(len(order), np.int64)
+    found[order] = n[np.cumsum(new_pair) - 1]
     starts = np.flatnonzero(new_context[first])
     sums = [np.add.reduceat(x.astype(np.float64) if k == 4 else x.astype(np.int64), starts) for k, x in enumerate(model.parts_of_gain(n, unpacked(p[order][first])))]
     every = contexts[first][starts]
@@ -317,8 +327,8 @@ def _count_pairs(table: pa.Table, model: Model) -> pa.Table:
         about = None
         if not hot:
             where = np.searchsorted(every, some)
-            about = np.stack([sums[0][where], sums[1][where], state[where]]).astype(np.int64).tobytes()
-        out.append((r["block"], level, bucket, hot, back[at : at + k].tobytes(), about, None, None, None))
+            about = small(np.where(state[where], sums[1][where], 0))  # only states use their number of followers
+        out.append((r["block"], level, bucket, hot, small(found[at : at + k]), about, None, None, None))
         at += k
     return pa.Table.from_batches([_rows(out)])
 
@@ -376,9 +386,9 @@ def _learned(docs: DataFrame, held_out: Column, text: str, id_col: str, model: M
     """The blocks, the answers to them level by level, and the model's own few numbers."""
     rows = docs.select(F.col(quoted(id_col)).cast("bigint").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(quoted(text)), F.lit("")).cast("binary").alias("text"))
     blocks = written(rows.mapInArrow(lambda batches: _to_blocks(batches, block_tokens), SHAPE), "suffix-blocks")
-    # A third of a word's bytes or so: only the number of groups hangs on it.
-    size = blocks.agg(F.sum(F.length("d") + 2 * F.length("e"))).first()[0] or 0
-    model.bits = max(0, math.ceil(math.log2(max(1, size / 3 / group_pairs))))
+    # A word takes some 1.5 bytes: only the number of groups hangs on it.
+    size = blocks.agg(F.sum(F.length("e"))).first()[0] or 0
+    model.bits = max(0, math.ceil(math.log2(max(1, size / 1.5 / group_pairs))))
 
     answers = written(_asking(blocks, [], model, 0).groupBy("bucket").applyInArrow(_count_words, SHAPE), "suffix-words")
     told = [answers]
@@ -390,7 +400,7 @@ def _learned(docs: DataFrame, held_out: Column, text: str, id_col: str, model: M
         answers = written(asked.groupBy("bucket", "hot").applyInArrow(lambda table: _count_pairs(table, model), SHAPE), "suffix-pairs")
         sums = answers.where("block = -1").select("a", "b", "c").mapInArrow(_hot_sums, "context bigint, total bigint, followers bigint, single bigint, repeated bigint, fit double")
         found = sums.groupBy("context").agg(*[F.sum(c).alias(c) for c in ("total", "followers", "single", "repeated", "fit")]).collect()  # fewer than HOT_SHARE
-        model.hot[level] = {r.context & (1 << 64) - 1: (r.total, r.followers, bool(model.states(*(np.array([x]) for x in r[1:]))[0])) for r in found}
+        model.hot[level] = {r.context & (1 << 64) - 1: r.followers if model.states(*(np.array([x]) for x in r[1:]))[0] else 0 for r in found}
         told.append(answers)
         del asked
         release_shuffles(docs.sparkSession)
