@@ -39,9 +39,10 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.3, 1e-3
 UNKNOWN = "und"
 #: Of the code points up to 128, those that are no letter (128 stands for all above, which count as letters).
 NO_LETTER = np.array([not chr(c).isalpha() for c in range(128)] + [False])
-#: A text is foreign if its n-grams are this many nats less usual in its best language than those of the
-#: least usual hundredth of the kept-back rows, or ``LESS`` nats and its score is under ``SURE``.
-MUCH_LESS, LESS, SURE = 3.5, 2.0, 0.9
+#: Bounds for foreign texts, in spreads: how far the usual (median) fit of kept-back rows lies above that of their least usual hundredth.
+#: A text is foreign if it lies ``FAR`` spreads below that hundredth, or ``NEAR`` spreads while its score is not half-way from chance to certain.
+FAR, NEAR, HALF = 6.0, 2.0, 0.5
+LEAST_SPREAD = 0.1
 
 
 def chunks(texts: pa.Array) -> Iterator[tuple[int, int, str, np.ndarray]]:
@@ -115,7 +116,8 @@ class Model:
     def __init__(self, labels: list[str], idf: np.ndarray, weights: np.ndarray, bias: np.ndarray, temperature: float = 1.0, usual: np.ndarray | None = None):
         self.labels, self.idf, self.weights, self.bias, self.temperature = labels, idf, weights, bias, temperature
         self.usual = np.zeros(weights.shape, np.float32) if usual is None else usual  # log shares of the label's texts that have the bucket
-        self.least = -np.inf  # of kept-back rows, the fit that a hundredth does not reach
+        #: Of kept-back rows, the fit that a hundredth does not reach, and how far the median lies above it.
+        self.least, self.spread = -np.inf, LEAST_SPREAD
 
     def scores(self, text: np.ndarray, bucket: np.ndarray, x: np.ndarray, rows: int) -> np.ndarray:
         """Sparse rows times weights: texts x labels."""
@@ -224,7 +226,9 @@ def train(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         scores = np.array([x[i][1] @ weights[x[i][0]] + bias for i in rest])
         model.temperature = fit_temperature(scores, y[rest]) if len(labels) > 1 else 1.0
         fits = [np.average(usual[x[i][0], k], weights=x[i][1] / idf[x[i][0]]) for i, k in zip(rest, scores.argmax(axis=1), strict=True) if len(x[i][0])]
-        model.least = float(np.quantile(fits, 0.01)) if fits else -np.inf
+        if fits:
+            model.least = float(np.quantile(fits, 0.01))
+            model.spread = max(float(np.median(fits)) - model.least, LEAST_SPREAD)
     return model
 
 
@@ -276,15 +280,17 @@ def keep_known(docs: DataFrame, text: str = "text", lang: str = "lang", id_col:
 
     What goes has no letter (null and empty texts too), or is foreign: its n-grams are far less
     usual in its best language than those of nearly all texts that were kept back from the fit, or
-    rather less usual while the calibrated score is low as well.  Both bounds are relative to kept-back rows, so they do not
-    depend on the number of labels; a short or mixed text of known languages has usual n-grams and stays.
+    less usual while no language stands out.  Bounds are set by the spread of kept-back rows, and a score is
+    measured from chance, so neither hangs on the number of labels; a short or mixed text of known languages has usual n-grams and stays.
     Equal texts go or stay together; very long texts are judged whole; an empty table, or one
     without a label, gives no rows.  All columns are kept, whatever their names.
     """
     model = train(_learnable(docs, text, lang, id_col), fit_rows)
     names = fresh(docs, "lang_pred", "score", "fit")
     label, score, fit = columns(names)
-    foreign = (fit < model.least - MUCH_LESS) | ((fit < model.least - LESS) & (score < SURE))
+    chance = 1 / max(len(model.labels), 1)
+    unsure = score < chance + HALF * (1 - chance)
+    foreign = (fit < model.least - FAR * model.spread) | ((fit < model.least - NEAR * model.spread) & unsure)
     return predict(docs, model, text, tuple(names)).where((label != UNKNOWN) & ~foreign).select(*columns(docs.columns))
 
 

@@ -61,8 +61,8 @@ def maybe_in(rows: DataFrame, keys: DataFrame, n: int, key: Column, name: str) -
     return found.withColumn(name, test).drop(part, bit, bitmap)
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", id_col: str = "doc_id", site: str = "source") -> DataFrame:
-    """``docs`` with ``text`` cleaned, and the columns ``n_lines`` and ``n_removed``.
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", id_col: str = "doc_id", site: str = "source", names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with ``text`` cleaned, and the columns ``n_lines`` and ``n_removed`` (``names``).
 
     Lines are what line feeds separate; they are compared without spaces, tabs and
     carriage returns at their ends, and blank ones are left alone.  A line that
@@ -70,9 +70,9 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text",
     place) and removed elsewhere.  A null site is no site; a null text stays null
     with no lines; rows that repeat an id and a text lose the same lines; very long texts are
     read whole.  An empty table gives no rows.  Columns of these names in ``docs`` are
-    replaced, others are kept, whatever their names.
+    replaced, however they are spelled; others are kept, whatever their names.
     """
-    rows = docs.select(*columns([c for c in docs.columns if c not in ("n_lines", "n_removed")]))
+    rows = docs.select(*columns([c for c in docs.columns if c.lower() not in [n.lower() for n in names]]))
     body, own_id = F.col(quoted(text)), F.col(quoted(id_col))
     line = F.btrim(F.col("_line"), F.lit(EDGE))
     lines = written(
@@ -98,8 +98,8 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text",
     cleaned = F.when(lost.isNull(), body).otherwise(kept)
     return found.select(
         *[cleaned.alias(c) if c == text else F.col(quoted(c)) for c in rows.columns],
-        F.when(body.isNull(), F.lit(0)).otherwise(F.size(split)).cast("bigint").alias("n_lines"),
-        F.when(lost.isNull(), F.lit(0)).otherwise(F.size(lost)).cast("bigint").alias("n_removed"),
+        F.when(body.isNull(), F.lit(0)).otherwise(F.size(split)).cast("bigint").alias(names[0]),
+        F.when(lost.isNull(), F.lit(0)).otherwise(F.size(lost)).cast("bigint").alias(names[1]),
     )
 
 

@@ -11,7 +11,7 @@ import contextlib
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -85,13 +85,26 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{_own_dir(spark)}{own}")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, f"{_own_dir(spark)}{own}")
         _inside[spark.sparkContext.applicationId] = outer
         spark.conf.set(name, before)
 
 
+def outlived(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> tuple[DataFrame, str]:
+    """What ``make`` returns, written beside the scratch of its making, which goes; and where it is."""
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with scratch(spark):
+        made = make()
+        made.write.option("compression", "zstd").parquet(path)
+        shape = made.schema
+    return spark.read.schema(shape).parquet(path), path
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Removes all that this application has written here; results that still read it are then lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, _own_dir(spark))

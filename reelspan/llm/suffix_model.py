@@ -183,22 +183,37 @@ class Block:
         self.counts = np.empty(len(self.hashes), np.int64)
         self.counts[self.order] = np.concatenate([back(r["a"], np.int64) for r in answers])
         self.p = self.base = self.model.root(self.counts)[self.words]
-        #: Of each word's place: how often the pair of its context and itself occurs, its context's hash, its state's length.
-        self.n, self.context, self.length = self.counts[self.words], np.zeros(len(self.words), np.uint64), np.zeros(len(self.words), np.int8)
+        #: Of each word's place: how often the pair of its context and itself occurs, that pair's number, its state's length.
+        self.n, self.number, self.length = self.counts[self.words], self.words, np.zeros(len(self.words), np.int8)
+        self.number_hash = self.hashes
 
     def pairs(self, level: int) -> None:
-        """Distinct pairs of this level: those of contexts that occur ``least_count`` times."""
-        before = np.zeros_like(self.n)
-        before[1:] = self.n[:-1]  # the pair one place before is this context
+        """Distinct pairs of this level: those of contexts that occur ``least_count`` times.
+
+        A context is the pair one place before, whose number is known from the level below (for one word, the word's own).
+        """
+        before, number = np.zeros_like(self.n), np.zeros_like(self.number)
+        before[1:], number[1:] = self.n[:-1], self.number[:-1]
         self.at = np.flatnonzero((self.place >= level) & (before >= self.model.least_count))
-        longer = self.hashes[self.words[self.at - level]]
-        self.context[self.at] = mixed(self.context[self.at] * np.uint64(0x9E3779B97F4A7C15) + longer + np.uint64(level))
-        self.contexts, self.first, which = np.unique(self.context[self.at], return_index=True, return_inverse=True)
-        key, first, self.pair = np.unique(which * len(self.hashes) + self.words[self.at], return_index=True, return_inverse=True)
-        self.pair_context = key // max(len(self.hashes), 1)
-        self.pair_word = self.hashes[key % max(len(self.hashes), 1)] >> np.uint64(24)
-        self.pair_p = self.p[self.at][first]
-        self.context_n = before[self.at][self.first]
+        number = number[self.at]
+        known = np.zeros(len(self.number_hash), bool)
+        known[number] = True
+        some = np.flatnonzero(known)
+        hashes = mixed(self.number_hash[some] + np.uint64(level))
+        order = np.argsort(hashes)
+        self.contexts = hashes[order]
+        rank = np.empty(len(self.number_hash), np.int64)
+        rank[some[order]] = np.arange(len(some))
+        which = rank[number]
+        key, self.pair = np.unique(which * len(self.hashes) + self.words[self.at], return_inverse=True)
+        one = np.empty(len(key), np.int64)  # a place of each pair: what is known of it is the same at all of them
+        one[self.pair] = np.arange(len(self.at))
+        self.pair_context, word = np.divmod(key, max(len(self.hashes), 1))
+        self.pair_word = self.hashes[word] >> np.uint64(24)
+        self.pair_p = self.p[self.at][one]
+        self.pair_hash = mixed(self.contexts[self.pair_context] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[word])
+        self.context_n = np.empty(len(some), np.int64)
+        self.context_n[which] = before[self.at]
         self.context_hot = self.context_n >= self.model.hot_from()
         hot = self.context_hot[self.pair_context]
         whole = np.flatnonzero(~hot)
@@ -243,8 +258,9 @@ class Block:
         self.p = self.p.copy()
         self.p[self.at] = p[self.pair]
         self.length[self.at[state[self.pair]]] = level
-        self.n = np.zeros_like(self.n)
-        self.n[self.at] = n[self.pair]
+        self.n, self.number = np.zeros_like(self.n), np.zeros_like(self.number)
+        self.n[self.at], self.number[self.at] = n[self.pair], self.pair
+        self.number_hash = self.pair_hash
 
     def scores(self) -> pa.RecordBatch:
         per = lambda x: np.add.reduceat(x, self.starts)  # noqa: E731  a text has a word at least: its end
@@ -301,13 +317,15 @@ def _count_pairs(table: pa.Table, model: Model) -> pa.Table:
     level, bucket, hot = rows[0]["level"], rows[0]["bucket"], rows[0]["hot"]
     own = [np.cumsum(back(r["a"], np.uint64), dtype=np.uint64) for r in rows]
     sizes = [back(r["b"], np.uint32).astype(np.int64) for r in rows]
-    contexts = np.repeat(np.concatenate(own), np.concatenate(sizes))
+    every, which = np.unique(np.concatenate(own), return_inverse=True)
+    contexts = np.repeat(which, np.concatenate(sizes))  # numbers of contexts, in order of their hash
     short = np.frombuffer(b"".join(r["c"] for r in rows), np.uint8).reshape(-1, 5)
     words = np.zeros((len(short), 8), np.uint8)
     words[:, :5] = short
     words = words.view(np.uint64).ravel()
     counts, p = (np.concatenate([back(r[c], kind) for r in rows]) for c, kind in (("d", np.uint32), ("e", np.uint16)))
-    order = np.lexsort((words, contexts))
+    # A follower has 40 bits; contexts of one group are far fewer than 2^24, else they are sorted by both.
+    order = np.argsort(contexts.astype(np.uint64) << np.uint64(40) | words) if len(every) < 1 << 24 else np.lexsort((words, contexts))
     contexts, words = contexts[order], words[order]
     new_context = np.concatenate(([True], contexts[1:] != contexts[:-1]))
     new_pair = new_context | np.concatenate(([True], words[1:] != words[:-1]))
@@ -317,16 +335,16 @@ def _count_pairs(table: pa.Table, model: Model) -> pa.Table:
     found[order] = n[np.cumsum(new_pair) - 1]
     starts = np.flatnonzero(new_context[first])
     sums = [np.add.reduceat(x.astype(np.float64) if k == 4 else x.astype(np.int64), starts) for k, x in enumerate(model.parts_of_gain(n, unpacked(p[order][first])))]
-    every = contexts[first][starts]
     state = np.zeros(len(every), bool) if hot else model.states(*sums)
-    out, at = [], 0
+    out, at, seen = [], 0, 0
     if hot:
         out.append((-1, level, bucket, True, every.tobytes(), *[x.tobytes() for x in (np.stack(sums[:4]), sums[4])], None, None))
     for r, some, n_each in zip(rows, own, sizes, strict=True):
         k = int(n_each.sum())
         about = None
         if not hot:
-            where = np.searchsorted(every, some)
+            where = which[seen : seen + len(some)]
+            seen += len(some)
             about = small(np.where(state[where], sums[1][where], 0))  # only states use their number of followers
         out.append((r["block"], level, bucket, hot, small(found[at : at + k]), about, None, None, None))
         at += k

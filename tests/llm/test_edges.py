@@ -14,7 +14,7 @@ import corpus_pipeline
 from reelspan.llm import bpe, exact_dedup, fingerprints, language_id, line_dedup, near_dedup, source_mix, substring_dedup, tool_calls, toxicity
 
 #: Names that operators and stages use inside, and names that need quoting.
-CLASHING = ["_maybe", "_key", "maybe", "key", "kept", "_id", "_words", "_size", "_times", "time", "hash", "_lang_pred", "score", "fit", "lang_pred", "th", "gone", "part", "bit", "bitmap", "d.x", "a`b", "_hash", "p", "d", "g"]
+CLASHING = ["_maybe", "_key", "maybe", "key", "kept", "_id", "_words", "_size", "_times", "time", "hash", "_lang_pred", "score", "fit", "lang_pred", "th", "gone", "part", "bit", "bitmap", "d.x", "a`b", "_hash", "p", "d", "g", "N_Lines", "Doc_Id_", "Keep_ID", "_ROW", "Group_Size"]
 SHAPE = "doc_id bigint, text string, lang string, source string, n_chars bigint, node string, bucket string, `od.d` string, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in CLASHING)
 LONG = " ".join(f"word{k % 977}" for k in range(60_000))
 ODD = [
@@ -76,6 +76,32 @@ def test_exact_ties(odd):
     assert {r.keep_id for r in empty} == {2} and len(empty) == 3 and [r.doc_id for r in empty if r.kept] == [2]
 
 
+def test_many_rows_of_one_id_and_text_stay_apart(spark, monkeypatch):
+    from reelspan.llm import hot
+
+    monkeypatch.setattr(hot, "HOT_ROWS", 1000)
+    docs = spark.range(0, 200_000, 1, 8).select(F.lit(None).cast("bigint").alias("doc_id"), F.when(F.col("id") % 100 == 0, F.concat(F.lit("own "), "id")).otherwise("same").alias("text"))
+    found = exact_dedup.exact_duplicates(docs)
+    by_task = found.where("group_size > 1").groupBy(F.spark_partition_id()).count().collect()
+    sizes = [r["count"] for r in by_task]
+    assert sum(sizes) == 198_000 and max(sizes) < 0.6 * sum(sizes)
+    kept = found.where("kept").groupBy("group_size").count().collect()
+    assert {r.group_size: r["count"] for r in kept} == {1: 2000, 198_000: 1}
+
+
+def test_rounds_keep_rows_out_of_the_shuffle(spark):
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.when(F.col("id") < 100, F.col("id") % 50).otherwise(F.col("id"))).alias("text"))
+    digests = docs.select("doc_id", F.xxhash64("text").alias("_h"))
+    passed = lambda bits: exact_dedup.marked(digests, 40_000, bits).where("NOT _maybe").count() / 40_000
+    assert exact_dedup.rounds_for(40_000, 1 << 16) == 10
+    # One filter of that size would be full.
+    full = exact_dedup.bloom.build(digests.select("_h"), 40_000, repeated=True, max_bits=1 << 16)
+    assert digests.where(~full.maybe("_h")).count() / 40_000 < 0.6
+    assert passed(1 << 16) > 0.95 and passed(1 << 20) > 0.95
+    small = sorted(map(tuple, exact_dedup.exact_duplicates(docs, max_bits=1 << 16).collect()))
+    assert small == sorted(map(tuple, exact_dedup.exact_duplicates(docs).collect())) and sum(not r[3] for r in small) == 50
+
+
 def test_near_ties(odd):
     rows = near_dedup.near_duplicates(odd, shingle_words=2).collect()
     by = {}
