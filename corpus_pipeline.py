@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from reelspan.llm import bloom, bpe, language_id, line_dedup, near_dedup, source_mix
 from reelspan.llm.names import columns, fresh
-from reelspan.llm.scratch import written
+from reelspan.llm.scratch import outlived, remove, written
 
 #: The largest id.
 MOST = (1 << 63) - 1
@@ -27,7 +27,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines stay where they first stand; the documents stay, null texts null (see ``line_dedup.dedup_lines``)."""
-    return line_dedup.dedup_lines(docs).select(*columns(docs.columns))
+    return line_dedup.dedup_lines(docs, names=tuple(fresh(docs, "n_lines", "n_removed"))).select(*columns(docs.columns))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,9 +77,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"pipeline-{name}")
-    return docs
+    """All stages in turn; what a stage wrote for itself, and what the stage before it left, goes when its result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        docs, path = outlived(spark, lambda: stage(spark, docs, sf_dir), f"pipeline-{name}")  # noqa: B023
+        if before:
+            remove(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
