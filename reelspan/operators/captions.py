@@ -12,6 +12,8 @@ from reelspan.operators.scans import before, carried
 
 GAP_MS, LINE_WORDS, LINGER_MS = 300, 5, 200
 AHEAD_MS, HOLD_MS = 500, 500
+#: Words of a transcript are held for 4 s at most; longer ones only cost more copies.
+LONGEST_MS = 10_000
 
 
 def in_clips(words: DataFrame, clips: DataFrame, key: str = "clip_id") -> DataFrame:
@@ -83,10 +85,10 @@ def events(words: DataFrame, order: list[str], key: str = "clip_id", roman: str
     return found.where(F.btrim("text") != "")
 
 
-def karaoke_lines(words: DataFrame, times: DataFrame, order: list[str], key: str = "clip_id") -> DataFrame:
+def karaoke_lines(words: DataFrame, times: DataFrame, order: list[str], key: str = "clip_id", longest_ms: int | None = LONGEST_MS) -> DataFrame:
     """``times`` (key, t_ms and others) with ``sentence``: the one sung at t, or that of the next word in list order within 500 ms, else null.
 
-    Sentences end at punctuation only.
+    Sentences end at punctuation only.  ``longest_ms``: about how long the longest words are.
     """
     own = Window.partitionBy(key).orderBy(*order)
     starts = F.coalesce(F.lag(ends_sentence(F.col("word"), trim=False)).over(own), F.lit(False)).cast("int")
@@ -94,7 +96,7 @@ def karaoke_lines(words: DataFrame, times: DataFrame, order: list[str], key: str
         key, (F.row_number().over(own) - 1).alias("seq"), F.sum("_start").over(own.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint").alias("sentence"), F.col("start_ms").alias("_from"), F.col("end_ms").alias("_to")
     )
     t = times.dropDuplicates([key, "t_ms"]).select(key, "t_ms")
-    sung = points_in(t, w, key, F.col("t_ms"), F.col("_from"), F.col("_to")).groupBy(key, "t_ms").agg(F.min_by("sentence", "seq").alias("_sung"))
+    sung = points_in(t, w, key, F.col("t_ms"), F.col("_from"), F.col("_to"), longest_ms=longest_ms).groupBy(key, "t_ms").agg(F.min_by("sentence", "seq").alias("_sung"))
     # The first word in list order that starts after t: of words that start later than all before them, the earliest such.
     record = w.withColumn("_before", F.max("_from").over(Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))).where(F.col("_before").isNull() | (F.col("_from") > F.col("_before")))
     soonest = F.greatest("_before", F.col("_from") - AHEAD_MS + 1)
@@ -102,9 +104,9 @@ def karaoke_lines(words: DataFrame, times: DataFrame, order: list[str], key: str
     return times.join(sung, [key, "t_ms"], "left").join(ahead, [key, "t_ms"], "left").withColumn("sentence", F.coalesce("_sung", "_ahead")).drop("_sung", "_ahead")
 
 
-def visible_words(words: DataFrame, times: DataFrame, key: str = "clip_id") -> DataFrame:
+def visible_words(words: DataFrame, times: DataFrame, key: str = "clip_id", longest_ms: int | None = LONGEST_MS) -> DataFrame:
     """Words on screen at each time without karaoke: from their start until 500 ms after their end (that excluded)."""
-    return points_in(times, words, key, F.col("t_ms"), F.col("start_ms"), F.col("end_ms") + HOLD_MS)
+    return points_in(times, words, key, F.col("t_ms"), F.col("start_ms"), F.col("end_ms") + HOLD_MS, longest_ms=longest_ms)
 
 
 def first_style(styles: DataFrame, key: str = "clip_id", by: str = "id") -> DataFrame:

@@ -75,17 +75,18 @@ def crop_pixels(width: int, height: int) -> dict:
     }
 
 
-def crop_track(slots: DataFrame, keyframes: DataFrame, width: int, height: int) -> DataFrame:
+def crop_track(slots: DataFrame, keyframes: DataFrame, width: int, height: int, longest_ms: int | None = None) -> DataFrame:
     """Pieces of constant crop of each slot: ``segment_id, slot, start_ms, end_ms, crop_x, crop_y, crop_w, crop_h``.
 
     ``slots``: segment_id, slot, box_id (null: the whole frame), start_ms, end_ms.  A slot
     starts with its box's position at that time; every later keyframe inside it starts a piece.
+    ``longest_ms``: about how long the longest slots are, if known (see ``ranges.points_in``).
     """
     own = slots.select("segment_id", "slot", "box_id", "start_ms", "end_ms")
     framed = own.where("box_id IS NOT NULL")
     starts = position_at(framed.withColumn("q_ms", F.col("start_ms")), keyframes).drop("q_ms")
     whole = own.where("box_id IS NULL").withColumns({c: F.lit(d) for c, d in DEFAULTS.items()})
-    inside = points_in(changes(keyframes), framed, "box_id", F.col("lo"), F.col("start_ms") + 1, F.col("end_ms"), width_ms=3_600_000).withColumn("start_ms", F.col("lo")).drop("lo")
+    inside = points_in(changes(keyframes), framed, "box_id", F.col("lo"), F.col("start_ms") + 1, F.col("end_ms"), width_ms=3_600_000, longest_ms=longest_ms).withColumn("start_ms", F.col("lo")).drop("lo")
     after = F.lead("start_ms").over(Window.partitionBy("segment_id", "slot").orderBy("start_ms"))
     pieces = starts.unionByName(inside).withColumn("end_ms", F.coalesce(after, "end_ms")).unionByName(whole)
     return pieces.withColumns(crop_pixels(width, height)).drop("box_id", *DEFAULTS)

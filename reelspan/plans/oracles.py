@@ -296,3 +296,6 @@ ORACLES["speech_ranges_session"] = ORACLES["speech_ranges"]
 ORACLES["stream_speech_ranges"] = ORACLES["speech_ranges"]
 ORACLES["stream_answers"] = duck("SELECT cast(clip_id AS VARCHAR) AS clip_id, chunk_idx, row_number() OVER (PARTITION BY clip_id, chunk_idx ORDER BY phrase_idx) - 1 AS phrase_idx, phrase, start_s, end_s FROM asr_phrases")
 ORACLES["stream_progress"] = ORACLES["progress_changes"]
+ORACLES["endless_overlays"] = duck("SELECT p.box_id AS clip_id, p.event_id, o.id FROM probes p JOIN overlays o ON o.clip_id = p.box_id AND p.q_ms >= o.start_ms AND (o.id % 7 = 0 OR p.q_ms <= o.end_ms)")
+for _name in ("caption_events", "speech_ranges", "word_end_clamp"):
+    ORACLES[f"{_name}_in_stretches"] = ORACLES[_name]

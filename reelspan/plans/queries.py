@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelspan.functions import languages, media, text
@@ -28,6 +28,20 @@ def caption_events(spark: SparkSession, d: str) -> DataFrame:
     return captions.events(view(spark, d, "words"), ORDER)
 
 
+def _stretch() -> Column:
+    """Stretches of 64 words of a turn, in list order."""
+    return F.struct("turn", F.floor(F.col("i") / 64))
+
+
+def caption_events_in_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """Caption lines as for videos too long for one window."""
+    return captions.events(view(spark, d, "words"), ORDER, stretch=_stretch())
+
+
+def speech_ranges_in_stretches(spark: SparkSession, d: str) -> DataFrame:
+    return speech.speech_ranges(view(spark, d, "words"), stretch_ms=20_000)
+
+
 def clip_captions(spark: SparkSession, d: str) -> DataFrame:
     """The caption table: newest transcript, words in the clip, clip time, lines, script times."""
     words = view(spark, d, "words").withColumnRenamed("clip_id", "transcript_id")
@@ -50,10 +64,18 @@ def caption_scripts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def word_end_clamp(spark: SparkSession, d: str) -> DataFrame:
+    return _clamped(spark, d)
+
+
+def word_end_clamp_in_stretches(spark: SparkSession, d: str) -> DataFrame:
+    return _clamped(spark, d, _stretch())
+
+
+def _clamped(spark: SparkSession, d: str, stretch: Column | None = None) -> DataFrame:
     words = view(spark, d, "words")
     totals = words.groupBy("clip_id").agg(((F.max("end_ms") + 1500 * (F.col("clip_id") % 2) - 100) / 1000).alias("total_s"))
     timed = words.select("clip_id", "turn", "i", (F.col("start_ms") / 1000).alias("start_s"), (F.col("end_ms") / 1000).alias("end_s")).join(totals, "clip_id")
-    return transcript.clamp_ends(timed, ORDER).select("clip_id", "turn", "i", media.seconds_to_ms(F.col("end_s")).alias("end_ms"))
+    return transcript.clamp_ends(timed, ORDER, stretch=stretch).select("clip_id", "turn", "i", media.seconds_to_ms(F.col("end_s")).alias("end_ms"))
 
 
 def even_split(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +130,7 @@ def _slots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def crop_track(spark: SparkSession, d: str) -> DataFrame:
-    found = keyframes.crop_track(_slots(spark, d), view(spark, d, "box_keyframes"), WIDTH, HEIGHT)
+    found = keyframes.crop_track(_slots(spark, d), view(spark, d, "box_keyframes"), WIDTH, HEIGHT, longest_ms=25_000_000)
     return found.select("segment_id", "slot", "start_ms", "end_ms", *[F.round(c, 6).alias(c) for c in ("crop_x", "crop_y", "crop_w", "crop_h")])
 
 
@@ -117,6 +139,13 @@ def overlays_at_time(spark: SparkSession, d: str) -> DataFrame:
     return keyframes.active_at(times, view(spark, d, "overlays")).select("clip_id", "event_id", "id", "z_index")
 
 
+def endless_overlays(spark: SparkSession, d: str) -> DataFrame:
+    """Overlays at the times of probes, where one in seven overlays has no end."""
+    times = view(spark, d, "probes").select(F.col("box_id").alias("clip_id"), "event_id", F.col("q_ms").alias("t_ms"))
+    overlays = view(spark, d, "overlays").withColumn("end_ms", F.when(F.col("id") % 7 == 0, F.lit(keyframes.LAST)).otherwise(F.col("end_ms")))
+    return keyframes.active_at(times, overlays).select("clip_id", "event_id", "id")
+
+
 def karaoke_line(spark: SparkSession, d: str) -> DataFrame:
     return captions.karaoke_lines(view(spark, d, "words"), view(spark, d, "caption_times"), ORDER).select("clip_id", "t_ms", "i", "sentence")
 

@@ -25,6 +25,9 @@ def test_points(spark, width):
     p = spark.createDataFrame(points, "p bigint, key int, t bigint")
     s = spark.createDataFrame(spans, "s bigint, key int, lo bigint, hi bigint")
     got = sorted((r.p, r.s) for r in ranges.points_in(p, s, "key", F.col("t"), F.col("lo"), F.col("hi"), width).collect())
+    short = s.where("s < 900 and hi - lo between -10 and 3000000")  # many times longer than what is promised
+    hinted = sorted((r.p, r.s) for r in ranges.points_in(p, short, "key", F.col("t"), F.col("lo"), F.col("hi"), width, longest_ms=700).collect())
+    assert hinted == [x for x in got if x[1] in {r.s for r in short.collect()}]
     assert got == sorted((a, b) for a, k, t in points for b, q, lo, hi in spans if k == q and t is not None and lo <= t < hi) and got
 
 
