@@ -24,10 +24,11 @@ def slots(segments: DataFrame, boxes: DataFrame, known: DataFrame | None = None)
     b = boxes.select("segment_id", place.alias("slot"), F.col("id").alias("box_id"), "source_video_id", "source_offset_ms")
     out = own.join(b, ["segment_id", "slot"], "left")
     if known is not None:
-        k = known.select(F.col("video_id").alias("source_video_id"), F.lit(True).alias("_known")).distinct()
-        # Slots of the primary source, which may be most of them, are no key's rows.
-        other = out.where(F.col("source_video_id").isNotNull()).join(k, "source_video_id", "left").withColumn("source_video_id", F.when(F.col("_known"), F.col("source_video_id"))).drop("_known")
-        out = out.where(F.col("source_video_id").isNull()).unionByName(other)
+        k = known.select(F.col("video_id").cast("string").alias("_source")).distinct().withColumn("_known", F.lit(True))
+        # Slots of the primary source, which may be most of them, have a key each: none that is known, and no two alike.
+        own = F.concat(F.lit("\0"), F.col("segment_id").cast("string"))
+        out = out.withColumn("_source", F.coalesce(F.col("source_video_id").cast("string"), own)).join(k, "_source", "left")
+        out = out.withColumn("source_video_id", F.when(F.col("_known"), F.col("source_video_id"))).drop("_source", "_known")
     return out
 
 
