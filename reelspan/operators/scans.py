@@ -21,6 +21,19 @@ def stretch_of(order: list[str], rows: int = STRETCH) -> Column:
     return F.col(order[0]) if len(order) > 1 else F.floor(F.col(order[0]) / rows)
 
 
+#: Rows of a task, about, where ``dealt`` deals them out.
+TASK_ROWS = 1 << 18
+
+
+def dealt(rows: DataFrame, by: list[str], n_rows: int | None) -> DataFrame:
+    """``rows`` dealt out by ``by`` over as many tasks as ``n_rows`` (about how many there are) asks for; where that is not known or one task, as the session's settings say.
+
+    What sorts hold in a task then stays the same however large the table is, whatever ``spark.sql.shuffle.partitions`` is.
+    """
+    n = -(-(n_rows or 0) // TASK_ROWS)
+    return rows.repartition(max(n, rows.sparkSession.sparkContext.defaultParallelism), *by) if n > 1 else rows
+
+
 def before(line: WindowSpec) -> WindowSpec:
     return line.rowsBetween(Window.unboundedPreceding, -1)
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from reelspan.operators import captions, edl, speech, transcript
+from reelspan.operators import captions, edl, scans, speech, transcript
 
 STRETCHES = [1, 3, 64, 10_000]
 
@@ -59,3 +59,29 @@ def test_no_window_holds_a_video(talk):
     wide = [x for x in plan.splitlines() if "Window [" in x and "_stretch" not in x.rsplit("], [", 2)[-2]]
     # Windows over a whole video run over its stretches only.
     assert wide and all("_inside" not in x and "_island" not in x for x in wide)
+
+
+def planned(df):
+    return df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scripts_read_captions_once(talk):
+    styles = talk.select("clip_id").distinct().selectExpr("clip_id AS id", "clip_id", "'roboto' AS font", "10 AS size", "'#fff' AS color", "0.5D AS position_y")
+    optimized, _ = planned(captions.scripts(captions.events(talk, ["i"]).persist(), styles, 100, 100))
+    assert "Union" not in optimized and "LeftSemi" not in optimized
+
+
+def test_captions_sort_words_once(talk):
+    _, plan = planned(captions.events(talk, ["i"]))
+    assert plan.count("Sort [") == 1 and "collect_list" not in plan
+
+
+def test_tasks_keep_their_size(spark, talk, monkeypatch):
+    monkeypatch.setattr(scans, "TASK_ROWS", 50)
+    n = talk.count()
+    for stretch in (None, F.floor(F.col("i") / 8)):
+        found = captions.events(talk, ["i"], stretch=stretch, n_words=n)
+        assert "RepartitionByExpression" in planned(found)[0]
+        same(found, captions.events(talk, ["i"]), ["clip_id", "line", "start_ms", "end_ms", "text"])
+    assert scans.dealt(talk, ["clip_id", "i"], n).rdd.getNumPartitions() == -(-n // 50) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert scans.dealt(talk, ["clip_id"], None) is talk
