@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelspan.functions.media import dimensions, falsy, pixels
 
 
+def _sorted_rows(order: list[str], fields: list[str]) -> Column:
+    listed = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*fields).alias("v"))))
+    return F.transform(listed, lambda x: x["v"])
+
+
 def nested(parent: DataFrame, child: DataFrame, key: str, child_key: str, name: str, order: list[str], fields: list[str] | None = None) -> DataFrame:
     """``parent`` with an array ``name`` of its child rows, sorted by ``order``; empty if it has none."""
     fields = fields or [c for c in child.columns if c != child_key]
-    listed = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*fields).alias("v"))))
-    arrays = child.groupBy(child_key).agg(F.transform(listed, lambda x: x["v"]).alias(name)).withColumnRenamed(child_key, "_key")
+    arrays = child.groupBy(child_key).agg(_sorted_rows(order, fields).alias(name)).withColumnRenamed(child_key, "_key")
     kind = arrays.schema[name].dataType
     return parent.join(arrays, parent[key] == F.col("_key"), "left").drop("_key").withColumn(name, F.coalesce(name, F.array().cast(kind)))
 
@@ -23,15 +29,46 @@ def with_boxes(segments: DataFrame, boxes: DataFrame, keyframes: DataFrame) -> D
     return nested(segments, framed, "id", "segment_id", "crop_boxes", ["slot_index", "id"])
 
 
-def clip_specs(clips: DataFrame, segments: DataFrame, boxes: DataFrame, keyframes: DataFrame, children: dict[str, DataFrame], words: DataFrame | None = None, quality: Column | None = None) -> DataFrame:
+def _lists(child: DataFrame, within: str, child_key: str, order: list[str]) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """``within`` and a map from ``child_key`` to its rows' array; and what looks a key up in it."""
+    fields = [c for c in child.columns if c not in (within, child_key)]
+    name = f"_of_{child_key}"
+    arrays = child.where(F.col(child_key).isNotNull()).groupBy(within, child_key).agg(_sorted_rows(order, fields).alias("_rows"))
+    none = F.array().cast(arrays.schema["_rows"].dataType)
+    return arrays.groupBy(within).agg(F.map_from_entries(F.collect_list(F.struct(child_key, "_rows"))).alias(name)), lambda k: F.coalesce(F.col(name)[k], none)
+
+
+def segments_within(clips: DataFrame, segments: DataFrame, boxes: DataFrame, keyframes: DataFrame, within: str = "clip_id") -> DataFrame:
+    """``clips`` with ``segments``, as ``with_boxes`` nests them, where boxes and keyframes have their clip as well (it is not nested).
+
+    Each table is grouped by its clip and nothing is joined but by it, so tables that lie dealt out by clip do not move.
+    """
+    b, boxes_of = _lists(boxes, within, "segment_id", ["slot_index", "id"])
+    k, frames_of = _lists(keyframes, within, "box_id", ["t_ms", "kf_seq"])
+    fields = [c for c in segments.columns if c != within]
+    s = segments.groupBy(within).agg(_sorted_rows(["sort_order", "id"], fields).alias("segments"))
+    box_fields = [c for c in boxes.columns if c not in (within, "segment_id")]
+    box = lambda x: F.struct(*[x[c].alias(c) for c in box_fields], frames_of(x["id"]).alias("box_keyframes"))
+    segment = lambda x: F.struct(*[x[c].alias(c) for c in fields], F.transform(boxes_of(x["id"]), box).alias("crop_boxes"))
+    rows = s.join(b, within, "left").join(k, within, "left").select(within, F.transform("segments", segment).alias("segments"))
+    none = F.array().cast(rows.schema["segments"].dataType)
+    return clips.join(rows, within, "left").withColumn("segments", F.coalesce("segments", none))
+
+
+def clip_specs(
+    clips: DataFrame, segments: DataFrame, boxes: DataFrame, keyframes: DataFrame, children: dict[str, DataFrame], words: DataFrame | None = None, quality: Column | None = None, by_clip: bool = False
+) -> DataFrame:
     """One nested row for each clip.
 
     ``children``: name → rows with clip_id (caption_styles, text_overlays, audio_tracks,
     transitions, overlays); overlays are sorted by z_index, all by id.  ``words``: clip_id and an
     array ``words`` (see ``transcript.spoken``).  ``quality`` sets output_width and output_height, 2160p
-    unless given.
+    unless given.  ``by_clip``: boxes and keyframes have clip_id as well, see ``segments_within``.
     """
-    out = nested(clips, with_boxes(segments, boxes, keyframes), "clip_id", "clip_id", "segments", ["sort_order", "id"])
+    if by_clip:
+        out = segments_within(clips, segments, boxes, keyframes)
+    else:
+        out = nested(clips, with_boxes(segments, boxes, keyframes), "clip_id", "clip_id", "segments", ["sort_order", "id"])
     for name, rows in children.items():
         out = nested(out, rows, "clip_id", "clip_id", name, ["z_index", "id"] if "z_index" in rows.columns else ["id"])
     if words is not None:

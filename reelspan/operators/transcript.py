@@ -153,10 +153,14 @@ def spoken(clips: DataFrame, transcripts: DataFrame, words: DataFrame, order: li
     """
     newest = latest(transcripts).select("video_id", F.col("id").alias("transcript_id"))
     c = clips.select("clip_id", "video_id", F.col("start_ms").alias("_from"), F.col("end_ms").alias("_to")).join(newest, "video_id").drop("video_id")
-    met = touching(minutes(words, order, fields), c, "transcript_id", F.col("from_ms"), F.col("to_ms"), F.col("_from"), F.col("_to"))
+    # Words of other transcripts do not travel.
+    used = words.join(c.select("transcript_id").distinct(), "transcript_id", "left_semi")
+    met = touching(minutes(used, order, fields), c, "transcript_id", F.col("from_ms"), F.col("to_ms"), F.col("_from"), F.col("_to"))
     own = F.filter("said", lambda w: (w["e"] >= F.col("_from")) & (w["o"]["start_ms"] <= F.col("_to")))
-    cut = met.select("clip_id", own.alias("said")).where(F.size("said") > 0)
-    return cut.groupBy("clip_id").agg(F.transform(F.array_sort(F.flatten(F.collect_list("said"))), lambda w: w["v"]).alias("words"))
+    cut = met.select("clip_id", "from_ms", F.transform(own, lambda w: w["v"]).alias("said")).where(F.size("said") > 0)
+    # Minutes are in order inside, and no two of a transcript start at one time.
+    listed = F.array_sort(F.collect_list(F.struct("from_ms", "said")))
+    return cut.groupBy("clip_id").agg(F.flatten(F.transform(listed, lambda m: m["said"])).alias("words"))
 
 
 def replaced(old: DataFrame, new: DataFrame, key: str = "video_id") -> DataFrame:

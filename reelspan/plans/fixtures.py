@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+#: By what Spark deals out tables: segments and boxes then lie by clip.
+DEALT = {"lineitem": "l_orderkey"}
+#: Rows of a task of such a table, about, and the rows of those that were counted.
+DEALT_ROWS = 1 << 17
+_rows: dict[tuple[str, str, str], int] = {}
+
 #: What the engines write differently.
 TOKENS = {
     "spark": {
@@ -87,9 +93,23 @@ def _filled(engine: str, text: str) -> str:
     return text
 
 
+def _parts(spark: SparkSession, sf_dir: str, table: str) -> str:
+    """How many tasks a table's rows ask for, as a hint has it; nothing if it is one.  Rows are counted once a session, from the files' footers."""
+    at = (spark.sparkContext.applicationId, sf_dir, table)
+    if at not in _rows:
+        _rows[at] = spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
+    n = -(-_rows[at] // DEALT_ROWS)
+    return f"{max(n, spark.sparkContext.defaultParallelism)}, " if n > 1 else ""
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view over the tables in ``sf_dir``; only the columns that are used are read."""
+    """A view over the tables in ``sf_dir``; only the columns that are used are read.
+
+    Tables of ``DEALT`` are dealt out by a column, so that views grouped by it and others, and their joins on it, move no rows again.
+    """
     base = {t: f"SELECT * FROM parquet.`{sf_dir}/{t}.parquet`" for t in BASE}
+    for t in _needs(_with("spark", [name], "", base), DEALT):
+        base[t] = f"SELECT /*+ REPARTITION({_parts(spark, sf_dir, t)}{DEALT[t]}) */ * FROM parquet.`{sf_dir}/{t}.parquet`"
     return spark.sql(f"WITH {_with('spark', [name], '', base)} SELECT * FROM {name}")
 
 

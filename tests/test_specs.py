@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reelspan.operators import spec, transcript
 from reelspan.plans import queries
 from reelspan.plans.fixtures import view
+from reelspan.sources import tables
 
 
 @pytest.mark.parametrize("scale", ["0.001", "0.01"])
@@ -66,3 +67,22 @@ def test_specs_without_words_or_children(spark):
     said = spark.createDataFrame([(1, [("hi", 5)])], "clip_id bigint, words array<struct<word: string, start_ms: bigint>>")
     rows = {r.clip_id: r for r in spec.clip_specs(clips, segments, boxes, frames, {}, said).collect()}
     assert rows[1].words[0].word == "hi" and rows[2].words == [] and rows[2].segments == []
+
+
+def test_nested_by_clip(spark, small):
+    segments, boxes = view(spark, small, "segments"), view(spark, small, "crop_boxes")
+    frames = queries._dealt_keyframes(spark, small)
+    own = ["box_id", "kf_seq", "t_ms", "x", "y", "w", "h"]
+    rows = lambda df: sorted(map(tuple, df.select(*own).collect()))
+    assert rows(frames) == rows(view(spark, small, "dealt_keyframes"))
+    clips = segments.select("clip_id").distinct().unionByName(spark.sql("SELECT -1L AS clip_id"))
+    specs = spec.clip_specs(clips, segments, boxes, frames, {}, by_clip=True).select("clip_id", "segments")
+    other = spec.clip_specs(clips, segments, boxes.drop("clip_id"), frames.drop("clip_id"), {}).select("clip_id", "segments")
+    assert {r.clip_id: r.segments for r in specs.collect()} == {r.clip_id: r.segments for r in other.collect()}
+
+
+def test_specs_move_by_clip_and_are_compressed(spark, small, tmp_path):
+    plan = queries._specs(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert not any(f"hashpartitioning({c}#" in plan for c in ("segment_id", "id", "box_id"))
+    tables.write_specs(spark.sql("SELECT '{}' AS json"), str(tmp_path / "specs"))
+    assert list((tmp_path / "specs").glob("part-*.gz"))
