@@ -182,8 +182,8 @@ def clear_folders(spark: SparkSession) -> None:
 
 
 def write_specs(specs_json: DataFrame, path: str) -> None:
-    """One JSON object a line."""
-    specs_json.select(F.col("json").alias("value")).write.mode("overwrite").text(path)
+    """One JSON object a line, compressed: names of fields are most of it."""
+    specs_json.select(F.col("json").alias("value")).write.mode("overwrite").option("compression", "gzip").text(path)
 
 
 def write_scripts(script_lines: DataFrame, path: str, key: str = "clip_id") -> None:
