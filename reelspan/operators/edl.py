@@ -8,21 +8,33 @@ from pyspark.sql import functions as F
 from reelspan.operators.scans import before, carried
 
 
+#: Slots of a segment at most.
+MOST_SLOTS = 3
+
+
 def slot_count(layout: Column) -> Column:
     return F.when(layout == "split", 2).when(layout == "trio", 3).otherwise(1)
 
 
-def slots(segments: DataFrame, boxes: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def slots(segments: DataFrame, boxes: DataFrame, known: DataFrame | None = None, by_clip: bool = False) -> DataFrame:
     """A row for each slot of each segment with its box: the i-th box by ``slot_index``, whatever its value.
 
     ``segment_id, clip_id, sort_order, layout, start_ms, end_ms, slot, box_id,
     source_video_id, source_offset_ms``.  Without a box, or with one whose source is
     not in ``known`` (video_id), the slot shows the primary source (null).
+
+    A segment stands behind its boxes in one sort of both.  ``by_clip``: boxes have clip_id as well; tables that lie by clip do not move.
     """
-    own = segments.select(F.col("id").alias("segment_id"), "clip_id", "sort_order", "layout", "start_ms", "end_ms", F.explode(F.sequence(F.lit(0), slot_count(F.col("layout")) - 1)).alias("slot"))
-    place = F.row_number().over(Window.partitionBy("segment_id").orderBy("slot_index", "id")) - 1
-    b = boxes.select("segment_id", place.alias("slot"), F.col("id").alias("box_id"), "source_video_id", "source_offset_ms")
-    out = own.join(b, ["segment_id", "slot"], "left")
+    group = ["segment_id", "clip_id"] if by_clip else ["segment_id"]
+    shown = ["box_id", "source_video_id", "source_offset_ms"]
+    own = segments.select("clip_id", F.col("id").alias("segment_id"), F.lit(1).alias("_kind"), "sort_order", "layout", "start_ms", "end_ms")
+    b = boxes.where("segment_id IS NOT NULL").select(*group, F.lit(0).alias("_kind"), "slot_index", F.col("id").alias("box_id"), *shown[1:])
+    line = Window.partitionBy(*group).orderBy("_kind", "slot_index", "box_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Beyond its boxes a segment finds itself, which has nothing in their columns.
+    placed = own.unionByName(b, allowMissingColumns=True).withColumns({f"_{c}{k}": F.nth_value(c, k + 1).over(line) for c in shown for k in range(MOST_SLOTS)}).where("_kind = 1")
+    out = placed.withColumn("slot", F.explode(F.sequence(F.lit(0), slot_count(F.col("layout")) - 1)))
+    at = {c: F.coalesce(*[F.when(F.col("slot") == k, F.col(f"_{c}{k}")) for k in range(MOST_SLOTS)]) for c in shown}
+    out = out.select("segment_id", "slot", "clip_id", "sort_order", "layout", "start_ms", "end_ms", *[v.alias(c) for c, v in at.items()])
     if known is not None:
         k = known.select(F.col("video_id").cast("string").alias("_source")).distinct().withColumn("_known", F.lit(True))
         # Slots of the primary source, which may be most of them, have a key each: none that is known, and no two alike.

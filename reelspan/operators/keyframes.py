@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspan.operators.ranges import points_in
+from reelspan.operators.ranges import LEVELS, cell, level_of, points_in
 
 DEFAULTS = {"x": 0.0, "y": 0.0, "w": 1.0, "h": 1.0}
 FIRST = -(1 << 62)
@@ -61,10 +61,47 @@ def position_at(probes: DataFrame, keyframes: DataFrame, width_ms: int = PIECE_M
 
 
 def changes(keyframes: DataFrame) -> DataFrame:
-    """``box_id, lo, x, y, w, h``: where a box's position may change, that is at each time of keyframes but its first; of several at a time the last in input order."""
-    at = keyframes.groupBy("box_id", F.col("t_ms").alias("lo")).agg(F.max_by(F.struct(*DEFAULTS), "kf_seq").alias("_kf"))
-    first = keyframes.groupBy(F.col("box_id").alias("_box")).agg(F.min("t_ms").alias("_first"))
-    return at.join(first, F.col("box_id") == F.col("_box")).where(F.col("lo") > F.col("_first")).select("box_id", "lo", *[F.col(f"_kf.{c}").alias(c) for c in DEFAULTS])
+    """``box_id, lo, x, y, w, h``: where a box's position may change, that is at each time of keyframes; of several at a time the last in input order.
+
+    The first keyframe holds from ever, so the first time counts only if it has several.
+    """
+    at = _at_times(keyframes)
+    found = at.join(at.groupBy("box_id").agg(F.min("lo").alias("_first")), "box_id").where("lo > _first OR _n > 1")
+    return found.select("box_id", "lo", *[F.col(f"_kf.{c}").alias(c) for c in DEFAULTS])
+
+
+def _at_times(keyframes: DataFrame) -> DataFrame:
+    """``box_id, lo, _kf, _lead, _n``: of the keyframes at a time the last and the first in input order, and how many there are."""
+    kf, at = F.struct(*DEFAULTS), F.struct("kf_seq")
+    own = keyframes.where("box_id IS NOT NULL AND t_ms IS NOT NULL")
+    return own.groupBy("box_id", F.col("t_ms").alias("lo")).agg(F.max_by(kf, at).alias("_kf"), F.min_by(kf, at).alias("_lead"), F.count(F.lit(1)).alias("_n"))
+
+
+def _start_cell(ms: Column, level: Column, width_ms: int) -> Column:
+    """The cell of a time; the top level is one cell, whatever the width."""
+    return F.when(level == LEVELS - 1, F.lit(0).cast("bigint")).otherwise(cell(ms, level, width_ms))
+
+
+def held(keyframes: DataFrame, asked: DataFrame, width_ms: int) -> DataFrame:
+    """Where a box is throughout each asked cell (``box_id, _level, _cell``, see ``ranges``) and the next one: ``box_id, _level, _cell, _from, _until, x, y, w, h``.
+
+    Nulls of ``_from`` and ``_until`` are before and after all times of both cells.  Only boxes and levels that are asked for have copies: two for
+    each keyframe and level.  What holds where a cell begins is carried over a table of one row for each cell.  Boxes without keyframes have no rows.
+    """
+    cells = ["box_id", "_level", "_cell"]
+    levels = asked.groupBy("box_id").agg(F.collect_set("_level").alias("_levels"))  # at most LEVELS
+    at = _at_times(keyframes.join(levels, "box_id", "left_semi"))
+    boxes = at.groupBy("box_id").agg(F.min("lo").alias("_first"), F.min_by("_lead", "lo").alias("_lead")).join(levels, "box_id")
+    moved = at.drop("_lead").join(boxes.drop("_lead"), "box_id").where("lo > _first OR _n > 1")
+    moved = moved.select("box_id", F.explode("_levels").alias("_level"), "lo", "_kf").withColumn("_cell", _start_cell(F.col("lo"), F.col("_level"), width_ms))
+    both = moved.withColumn("_some", F.lit(0)).unionByName(asked.withColumn("_some", F.lit(1)), allowMissingColumns=True)
+    last = both.groupBy(*cells).agg(F.max_by("_kf", "lo").alias("_last"), F.max("_some").alias("_some"))
+    line = Window.partitionBy("box_id", "_level").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    heads = last.withColumn("_before", F.last("_last", ignorenulls=True).over(line)).where("_some = 1").join(boxes.select("box_id", "_lead"), "box_id")
+    heads = heads.select(*cells, F.lit(None).cast("bigint").alias("lo"), F.coalesce("_before", "_lead").alias("_kf"))
+    inside = moved.withColumn("_cell", F.explode(F.array(F.col("_cell"), F.col("_cell") - 1))).join(asked, cells, "left_semi")
+    until = F.lead("lo").over(Window.partitionBy(*cells).orderBy(F.col("lo").asc_nulls_first()))
+    return heads.unionByName(inside).select(*cells, F.col("lo").alias("_from"), until.alias("_until"), *[F.col(f"_kf.{c}").alias(c) for c in DEFAULTS])
 
 
 def crop_pixels(width: int, height: int) -> dict:
@@ -75,21 +112,30 @@ def crop_pixels(width: int, height: int) -> dict:
     }
 
 
-def crop_track(slots: DataFrame, keyframes: DataFrame, width: int, height: int, longest_ms: int | None = None) -> DataFrame:
+def crop_track(slots: DataFrame, keyframes: DataFrame, width: int, height: int, width_ms: int = PIECE_MS) -> DataFrame:
     """Pieces of constant crop of each slot: ``segment_id, slot, start_ms, end_ms, crop_x, crop_y, crop_w, crop_h``.
 
     ``slots``: segment_id, slot, box_id (null: the whole frame), start_ms, end_ms.  A slot
     starts with its box's position at that time; every later keyframe inside it starts a piece.
-    ``longest_ms``: about how long the longest slots are, if known (see ``ranges.points_in``).
+
+    One join: a slot asks where its box is throughout the cell that it starts in and the next one, at the level where it is no longer
+    than a cell; each answer is a piece, whose end needs no other.  So slots are not sorted by time, and a busy cell can be split.
     """
-    own = slots.select("segment_id", "slot", "box_id", "start_ms", "end_ms")
-    framed = own.where("box_id IS NOT NULL")
-    starts = position_at(framed.withColumn("q_ms", F.col("start_ms")), keyframes).drop("q_ms")
-    whole = own.where("box_id IS NULL").withColumns({c: F.lit(d) for c, d in DEFAULTS.items()})
-    inside = points_in(changes(keyframes), framed, "box_id", F.col("lo"), F.col("start_ms") + 1, F.col("end_ms"), width_ms=3_600_000, longest_ms=longest_ms).withColumn("start_ms", F.col("lo")).drop("lo")
-    after = F.lead("start_ms").over(Window.partitionBy("segment_id", "slot").orderBy("start_ms"))
-    pieces = starts.unionByName(inside).withColumn("end_ms", F.coalesce(after, "end_ms")).unionByName(whole)
-    return pieces.withColumns(crop_pixels(width, height)).drop("box_id", *DEFAULTS)
+    # A hundredth longer, so that cells' rounded bounds do not count.
+    length = F.coalesce(F.greatest(F.col("end_ms").cast("double") - F.col("start_ms").cast("double"), F.lit(0.0)), F.lit(0.0)) * 1.01
+    own = slots.select("segment_id", "slot", "box_id", "start_ms", "end_ms").withColumn("_level", level_of(length, width_ms))
+    # Slots without a box meet nothing; they are dealt out by themselves.
+    own = own.withColumn("_cell", F.when(F.col("box_id").isNull(), F.xxhash64("segment_id", "slot")).otherwise(_start_cell(F.col("start_ms"), F.col("_level"), width_ms)))
+    asked = own.where("box_id IS NOT NULL AND _level IS NOT NULL AND _cell IS NOT NULL").select("box_id", "_level", "_cell").distinct()
+    at = held(keyframes, asked, width_ms).withColumnsRenamed({"box_id": "_box", "_level": "_at_level", "_cell": "_at_cell"})
+    same = (F.col("box_id") == F.col("_box")) & (F.col("_level") == F.col("_at_level")) & (F.col("_cell") == F.col("_at_cell"))
+    begun = F.col("_from").isNull() | (F.col("_from") <= F.col("start_ms")) | (F.col("_from") < F.col("end_ms"))
+    lasts = F.col("_until").isNull() | (F.col("_until") > F.col("start_ms"))
+    pieces = own.join(at, same & begun & lasts, "left").select(
+        "segment_id", "slot", F.when(F.col("_from") > F.col("start_ms"), F.col("_from")).otherwise(F.col("start_ms")).alias("start_ms"),
+        F.when(F.col("_until") < F.col("end_ms"), F.col("_until")).otherwise(F.col("end_ms")).alias("end_ms"), *[F.coalesce(F.col(c), F.lit(d)).alias(c) for c, d in DEFAULTS.items()],
+    )
+    return pieces.withColumns(crop_pixels(width, height)).drop(*DEFAULTS)
 
 
 def active_at(times: DataFrame, overlays: DataFrame, key: str = "clip_id") -> DataFrame:

@@ -174,6 +174,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return _given[own][-1]
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written to a ``shared_folder`` and read again: for what a query reads more than once."""
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def clear_folders(spark: SparkSession) -> None:
     """Removes what is in all folders that ``shared_folder`` has given out; results that still read them are then lost."""
     for folder in _given.pop(spark.sparkContext.applicationId, []):

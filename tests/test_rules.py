@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelspan.functions import languages, media, text
+from reelspan.catalog import QUERIES
 from reelspan.operators import alignment, captions, edl, jobs, keyframes, spec, speech, transcript
 
 
@@ -296,3 +297,52 @@ def test_languages_of_chunks(spark):
     assert asked[("b", 0)] == "unknown" and asked[("b", 1)] == "te-IN" and asked[("c", 0)] == "ta-IN" and asked[("a", 2)] == "unknown"
     plan = transcript.chunk_plan(spark.createDataFrame([("a", 50.0), ("b", 50.1), ("c", 0.0)], "video_id string, total_s double"))
     assert {r.video_id: r.n for r in plan.groupBy("video_id").agg(F.count("*").alias("n")).collect()} == {"a": 2, "b": 3}
+
+
+def test_crop_track_against_loops(spark):
+    draw = random.Random(5)
+    frames = [(draw.choice("abc"), n, 100 * draw.randint(-3, 60), n / 1000) for n in range(120)] + [("twice", 0, 500, 0.6), ("twice", 1, 500, 0.7), ("twice", 2, 900, 0.8), ("late", 0, 10_000_000, 0.9)]
+    slots = []
+    for n in range(300):
+        start = draw.randint(-500, 6500)
+        slots.append((n, draw.choice(["a", "b", "c", "twice", "late", "none", None]), start, start + draw.choice([0, 1, 30, 700, 5000, 90_000, 20_000_000])))
+    slots += [(300, "a", 50, 20), (301, "a", None, 50), (302, "a", 250, None), (303, "twice", -(1 << 62), 1 << 62)]
+    f = spark.createDataFrame(frames, "box_id string, kf_seq bigint, t_ms bigint, x double").withColumns({c: F.lit(0.5) for c in "ywh"})
+    s = spark.createDataFrame(slots, "segment_id int, box_id string, start_ms bigint, end_ms bigint").withColumn("slot", F.lit(0))
+    want = []
+    for n, box, start, end in slots:
+        own = sorted((t, seq, x) for b, seq, t, x in frames if b == box)
+        if start is None or not own:
+            want.append((n, start, end, 0.0))
+            continue
+        at = [x for t, _, x in own if t <= start]
+        pieces = [(start, at[-1] if at else own[0][2])]
+        for t in sorted({t for t, _, _ in own if end is not None and start < t < end}):
+            here = [x for u, _, x in own if u == t]
+            if t > own[0][0] or len(here) > 1:
+                pieces.append((t, here[-1]))
+        stops = [t for t, _ in pieces[1:]] + [end]
+        want += [(n, t, stop, x * 1000) for (t, x), stop in zip(pieces, stops)]
+    for width in (64, 1000, keyframes.PIECE_MS):
+        got = [(r.segment_id, r.start_ms, r.end_ms, r.crop_x) for r in keyframes.crop_track(s, f, 1000, 1000, width).collect()]
+        key = lambda r: (r[0], r[1] is not None, r[1] or 0)
+        assert [(*r[:3], round(r[3], 6)) for r in sorted(got, key=key)] == [(*r[:3], round(r[3], 6)) for r in sorted(want, key=key)], width
+
+
+def test_crop_track_computes_slots_once_and_moves_them_once(spark, small):
+    """The query's slots are read back, never derived again, and meet keyframes in one join without being sorted by time."""
+    plan = QUERIES["crop_track"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in plan and "l_orderkey" not in plan and "nth_value" not in plan
+    assert "segment_id" not in "".join(line for line in plan.split("\n") if "Window" in line)
+
+
+def test_slots_by_clip_do_not_move(spark):
+    n = 9
+    segments = spark.range(400).select((F.col("id") % 50).alias("clip_id"), "id", F.lit(0).alias("sort_order"), F.element_at(F.array(*map(F.lit, ["split", "trio", "odd"])), (F.col("id") % 3 + 1).cast("int")).alias("layout"), F.lit(0).alias("start_ms"), F.lit(9).alias("end_ms"))
+    boxes = spark.range(1200).where("id % 400 % 4 < 3").select((F.col("id") % 400 % 50).alias("clip_id"), "id", (F.col("id") % 400).alias("segment_id"), (-F.col("id")).alias("slot_index"), F.when(F.col("id") % 5 > 0, F.col("id") % 7).alias("source_video_id"), F.col("id").alias("source_offset_ms"))
+    want = sorted((k, j, (k + 400 * (2 - j)) if k % 4 < 3 else None) for k in range(400) for j in range((2, 3, 1)[k % 3]))
+    for by_clip in (False, True):
+        got = edl.slots(segments.repartition(n, "clip_id"), boxes.repartition(n, "clip_id"), by_clip=by_clip)
+        assert sorted((r.segment_id, r.slot, r.box_id) for r in got.collect()) == want
+        assert all(r.source_video_id == (r.box_id % 7 if r.box_id % 5 else None) for r in got.where("box_id IS NOT NULL").collect())
+        assert ("ENSURE_REQUIREMENTS" in got._jdf.queryExecution().executedPlan().toString()) == (not by_clip)
